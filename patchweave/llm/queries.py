@@ -1,11 +1,16 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from patchweave.llm import chat_format, sharding, url_filter
+from patchweave.llm import bpe, chat_format, language_id, pii, quality_rules, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_pii": pii.op3_pii,
     "op4_sharding": sharding.op4_sharding,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLE_SQL = {
