@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from patchweave.llm import bpe, chat_format, language_id, pii, quality_rules, sharding, token_counts, url_filter
+from patchweave.llm import bpe, chat_format, decontaminate, language_id, near_dedup, pii, quality_rules, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_pii": pii.op3_pii,
     "op4_sharding": sharding.op4_sharding,
@@ -11,6 +12,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_bpe": bpe.op8_bpe,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE_SQL = {
