@@ -44,11 +44,11 @@ def parse_patches(files: DataFrame) -> DataFrame:
     old, new = F.col("line_type").isin("CONTEXT", "REMOVED"), F.col("line_type").isin("CONTEXT", "ADDED")
     placed = typed.select(
         *FILE, "pos", "hunk_idx", "line_type", "raw", *(F.max(c).over(full).alias(c) for c in head),
-        F.sum(old.cast("int")).over(full).alias("olds"), F.sum(new.cast("int")).over(full).alias("news"),
+        F.sum(old.cast("int")).over(full).alias("olds"), F.sum(new.cast("int")).over(full).alias("news"), F.sum((F.col("line_type") == "BAD").cast("int")).over(full).alias("bads"),
         F.coalesce(F.sum(old.cast("int")).over(before), F.lit(0)).alias("old_before"), F.coalesce(F.sum(new.cast("int")).over(before), F.lit(0)).alias("new_before"),
         F.sum(F.col("line_type").isin("CONTEXT", "ADDED", "REMOVED").cast("int")).over(before).alias("body_before"))
     wrong = (F.when((F.col("line_type") == "HEADER") & (F.col("old_start").isNull() | F.col("old_count").isNull() | F.col("new_start").isNull() | F.col("new_count").isNull()), "bad header")
-             .when(F.col("line_type") == "BAD", "bad line").when((F.col("olds") != F.col("old_count")) | (F.col("news") != F.col("new_count")), "count mismatch"))
+             .when(F.col("line_type") == "BAD", "bad line").when((F.col("bads") == 0) & ((F.col("olds") != F.col("old_count")) | (F.col("news") != F.col("new_count"))), "count mismatch"))
     judged = placed.withColumn("error", F.min(F.when(wrong.isNotNull(), F.struct(F.col("pos"), wrong.alias("why")))).over(whole)["why"])
     body = judged.where(F.col("line_type").isin("CONTEXT", "ADDED", "REMOVED", "HEADER"))
     return body.select(
