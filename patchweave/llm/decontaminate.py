@@ -58,15 +58,20 @@ def _solid(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, start, hash, windows): an item's windows that have two words or more besides placeholders, or one if it is all there is.
+    """(item_key, item_id, start, hash, windows): windows that have two words or more besides placeholders, or one if it is all there is.
 
-    ``windows`` counts the item's different hashes. Items of null id, and those without a word, are left out.
+    ``windows`` counts the item's different hashes. ``benchmark`` comes from ``_items``.
     """
-    words = benchmark.where(F.col("item_id").isNotNull()).select("item_id", template_words(F.col("text")).alias("words"))
-    rows = words.select("item_id", "words", F.posexplode(window_hashes("words")).alias("start", "hash"))
-    rows = rows.where(_solid(F.slice("words", F.col("start") + 1, WINDOW)) >= F.least(F.lit(2), F.size("words"))).select("item_id", "start", "hash")
-    counts = rows.groupBy("item_id").agg(F.countDistinct("hash").alias("windows"))
-    return rows.join(counts, "item_id")
+    words = benchmark.select("item_key", "item_id", template_words(F.col("text")).alias("words"))
+    rows = words.select("item_key", "item_id", "words", F.posexplode(window_hashes("words")).alias("start", "hash"))
+    rows = rows.where(_solid(F.slice("words", F.col("start") + 1, WINDOW)) >= F.least(F.lit(2), F.size("words"))).select("item_key", "item_id", "start", "hash")
+    counts = rows.groupBy("item_key").agg(F.countDistinct("hash").alias("windows"))
+    return rows.join(counts, "item_key")
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_key, item_id, text): each different text of an item once; items of null id are left out."""
+    return benchmark.where(F.col("item_id").isNotNull()).select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text").dropDuplicates(["item_key"])
 
 
 def _slots(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -85,35 +90,36 @@ def _few(df: DataFrame, most: int) -> DataFrame:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(row_key, doc_id, item_id, matched, windows, coverage, consistency, copied), one row for each document and item found.
+    """(row_key, doc_id, item_id, matched, windows, coverage, consistency, copied), one row for each document and item text found.
 
     ``row_key`` is a hash of doc_id and text, so rows of null doc_id are judged as well; equal rows count once. Null and empty texts
     match nothing. A text of fewer than five words is one window, so it matches only equal ones. An empty table on
     either side gives no rows. Other columns are ignored. One pass over the texts, without a shuffle of their windows
     as long as the benchmark has at most BROADCAST_WINDOWS of them.
     """
-    known = materialize(benchmark_windows(benchmark), "benchmark")
+    items = _items(benchmark)
+    known = materialize(benchmark_windows(items), "benchmark")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     words = texts.select("row_key", "doc_id", template_words(F.col("text")).alias("words"))
     hashed = words.select("row_key", "doc_id", F.posexplode(window_hashes("words")).alias("place", "hash"))
-    hits = materialize(hashed.join(_few(known, BROADCAST_WINDOWS), "hash").select("row_key", "doc_id", "item_id", "windows", "hash", "place", "start"), "hits")
-    matched = hits.groupBy("row_key", "doc_id", "item_id", "windows").agg(F.countDistinct("hash").alias("matched"))
+    hits = materialize(hashed.join(_few(known, BROADCAST_WINDOWS), "hash").select("row_key", "doc_id", "item_key", "item_id", "windows", "hash", "place", "start"), "hits")
+    matched = hits.groupBy("row_key", "doc_id", "item_key", "item_id", "windows").agg(F.countDistinct("hash").alias("matched"))
     found = materialize(matched.where(F.col("matched") >= COVERAGE * F.col("windows")), "found")
 
     # slots of the windows that met: word k of the document's window stands for word k of the item's
-    item_slots = _slots(benchmark.where(F.col("item_id").isNotNull()), ["item_id"])
-    slotted = _few(item_slots.select("item_id").distinct(), BROADCAST_ROWS)
-    asked = found.join(slotted, "item_id", "left_semi").select("row_key", "item_id")
+    item_slots = _slots(items, ["item_key"])
+    slotted = _few(item_slots.select("item_key").distinct(), BROADCAST_ROWS)
+    asked = found.join(slotted, "item_key", "left_semi").select("row_key", "item_key")
     keys = _few(materialize(asked.select("row_key").distinct(), "asked"), BROADCAST_ROWS)
     doc_slots = _slots(texts.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]), ["row_key"])
-    met = hits.join(asked, ["row_key", "item_id"], "left_semi").select("row_key", "item_id", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "place", "start")
-    met = met.select("row_key", "item_id", (F.col("place") + F.col("k")).alias("doc_at"), (F.col("start") + F.col("k")).alias("item_at")).distinct()
-    filled = met.join(item_slots.select("item_id", F.col("at").alias("item_at"), F.col("value").alias("item_value")), ["item_id", "item_at"])
+    met = hits.join(asked, ["row_key", "item_key"], "left_semi").select("row_key", "item_key", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "place", "start")
+    met = met.select("row_key", "item_key", (F.col("place") + F.col("k")).alias("doc_at"), (F.col("start") + F.col("k")).alias("item_at")).distinct()
+    filled = met.join(item_slots.select("item_key", F.col("at").alias("item_at"), F.col("value").alias("item_value")), ["item_key", "item_at"])
     filled = filled.join(doc_slots.select("row_key", F.col("at").alias("doc_at"), F.col("value").alias("doc_value")), ["row_key", "doc_at"])
-    uses = filled.groupBy("row_key", "item_id", "item_value", "doc_value").agg(F.count("*").alias("n"))
-    usual = uses.groupBy("row_key", "item_id", "item_value").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum(F.when(F.col("item_value") == F.col("doc_value"), F.col("n")).otherwise(0)).alias("same"))
-    agreed = usual.groupBy("row_key", "item_id").agg((F.sum("top") / F.sum("n")).alias("consistency"), (F.sum("same") == F.sum("n")).alias("copied"))
-    out = found.join(agreed, ["row_key", "item_id"], "left").select("row_key", "doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"),
+    uses = filled.groupBy("row_key", "item_key", "item_value", "doc_value").agg(F.count("*").alias("n"))
+    usual = uses.groupBy("row_key", "item_key", "item_value").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum(F.when(F.col("item_value") == F.col("doc_value"), F.col("n")).otherwise(0)).alias("same"))
+    agreed = usual.groupBy("row_key", "item_key").agg((F.sum("top") / F.sum("n")).alias("consistency"), (F.sum("same") == F.sum("n")).alias("copied"))
+    out = found.join(agreed, ["row_key", "item_key"], "left").select("row_key", "doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"),
                                                                     F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("copied", F.lit(True)).alias("copied"))
     return out.where(F.col("consistency") >= CONSISTENCY)
 
