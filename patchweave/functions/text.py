@@ -72,9 +72,9 @@ def class_header(text: Column, name: Column) -> Column:
     lines = lines_of(text)
     is_declaration = F.transform(lines, lambda x: x.rlike(declares) & F.contains(x, name))
     at = F.array_position(is_declaration, F.lit(True)).cast("int")
-    scope = F.when(at > 0, F.slice(lines, F.lit(1), at)).otherwise(lines)
-    trimmed = F.filter(scope, lambda x, k: x.startswith("package ") | x.startswith("import ") | ((at > 0) & (k == at - 1)))
-    return F.array_join(trimmed, "\n")
+    above = lambda xs: F.filter(xs, lambda x: x.startswith("package ") | x.startswith("import "))
+    found = F.concat(above(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0)))), F.array(F.get(lines, at - 1)))
+    return F.array_join(F.when(at > 0, found).otherwise(above(lines)), "\n")
 
 
 def estimate_tokens(text: Column) -> Column:

@@ -158,3 +158,20 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(bodies, "c_custkey", "left")
     head = F.expr("concat('package com.n', c_nationkey, ';\n\nimport java.util.Map;\n\n/* orders { */\npublic class C', c_custkey, ' {\n')")
     return named.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit(".java")).alias("path"), F.concat(head, F.coalesce(F.array_join("ms.text", ""), F.lit("")), F.lit("}\n")).alias("content"))
+
+
+SECRET = "hook-secret"
+_PAD = {name: "".join(chr(ord(c) ^ byte) for c in SECRET.ljust(64, "\0")) for name, byte in (("inner", 0x36), ("outer", 0x5C))}
+
+
+def webhook_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as deliveries: props are the payload, signed with SECRET, but for errors, whose signature is that of other text.
+
+    The signature is spelled out with SHA-256, so that it does not come from the code that checks it.
+    """
+    signed = F.when(F.col("event_type") == "error", F.concat("props", F.lit("!"))).otherwise(F.col("props"))
+    inner = F.sha2(F.concat(F.lit(_PAD["inner"]), signed), 256)
+    signature = F.concat(F.lit("sha256="), F.sha2(F.concat(F.lit(_PAD["outer"]).cast("binary"), F.unhex(inner)), 256))
+    event = F.expr("CASE event_type WHEN 'signup' THEN 'ping' WHEN 'purchase' THEN 'push' ELSE 'pull_request' END")
+    payload = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
+    return read(spark, sf_dir, "events").select("event_id", event.alias("event"), payload.alias("payload"), F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("sha256="), F.sha2(F.concat(F.lit(_PAD["outer"]).cast("binary"), F.unhex(F.sha2(F.concat(F.lit(_PAD["inner"]), payload), 256))), 256))).otherwise(signature).alias("signature"))

@@ -12,6 +12,8 @@ from patchweave.config import ReviewConfig
 from patchweave.functions import ids, paths, scoring, text
 from patchweave.operators import diff, freeze, items, packing, publish, recall, review, slicing, symbols
 from patchweave.plans import domain
+from patchweave.plans.pipeline import Tables, build_plans
+from patchweave.sources import archives
 from patchweave.sources.java import parse_java
 from patchweave.streaming import events
 
@@ -260,10 +262,36 @@ def java_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_java(domain.java_files(spark, sf_dir), ["path"]).where("row = 'call'").select("path", "fqn", "enclosing_method", "name", "receiver", "arity", F.col("start_line").alias("line"))
 
 
+def signature_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.http_status(domain.webhook_deliveries(spark, sf_dir), domain.SECRET).select("event_id", "http_status")
+
+
+def symbol_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = domain.java_files(spark, sf_dir).select(F.lit("p").alias("pr_key"), F.lit("HEAD").alias("side"), "path", "content")
+    methods = parse_java(files, ["pr_key", "side", "path"]).where("row = 'method'")
+    changed = methods.select("pr_key", F.struct("path", "ord").alias("sym_ord"), "side", "path", F.col("fqn").alias("class_fqn"), F.col("name").alias("method_name"), "signature", "arity", "start_line", "end_line")
+    return items.symbol_items(changed, files, CONFIG).select("item_id", "kind", "ref_path", "ref_start", "content", "tokens", "required")
+
+
+def snapshot_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = domain.read(spark, sf_dir, "orders").select(F.lit(domain.REPO).alias("repo"), F.lit("head").alias("sha"), F.concat(F.lit("F"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderpriority").alias("content"), "o_orderstatus")
+    found = archives.with_fallback(orders.select("repo", "sha", "path"), orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus IN ('F', 'O')"))
+    return found.select("path", "content", "kind")
+
+
+def review_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    heads = files.where("change_type != 'DELETE'").select("repo", F.lit("head").alias("sha"), "path", "content")
+    bases = files.where("change_type != 'ADD'").select("repo", F.lit("base").alias("sha"), F.coalesce("previous_path", "path").alias("path"), "content")
+    revisions = files.select("pr_key", "repo").distinct().select("pr_key", "repo", F.lit(1).alias("pr_number"), F.lit("base").alias("merge_base"), F.lit("head").alias("head"))
+    built = build_plans(Tables(revisions, files, heads, bases), CONFIG)
+    return built["packed"].groupBy("pr_key", "slice_no", "status").agg(F.count("*").alias("n_items"), F.sum("tokens").alias("tokens"))
+
+
 _FUNCTIONS = (
     change_summary, classify_files, token_estimates, diff_lines, diff_hunk_validation, render_hunks, annotate_diff, diff_items, metadata_items, patch_sha, context_ids, capability_report, common_prefixes,
     changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
-    parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls,
+    parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback, review_plans,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -368,6 +396,13 @@ ORACLE_SQL = {
     "java_calls": """WITH m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey)
       SELECT 'C' || o_custkey || '.java' AS path, 'com.n' || c_nationkey || '.C' || o_custkey AS fqn, 'o' || o_orderkey AS enclosing_method, name, CASE name WHEN 'call' THEN 'svc' ELSE 'svc.call(' || o_orderkey || ', "a, b(")' END AS receiver, CASE name WHEN 'call' THEN 2 ELSE 0 END AS arity, CAST(3 * k + 5 AS INT) AS line
       FROM m CROSS JOIN (VALUES ('call'), ('get')) v(name)""",
+    "signature_checks": """SELECT event_id, CASE WHEN event_type = 'error' AND user_id % 7 != 0 THEN 401 WHEN event_type IN ('signup', 'purchase') THEN 200 WHEN user_id % 7 = 0 THEN 400 ELSE 202 END AS http_status FROM events""",
+    "symbol_items": """WITH m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, 'C' || o_custkey || '.java' AS path, 'com.n' || c_nationkey || '.C' || o_custkey AS fqn,
+        '  public long o' || o_orderkey || '(' || ['', 'int a', 'final int a, Map<String, Integer> b'][o_orderkey % 3 + 1] || ') {' || chr(10) || '    return svc.call(' || o_orderkey || ', "a, b(").get();' || chr(10) || '  }' AS body FROM orders JOIN customer ON c_custkey = o_custkey),
+      c AS (SELECT DISTINCT path, fqn, 'package com.n' || c_nationkey || ';' || chr(10) || 'import java.util.Map;' || chr(10) || 'public class C' || o_custkey || ' {' AS head FROM m)
+      SELECT 'METHOD#' || fqn || '#o' || o_orderkey || ['()', '(int)', '(int,Map<String,Integer>)'][o_orderkey % 3 + 1] AS item_id, 'CHANGED_METHOD' AS kind, path AS ref_path, CAST(3 * k + 4 AS INT) AS ref_start, body AS content, CAST((length(body) + 3) // 4 AS INT) AS tokens, true AS required FROM m
+      UNION ALL SELECT 'CLASS#' || fqn, 'METADATA', path, NULL, head, CAST((length(head) + 3) // 4 AS INT), false FROM c""",
+    "snapshot_fallback": "SELECT 'F' || o_orderkey AS path, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderpriority END AS content, CASE o_orderstatus WHEN 'F' THEN 'ARCHIVE' WHEN 'O' THEN 'CONTENTS_LAZY' END AS kind FROM orders",
     "patch_sha": f"WITH {SHAS} SELECT pr_key, patch_sha FROM shas",
     "context_ids": f"""WITH {SHAS}, keyed AS (SELECT pr_key, sha256('acme/app' || chr(10) || 'base' || chr(10) || pr_key || chr(10) || patch_sha || chr(10) || 'acq-v1') AS corpus_key FROM shas)
       SELECT pr_key, corpus_key, sha256(corpus_key || chr(10) || '1' || chr(10) || 'builder-v1' || chr(10) || 'heuristic-v1' || chr(10) || '{CONFIG.fingerprint()}' || chr(10) || 'chars-div-4') AS context_id FROM keyed""",
