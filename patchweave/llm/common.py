@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, so that a Python worker's memory follows no long run of long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of it.
 

@@ -3,8 +3,8 @@
 1. Each text becomes a set of word shingles, a signature and a key for each band. Equal sets become one class.
 2. In every bucket (classes that share a band key) each class is paired with two centres of the bucket. That is linear in
    the bucket's size. Pairs that the signatures cannot rule out are verified on the full sets, and links are grouped.
-3. Buckets that then still hold several groups are searched in full, in blocks, for pairs between different groups;
-   what the signatures cannot rule out is verified again. Pairs within a group need no look: they cannot change it.
+3. Buckets that then still hold several groups are searched in full, in blocks, for links between different groups, on the
+   full sets. Pairs within a group need no look: they cannot change it. Only links that join groups leave a block.
 
 So no link that shares a bucket is lost, and the many pairs of a large group of copies are never formed.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchweave.llm import shingles
-from patchweave.llm.common import fresh, materialize, table
+from patchweave.llm.common import bounded_batches, fresh, materialize, table
 from patchweave.llm.components import connected_components
 
 #: Signature length, bands, and the percentage of the union that a link must share.
@@ -28,7 +28,7 @@ SIZE, BANDS, PERCENT = 112, 28, 80
 #: Signatures that agree in fewer places than this share rule a pair out: at a similarity of 0.8 that is 5 deviations off.
 RULED_OUT = 0.6
 #: Classes of a bucket that one task compares at a time, and ids that are broadcast at most.
-BLOCK, BROADCAST_IDS = 1024, 1_000_000
+BLOCK, BROADCAST_IDS = 512, 1_000_000
 
 _FEATURES = "doc_id long, n_shingles long, set_hash binary, sketch binary, bands array<long>"
 
@@ -90,22 +90,47 @@ def _linked(width: int, percent: int):
     return kept
 
 
-def _across(size: int, percent: int):
-    """Pairs of different groups within a block, or between two blocks, of a bucket that sketches and sizes cannot rule out."""
+def _across(width: int, percent: int, size: int):
+    """Links between different groups within a block, or between two blocks, of a bucket: as many as join the groups, at most.
+
+    A pair that shares several buckets is compared in the first of them. Sizes, sketches and what is already joined rule pairs
+    out; the others are compared on their full sets, so only links leave the task and never the pairs.
+    """
     def found(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, comp, n = (group[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        part, left, right = (group[c].to_numpy() for c in ("part", "left", "right"))
-        sketch, out = _sketches(group["sketch"], size), []
-        rows = np.flatnonzero(part == left)
-        cols = np.flatnonzero(part == right)
+        ids, n, bucket = group["rep"].to_pylist(), group["n_shingles"].to_numpy(), group["bucket"][0].as_py()
+        bands = np.array(group["bands"].to_pylist(), np.int64)
+        sketch, texts = _sketches(group["sketch"], size), group["text"]
+        names = {c: k for k, c in enumerate(dict.fromkeys(group["component"].to_pylist()))}
+        own = np.array([names[c] for c in group["component"].to_pylist()])
+        label = np.arange(len(names))  # the joined group that each component belongs to by now
+        sets: dict[int, np.ndarray] = {}
+
+        def items(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles.shingle_set(texts[k].as_py().encode(), width)
+            return sets[k]
+
+        part = group["part"].to_numpy()
+        rows, cols = np.flatnonzero(part == group["left"][0].as_py()), np.flatnonzero(part == group["right"][0].as_py())
+        within, out = group["left"][0].as_py() == group["right"][0].as_py(), []
         for i in rows:
-            near = (comp[cols] != comp[i]) & (100 * np.minimum(n[cols], n[i]) >= percent * np.maximum(n[cols], n[i]))
-            at = cols[near]
+            at = cols[cols > i] if within else cols
+            at = at[(label[own[at]] != label[own[i]]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))]
+            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= RULED_OUT * size]
             if len(at):
-                at = at[(sketch[at] == sketch[i]).sum(axis=1) >= RULED_OUT * size]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in at]
-        out = sorted(set(out))
+                at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == bucket]
+            if not len(at):
+                continue
+            others, mine = [items(j) for j in at], items(i)
+            flat = np.concatenate(others)
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+            shared = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum([len(o) for o in others])[:-1])))
+            for j in at[100 * shared >= percent * (n[at] + n[i] - shared)]:
+                x, y = label[own[i]], label[own[j]]
+                if x != y:
+                    label[label == y] = x
+                    out.append((ids[i], ids[j]))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return found
@@ -136,6 +161,7 @@ def near_duplicates(docs: DataFrame, width: int = shingles.SHINGLE, percent: int
     component. A doc_id with several texts joins their groups. A row of null doc_id takes part in no link; its component_id is
     null and it is kept. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     feats = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features(width, size, bands), _FEATURES), "features")
     named = feats.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(named.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "bands")).alias("c")).select(
@@ -162,11 +188,9 @@ def near_duplicates(docs: DataFrame, width: int = shingles.SHINGLE, percent: int
     # a class goes to each pair of blocks that has its own: (its own, k) and (k, its own)
     dealt = inside.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(
         "bucket", "rep", "component", "part", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"))
-    full = dealt.join(classes.select("rep", "n_shingles", "sketch"), "rep")
-    across = full.groupBy("bucket", "left", "right").applyInArrow(_across(size, percent), "a long, b long")
-    tested = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(across.distinct().join(tested, ["a", "b"], "left_anti"), "across")
-    more = _verify(docs, rest, width, percent)
+    texts = _texts_of(docs, inside.select(F.col("rep").alias("id")).distinct())
+    full = dealt.join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+    more = full.groupBy("bucket", "left", "right").applyInArrow(_across(width, percent, size), "a long, b long")
 
     # a doc_id that names several classes joins them
     shared = named.join(classes.select("set_hash", "rep"), "set_hash").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -196,3 +220,25 @@ def drop_near_duplicates(docs: DataFrame, width: int = shingles.SHINGLE + 1, per
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) END AS s FROM words
+), each AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM shingled
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reached r JOIN both_ways l ON l.x = r.y
+), least AS (
+  SELECT x, min(y) AS component_id FROM reached GROUP BY x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM shingled JOIN least ON x = doc_id
+"""
