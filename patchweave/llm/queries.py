@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.SQL,
     "op5_url_filter": url_filter.SQL,
     "op6_chat_format": chat_format.SQL,
 }
