@@ -5,16 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders of our own, by application, where the cluster names none.
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, or one of our own if it is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = tempfile.mkdtemp(prefix="patchweave-")
+    return _own[application]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns a scan of it; this cuts the lineage of iterative work."""
+    """Writes ``df`` once to the shared folder and returns a scan of it.
+
+    This cuts the lineage: a lost executor costs a reread, not a recomputation, and a frame that is used several times is
+    computed once. The files live as long as the shared folder does.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="patchweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/patchweave/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/patchweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
