@@ -28,20 +28,20 @@ def capability_report(sources: DataFrame) -> DataFrame:
 
 
 def common_prefix_dir(paths: Column) -> Column:
-    """The longest string that starts every path, cut back at slashes: a string prefix, not one of segments.
+    """What starts the folder of every path, cut back at slashes from the first path's folder: a prefix of strings, not of segments.
 
-    ``multiple`` if none is left, ``root`` if a path is at the root, ``misc`` for no paths.
+    ``multiple`` if nothing is left, ``root`` if the first path is at the root, ``misc`` for no paths.
     """
-    folder = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
-    parents = F.transform(paths, folder)
+    parents = F.transform(paths, lambda p: F.regexp_replace(p, r"/?[^/]*$", ""))
 
     def fold(kept: Column, p: Column) -> Column:
-        # candidates from the longest: the kept prefix itself, then its parents
-        cuts = F.transform(F.sequence(F.lit(0), F.size(F.split(kept, "/"))), lambda k: F.array_join(F.slice(F.split(kept, "/"), F.lit(1), F.size(F.split(kept, "/")) - k), "/"))
+        parts = F.split(kept, "/")
+        cuts = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - k), "/"))
         return F.coalesce(F.get(F.filter(cuts, lambda c: p.startswith(c)), F.lit(0)), F.lit(""))
 
-    whole = F.aggregate(F.slice(parents, F.lit(2), F.greatest(F.size(parents) - 1, F.lit(0))), F.get(parents, F.lit(0)), fold)
-    return F.when(F.size(paths) == 0, "misc").when(F.size(F.filter(parents, lambda p: p == "")) == F.size(parents), "root").when(whole == "", "multiple").otherwise(whole)
+    first = F.coalesce(F.get(parents, F.lit(0)), F.lit(""))
+    whole = F.aggregate(parents, first, fold)
+    return F.when(F.size(paths) == 0, "misc").when(first == "", "root").when(whole == "", "multiple").otherwise(whole)
 
 
 def canonical_json(plan: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,30 @@ def render_prompts(items: DataFrame) -> DataFrame:
     return gathered.select("pr_key", "slice_no", F.concat(top, F.array_join("is.text", "\n\n"), F.lit("\n")).alias("prompt"))
 
 
+RESPONSE = "pr_key string, slice_no int, ok boolean, raw string, model string, prompt_tokens int, completion_tokens int, error string"
+
+
+def call_reviewer(prompts: DataFrame, reviewer: Callable[[str], dict]) -> DataFrame:
+    """One answer for each prompt (pr_key, slice_no, prompt): RESPONSE, with ``ok`` false and the reason where the call failed.
+
+    ``reviewer`` runs on the executors and returns raw, model, prompt_tokens and completion_tokens; a failure stays with its slice.
+    """
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split(" ")[0] for c in RESPONSE.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        for batch in batches:
+            rows = []
+            for change, number, prompt in zip(*(batch[c].to_pylist() for c in ("pr_key", "slice_no", "prompt")), strict=True):
+                try:
+                    got = reviewer(prompt)
+                    rows.append((change, number, True, got.get("raw"), got.get("model"), got.get("prompt_tokens"), got.get("completion_tokens"), None))
+                except Exception as failed:  # whatever a reviewer raises concerns its slice alone
+                    rows.append((change, number, False, None, None, None, None, f"{type(failed).__name__}: {failed}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    return prompts.select("pr_key", F.col("slice_no").cast("int"), "prompt").mapInArrow(ask, RESPONSE)
+
+
 def salvage_object(raw: Column) -> Column:
     """The JSON object within an answer, as a variant: without fences, from the first brace to the last; null if there is none."""
     text = strip_controls(raw)

@@ -326,6 +326,9 @@ ORACLE_SQL = {
       CASE WHEN count(*) FILTER (doc_id % 12 = 4 OR doc_id % 17 = 3) = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS patch_state FROM files GROUP BY pr_key""",
     "capability_report": f"""WITH {FILES} SELECT pr_key, count(*) AS attempted, count(*) FILTER (n_chars > 5000) AS failed, count(*) FILTER (n_chars > 800) AS loaded, (count(*) - count(*) FILTER (n_chars > 5000)) / count(*) AS ast_coverage,
       CASE WHEN count(*) = count(*) FILTER (n_chars > 800) THEN 'COMPLETE' WHEN count(*) FILTER (n_chars > 800) > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS base_state FROM files WHERE change_type != 'ADD' AND path LIKE '%.java' GROUP BY pr_key""",
+    "common_prefixes": f"""WITH {FILES}, g AS (SELECT pr_key, change_type, list(regexp_replace(path, '/?[^/]*$', '') ORDER BY path) AS parents FROM files WHERE {CATEGORY} = 'SOURCE' GROUP BY ALL),
+      p AS (SELECT *, list_reduce(parents, lambda a, b: coalesce(list_filter([array_to_string(string_split(a, '/')[1:k], '/') for k in range(len(string_split(a, '/')), 0, -1)], lambda c: starts_with(b, c))[1], '')) AS prefix FROM g)
+      SELECT pr_key, change_type, CASE WHEN parents[1] = '' THEN 'root' WHEN prefix = '' THEN 'multiple' ELSE prefix END AS theme FROM p""",
     "changed_methods": """WITH lines AS (SELECT o_custkey, l_returnflag != 'R' AS head, l_partkey % 50 AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey), methods AS (SELECT *, CAST(o_orderkey % 40 AS INT) AS a FROM orders)
       SELECT 'C' || o_custkey AS pr_key, 'F.java' AS path, CASE WHEN o_orderstatus = 'F' THEN 'MERGE_BASE' ELSE 'HEAD' END AS side, 'm' || o_orderkey AS method_id, a AS start_line, CAST(a + length(o_orderpriority) AS INT) AS end_line FROM methods m
       WHERE EXISTS (SELECT 1 FROM lines l WHERE l.o_custkey = m.o_custkey AND l.head = (o_orderstatus != 'F') AND l.line BETWEEN a AND a + length(o_orderpriority))""",

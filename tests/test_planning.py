@@ -87,8 +87,8 @@ def test_related_items(spark):
 
 
 def test_prefixes(spark):
-    cases = {"multiple": ["a/x", "b/y"], "root": ["x", "y"], "a/b": ["a/b/x", "a/bc/y"], "misc": [], "a": ["a/b/x", "a/c/y"]}
-    df = spark.createDataFrame(list(cases.items()), "want string, paths array<string>")
+    cases = [("multiple", ["a/x", "b/y"]), ("multiple", ["a/x", "y"]), ("root", ["x", "y"]), ("root", ["x", "a/y"]), ("a/b", ["a/b/x", "a/bc/y"]), ("misc", []), ("a", ["a/b/x", "a/c/y"]), ("a/b", ["a/b/x"])]
+    df = spark.createDataFrame(cases, "want string, paths array<string>")
     assert [r for r in df.withColumn("got", freeze.common_prefix_dir(F.col("paths"))).collect() if r.got != r.want] == []
 
 

@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from patchweave.operators import publish, review
-from patchweave.sources import archives
+from patchweave.sources import archives, tables
 from patchweave.streaming import events
 
 GOOD = {"path": "a.java", "line": 3, "severity": "critical", "title": "t", "message": "m", "suggestion": "s", "citedItemIds": ["x"]}
@@ -58,6 +58,30 @@ def test_prompt(spark):
     assert text.endswith("### ITEM A kind=DIFF_HUNK path=f.java symbol=s lines=1-2 required\n<<<BEGIN A>>>\none\n<<<END A>>>\n\n### ITEM B kind=TEST\n<<<BEGIN B>>>\ntwo\n<<<END B>>>\n")
 
 
+def test_reviewer_failures_stay_with_their_slice(spark):
+    def reviewer(prompt):
+        if "bad" in prompt:
+            raise RuntimeError("no answer")
+        return {"raw": json.dumps({"findings": [GOOD]}), "model": "m", "prompt_tokens": len(prompt)}
+
+    prompts = spark.createDataFrame([("p", 1, "good"), ("p", 2, "bad"), ("q", 1, "bad")], "pr_key string, slice_no int, prompt string")
+    answers = review.call_reviewer(prompts, reviewer).cache()
+    assert sorted((r.pr_key, r.slice_no, r.ok, r.error) for r in answers.collect()) == [("p", 1, True, None), ("p", 2, False, "RuntimeError: no answer"), ("q", 1, False, "RuntimeError: no answer")]
+    assert review.parse_answers(answers.where("ok"))[0].count() == 1
+    totals = review.review_totals(answers.withColumn("dropped", F.lit(0)).withColumn("invalid", F.lit(0)))
+    assert {r.pr_key: r.available for r in totals.collect()} == {"p": True, "q": False}
+
+
+def test_readers(spark, tmp_path):
+    rows = [("o/r#1", "A.java", None, "added", "@@ -0,0 +1 @@\n+x", 1, 0)]
+    spark.createDataFrame(rows, tables.PATCH_FILES).write.json(str(tmp_path / "patches"))
+    got = tables.patch_files(spark, str(tmp_path / "patches"), "json").first()
+    assert (got.path, got.change_type, got.category) == ("A.java", "ADD", "SOURCE")
+    (tmp_path / "zips").mkdir()
+    (tmp_path / "zips" / "head.zip").write_bytes(_zip([("r/a.txt", "x")]))
+    assert [(r.repo, r.sha) for r in tables.archives(spark, str(tmp_path / "zips"), "o/r").collect()] == [("o/r", "head")]
+
+
 def _zip(files):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
