@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchweave.llm.common import fresh, table
+from patchweave.llm.common import bounded_batches, fresh, table
 
 #: Fixed value: how byte-level tokenizers cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a worker remembers. Longer pieces are not remembered, so memory stays bounded.
-CACHED_PIECES, CACHED_LENGTH = 400_000, 64
+#: Pieces whose ids a worker remembers during a task. Longer pieces are not remembered, so memory stays bounded.
+CACHED_PIECES, CACHED_LENGTH = 200_000, 64
 
 
 def printable_bytes() -> dict[str, int]:
@@ -105,6 +106,7 @@ def _encoder(definition: str) -> BytePairEncoder:
 
 def _definition(spark: SparkSession, path: str | None):
     """The vocabulary file, at most a few MB, read by the driver and sent to every executor."""
+    bounded_batches(spark)
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
 
@@ -117,26 +119,33 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids_col: str = "i
     """
     definition = _definition(docs.sparkSession, path)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
-        for texts in batches:
-            yield pd.Series([encoder.encode(t) if t else [] for t in texts], dtype=object)
+        for batch in batches:
+            flat, ends = array("i"), array("i", [0])
+            for text in batch["text"]:
+                flat.extend(encoder.encode(text.as_py() or ""))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.asarray(ends)), pa.array(np.asarray(flat)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, name])
+        encoder.known.clear()
 
-    return docs.withColumn(fresh(docs.columns, ids_col)[0], encode("text"))
+    name = fresh(docs.columns, ids_col)[0]
+    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """All columns plus the text of the ids; null ids give an empty text, incomplete characters U+FFFD."""
     definition = _definition(encoded.sparkSession, path)
 
-    @F.pandas_udf(T.StringType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
-        for rows in batches:
-            yield pd.Series([encoder.decode(list(ids)) if ids is not None else "" for ids in rows], dtype=object)
+        for batch in batches:
+            texts = pa.array([encoder.decode(ids.as_py() or []) for ids in batch[ids_col]], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, name])
 
-    return encoded.withColumn(fresh(encoded.columns, text_col)[0], decode(ids_col))
+    name = fresh(encoded.columns, text_col)[0]
+    return encoded.mapInArrow(decode, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -158,6 +167,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 made.append(sha(",".join([shown[i] for i in ids]).encode()))
                 back.append(sha(encoder.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.known.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digest, DIGEST)
 

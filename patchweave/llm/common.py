@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patchweave.sources.scratch import stored as materialize
 
-BATCH_BYTES = 16 << 20
+__all__ = ["bounded_batches", "fresh", "materialize", "table"]
+
+#: Bytes of an Arrow batch at most.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's checkpoint folder, or our own if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    made = tempfile.mkdtemp(prefix="patchweave-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Holds the session's Arrow batches to BATCH_BYTES, so that a Python worker's memory follows no long run of long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").strip().lower()).groups()
+    if not 0 < int(number) << " kmgt".index(unit or " ") * 10 <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns a scan of it.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation, and a frame that is
-    used several times is computed once. The files live as long as the shared folder does.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/patchweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(taken: list[str], *wanted: str) -> list[str]:
     """Names like ``wanted`` that no column in ``taken`` has, compared as Spark does, without case."""
     used = {c.lower() for c in taken}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import table
+from patchweave.llm.common import bounded_batches, table
 
 #: Hash buckets of letter trigrams, most rounds of EM, and the weight of a further language in units of BIC.
 BUCKETS, ROUNDS, PENALTY = 1 << 14, 12, 4.0
@@ -88,6 +88,7 @@ def fit_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     Rows of null id, language or text are left out. No rows give a model without languages.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
 
@@ -118,6 +119,7 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text and one without a letter are ``und`` with score 0. ``mixture`` lists the chosen languages as name:percent.
     """
+    bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, width: int = shingles.SHINGLE, percent: int
         "bucket", "rep", "component", "part", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"))
     texts = _texts_of(docs, inside.select(F.col("rep").alias("id")).distinct())
     full = dealt.join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
-    more = full.groupBy("bucket", "left", "right").applyInArrow(_across(width, percent, size), "a long, b long")
+    # written, so that no task runs two Python workers at a time
+    more = materialize(full.groupBy("bucket", "left", "right").applyInArrow(_across(width, percent, size), "a long, b long"), "across")
 
     # a doc_id that names several classes joins them
     shared = named.join(classes.select("set_hash", "rep"), "set_hash").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

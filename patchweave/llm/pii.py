@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import fresh, table
+from patchweave.llm.common import bounded_batches, fresh, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id")
 BASE = KINDS[:4]
@@ -122,6 +122,7 @@ def _scan_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with ``text`` redacted and ``n_chars``, where there is one, counted anew; null texts stay null."""
+    bounded_batches(docs.sparkSession)
     found = fresh(docs.columns, "found")[0]
     scanned = docs.withColumn(found, F.pandas_udf(_scan_batches, f"struct<spans:{_SPANS},redacted:string>")("text"))
     text = F.col(found)["redacted"]
@@ -146,6 +147,7 @@ def _digest_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def span_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, counts by kind, base_sha256, spans, min_score), one row for each input row; a null text is empty."""
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.pandas_udf(_digest_batches, _DIGESTS)("text").alias("d")).select("doc_id", "d.*")
 
 

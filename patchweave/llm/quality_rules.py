@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import fresh, table
+from patchweave.llm.common import bounded_batches, fresh, table
 
 #: Characters that count as symbols, words of a window, and the base rules' limits.
 SYMBOLS, WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = "#*$%&|<>", 5, 10, 20
@@ -181,11 +181,13 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
 
     Null ids and labels are left out; of several labels of an id the lowest counts, of several texts the one with the lowest stats.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # sample_rows rows at most
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", stats_of("text").alias("stats"))
-    rows = texts.where(~base_failed("stats")).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("stats").alias("stats")).orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "stats.*").toPandas()
+    once = texts.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("stats").alias("stats")).where(~base_failed("stats"))
+    rows = once.orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "stats.*").toPandas()
     return learn_rules(rows[list(STATS)], (rows["label"] == 0).to_numpy(dtype=bool))
 
 
@@ -194,6 +196,7 @@ def judge_documents(docs: DataFrame, rules: list[Rule], stats_col: str = "stats"
 
     A null or empty text has no words and fails the base rules. Clashing names get leading underscores.
     """
+    bounded_batches(docs.sparkSession)
     stats, rule, kept = fresh(docs.columns, stats_col, rule_col, kept_col)
     out = docs.withColumn(stats, stats_of("text"))
     out = out.withColumn(rule, F.when(base_failed(stats), F.lit(0)).otherwise(first_rule(rules, stats)))
