@@ -312,7 +312,10 @@ def scan_source(source: str | None) -> list[dict]:
 
 
 def parse_java(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """(keys, ROWS) of every file; ``keys`` name string or integer columns that identify it."""
+    """(keys, ROWS) of every file; ``keys`` name string or integer columns that identify it.
+
+    Scanning costs far more than moving a file, so files are dealt out over a fixed number of partitions, which is not coalesced.
+    """
     kinds = dict(files.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + ROWS
     types = {"ord": pa.int32(), "arity": pa.int32(), "start_line": pa.int32(), "end_line": pa.int32(), "interfaces": pa.list_(pa.string()), "imports": pa.list_(pa.string())}
@@ -328,4 +331,5 @@ def parse_java(files: DataFrame, keys: list[str], content: str = "content") -> D
             own = [batch[k].take(at) for k in keys]
             yield pa.RecordBatch.from_arrays([*own, *(pa.array([r.get(n) for r in rows], types.get(n, pa.string())) for n in _NAMES)], names=[*keys, *_NAMES])
 
-    return files.select(*keys, F.col(content)).mapInArrow(scan, schema)
+    spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select(*keys, F.col(content)).repartition(spread, *keys).mapInArrow(scan, schema)
