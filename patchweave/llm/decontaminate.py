@@ -4,6 +4,7 @@ Texts are canonicalised: names, numbers and units become typed placeholders, the
 of five words of documents and benchmark items are hash-joined. An item is found in a document if the document has 80 per cent
 of the item's windows and, where the item has placeholders, its slots are filled consistently: the same
 value of the item always stands for the same value of the document. Equal values mean a copy, others a re-parameterised question.
+Consistency is judged for each alignment of item and document by itself, so that other places of a document do not spoil a copy.
 """
 
 from __future__ import annotations
@@ -85,6 +86,27 @@ def _slots(rows: DataFrame, key: list[str]) -> DataFrame:
     return counted.where("held = 1").select(*key, "at", F.lower(F.get("values", F.col("nth").cast("int"))).alias("value"))
 
 
+def _alignments(hits: DataFrame) -> DataFrame:
+    """(row_key, item_key, kind, label, place, start): the hits of each alignment that has 80 per cent of the item's windows.
+
+    A hit lies on the diagonal place - start. Alignments are single diagonals (kind 0), two rows of bands as wide as the
+    item, half a band apart, and the whole document (1 to 3), each with one hit for each start, the nearest to the commonest
+    diagonal, and all hits of the document together (4).
+    """
+    diagonal, width = F.col("place") - F.col("start"), F.col("windows") + (WINDOW - 1)
+    labels = (diagonal, F.floor(diagonal / width), F.floor(diagonal / width + 0.5), F.lit(0), F.lit(0))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), label.cast("long").alias("label")) for k, label in enumerate(labels)))
+    once = hits.dropDuplicates(["row_key", "item_key", "place", "start"])
+    each = once.select("row_key", "item_key", "windows", "hash", "place", "start", diagonal.alias("diagonal"), F.explode(kinds).alias("a")).select("*", "a.*").drop("a")
+    key = ["row_key", "item_key", "kind", "label"]
+    whole = each.groupBy(*key, "windows").agg(F.countDistinct("hash").alias("matched")).where(F.col("matched") >= COVERAGE * F.col("windows"))
+    each = each.join(whole.select(*key), key, "left_semi")
+    each = each.withColumn("n", F.count("*").over(Window.partitionBy(*key, "diagonal")))
+    each = each.withColumn("main", F.max(F.struct("n", (-F.col("diagonal")).alias("less"))).over(Window.partitionBy(*key)))
+    nearest = Window.partitionBy(*key, "start").orderBy(F.abs(F.col("diagonal") + F.col("main.less")), "place")
+    return each.withColumn("rank", F.row_number().over(nearest)).where((F.col("rank") == 1) | F.col("kind").isin(0, 4)).select(*key, "place", "start")
+
+
 def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
@@ -112,13 +134,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = found.join(slotted, "item_key", "left_semi").select("row_key", "item_key")
     keys = _few(materialize(asked.select("row_key").distinct(), "asked"), BROADCAST_ROWS)
     doc_slots = _slots(texts.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]), ["row_key"])
-    met = hits.join(asked, ["row_key", "item_key"], "left_semi").select("row_key", "item_key", F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "place", "start")
-    met = met.select("row_key", "item_key", (F.col("place") + F.col("k")).alias("doc_at"), (F.col("start") + F.col("k")).alias("item_at")).distinct()
+    aligned = materialize(_alignments(hits.join(asked, ["row_key", "item_key"], "left_semi")), "aligned")
+    key = ["row_key", "item_key", "kind", "label"]
+    met = aligned.select(*key, F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "place", "start")
+    met = met.select(*key, (F.col("place") + F.col("k")).alias("doc_at"), (F.col("start") + F.col("k")).alias("item_at")).distinct()
     filled = met.join(item_slots.select("item_key", F.col("at").alias("item_at"), F.col("value").alias("item_value")), ["item_key", "item_at"])
     filled = filled.join(doc_slots.select("row_key", F.col("at").alias("doc_at"), F.col("value").alias("doc_value")), ["row_key", "doc_at"])
-    uses = filled.groupBy("row_key", "item_key", "item_value", "doc_value").agg(F.count("*").alias("n"))
-    usual = uses.groupBy("row_key", "item_key", "item_value").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum(F.when(F.col("item_value") == F.col("doc_value"), F.col("n")).otherwise(0)).alias("same"))
-    agreed = usual.groupBy("row_key", "item_key").agg((F.sum("top") / F.sum("n")).alias("consistency"), (F.sum("same") == F.sum("n")).alias("copied"))
+    uses = filled.groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("n"))
+    usual = uses.groupBy(*key, "item_value").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum(F.when(F.col("item_value") == F.col("doc_value"), F.col("n")).otherwise(0)).alias("same"))
+    judged = usual.groupBy(*key).agg((F.sum("top") / F.sum("n")).alias("consistency"), (F.sum("same") == F.sum("n")).alias("copied"))
+    # an alignment whose windows hold no slot is consistent
+    judged = aligned.select(*key).distinct().join(judged, key, "left").select("row_key", "item_key", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("copied", F.lit(True)).alias("copied"))
+    agreed = judged.groupBy("row_key", "item_key").agg(F.max("consistency").alias("consistency"), F.bool_or("copied").alias("copied"))
     out = found.join(agreed, ["row_key", "item_key"], "left").select("row_key", "doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"),
                                                                     F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("copied", F.lit(True)).alias("copied"))
     return out.where(F.col("consistency") >= CONSISTENCY)

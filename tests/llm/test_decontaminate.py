@@ -55,6 +55,18 @@ def test_edge_cases(spark, docs_of):
     assert d.drop_contaminated(docs, items.limit(0)).count() == 11
 
 
+def test_each_place_is_judged_by_itself(spark, docs_of):
+    """A worksheet: other variants and single windows of an item in a document do not hide a copy of it."""
+    vary = lambda a, b, c, d: QUESTION.replace("12", a).replace("Maria", b).replace("5 km", c).replace("Paris", d)
+    one, two, three = vary("17", "Berta", "9 mi", "London"), vary("31", "Clara", "7 ft", "Madrid"), vary("44", "Dora", "8 yd", "Vienna")
+    mixed = one.replace("17", "99", 1)
+    scraps = " or ".join(f"and then asks {n} to carry {k} apples over {k + 1} km to" for k, n in enumerate(("Emil", "Franz", "Georg", "Hanna") * 3))
+    longer = " and then all of them go home by the late train of the evening"
+    edited = (one + longer).replace("over 9 mi", "slowly over 9 mi")
+    docs = docs_of([(1, f"{QUESTION}. Next: {one}"), (2, f"{one}. {two} {three}"), (3, f"{mixed}. {scraps}"), (4, f"{scraps}. {one}. {scraps}"), (5, f"{scraps}. {QUESTION}"), (6, f"{edited}. And so on. {scraps}"), (7, mixed)])
+    assert found(docs, bench(spark, [(9, QUESTION), (8, QUESTION + longer)])) == {(1, 9, True), (2, 9, False), (4, 9, False), (5, 9, True), (6, 8, False)}
+
+
 def test_joined_instead_of_broadcast(spark, docs_of, monkeypatch):
     docs, items = docs_of([(1, QUESTION), (2, "clean text of a few words")]), bench(spark, [(9, QUESTION)])
     monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
