@@ -27,7 +27,8 @@ UNITS = (
 #: A capitalised word within a sentence: after a small letter, comma or semicolon, and a blank. The lookbehind covers its first letter.
 NAME = r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-_UNIT = "(?:" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
+# no unit goes on, with a digit or with the mark that stands for it
+_UNIT = "(?:" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}\x01-\x03])"
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}\x01-\x03]+"
 
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from patchweave.llm import decontaminate as d
 
 QUESTION = "Anna sells 12 apples and then asks Maria to carry 12 apples over 5 km to the big market hall in Paris today"
@@ -67,6 +69,16 @@ def test_each_place_is_judged_by_itself(spark, docs_of):
     assert found(docs, bench(spark, [(9, QUESTION), (8, QUESTION + longer)])) == {(1, 9, True), (2, 9, False), (4, 9, False), (5, 9, True), (6, 8, False)}
 
 
+def test_slots_and_values_agree(spark, docs_of):
+    texts = ["10 m2", "5 km2 and 7 cm3, 10 h30", "3 kg", "4 km 5 m 6 s", "10 m2 3 m Paris, Rome 5 kmh", "1.5 l2 x 2 l", "9 kW\u00b2 8 W", "a 7 m\u0001 b", QUESTION]
+    slots, values = d.template_words(F.col("text")), d.slot_values(F.col("text"))
+    marks = F.aggregate(slots, F.lit(0), lambda n, w: n + F.length(w) - F.length(F.translate(w, d.SLOTS, "")))
+    rows = docs_of(list(enumerate(texts))).select("text", marks.alias("marks"), F.size(values).alias("values")).collect()
+    assert [(r.text, r.marks) for r in rows] == [(r.text, r["values"]) for r in rows]
+    same = QUESTION.replace("12", "17")
+    assert found(docs_of([(1, f"On 10 m2 and 5 km2. {QUESTION}"), (2, f"On 10 m2. {same}")]), bench(spark, [(9, QUESTION)])) == {(1, 9, True), (2, 9, False)}
+
+
 def test_joined_instead_of_broadcast(spark, docs_of, monkeypatch):
     docs, items = docs_of([(1, QUESTION), (2, "clean text of a few words")]), bench(spark, [(9, QUESTION)])
     monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
