@@ -5,6 +5,9 @@ of five words of documents and benchmark items are hash-joined. An item is found
 of the item's windows and, where the item has placeholders, its slots are filled consistently: the same
 value of the item always stands for the same value of the document. Equal values mean a copy, others a re-parameterised question.
 Consistency is judged for each alignment of item and document by itself, so that other places of a document do not spoil a copy.
+
+Besides, windows of the plain lower-cased words are joined in the same way. They need no slots, so that a verbatim copy is found
+whatever its case, what stands before it, and however few plain words it has. An item is found if either form is.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.9
 BROADCAST_WINDOWS, BROADCAST_ROWS = 1_000_000, 1_000_000
 NAME_SLOT, NUMBER_SLOT, UNIT_SLOT = "\u0001", "\u0002", "\u0003"
 SLOTS = NAME_SLOT + NUMBER_SLOT + UNIT_SLOT
+#: The forms that windows are taken from; the form is part of a window's hash.
+TEMPLATE, PLAIN = 0, 1
 #: Words that count as units after a number.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs hours minutes seconds days weeks months years "
@@ -41,17 +46,23 @@ def template_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != "")
 
 
+def plain_words(text: Column) -> Column:
+    """The lower-cased words of a text, without placeholders; none for a null text."""
+    text = F.translate(F.coalesce(text, F.lit("")), SLOTS, "   ")
+    return F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != "")
+
+
 def slot_values(text: Column) -> Column:
     """What the placeholders of a text stand for, in order."""
     text = F.translate(F.coalesce(text, F.lit("")), SLOTS, "   ")
     return F.regexp_extract_all(text, F.lit(rf"{NAME}|{NUMBER}|(?<=[0-9]\s){_UNIT}"), F.lit(0))
 
 
-def window_hashes(words: str) -> Column:
-    """A hash for each window of five words; fewer words make one window; no words none."""
+def window_hashes(words: str, form: int) -> Column:
+    """A hash for each window of five words of a form; fewer words make one window; no words none."""
     n = F.size(words)
     starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.xxhash64(F.slice(words, k, WINDOW)))
+    return F.transform(starts, lambda k: F.xxhash64(F.slice(words, k, WINDOW), F.lit(form)))
 
 
 def _solid(words: Column) -> Column:
@@ -60,15 +71,19 @@ def _solid(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_key, item_id, start, hash, windows): windows that have two words or more besides placeholders, or one if it is all there is.
+    """(item_key, item_id, form, start, hash, windows): all plain windows, and the template windows that have two words or more besides placeholders, or one if it is all there is.
 
-    ``windows`` counts the item's different hashes. ``benchmark`` comes from ``_items``.
+    ``windows`` counts the item's different hashes of a form. ``benchmark`` comes from ``_items``.
     """
-    words = benchmark.select("item_key", "item_id", template_words(F.col("text")).alias("words"))
-    rows = words.select("item_key", "item_id", "words", F.posexplode(window_hashes("words")).alias("start", "hash"))
-    rows = rows.where(_solid(F.slice("words", F.col("start") + 1, WINDOW)) >= F.least(F.lit(2), F.size("words"))).select("item_key", "item_id", "start", "hash")
-    counts = rows.groupBy("item_key").agg(F.countDistinct("hash").alias("windows"))
-    return rows.join(counts, "item_key")
+    def windows(form: int, words: Column) -> DataFrame:
+        found = benchmark.select("item_key", "item_id", words.alias("words"))
+        return found.select("item_key", "item_id", F.lit(form).alias("form"), "words", F.posexplode(window_hashes("words", form)).alias("start", "hash"))
+
+    template = windows(TEMPLATE, template_words(F.col("text")))
+    template = template.where(_solid(F.slice("words", F.col("start") + 1, WINDOW)) >= F.least(F.lit(2), F.size("words")))
+    rows = template.unionByName(windows(PLAIN, plain_words(F.col("text")))).drop("words")
+    counts = rows.groupBy("item_key", "form").agg(F.countDistinct("hash").alias("windows"))
+    return rows.join(counts, ["item_key", "form"])
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -116,26 +131,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row_key, doc_id, item_id, matched, windows, coverage, consistency, copied), one row for each document and item text found.
 
     ``row_key`` is a hash of doc_id and text, so rows of null doc_id are judged as well; equal rows count once. Null and empty texts
-    match nothing. A text of fewer than five words is one window, so it matches only equal ones. An empty table on
-    either side gives no rows. Other columns are ignored. One pass over the texts, without a shuffle of their windows
+    match nothing. A text of fewer than five words is one window, so it matches only equal ones. ``matched`` and
+    ``windows`` are those of the form with the higher coverage, the template where both are equal. ``copied`` says
+    whether the windows that met hold equal values. An empty table on either side gives no rows. Other columns are ignored. One pass over the texts, without a shuffle of their windows
     as long as the benchmark has at most BROADCAST_WINDOWS of them.
     """
     items = _items(benchmark)
     known = materialize(benchmark_windows(items), "benchmark")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    words = texts.select("row_key", "doc_id", template_words(F.col("text")).alias("words"))
-    hashed = words.select("row_key", "doc_id", F.posexplode(window_hashes("words")).alias("place", "hash"))
-    hits = materialize(hashed.join(_few(known, BROADCAST_WINDOWS), "hash").select("row_key", "doc_id", "item_key", "item_id", "windows", "hash", "place", "start"), "hits")
-    matched = hits.groupBy("row_key", "doc_id", "item_key", "item_id", "windows").agg(F.countDistinct("hash").alias("matched"))
+    words = texts.select("row_key", "doc_id", template_words(F.col("text")).alias("template"), plain_words(F.col("text")).alias("plain"))
+    # the template's windows come first, so that their places count from 0
+    hashed = words.select("row_key", "doc_id", F.posexplode(F.concat(window_hashes("template", TEMPLATE), window_hashes("plain", PLAIN))).alias("place", "hash"))
+    hits = materialize(hashed.join(_few(known, BROADCAST_WINDOWS), "hash").select("row_key", "doc_id", "item_key", "item_id", "form", "windows", "hash", "place", "start"), "hits")
+    matched = hits.groupBy("row_key", "doc_id", "item_key", "item_id", "form", "windows").agg(F.countDistinct("hash").alias("matched"))
     found = materialize(matched.where(F.col("matched") >= COVERAGE * F.col("windows")), "found")
 
     # slots of the windows that met: word k of the document's window stands for word k of the item's
     item_slots = _slots(items, ["item_key"])
     slotted = _few(item_slots.select("item_key").distinct(), BROADCAST_ROWS)
-    asked = found.join(slotted, "item_key", "left_semi").select("row_key", "item_key")
+    asked = found.where(F.col("form") == TEMPLATE).join(slotted, "item_key", "left_semi").select("row_key", "item_key")
     keys = _few(materialize(asked.select("row_key").distinct(), "asked"), BROADCAST_ROWS)
     doc_slots = _slots(texts.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]), ["row_key"])
-    aligned = materialize(_alignments(hits.join(asked, ["row_key", "item_key"], "left_semi")), "aligned")
+    aligned = materialize(_alignments(hits.where(F.col("form") == TEMPLATE).join(asked, ["row_key", "item_key"], "left_semi")), "aligned")
     key = ["row_key", "item_key", "kind", "label"]
     met = aligned.select(*key, F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "place", "start")
     met = met.select(*key, (F.col("place") + F.col("k")).alias("doc_at"), (F.col("start") + F.col("k")).alias("item_at")).distinct()
@@ -147,9 +164,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # an alignment whose windows hold no slot is consistent
     judged = aligned.select(*key).distinct().join(judged, key, "left").select("row_key", "item_key", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("copied", F.lit(True)).alias("copied"))
     agreed = judged.groupBy("row_key", "item_key").agg(F.max("consistency").alias("consistency"), F.bool_or("copied").alias("copied"))
-    out = found.join(agreed, ["row_key", "item_key"], "left").select("row_key", "doc_id", "item_id", "matched", "windows", (F.col("matched") / F.col("windows")).alias("coverage"),
-                                                                    F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("copied", F.lit(True)).alias("copied"))
-    return out.where(F.col("consistency") >= CONSISTENCY)
+    templates = found.where(F.col("form") == TEMPLATE).join(agreed, ["row_key", "item_key"], "left")
+    templates = templates.withColumns({"consistency": F.coalesce("consistency", F.lit(1.0)), "copied": F.coalesce("copied", F.lit(True))}).where(F.col("consistency") >= CONSISTENCY)
+    # a plain copy is consistent, and a whole one holds the item's values whatever the slots of other places say
+    plain = found.where(F.col("form") == PLAIN).withColumns({"consistency": F.lit(1.0), "copied": F.when(F.col("matched") == F.col("windows"), True)})
+    either = templates.unionByName(plain).withColumn("coverage", F.col("matched") / F.col("windows"))
+    best = F.max(F.struct("coverage", (-F.col("form")).alias("form"), "matched", "windows", "consistency")).alias("best")
+    out = either.groupBy("row_key", "doc_id", "item_key", "item_id").agg(best, F.coalesce(F.bool_or("copied"), F.lit(True)).alias("copied"))
+    return out.select("row_key", "doc_id", "item_id", "best.matched", "best.windows", "best.coverage", "best.consistency", "copied")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

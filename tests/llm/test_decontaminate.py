@@ -79,6 +79,15 @@ def test_slots_and_values_agree(spark, docs_of):
     assert found(docs_of([(1, f"On 10 m2 and 5 km2. {QUESTION}"), (2, f"On 10 m2. {same}")]), bench(spark, [(9, QUESTION)])) == {(1, 9, True), (2, 9, False)}
 
 
+def test_verbatim_copies_in_plain_words(spark, docs_of):
+    """Copies whose names differ by case or by what stands before them, and items all of slots."""
+    capital = "What is the capital city of France"
+    docs = docs_of([(1, f"please tell me {capital} today"), (2, f"Now {QUESTION.upper()}, he said"), (3, QUESTION.lower()), (4, "1 2 3 4 5 6"), (5, "12 13 14 15 16 17"), (6, "so 1 2 3 4 5 6 7"), (7, "7"), (8, "8"), (9, "please tell me what is the capital")])
+    items = bench(spark, [(1, capital), (2, QUESTION), (3, "1 2 3 4 5 6"), (4, "7")])
+    assert found(docs, items) == {(1, 1, True), (2, 2, True), (3, 2, True), (4, 3, True), (6, 3, True), (7, 4, True)}
+    assert sorted(r.doc_id for r in d.drop_contaminated(docs, items).collect()) == [5, 8, 9]
+
+
 def test_joined_instead_of_broadcast(spark, docs_of, monkeypatch):
     docs, items = docs_of([(1, QUESTION), (2, "clean text of a few words")]), bench(spark, [(9, QUESTION)])
     monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
