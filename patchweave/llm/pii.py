@@ -67,6 +67,19 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Matches that mod 97 confirms: the longest, or else a shorter one that ends at a blank. After none, the next one may begin within."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at, end = m.start() + 1, m.end()
+        while end > m.start():
+            if 15 <= len(account := text[m.start() : end].replace(" ", "")) <= 34 and mod97(account):
+                yield m.start(), end
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
+
+
 def _propose(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in emails(text):
         yield "email", start, end
@@ -82,9 +95,8 @@ def _propose(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(account := m.group().replace(" ", "")) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in _NATIONAL.finditer(text):
         yield "national_id", m.start(), m.end()
 

@@ -42,6 +42,19 @@ def test_added_kinds_need_checksum_or_context():
     assert kinds("her social security number is 123-45-6789") == ["national_id"] and kinds("part 123-45-6789 of the list") == [] and kinds("it is 123-45-6789") == []
 
 
+def test_ibans_before_other_capitals_and_digits():
+    be, es, de = "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"
+    for number in (be, es, de, be.replace(" ", ""), es.replace(" ", "")):
+        for before in ("", "to ", "REF 12 ", "ID77 "):
+            for after in ("", ",", " BIC", " EUR 12", " 2024", " KREDBEBB", " TRANSFER"):
+                spans = [(s.start, s.end) for s in pii.find_spans(before + number + after) if s.kind == "iban"]
+                assert spans == [(len(before), len(before + number))], before + number + after
+    text = f"{be} {es} BIC, {de}"
+    assert pii.redact(text, pii.find_spans(text)) == "<iban> <iban> BIC, <iban>"
+    assert not [s for s in pii.find_spans("pay to GB83 WEST 1234 5698 7654 32 BIC") if s.kind == "iban"]
+    pii.find_spans("BE68 5390 " * 60_000)
+
+
 def test_context_moves_the_score():
     card = "4111111111111111"
     near, far, order = (pii.find_spans(t)[0].score for t in (f"my visa card {card}", f"see {card}", f"order {card}"))
