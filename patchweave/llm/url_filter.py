@@ -65,8 +65,9 @@ class UrlTrie:
     def match(self, host: str, path: str) -> Rule | None:
         """The rule with most host labels, then with the longest path; the later one of two equal rules."""
         segments, best, node = path.split("/"), None, self.root
-        for label in ["", *reversed(host.split("."))]:
-            if label or node is not self.root:
+        # the first step stays at the root; a later empty label, as of a trailing dot, is one like any other
+        for label in [None, *reversed(host.split("."))]:
+            if label is not None:
                 node = node.hosts.get(label)
                 if node is None:
                     break

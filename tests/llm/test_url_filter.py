@@ -46,6 +46,16 @@ def test_random_rules_and_both_ways(spark, monkeypatch):
     assert run(spark, urls, rules) == want
 
 
+def test_trailing_dots_both_ways(spark, monkeypatch):
+    """An empty label is a label: no rule of the query fits a host with a trailing dot, as in its SQL."""
+    rules = [*u.RULES, u.Rule("block", "org.", "/"), u.Rule("block", "", "/all/")]
+    urls = ["http://example.com./en/", "http://www.example.com./en/x", "http://com./", "http://net../es/", "http://a.org./", "http://a.org/", "http://example.com./all/", "http://./en/", "http://../all/", "http://example..com/en/", "http://example.com/en/"]
+    want = {k: brute(x, rules) for k, x in enumerate(urls)}
+    assert run(spark, urls, rules) == want and want[0][2] is None and want[4][2] == "org./"
+    monkeypatch.setattr(u, "MAX_BROADCAST_RULES", 0)
+    assert run(spark, urls, rules) == want
+
+
 def test_empty_table_and_rules(spark):
     assert run(spark, [], list(u.RULES)) == {}
     assert run(spark, ["http://a.com/"], []) == {0: ("a.com", "/", None, "allow")}
