@@ -16,8 +16,8 @@ from patchweave.llm.common import bounded_batches, table
 
 #: Hash buckets of letter trigrams, most rounds of EM, and the weight of a further language in units of BIC.
 BUCKETS, ROUNDS, PENALTY = 1 << 14, 12, 4.0
-#: A model is learned from at most so many documents, those with the smallest hash of their id, and languages.
-SAMPLE_ROWS, MAX_LANGUAGES = 6_000, 200
+#: A model is learned from at most so many documents, those with the smallest hash of their id.
+SAMPLE_ROWS = 6_000
 UNKNOWN = "und"
 
 
@@ -86,7 +86,8 @@ def languages_of(model: Model, text: str | None) -> tuple[str, float, dict[str,
 def fit_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from the rows of ``docs`` with a language and a text: trigram counts by language, smoothed.
 
-    Rows of null id, language or text are left out. No rows give a model without languages.
+    Rows of null id, language or text are left out. No rows give a model without languages. Every language of the sample
+    is kept, so there are ``sample_rows`` of them at most; a language takes 128 KB of the model.
     """
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -105,13 +106,14 @@ def fit_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     # sample_rows rows at most
     grams = known.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
     summed = grams.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    sizes = summed.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(MAX_LANGUAGES)
-    rows = summed.join(F.broadcast(sizes), "lang").select("lang", "bucket", "n").toPandas()
+    rows = summed.toPandas()
     languages = sorted(rows["lang"].unique())
     counts = np.zeros((BUCKETS, len(languages)))
     counts[rows["bucket"], np.searchsorted(languages, rows["lang"]) if languages else []] = rows["n"]
-    smooth = counts + 0.1
-    return Model(languages, smooth / smooth.sum(axis=0, keepdims=True) if languages else smooth)
+    counts += 0.1
+    if languages:
+        counts /= counts.sum(axis=0, keepdims=True)
+    return Model(languages, counts)
 
 
 def identify_languages(docs: DataFrame, model: Model) -> DataFrame:

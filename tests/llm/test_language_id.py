@@ -62,3 +62,12 @@ def test_labels_are_no_input(spark):
     model = l.fit_model(docs(spark, rows))
     shuffled = docs(spark, [(k, t, "xx") for k, t, _ in rows])
     assert [tuple(r) for r in l.identify_languages(shuffled, model).collect()] == [tuple(r) for r in l.identify_languages(docs(spark, rows), model).collect()]
+
+
+def test_every_language_is_kept(spark):
+    """More languages than 200, each with words of its own letters; the shortest text is learned as well."""
+    word = lambda k: "".join(chr(0x4E00 + 3 * k + j) for j in (0, 1, 2, 1, 0))
+    rows = [(k, f"{word(k)} " * (3 if k == 17 else 6), f"l{k:03}") for k in range(230)]
+    model = l.fit_model(docs(spark, rows))
+    assert model.languages == [r[2] for r in rows]
+    assert [l.languages_of(model, f"{word(k)} {word(k)}" * 4)[0] for k in (0, 17, 229)] == ["l000", "l017", "l229"]
