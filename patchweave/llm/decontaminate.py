@@ -2,12 +2,16 @@ r"""Benchmark decontamination by template windows, in DataFrame functions only.
 
 Texts are canonicalised: names, numbers and units become typed placeholders, the rest is lower-cased and cut into words. Windows
 of five words of documents and benchmark items are hash-joined. An item is found in a document if the document has 80 per cent
-of the item's windows and, where the item has placeholders, its slots are filled consistently: the same
-value of the item always stands for the same value of the document. Equal values mean a copy, others a re-parameterised question.
-Consistency is judged for each alignment of item and document by itself, so that other places of a document do not spoil a copy.
+of the item's windows and, where the item has placeholders, its slots are filled consistently and one to one: a value of the
+item always stands for the same value of the document, and no two values of the item for the same one. Equal values mean a copy,
+others a re-parameterised question. Consistency is judged for each alignment of item and document by itself, so that other places
+of a document do not spoil a copy.
 
 Besides, windows of the plain lower-cased words are joined in the same way. They need no slots, so that a verbatim copy is found
 whatever its case, what stands before it, and however few plain words it has. An item is found if either form is.
+
+A document that has 80 per cent of an item's windows has at least one of any 20 per cent and one more of them. So the pairs of
+document and item come from the rarest windows of each item alone, and a window that many documents and items share makes no pairs.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from pyspark.sql import functions as F
 
 from patchweave.llm.common import fresh, materialize, table
 
-WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.9
-#: Windows of the benchmark that are broadcast at most; more are joined by a shuffle.
+#: Words of a window, per cent of an item's windows to be met, and the share of its slots that one mapping must explain.
+WINDOW, PERCENT, CONSISTENCY = 5, 80, 0.9
+#: Windows of the benchmark, and rows of other tables, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_WINDOWS, BROADCAST_ROWS = 1_000_000, 1_000_000
 NAME_SLOT, NUMBER_SLOT, UNIT_SLOT = "\u0001", "\u0002", "\u0003"
 SLOTS = NAME_SLOT + NUMBER_SLOT + UNIT_SLOT
@@ -29,8 +34,14 @@ UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs hours minutes seconds days weeks months years "
     "dollars euros pounds cents percent degrees meters metres kilometers kilometres miles feet inches grams kilograms liters litres mph kmh W kW V A Hz kHz MHz GHz KB MB GB TB"
 )
-#: A capitalised word within a sentence: after a small letter, comma or semicolon, and a blank. The lookbehind covers its first letter.
-NAME = r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+"
+#: Capitalised words that are no names: they begin sentences, or are units.
+NO_NAMES = (
+    "A An And Are As At But By Can Consider Could Do Does Each Every Find For From Give Given Has Have He Her His How Hz I If In Is It Its Let "
+    "No Not Of On One Or Our She Should Since So Some Suppose That The Their Then There These They This Those To Was We Were What When Where Which "
+    "While Who Why Will With Would You Your"
+)
+#: Any other capitalised word, wherever it stands: what comes before it does not matter, so item and document agree on it.
+NAME = r"(?<![\p{L}\p{M}\p{N}])(?!(?:" + "|".join(NO_NAMES.split()) + r")(?![\p{L}\p{M}\p{N}]))\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{N}])"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 # no unit goes on, with a digit or with the mark that stands for it
 _UNIT = "(?:" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}\x01-\x03])"
@@ -71,7 +82,8 @@ def _solid(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_key, item_id, form, start, hash, windows): all plain windows, and the template windows that have two words or more besides placeholders, or one if it is all there is.
+    """(item_key, item_id, form, start, hash, windows): all plain windows, and the template windows that have two words or more
+    besides placeholders, or one if it is all there is. A template that keeps under half its windows is left out.
 
     ``windows`` counts the item's different hashes of a form. ``benchmark`` comes from ``_items``.
     """
@@ -81,6 +93,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
     template = windows(TEMPLATE, template_words(F.col("text")))
     template = template.where(_solid(F.slice("words", F.col("start") + 1, WINDOW)) >= F.least(F.lit(2), F.size("words")))
+    # what is left of a template that is mostly placeholders says too little of it
+    most = template.groupBy("item_key").agg(F.count("*").alias("n"), F.max(F.greatest(F.size("words") - (WINDOW - 1), F.lit(1))).alias("all"))
+    template = template.join(most.where(2 * F.col("n") >= F.col("all")).select("item_key"), "item_key", "left_semi")
     rows = template.unionByName(windows(PLAIN, plain_words(F.col("text")))).drop("words")
     counts = rows.groupBy("item_key", "form").agg(F.countDistinct("hash").alias("windows"))
     return rows.join(counts, ["item_key", "form"])
@@ -115,7 +130,7 @@ def _alignments(hits: DataFrame) -> DataFrame:
     once = hits.dropDuplicates(["row_key", "item_key", "place", "start"])
     each = once.select("row_key", "item_key", "windows", "hash", "place", "start", diagonal.alias("diagonal"), F.explode(kinds).alias("a")).select("*", "a.*").drop("a")
     key = ["row_key", "item_key", "kind", "label"]
-    whole = each.groupBy(*key, "windows").agg(F.countDistinct("hash").alias("matched")).where(F.col("matched") >= COVERAGE * F.col("windows"))
+    whole = each.groupBy(*key, "windows").agg(F.countDistinct("hash").alias("matched")).where(100 * F.col("matched") >= PERCENT * F.col("windows"))
     each = each.join(whole.select(*key), key, "left_semi")
     each = each.withColumn("n", F.count("*").over(Window.partitionBy(*key, "diagonal")))
     each = each.withColumn("main", F.max(F.struct("n", (-F.col("diagonal")).alias("less"))).over(Window.partitionBy(*key)))
@@ -123,18 +138,45 @@ def _alignments(hits: DataFrame) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(nearest)).where((F.col("rank") == 1) | F.col("kind").isin(0, 4)).select(*key, "place", "start")
 
 
+def _consistency(filled: DataFrame, key: list[str]) -> DataFrame:
+    """(key, consistency, copied) from (key, item_value, doc_value): the share that a one-to-one map of values explains.
+
+    The map pairs the values that are each other's most frequent partner.
+    """
+    uses = filled.groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("n"))
+    there = F.row_number().over(Window.partitionBy(*key, "item_value").orderBy(F.desc("n"), "doc_value"))
+    back = F.row_number().over(Window.partitionBy(*key, "doc_value").orderBy(F.desc("n"), "item_value"))
+    mapped = uses.withColumn("there", there).withColumn("back", back)
+    explained = F.sum(F.when((F.col("there") == 1) & (F.col("back") == 1), F.col("n")).otherwise(0))
+    same = F.sum(F.when(F.col("item_value") == F.col("doc_value"), F.col("n")).otherwise(0))
+    return mapped.groupBy(*key).agg((explained / F.sum("n")).alias("consistency"), (same == F.sum("n")).alias("copied"))
+
+
 def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _candidates(hits: DataFrame, known: DataFrame) -> DataFrame:
+    """(row_key, item_key, form) of the pairs that may reach the coverage: those that meet one of an item's rarest windows.
+
+    Rare is what few places of the documents have. An item of w windows, of which n are needed, is looked up by w - n + 1.
+    """
+    frequency = _few(hits.groupBy("hash").agg(F.count("*").alias("n")), BROADCAST_WINDOWS)
+    own = known.select("item_key", "form", "hash", "windows").distinct().join(frequency, "hash", "left")
+    rarest = Window.partitionBy("item_key", "form").orderBy(F.coalesce("n", F.lit(0)), "hash")
+    needed = F.floor((PERCENT * F.col("windows") + 99) / 100)
+    probes = own.withColumn("rank", F.row_number().over(rarest)).where(F.col("n").isNotNull() & (F.col("rank") <= F.col("windows") - needed + 1))
+    return hits.join(_few(materialize(probes.select("hash", "item_key", "form"), "probes"), BROADCAST_WINDOWS), "hash").select("row_key", "item_key", "form").distinct()
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row_key, doc_id, item_id, matched, windows, coverage, consistency, copied), one row for each document and item text found.
 
     ``row_key`` is a hash of doc_id and text, so rows of null doc_id are judged as well; equal rows count once. Null and empty texts
     match nothing. A text of fewer than five words is one window, so it matches only equal ones. ``matched`` and
     ``windows`` are those of the form with the higher coverage, the template where both are equal. ``copied`` says
-    whether the windows that met hold equal values. An empty table on either side gives no rows. Other columns are ignored. One pass over the texts, without a shuffle of their windows
-    as long as the benchmark has at most BROADCAST_WINDOWS of them.
+    whether the windows that met hold equal values. An empty table on either side gives no rows. Other columns are ignored.
+    One pass over the texts, without a shuffle of their windows as long as the benchmark has at most BROADCAST_WINDOWS of them.
     """
     items = _items(benchmark)
     known = materialize(benchmark_windows(items), "benchmark")
@@ -142,9 +184,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = texts.select("row_key", "doc_id", template_words(F.col("text")).alias("template"), plain_words(F.col("text")).alias("plain"))
     # the template's windows come first, so that their places count from 0
     hashed = words.select("row_key", "doc_id", F.posexplode(F.concat(window_hashes("template", TEMPLATE), window_hashes("plain", PLAIN))).alias("place", "hash"))
-    hits = materialize(hashed.join(_few(known, BROADCAST_WINDOWS), "hash").select("row_key", "doc_id", "item_key", "item_id", "form", "windows", "hash", "place", "start"), "hits")
-    matched = hits.groupBy("row_key", "doc_id", "item_key", "item_id", "form", "windows").agg(F.countDistinct("hash").alias("matched"))
-    found = materialize(matched.where(F.col("matched") >= COVERAGE * F.col("windows")), "found")
+    # a window of a document is one row here, however many items have it
+    hits = materialize(hashed.join(_few(known.select("hash").distinct(), BROADCAST_WINDOWS), "hash", "left_semi"), "hits")
+    asked = materialize(_candidates(hits, known), "candidates")
+    own = _few(known.select("item_key", "item_id", "form", "windows", "hash").distinct(), BROADCAST_WINDOWS)
+    met = asked.join(own, ["item_key", "form"]).join(hits.select("row_key", "doc_id", "hash").distinct(), ["row_key", "hash"])
+    matched = met.groupBy("row_key", "doc_id", "item_key", "item_id", "form", "windows").agg(F.count("*").alias("matched"))
+    found = materialize(matched.where(100 * F.col("matched") >= PERCENT * F.col("windows")), "found")
 
     # slots of the windows that met: word k of the document's window stands for word k of the item's
     item_slots = _slots(items, ["item_key"])
@@ -152,15 +198,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     asked = found.where(F.col("form") == TEMPLATE).join(slotted, "item_key", "left_semi").select("row_key", "item_key")
     keys = _few(materialize(asked.select("row_key").distinct(), "asked"), BROADCAST_ROWS)
     doc_slots = _slots(texts.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]), ["row_key"])
-    aligned = materialize(_alignments(hits.where(F.col("form") == TEMPLATE).join(asked, ["row_key", "item_key"], "left_semi")), "aligned")
+    starts = _few(known.where(F.col("form") == TEMPLATE).select("item_key", "windows", "start", "hash"), BROADCAST_WINDOWS)
+    aligned = materialize(_alignments(asked.join(starts, "item_key").join(hits.select("row_key", "hash", "place"), ["row_key", "hash"])), "aligned")
     key = ["row_key", "item_key", "kind", "label"]
     met = aligned.select(*key, F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "place", "start")
     met = met.select(*key, (F.col("place") + F.col("k")).alias("doc_at"), (F.col("start") + F.col("k")).alias("item_at")).distinct()
     filled = met.join(item_slots.select("item_key", F.col("at").alias("item_at"), F.col("value").alias("item_value")), ["item_key", "item_at"])
     filled = filled.join(doc_slots.select("row_key", F.col("at").alias("doc_at"), F.col("value").alias("doc_value")), ["row_key", "doc_at"])
-    uses = filled.groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("n"))
-    usual = uses.groupBy(*key, "item_value").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum(F.when(F.col("item_value") == F.col("doc_value"), F.col("n")).otherwise(0)).alias("same"))
-    judged = usual.groupBy(*key).agg((F.sum("top") / F.sum("n")).alias("consistency"), (F.sum("same") == F.sum("n")).alias("copied"))
+    judged = _consistency(filled, key)
     # an alignment whose windows hold no slot is consistent
     judged = aligned.select(*key).distinct().join(judged, key, "left").select("row_key", "item_key", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("copied", F.lit(True)).alias("copied"))
     agreed = judged.groupBy("row_key", "item_key").agg(F.max("consistency").alias("consistency"), F.bool_or("copied").alias("copied"))
@@ -175,7 +220,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, in which no benchmark item is found."""
+    """The rows of ``docs``, with their columns, in which no benchmark item is found.
+
+    Rows of null or empty text stay, as do rows of null doc_id that hold no item. Repeated rows stay or go together.
+    """
     key = fresh(docs.columns, "row_key")[0]
     found = materialize(find_contamination(docs, benchmark).select(F.col("row_key").alias(key)).distinct(), "contaminated")
     return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(_few(found, BROADCAST_ROWS), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

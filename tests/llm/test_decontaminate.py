@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -47,6 +48,85 @@ def test_reparameterised_questions(spark, docs_of):
     assert found(docs, bench(spark, [(9, QUESTION)])) == {(1, 9, True), (2, 9, False), (4, 9, False)}
 
 
+def template(text):
+    """(words, values): words with a mark for each slot, from a text of single words and blanks; values of the slots by place."""
+    words, values = [], {}
+    for word in text.split():
+        slot = "#" if word.isdigit() else "@" if word[0].isupper() and word not in d.NO_NAMES.split() else "km" if word in ("km", "mi") and words and words[-1] == "#" else None
+        if slot:
+            values[len(words)] = word.lower()
+        words.append(slot or word.lower())
+    return words, values
+
+
+def consistent(doc, item):
+    """Whether one alignment of the texts meets 80 per cent of the item's windows, and a one-to-one map explains 90 of its slots."""
+    (dw, dv), (iw, iv) = template(doc), template(item)
+    solid = lambda w: sum(x not in ("#", "@", "km") for x in w) >= 2
+    windows = {k: tuple(iw[k : k + 5]) for k in range(len(iw) - 4) if solid(iw[k : k + 5])}
+    for shift in range(-len(iw), len(dw)):
+        met = [k for k, w in windows.items() if 0 <= k + shift and tuple(dw[k + shift : k + shift + 5]) == w]
+        if 100 * len({windows[k] for k in met}) < 80 * len(set(windows.values())):
+            continue
+        pairs = {(j, iv[j], dv[j + shift]) for k in met for j in range(k, k + 5) if j in iv}
+        uses = Counter((a, b) for _, a, b in pairs)
+        best = lambda own, k: min((-n, pair[1 - k]) for pair, n in uses.items() if pair[k] == own)[1]
+        if sum(n for (a, b), n in uses.items() if best(a, 0) == b and best(b, 1) == a) >= 0.9 * len(pairs):
+            return True
+    return False
+
+
+def test_slotted_texts_against_brute_force(spark, docs_of):
+    """Fillings that are consistent and one to one, that use a value twice, and that vary what the item repeats."""
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in "mnrst"]
+    names = [f"{a}{b}" for a in ("Al", "Be", "Co", "Du", "Eg") for b in ("ra", "so", "ti", "vu")]
+    items, pairs = [], []
+    for k in range(12):
+        shape = [rng.choice(["n", "m", "p", "q", *["w"] * 12]) for _ in range(rng.randint(18, 30))]
+        words = [rng.choice(vocabulary) for _ in shape]
+        filled = lambda f, s=shape, w=words: " ".join(f.get(x, y) for x, y in zip(s, w, strict=True))
+        item = {"n": "31", "m": "47", "p": names[0], "q": names[1]}
+        items.append((k, filled(item)))
+        for j, filling in enumerate(({"n": "5", "m": "8", "p": names[4], "q": names[7]}, {"n": "5", "m": "5", "p": names[4], "q": names[7]}, {"n": "5", "m": "8", "p": names[4], "q": names[4]}, item)):
+            filler = lambda: " ".join(rng.choices(vocabulary, k=rng.randint(0, 20)))
+            pairs.append((10 * k + j, f"{filler()} {filled(filling)} {filler()}"))
+        uneven = " ".join(str(n) if x == "n" else y for n, (x, y) in enumerate(zip(shape, filled(item).split(), strict=True)))
+        pairs.append((10 * k + 4, uneven))
+    plain = lambda text: {tuple(text.lower().split()[k : k + 5]) for k in range(len(text.split()) - 4)}
+    want = {(i, j) for i, t in pairs for j, q in items if consistent(t, q) or 100 * len(plain(t) & plain(q)) >= 80 * len(plain(q))}
+    assert {(i, j) for i, j, _ in found(docs_of(pairs), bench(spark, items))} == want
+    assert 24 <= len(want) < 50 and len({i % 10 for i, _ in want}) > 2
+
+
+def test_one_to_one(spark, docs_of):
+    item = "a farmer has 10 sheep in the first field and buys 25 goats for the second field of the old farm"
+    docs = docs_of([(1, item.replace("10", "7").replace("25", "7")), (2, item.replace("10", "7").replace("25", "9"))])
+    assert found(docs, bench(spark, [(5, item)])) == {(2, 5, False)}
+
+
+def test_copy_and_variant_in_one_text(spark, docs_of):
+    item = "Maria has 12 apples and gives 5 to the boy next door. Maria then buys 12 pears at the market. How many are left"
+    vary = lambda name, a, b: item.replace("Maria", name).replace("12", a).replace("5", b)
+    docs = docs_of([(1, f"{item}? {vary('Jo', '30', '4')}"), (2, f"{vary('Jo', '30', '4')}. {vary('Zoe', '8', '2')}"), (3, vary("Zoe", "8", "8")), (4, item)])
+    assert found(docs, bench(spark, [(1, item)])) == {(1, 1, True), (2, 1, False), (4, 1, True)}
+
+
+def test_a_common_window_makes_no_pairs(spark, docs_of):
+    """Every document and every item holds the same five words; only true copies become candidates."""
+    rng, common = random.Random(4), "which of these is right"
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "mnrst"]
+    tail = lambda: " ".join(rng.choices(words, k=20))
+    items = [(k, f"{tail()} {common}") for k in range(40)]
+    docs = docs_of([(k, f"{common} {tail()} {common}") for k in range(200)] + [(1000 + k, t) for k, t in items])
+    benchmark = d._items(bench(spark, items))
+    known = d.benchmark_windows(benchmark)
+    windows = docs.select(F.col("doc_id").alias("row_key"), F.posexplode(F.concat(d.window_hashes(d.template_words(F.col("text")), 0), d.window_hashes(d.plain_words(F.col("text")), 1))).alias("place", "hash"))
+    hits = windows.join(known.select("hash").distinct(), "hash", "left_semi")
+    assert d._candidates(hits, known).count() == 2 * 40
+    assert found(docs, bench(spark, items)) == {(1000 + k, k, True) for k in range(40)}
+
+
 def test_edge_cases(spark, docs_of):
     docs = docs_of([(1, None), (2, ""), (3, " .,! "), (None, QUESTION), (4, QUESTION), (4, QUESTION), (5, "two words"), (6, "more than two words here"), (7, "filler " * 60_000 + QUESTION), (8, "\u0001 \u0002 \u0003"), (9, "12 13 14 15 16 17")])
     items = bench(spark, [(1, QUESTION), (1, QUESTION), (2, "Two words"), (3, None), (4, ""), (None, QUESTION), (5, "1 2 3 4 5 6")])
