@@ -4,8 +4,9 @@ A turn's content is an array of parts (kind, text, ref, size). The visitor turns
 becomes its escaped text, an image, audio or document part becomes a placeholder, while its reference is recorded
 and its tokens are counted as they will be after expansion.
 
-Escaping: every backslash is doubled, then ``<|`` becomes ``<\|``. No control string (all begin with ``<|``)
-can then occur inside a text or a role, and ``\\x`` -> ``x`` restores it exactly.
+Escaping: every backslash is doubled, then ``<|`` becomes ``<\|``, also where one text part ends in ``<`` and the next
+begins with ``|``. No control string (all begin with ``<|``) can then occur inside a text or a role, and ``\\x`` -> ``x`` restores
+it exactly.
 """
 
 from __future__ import annotations
@@ -38,12 +39,25 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
 
-def _visit(part: Column, expansion: Expansion) -> Column:
-    """(piece, tokens, ref): what a part leaves in the text, its tokens once expanded, and its attachment."""
-    kind = F.coalesce(part["kind"], F.lit("text"))
+def _kind(part: Column) -> Column:
+    return F.coalesce(part["kind"], F.lit("text"))
+
+
+def _text(part: Column, expansion: Expansion) -> Column:
+    """What a part says itself; empty for parts that a placeholder stands for."""
+    return F.when(_kind(part).isin(*expansion.fixed), F.lit("")).otherwise(F.coalesce(part["text"], F.lit("")))
+
+
+def _visit(part: Column, before: Column, expansion: Expansion) -> Column:
+    """(piece, tokens, ref): what a part leaves in the text, its tokens once expanded, and its attachment.
+
+    ``before`` is the part before it, or null. A bar that would meet its ``<`` is escaped as if both were one text.
+    """
+    kind = _kind(part)
     text = F.coalesce(part["text"], F.lit(""))
     size = F.coalesce(part["size"], F.lit(0))
-    piece, tokens = escape(text), F.ceil(F.length(text) / F.lit(expansion.chars_per_token)).cast("long")
+    meets = F.coalesce(_text(before, expansion).endswith("<"), F.lit(False)) & text.startswith("|")
+    piece, tokens = F.concat(F.when(meets, "\\").otherwise(""), escape(text)), F.ceil(F.length(text) / F.lit(expansion.chars_per_token)).cast("long")
     for name, fixed in expansion.fixed.items():
         per = expansion.units_per_token.get(name)
         count = F.lit(fixed) + (F.ceil(size / F.lit(per)).cast("long") if per else F.lit(0))
@@ -63,7 +77,10 @@ def format_conversations(messages: DataFrame, expansion: Expansion = Expansion()
     must fit a row; conversations are dealt out by conv_id.
     """
     role = escape(F.coalesce(F.col("role"), F.lit("")))
-    visited = F.transform(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART_TYPE}>")), lambda p: _visit(p, expansion))
+    # empty texts stand between no two parts
+    said = F.filter(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART_TYPE}>")), lambda p: _kind(p).isin(*expansion.fixed) | (_text(p, expansion) != ""))
+    visited = F.transform("said", lambda p, i: _visit(p, F.get("said", i - 1), expansion))
+    messages = messages.select("conv_id", "turn", "role", said.alias("said"))
     turns = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), role.alias("shown"), visited.alias("visited"))
     turns = turns.select("conv_id", "turn", "role", "shown", F.array_join("visited.piece", "").alias("content"),
                          F.aggregate("visited.tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"),
@@ -110,7 +127,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said_by_turn = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_by_turn, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-                       F.length("formatted").cast("long").alias("formatted_chars"))
+                       F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens")
 
 
 SQL = r"""
@@ -125,6 +142,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(n + 8 + 8 + 7) AS BIGINT) AS formatted_chars
+       CAST(sum(n + 8 + 8 + 7) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS n_attachments, CAST(sum((length(text) + 3) // 4) AS BIGINT) AS expanded_tokens
 FROM escaped GROUP BY conv_id
 """
