@@ -56,6 +56,28 @@ def test_trailing_dots_both_ways(spark, monkeypatch):
     assert run(spark, urls, rules) == want
 
 
+def test_null_ids_and_repeated_rows_both_ways(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "http://a.com/x"), (1, "http://net/es/"), (1, "http://net/es/"), (None, None)], "page_id long, url string")
+    want = [("a.com", "com/", "allow", None), ("net", "net/es/", "block", 1), ("net", "net/es/", "block", 1), ("", None, "allow", None)]
+    for most in (200_000, 0):
+        monkeypatch.setattr(u, "MAX_BROADCAST_RULES", most)
+        got = [(r.host, r.rule, r.verdict, r.page_id) for r in u.filter_urls(df, list(u.RULES), "page_id").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_random_hosts_with_empty_labels(spark, monkeypatch):
+    """Trie, join and brute force agree on hosts with leading, trailing and doubled dots."""
+    rng = random.Random(8)
+    host = lambda: "".join(rng.choice(("com", "net", "example", "www", ".", ".", "x")) for _ in range(rng.randint(0, 7)))
+    rules = [*u.RULES, *{h: u.Rule("block", h, "/") for h in (host() for _ in range(25)) if h and h not in ("com",)}.values()]
+    urls = [f"http://{host()}{rng.choice(('/en/', '/es/', '/', ''))}" for _ in range(500)]
+    want = {k: brute(x, rules)[:2] for k, x in enumerate(urls)}
+    tree = run(spark, urls, rules)
+    assert {k: v[:2] for k, v in tree.items()} == want
+    monkeypatch.setattr(u, "MAX_BROADCAST_RULES", 0)
+    assert run(spark, urls, rules) == tree == {k: brute(x, rules) for k, x in enumerate(urls)}
+
+
 def test_empty_table_and_rules(spark):
     assert run(spark, [], list(u.RULES)) == {}
     assert run(spark, ["http://a.com/"], []) == {0: ("a.com", "/", None, "allow")}
