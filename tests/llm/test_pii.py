@@ -55,6 +55,66 @@ def test_ibans_before_other_capitals_and_digits():
     pii.find_spans("BE68 5390 " * 60_000)
 
 
+def test_context_is_whole_words():
+    score = lambda t: pii.find_spans(t)[0].score
+    assert score("My hotel recipe 1.2.3.4") == score("see 1.2.3.4") < score("my ip 1.2.3.4")
+    kinds = lambda t: [s.kind for s in pii.find_spans(t)]
+    assert kinds("party of 123-45-6789 and a taxi") == [] and kinds("the tax number 123-45-6789") == ["national_id"]
+    cut = "x" * (pii.NEAR - 2)
+    assert kinds(f"syntax {cut} 123-45-6789") == [] and kinds(f"123-45-6789 {cut[:-1]} taxonomy") == []
+
+
+def mod_11_10(number):
+    product = 10
+    for d in map(int, number[:10]):
+        total = (d + product) % 10
+        product = (2 * (total if total else 10)) % 11
+    return str((11 - product) % 10)
+
+
+def test_added_spans_against_brute_force():
+    """Numbers made from the published rules are found, any other last sign is not; SSNs by the ranges that are never issued."""
+    rng, spans = random.Random(9), lambda t: [(s.kind, s.start, s.end) for s in pii.find_spans(t)]
+    hit = lambda number: [("national_id", 12, 12 + len(number))]
+    for _ in range(300):
+        n = rng.randrange(10**8)
+        for shown in (f"{n:08}", f"{n:08}-"):
+            for letter in "ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+                right = letter == "TRWAGMYFPDXBNJZSQVHLCKE"[n % 23]
+                assert spans(f"identidad   {shown}{letter}, si") == (hit(shown + letter) if right else [])
+        born = f"{rng.choice('12')}{rng.randrange(100):02}{rng.randint(1, 12):02}{rng.randrange(1, 96):02}{rng.randrange(1000):03}{rng.randrange(1000):03}"
+        key = 97 - int(born) % 97
+        for k in (key, key % 97 + 1):
+            assert spans(f"le numero : {born}{k:02}.") == ([("national_id", 12, 27)] if k == key else [])
+        digits = rng.sample("0123456789", 9)
+        digits.insert(rng.randrange(1, 10), digits[0] if digits[0] != "0" else digits[1])
+        first = "".join(digits)
+        if first[0] != "0":
+            for last in "0123456789":
+                assert spans(f"die Steuer: {first}{last}") == ([("national_id", 12, 23)] if last == mod_11_10(first) else [])
+        area, group, serial = rng.choice(("000", "666", "900", "999", "123", "899")), rng.choice(("00", "45")), rng.choice(("0000", "6789"))
+        assert bool(spans(f"my own ssn: {area}-{group}-{serial}")) == (area in ("123", "899") and group == "45" and serial == "6789")
+    assert spans("le numero : 1 85 05 78 006 084 91.") == [("national_id", 12, 33)]
+
+
+def test_ibans_against_brute_force():
+    """Every start and every end at a sign of a number, confirmed by the remainder: the leftmost and then the longest are found."""
+    rng = random.Random(12)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for _ in range(300):
+        country, body = rng.choice(("GB", "FR", "XK")), "".join(rng.choice(signs + "0123456789") for _ in range(4 * rng.randint(3, 7)))
+        value = int("".join(str(int(c, 36)) for c in body + country + "00"))
+        number = f"{country}{98 - value % 97:02}{body}"
+        for shown in (number, " ".join(number[k : k + 4] for k in range(0, len(number), 4))):
+            assert [(s.start, s.end) for s in pii.find_spans(f"x, {shown}; y") if s.kind == "iban"] == [(3, 3 + len(shown))]
+        wrong = number[:2] + f"{(98 - value % 97) % 97 + 1:02}" + body
+        assert not [s for s in pii.find_spans(f"x, {wrong}; y") if s.kind == "iban"]
+
+
+def test_columns_follow_the_contract(docs_of):
+    assert pii.span_digests(docs_of([])).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_iban", "n_national_id", "min_score"]
+
+
 def test_context_moves_the_score():
     card = "4111111111111111"
     near, far, order = (pii.find_spans(t)[0].score for t in (f"my visa card {card}", f"see {card}", f"order {card}"))
