@@ -9,14 +9,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchweave.llm.common import bounded_batches, table
 
 #: Hash buckets of letter trigrams, most rounds of EM, and the weight of a further language in units of BIC.
 BUCKETS, ROUNDS, PENALTY = 1 << 14, 12, 4.0
-#: A model is learned from at most so many documents, those with the smallest hash of their id.
+#: A model is learned from at most so many documents, shared equally between the languages: those with the smallest hash of their id.
 SAMPLE_ROWS = 6_000
 UNKNOWN = "und"
 
@@ -58,7 +58,11 @@ def mixture(likelihood: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def languages_of(model: Model, text: str | None) -> tuple[str, float, dict[str, float]]:
-    """(most probable language, its proportion, the proportions of the languages chosen)."""
+    """(most probable language, its proportion, the proportions of the languages chosen).
+
+    The set of languages starts from the best single one. Others join in the order of their share of the unrestricted mixture,
+    if the penalised likelihood of the enlarged set is higher.
+    """
     if not text or not model.languages:
         return UNKNOWN, 0.0, {}
     bucket, counts = gram_counts(text)
@@ -76,22 +80,31 @@ def languages_of(model: Model, text: str | None) -> tuple[str, float, dict[str,
             continue
         tried, reached = mixture(likelihood[:, [*chosen, k]], counts)
         if reached - cost * (len(chosen) + 1) <= best:
-            break
+            continue
         chosen, proportions, best = [*chosen, int(k)], tried, reached - cost * (len(chosen) + 1)
     top = int(np.argmax(proportions))
     found = {model.languages[c]: float(p) for c, p in zip(chosen, proportions, strict=True)}
-    return model.languages[chosen[top]], float(min(1.0, max(0.0, share[chosen[top]]))), found
+    return model.languages[chosen[top]], float(min(1.0, max(0.0, proportions[top]))), found
 
 
 def fit_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learns from the rows of ``docs`` with a language and a text: trigram counts by language, smoothed.
 
-    Rows of null id, language or text are left out. No rows give a model without languages. Every language of the sample
-    is kept, so there are ``sample_rows`` of them at most; a language takes 128 KB of the model.
+    Rows of null id, language or text are left out. No rows give a model without languages. Each language gets an equal share of
+    ``sample_rows``, so a rare one is learned as well; the share is the rows with the smallest hash of their id. A repeated
+    row counts as often as it occurs. More languages than ``sample_rows`` raise a ValueError; a language takes 128 KB of the model.
     """
-    bounded_batches(docs.sparkSession)
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    n_languages = sizes.count()
+    if n_languages > sample_rows:
+        raise ValueError(f"{n_languages} languages, but a sample of {sample_rows} rows")
+    share = sample_rows // max(1, n_languages)
+    # the hash leaves about twice the share of each language to be ranked, so no task gets all rows of a frequent one
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(1 << 31)
+    near = known.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("n") < 2 * share + 50).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= share).select("doc_id", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
@@ -104,7 +117,7 @@ def fit_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket, pa.int32()), pa.array(counts[bucket], pa.int64())], names=["lang", "bucket", "n"])
 
     # sample_rows rows at most
-    grams = known.select("doc_id", "lang", "text").join(F.broadcast(sample), "doc_id").select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
+    grams = known.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
     summed = grams.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = summed.toPandas()
     languages = sorted(rows["lang"].unique())
@@ -121,7 +134,6 @@ def identify_languages(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text and one without a letter are ``und`` with score 0. ``mixture`` lists the chosen languages as name:percent.
     """
-    bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +150,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_model(docs.where(~held_out()))
     found = identify_languages(docs, model)

@@ -1,9 +1,13 @@
+import itertools
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from patchweave.llm import language_id as l
 
+DOCUMENTS = Path("/root/testdata/sf0.01/documents.parquet")
 WORDS = {"en": "the and of that with have this from they would there their what about which".split(), "de": "der die und nicht mit sich auf für eine werden auch über können müssen schön".split(), "fr": "le la les des être avoir pour dans que qui une très où même après".split()}
 
 
@@ -36,6 +40,54 @@ def test_mixtures_are_recovered(spark):
     assert set(l.languages_of(model, " ".join(rng.choice(WORDS["de"], 100)))[2]) == {"de"}
 
 
+def test_mixture_against_a_grid():
+    """EM finds the proportions that a search of all of them finds."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        likelihood, counts = rng.random((60, 3)) ** 3 + 0.01, rng.integers(1, 9, 60)
+        grid = np.array([(a, b, 1 - a - b) for a in np.linspace(0, 1, 101) for b in np.linspace(0, 1 - a, 101)])
+        value = counts @ np.log(likelihood @ grid.T)
+        share, reached = l.mixture(likelihood, counts, rounds=3000)
+        assert reached >= value.max() - 1e-2 and np.abs(share - grid[value.argmax()]).max() < 0.03
+
+
+def test_chosen_sets_against_all_subsets(spark):
+    """No set of languages has a higher penalised likelihood than the one chosen; the score is the language's part of it."""
+    model = l.fit_model(docs(spark, texts(300)))
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        parts = {lang: int(rng.choice((0, 0, 30, 90))) for lang in WORDS}
+        text = " ".join(w for lang, n in parts.items() for w in rng.choice(WORDS[lang], n))
+        if not text:
+            continue
+        bucket, counts = l.gram_counts(text)
+        likelihood, cost = model.probability[bucket], l.PENALTY * 0.5 * np.log(max(2, counts.sum()))
+        value = lambda chosen: l.mixture(likelihood[:, list(chosen)], counts, rounds=500)[1] - cost * len(chosen)
+        best = max((s for n in (1, 2, 3) for s in itertools.combinations(range(3), n)), key=value)
+        lang, score, shares = l.languages_of(model, text)
+        assert set(shares) == {model.languages[k] for k in best} == {lang for lang, n in parts.items() if n}
+        assert score == shares[lang] == max(shares.values()) and abs(sum(shares.values()) - 1) < 1e-6
+
+
+def test_rare_languages_are_learned(spark):
+    """A share of the sample for each language: one row in a thousand is enough, and the bound holds."""
+    rows = [(k, " ".join(np.random.default_rng(k).choice(WORDS["fr" if k % 997 == 5 else "en"], 30)), "fr" if k % 997 == 5 else "en") for k in range(2000)]
+    model = l.fit_model(docs(spark, rows), sample_rows=20)
+    assert model.languages == ["en", "fr"]
+    assert [l.languages_of(model, " ".join(WORDS[x]))[0] for x in ("en", "fr")] == ["en", "fr"]
+    with pytest.raises(ValueError):
+        l.fit_model(docs(spark, rows), sample_rows=1)
+
+
+@pytest.mark.skipif(not DOCUMENTS.exists(), reason="the driver's tables are not here")
+def test_accuracy_on_the_drivers_documents(spark):
+    df = spark.read.parquet(str(DOCUMENTS))
+    model = l.fit_model(df.where(~l.held_out()))
+    asked = l.identify_languages(df.where(l.held_out()), model).join(df.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL AND lang_pred != 'und'")
+    right, total = asked.selectExpr("count_if(lang = lang_pred)", "count(*)").first()
+    assert total > 250 and right / total > 0.98
+
+
 def test_em_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     likelihood, counts = rng.random((200, 3)) + 0.01, rng.integers(1, 9, 200)
