@@ -100,13 +100,12 @@ class BytePairEncoder:
 
 @lru_cache(maxsize=4)
 def _encoder(definition: str) -> BytePairEncoder:
-    """One for each worker process, so that its memory of pieces serves all its tasks."""
+    """One for each worker process. A task empties its memory of pieces at its end; the tables stay."""
     return BytePairEncoder(definition)
 
 
 def _definition(spark: SparkSession, path: str | None):
     """The vocabulary file, at most a few MB, read by the driver and sent to every executor."""
-    bounded_batches(spark)
     with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
 
@@ -173,4 +172,5 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return token_digests(table(spark, sf_dir, "documents"))

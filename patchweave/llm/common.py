@@ -19,7 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches to BATCH_BYTES, so that a Python worker's memory follows no long run of long texts."""
+    """Holds the session's Arrow batches to BATCH_BYTES, so that a Python worker's memory follows no long run of long texts.
+
+    The setting is read when a frame runs, so it cannot be put back before that. Operators leave it alone; registered queries
+    and pipeline stages, which own their session, call this, as any application with long texts should.
+    """
     number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").strip().lower()).groups()
     if not 0 < int(number) << " kmgt".index(unit or " ") * 10 <= BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

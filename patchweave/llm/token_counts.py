@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patchweave.llm.bpe import _definition, _encoder
-from patchweave.llm.common import materialize, table
+from patchweave.llm.common import bounded_batches, materialize, table
 
 #: Lengths of one block of the suffix sums.
 BLOCK = 4096
@@ -36,7 +36,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     quantile: the share of documents of at most L tokens. Between two listed lengths every answer follows
     from the next longer one, see ``truncated_total``.
 
-    Suffix sums go in two levels, within blocks of lengths and over the blocks, so no task gets all lengths.
+    Suffix sums go in two levels, within blocks of lengths and over the blocks. A task gets the lengths of a block, BLOCK at most, or
+    one row for each block, so what it gets is bounded by the longest document and not by the number of documents.
     """
     counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
     counts = materialize(counts.select((F.col("n_tokens") / BLOCK).cast("long").alias("block"), "n_tokens", "n_docs", (F.col("n_docs") * F.col("n_tokens")).alias("tokens")), "lengths")
@@ -56,13 +57,23 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_total(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, truncated_tokens, n_truncated) for any limits, from the histogram alone."""
-    asked = histogram.sparkSession.createDataFrame([(n,) for n in limits], "context_limit long")
-    longer = histogram.join(F.broadcast(asked), F.col("n_tokens") > F.col("context_limit")).groupBy("context_limit").agg(F.sum("n_docs").alias("n_truncated"), F.sum("tokens").alias("over"))
-    total = histogram.agg(F.sum("tokens").alias("total"))
-    cut = F.coalesce(F.col("n_truncated"), F.lit(0))
-    kept = F.coalesce(F.col("total"), F.lit(0)) - F.coalesce(F.col("over"), F.lit(0)) + cut * F.col("context_limit")
-    return asked.join(longer, "context_limit", "left").join(F.broadcast(total)).select("context_limit", kept.alias("truncated_tokens"), cut.alias("n_truncated"))
+    """(context_limit, truncated_tokens, n_truncated) for any limits, one row for each different one.
+
+    A limit reads the suffix sums at the next longer length that occurs: that many documents are cut, and each keeps as many tokens
+    less than there. If no length is longer, nothing is cut. All limits are answered by one aggregation over the histogram; an
+    empty one gives 0.
+    """
+    asked = sorted(set(limits))
+    at = F.struct("n_tokens", "docs_at_least", "truncated_tokens")
+    row = histogram.agg(F.max(at).alias("last"), *(F.min(F.when(F.col("n_tokens") > n, at)).alias(f"next_{k}") for k, n in enumerate(asked)))
+
+    def answer(k: int, n: int):
+        longer = F.col(f"next_{k}")
+        kept = F.coalesce(longer["truncated_tokens"] - longer["docs_at_least"] * (longer["n_tokens"] - n), F.col("last.truncated_tokens"), F.lit(0))
+        return F.struct(F.lit(n).cast("long").alias("context_limit"), kept.cast("long").alias("truncated_tokens"), F.coalesce(longer["docs_at_least"], F.lit(0)).cast("long").alias("n_truncated"))
+
+    answers = F.array(*(answer(k, n) for k, n in enumerate(asked))) if asked else F.array().cast("array<struct<context_limit:bigint,truncated_tokens:bigint,n_truncated:bigint>>")
+    return row.select(F.inline(answers))
 
 
 def length_quantile(histogram: DataFrame, share: float) -> DataFrame:
@@ -71,4 +82,5 @@ def length_quantile(histogram: DataFrame, share: float) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return length_histogram(encoded_lengths(table(spark, sf_dir, "documents")))
