@@ -41,17 +41,26 @@ NO_NAMES = (
     "While Who Why Will With Would You Your"
 )
 #: Any other capitalised word, wherever it stands: what comes before it does not matter, so item and document agree on it.
-NAME = r"(?<![\p{L}\p{M}\p{N}])(?!(?:" + "|".join(NO_NAMES.split()) + r")(?![\p{L}\p{M}\p{N}]))\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{N}])"
+_BY_LETTER = {w[0]: [x[1:] for x in NO_NAMES.split() if x[0] == w[0]] for w in NO_NAMES.split()}
+_NO_NAME = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in _BY_LETTER.items())
+NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{_NO_NAME})(?![\p{{L}}\p{{M}}\p{{N}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]++(?![\p{{L}}\p{{N}}])"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 # no unit goes on, with a digit or with the mark that stands for it
 _UNIT = "(?:" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}\x01-\x03])"
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}\x01-\x03]+"
 
 
+def _unmarked(text: Column) -> Column:
+    """The text with blanks for the control characters of the placeholders; empty for a null text."""
+    text = F.coalesce(text, F.lit(""))
+    for mark in SLOTS:
+        text = F.replace(text, F.lit(mark), F.lit(" "))
+    return text
+
+
 def template_words(text: Column) -> Column:
     """The canonical words of a text; none for a null text. Control characters of the placeholders count as blanks."""
-    text = F.translate(F.coalesce(text, F.lit("")), SLOTS, "   ")
-    text = F.regexp_replace(text, NAME, NAME_SLOT)
+    text = F.regexp_replace(_unmarked(text), NAME, NAME_SLOT)
     text = F.regexp_replace(text, NUMBER, NUMBER_SLOT)
     text = F.regexp_replace(text, rf"({NUMBER_SLOT}\s){_UNIT}", f"$1{UNIT_SLOT}")
     return F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != "")
@@ -59,21 +68,23 @@ def template_words(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """The lower-cased words of a text, without placeholders; none for a null text."""
-    text = F.translate(F.coalesce(text, F.lit("")), SLOTS, "   ")
-    return F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != "")
+    return F.filter(F.split(F.lower(_unmarked(text)), _NOT_WORD), lambda w: w != "")
 
 
 def slot_values(text: Column) -> Column:
     """What the placeholders of a text stand for, in order."""
-    text = F.translate(F.coalesce(text, F.lit("")), SLOTS, "   ")
-    return F.regexp_extract_all(text, F.lit(rf"{NAME}|{NUMBER}|(?<=[0-9]\s){_UNIT}"), F.lit(0))
+    return F.regexp_extract_all(_unmarked(text), F.lit(rf"{NAME}|{NUMBER}|(?<=[0-9]\s){_UNIT}"), F.lit(0))
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def window_hashes(words: str, form: int) -> Column:
-    """A hash for each window of five words of a form; fewer words make one window; no words none."""
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.xxhash64(F.slice(words, k, WINDOW), F.lit(form)))
+def window_hashes(hashes: str, form: int) -> Column:
+    """A hash for each window of five words of a form, from the words' hashes; fewer words make one window; no words none."""
+    n = F.size(hashes)
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.xxhash64(*(F.get(hashes, k + i) for i in range(WINDOW)), F.lit(form)))
 
 
 def _solid(words: Column) -> Column:
@@ -88,8 +99,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     ``windows`` counts the item's different hashes of a form. ``benchmark`` comes from ``_items``.
     """
     def windows(form: int, words: Column) -> DataFrame:
-        found = benchmark.select("item_key", "item_id", words.alias("words"))
-        return found.select("item_key", "item_id", F.lit(form).alias("form"), "words", F.posexplode(window_hashes("words", form)).alias("start", "hash"))
+        found = benchmark.select("item_key", "item_id", words.alias("words")).withColumn("hashes", word_hashes(F.col("words")))
+        return found.select("item_key", "item_id", F.lit(form).alias("form"), "words", F.posexplode(window_hashes("hashes", form)).alias("start", "hash"))
 
     template = windows(TEMPLATE, template_words(F.col("text")))
     template = template.where(_solid(F.slice("words", F.col("start") + 1, WINDOW)) >= F.least(F.lit(2), F.size("words")))
@@ -181,7 +192,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = _items(benchmark)
     known = materialize(benchmark_windows(items), "benchmark")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    words = texts.select("row_key", "doc_id", template_words(F.col("text")).alias("template"), plain_words(F.col("text")).alias("plain"))
+    words = texts.select("row_key", "doc_id", word_hashes(template_words(F.col("text"))).alias("template"), word_hashes(plain_words(F.col("text"))).alias("plain"))
     # the template's windows come first, so that their places count from 0
     hashed = words.select("row_key", "doc_id", F.posexplode(F.concat(window_hashes("template", TEMPLATE), window_hashes("plain", PLAIN))).alias("place", "hash"))
     # a window of a document is one row here, however many items have it

@@ -121,7 +121,8 @@ def test_a_common_window_makes_no_pairs(spark, docs_of):
     docs = docs_of([(k, f"{common} {tail()} {common}") for k in range(200)] + [(1000 + k, t) for k, t in items])
     benchmark = d._items(bench(spark, items))
     known = d.benchmark_windows(benchmark)
-    windows = docs.select(F.col("doc_id").alias("row_key"), F.posexplode(F.concat(d.window_hashes(d.template_words(F.col("text")), 0), d.window_hashes(d.plain_words(F.col("text")), 1))).alias("place", "hash"))
+    words = docs.select(F.col("doc_id").alias("row_key"), d.word_hashes(d.template_words(F.col("text"))).alias("t"), d.word_hashes(d.plain_words(F.col("text"))).alias("p"))
+    windows = words.select("row_key", F.posexplode(F.concat(d.window_hashes("t", 0), d.window_hashes("p", 1))).alias("place", "hash"))
     hits = windows.join(known.select("hash").distinct(), "hash", "left_semi")
     assert d._candidates(hits, known).count() == 2 * 40
     assert found(docs, bench(spark, items)) == {(1000 + k, k, True) for k in range(40)}
