@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patchweave.sources.scratch import discard
 from patchweave.sources.scratch import stored as materialize
 
-__all__ = ["bounded_batches", "fresh", "materialize", "table"]
+__all__ = ["bounded_batches", "discard", "fresh", "materialize", "table"]
 
 #: Bytes of an Arrow batch at most.
 BATCH_BYTES = 4 << 20

@@ -8,11 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import materialize
+from patchweave.llm.common import discard, materialize
+
+
+#: Nodes that a task's union-find holds at a time, links of a node beyond which it is joined by broadcast, and such nodes at most.
+FOREST_NODES, HOT_LINKS, HOT_NODES = 1 << 20, 1_000, 10_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a partition as (node, root): as many as it has nodes, whatever the number of links."""
+    """The links of a partition as (node, root): as many as it has nodes, whatever the number of links.
+
+    After FOREST_NODES nodes the trees are given out and new ones begun, so memory does not follow the partition.
+    """
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -20,23 +27,43 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[up]
         return x
 
+    def trees() -> pa.RecordBatch:
+        nodes = [x for x in parent if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if root(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
+        if len(parent) > FOREST_NODES:
+            yield trees()
+            parent.clear()
+    yield trees()
+
+
+def _with_least(both: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``both`` (a, b) with the least neighbour m of a.
+
+    Nodes with so many links that one task would get too many of them are joined by a broadcast: HOT_NODES of them at most, since
+    ``total`` links have two ends each.
+    """
+    bound = max(HOT_LINKS, -(-2 * total // HOT_NODES))
+    if total <= bound:
+        return both.join(least.select("a", "m"), "a")
+    hot = F.broadcast(least.where(F.col("n") > bound).select("a", "m"))
+    rest = both.join(hot.select("a"), "a", "left_anti").join(least.where(F.col("n") <= bound).select("a", "m"), "a")
+    return both.join(hot, "a").unionByName(rest)
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     """Large star: links each larger neighbour of a node to the node's smallest neighbour; small star: each smaller one."""
     if large:
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    moved = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    moved = _with_least(both, least, total)
     if large:
         out = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -48,16 +75,18 @@ def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): every node of a link (a, b) with the smallest node that it is connected to.
 
     Links of a node with itself and repeated links count once or not at all; no links give no rows. Each round is
-    written to the shared folder; only a count and a checksum reach the driver.
+    written to the shared folder, and the one before it deleted; only a count and a checksum reach the driver.
     """
     links = materialize(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"), "forest")
-    seen = None
-    for _ in range(rounds):
-        links = materialize(_star(_star(links, large=True), large=False), "stars")
+    seen, total = None, links.count()
+    for _ in range(rounds if total else 0):
+        before, links = links, materialize(_star(_star(links, True, total), False, total), "stars")
+        discard(before)
         now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).cast("string")).first())
         if now == seen:
             break
-        seen = now
+        seen, total = now, now[0]
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if total:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

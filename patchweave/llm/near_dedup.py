@@ -3,10 +3,15 @@
 1. Each text becomes a set of word shingles, a signature and a key for each band. Equal sets become one class.
 2. In every bucket (classes that share a band key) each class is paired with two centres of the bucket. That is linear in
    the bucket's size. Pairs that the signatures cannot rule out are verified on the full sets, and links are grouped.
-3. Buckets that then still hold several groups are searched in full, in blocks, for links between different groups, on the
-   full sets. Pairs within a group need no look: they cannot change it. Only links that join groups leave a block.
-
-So no link that shares a bucket is lost, and the many pairs of a large group of copies are never formed.
+3. Buckets that then still hold several groups are open: there may be links between groups that miss both centres. An open bucket
+   of at most BLOCK classes is searched in one task. First the sketches alone say which classes have a possible partner in
+   another group; the texts of those only are fetched and compared on the full sets, and only links that join groups leave the task.
+   Pairs within a group need no look: they cannot change it.
+4. The classes of larger open buckets get keys of more places of the sketch (LEVELS), so that the buckets fall apart, and steps 2 and 3
+   are repeated on these. That is linear in the bucket. What is open and larger than a block even then is dealt out in pairs of blocks,
+   as sketches and without texts, so that no link is left out there either.
+
+So the many pairs of a large group of copies are never formed.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchweave.llm import shingles
-from patchweave.llm.common import bounded_batches, fresh, materialize, table
+from patchweave.llm.common import bounded_batches, discard, fresh, materialize, table
 from patchweave.llm.components import connected_components
 
 #: Signature length, bands, and the percentage of the union that a link must share.
@@ -29,6 +34,11 @@ SIZE, BANDS, PERCENT = 112, 28, 80
 RULED_OUT = 0.6
 #: Classes of a bucket that one task compares at a time, and ids that are broadcast at most.
 BLOCK, BROADCAST_IDS = 512, 1_000_000
+#: (places of a key, keys) for the classes of large open buckets: a pair of similarity 0.8 shares none of the 256 keys with a
+#: probability of 5e-7, and a given key of two texts of similarity 0.5 is equal with one of 0.004, against 0.06 for a band.
+LEVELS = ((8, 256),)
+#: Bytes of shingle sets that a comparing task remembers.
+SET_BYTES = 256 << 20
 
 _FEATURES = "doc_id long, n_shingles long, set_hash binary, sketch binary, bands array<long>"
 
@@ -90,47 +100,101 @@ def _linked(width: int, percent: int):
     return kept
 
 
-def _across(width: int, percent: int, size: int):
-    """Links between different groups within a block, or between two blocks, of a bucket: as many as join the groups, at most.
+def _places(level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the sketch that each key of a level takes, (keys, places), and an odd factor for each."""
+    places, keys = LEVELS[level]
+    rng = np.random.default_rng(1_000 + level)
+    at = np.array([rng.permutation(size)[:places] for _ in range(keys)])
+    return at, rng.integers(1, 1 << 62, at.shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _level_keys(sketch: np.ndarray, at: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The keys of a level for each row of sketches, as signed integers."""
+    keys = np.empty((len(sketch), len(at)), np.uint64)
+    for k in range(len(at)):  # a key at a time, so that memory follows rows and not rows times places
+        keys[:, k] = shingles.mix(((sketch[:, at[k]].astype(np.uint64) + np.uint64(1)) * factor[k]).sum(axis=1) + np.uint64(k))
+    return keys.view(np.int64)
+
+
+def _keyed(level: int, size: int):
+    """(bucket, rep, n_shingles) for each key of a level of each class."""
+    at, factor = _places(level, size)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
+                keys = _level_keys(_sketches(part["sketch"], size), at, factor)
+                row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part["rep"].take(row), part["n_shingles"].take(row)], names=["bucket", "rep", "n_shingles"])
+
+    return made
+
 
-    A pair that shares several buckets is compared in the first of them. Sizes, sketches and what is already joined rule pairs
-    out; the others are compared on their full sets, so only links leave the task and never the pairs.
+def _partners(group: pa.Table, label: np.ndarray, percent: int, size: int, level: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, possible partners of i) within a block, or between two blocks, of a bucket.
+
+    ``label`` says which group each row belongs to; the caller may join groups meanwhile. A pair that shares several buckets
+    counts in the first of them. Sizes, sketches and groups rule pairs out.
+    """
+    n, bucket, sketch = group["n_shingles"].to_numpy(), group["bucket"][0].as_py(), _sketches(group["sketch"].combine_chunks(), size)
+    bands = np.array(group["bands"].to_pylist(), np.int64) if level is None else _level_keys(sketch, *_places(level, size))
+    part, left, right = group["part"].to_numpy(), group["left"][0].as_py(), group["right"][0].as_py()
+    rows, cols = np.flatnonzero(part == left), np.flatnonzero(part == right)
+    for i in rows:
+        at = cols[cols > i] if left == right else cols
+        at = at[(label[at] != label[i]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))]
+        at = at[(sketch[at] == sketch[i]).sum(axis=1) >= RULED_OUT * size]
+        if len(at):
+            at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == bucket]
+        if len(at):
+            yield i, at
+
+
+def _numbered(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.to_pylist()
+    names = {c: k for k, c in enumerate(dict.fromkeys(values))}
+    return np.array([names[c] for c in values])
+
+
+def _promising(percent: int, size: int, level: int | None):
+    """The classes of a block that have a possible partner in another group, from sketches alone."""
+    def found(group: pa.Table) -> pa.Table:
+        some = np.zeros(group.num_rows, bool)
+        for i, at in _partners(group, _numbered(group["component"]), percent, size, level):
+            some[i] = some[at] = True
+        return group.select(["bucket", "left", "right", "rep"]).filter(pa.array(some))
+
+    return found
+
+
+def _across(width: int, percent: int, size: int, level: int | None):
+    """Links between different groups within a block, or between two blocks: as many as join the groups, at most.
+
+    What is already joined rules pairs out; the others are compared on their full sets, so only links leave the task and never the
+    pairs. The sets of SET_BYTES are remembered.
     """
     def found(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, n, bucket = group["rep"].to_pylist(), group["n_shingles"].to_numpy(), group["bucket"][0].as_py()
-        bands = np.array(group["bands"].to_pylist(), np.int64)
-        sketch, texts = _sketches(group["sketch"], size), group["text"]
-        names = {c: k for k, c in enumerate(dict.fromkeys(group["component"].to_pylist()))}
-        own = np.array([names[c] for c in group["component"].to_pylist()])
-        label = np.arange(len(names))  # the joined group that each component belongs to by now
-        sets: dict[int, np.ndarray] = {}
+        ids, n, texts = group["rep"].to_pylist(), group["n_shingles"].to_numpy(), group["text"]
+        label, sets, held, out = _numbered(group["component"]), {}, 0, []
 
         def items(k: int) -> np.ndarray:
+            nonlocal held
             if k not in sets:
-                sets[k] = shingles.shingle_set(texts[k].as_py().encode(), width)
+                made = shingles.shingle_set(texts[k].as_py().encode(), width)
+                if held + made.nbytes > SET_BYTES:
+                    sets.clear()
+                    held = 0
+                sets[k], held = made, held + made.nbytes
             return sets[k]
 
-        part = group["part"].to_numpy()
-        rows, cols = np.flatnonzero(part == group["left"][0].as_py()), np.flatnonzero(part == group["right"][0].as_py())
-        within, out = group["left"][0].as_py() == group["right"][0].as_py(), []
-        for i in rows:
-            at = cols[cols > i] if within else cols
-            at = at[(label[own[at]] != label[own[i]]) & (100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i]))]
-            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= RULED_OUT * size]
-            if len(at):
-                at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == bucket]
-            if not len(at):
-                continue
-            others, mine = [items(j) for j in at], items(i)
-            flat = np.concatenate(others)
-            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-            shared = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum([len(o) for o in others])[:-1])))
-            for j in at[100 * shared >= percent * (n[at] + n[i] - shared)]:
-                x, y = label[own[i]], label[own[j]]
-                if x != y:
-                    label[label == y] = x
-                    out.append((ids[i], ids[j]))
+        for i, at in _partners(group, label, percent, size, level):
+            mine = items(i)
+            for j in at:
+                if label[i] != label[j]:
+                    shared = shingles.common(mine, items(j))
+                    if 100 * shared >= percent * (n[j] + n[i] - shared):
+                        label[label == label[j]] = label[i]
+                        out.append((ids[i], ids[j]))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return found
@@ -153,6 +217,55 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_linked(width, percent), "a long, b long"), "links")
 
 
+def _open(members: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(bucket, rep, n_shingles, component, n, lo, hi) of the buckets of members (bucket, rep, n_shingles) that hold several groups.
+
+    ``lo`` and ``hi`` are centres of different groups; ``n`` counts the classes of the bucket.
+    """
+    if groups is None:
+        labelled = members.withColumn("component", F.col("rep"))
+    else:
+        labelled = members.join(groups, members["rep"] == groups["node"], "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    m = F.struct(F.xxhash64("component").alias("group"), F.xxhash64("rep").alias("rank"), "component", "rep", "n_shingles")
+    buckets = labelled.groupBy("bucket").agg(F.min(m).alias("lo"), F.max(m).alias("hi"), F.count("*").alias("n")).where("lo.component != hi.component")
+    return labelled.join(buckets, "bucket").select("bucket", "rep", "n_shingles", "component", "n", "lo", "hi")
+
+
+def _centre_pairs(opened: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the centres of its buckets that are of another group and near in size."""
+    pairs = opened.select("rep", "n_shingles", "component", F.explode(F.array("lo", "hi")).alias("c"))
+    near = F.least("n_shingles", "c.n_shingles") * 100 >= F.greatest("n_shingles", "c.n_shingles") * percent
+    pairs = pairs.where((F.col("component") != F.col("c.component")) & near)
+    return pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+
+
+def _likely(classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The pairs that the sketches do not rule out."""
+    sketches = classes.select("rep", "sketch")
+    drawn = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    return materialize(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing(size), "a long, b long"), "likely")
+
+
+def _dealt(opened: DataFrame) -> DataFrame:
+    """(bucket, rep, component, part, left, right): the classes of a bucket in blocks, each block with itself and with each other one."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    inside = opened.select("bucket", "rep", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "bucket"), blocks).alias("part"))
+    return inside.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(
+        "bucket", "rep", "component", "part", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"))
+
+
+def _search(docs: DataFrame, classes: DataFrame, opened: DataFrame, level: int | None, width: int, percent: int, size: int) -> DataFrame:
+    """(a, b): links that join groups within the buckets of ``opened``. Texts are fetched for classes with a possible partner only."""
+    key = ["bucket", "left", "right"]
+    drawn = _dealt(opened).join(classes.select("rep", "n_shingles", "sketch", *(["bands"] if level is None else [])), "rep")
+    likely = drawn.groupBy(*key).applyInArrow(_promising(percent, size, level), "bucket long, left long, right long, rep long")
+    # written, so that no task runs two Python workers at a time
+    likely = materialize(likely, "promising")
+    texts = _texts_of(docs, likely.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
+    full = drawn.join(likely, [*key, "rep"]).join(texts, "rep")
+    return materialize(full.groupBy(*key).applyInArrow(_across(width, percent, size, level), "a long, b long"), "across")
+
+
 def near_duplicates(docs: DataFrame, width: int = shingles.SHINGLE, percent: int = PERCENT, size: int = SIZE, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs`` (doc_id, text; others are ignored).
 
@@ -161,41 +274,32 @@ def near_duplicates(docs: DataFrame, width: int = shingles.SHINGLE, percent: int
     component. A doc_id with several texts joins their groups. A row of null doc_id takes part in no link; its component_id is
     null and it is kept. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
     feats = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features(width, size, bands), _FEATURES), "features")
     named = feats.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialize(named.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "bands")).alias("c")).select(
         "set_hash", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.sketch", "c.bands"), "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), F.struct(F.xxhash64("rep").alias("rank"), "rep", "n_shingles").alias("m"))
-    centres = members.groupBy("bucket").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo.rep != hi.rep")
-    met = materialize(members.join(centres, "bucket").select("bucket", "m.rep", "m.n_shingles", "lo", "hi"), "met")
-
-    def near(n: str, other: str):
-        return F.least(n, other) * 100 >= F.greatest(n, other) * percent
-
-    pairs = met.select("rep", "n_shingles", F.explode(F.array("lo", "hi")).alias("c")).where((F.col("rep") != F.col("c.rep")) & near("n_shingles", "c.n_shingles"))
-    pairs = pairs.select(F.col("rep").alias("a"), F.col("c.rep").alias("b")).distinct()
-    sketches = classes.select("rep", "sketch")
-    drawn = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    likely = materialize(drawn.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing(size), "a long, b long"), "likely")
-    links = _verify(docs, likely, width, percent)
-    groups = materialize(connected_components(links), "groups")
-
-    labelled = met.select("bucket", "rep").join(groups, met["rep"] == groups["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x != y").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    part = F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks"))
-    inside = labelled.join(open_buckets, "bucket").withColumn("part", part)
-    # a class goes to each pair of blocks that has its own: (its own, k) and (k, its own)
-    dealt = inside.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(
-        "bucket", "rep", "component", "part", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"))
-    texts = _texts_of(docs, inside.select(F.col("rep").alias("id")).distinct())
-    full = dealt.join(classes.select("rep", "n_shingles", "sketch", "bands"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
-    # written, so that no task runs two Python workers at a time
-    more = materialize(full.groupBy("bucket", "left", "right").applyInArrow(_across(width, percent, size), "a long, b long"), "across")
-
     # a doc_id that names several classes joins them
-    shared = named.join(classes.select("set_hash", "rep"), "set_hash").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    final = connected_components(links.unionByName(more).unionByName(shared))
+    links = named.join(classes.select("set_hash", "rep"), "set_hash").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+    members, groups, level = classes.select(F.explode("bands").alias("bucket"), "rep", "n_shingles"), None, None
+    found: DataFrame | None = None
+    while True:
+        opened = materialize(_open(members, groups), "open")
+        more = _verify(docs, _likely(classes, _centre_pairs(opened, percent), size), width, percent)
+        found = more if found is None else found.unionByName(more)
+        groups = materialize(connected_components(found), "groups")
+        left = materialize(_open(opened.select("bucket", "rep", "n_shingles"), groups), "left")
+        discard(opened)
+        following = 0 if level is None else level + 1
+        last = following == len(LEVELS)
+        found = found.unionByName(_search(docs, classes, left if last else left.where(F.col("n") <= BLOCK), level, width, percent, size))
+        large = left.where(F.col("n") > BLOCK).select("rep").distinct()
+        if last or large.isEmpty():
+            break
+        groups, level = materialize(connected_components(found), "groups"), following
+        members = materialize(classes.join(large, "rep", "left_semi").select("rep", "n_shingles", "sketch").mapInArrow(_keyed(level, size), "bucket long, rep long, n_shingles long"), "keys")
+
+    final = connected_components(found.unionByName(links))
     out = feats.select("doc_id", "n_shingles").join(final, feats["doc_id"] == final["node"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -220,6 +324,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = shingles.SHINGLE + 1, per
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -1,14 +1,16 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from patchweave.llm import near_dedup, shingles
+from patchweave.llm import components, near_dedup, shingles
 from patchweave.llm.components import connected_components
 
+DOCUMENTS = Path("/root/testdata/sf0.01/documents.parquet")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -90,6 +92,45 @@ def test_blocks_of_a_large_bucket(docs_of, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs_of(pairs)).collect()} == set(want.items())
 
 
+def test_rows_of_a_bucket_grow_with_it(docs_of, monkeypatch):
+    """A family of texts that share half their shingles, so that most of them meet in every bucket: twice the texts, twice the rows."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    counts, dealt, opened = [], near_dedup._dealt, near_dedup._open
+    monkeypatch.setattr(near_dedup, "_dealt", lambda df: counts.append(dealt(df).count()) or dealt(df))
+    monkeypatch.setattr(near_dedup, "_open", lambda members, groups: counts.append(members.count()) or opened(members, groups))
+    rows = {}
+    for n in (150, 300):
+        rng = random.Random(3)
+        shared = " ".join(f"s{k}" for k in range(140))
+        pairs = [(k, f"{shared} {' '.join(f'u{rng.random()}' for _ in range(60))}") for k in range(n)] + [(n + k, f"{shared} {' '.join(f'v{j}' for j in range(50 + k))}") for k in range(6)]
+        counts.clear()
+        got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs_of(pairs)).collect()}
+        assert got == set(brute_force(pairs).items()) and len({c for _, c in got}) == n + 1
+        assert len(counts) == 6  # the bands, and the keys of the large buckets
+        rows[n] = sum(counts)
+    assert rows[300] < 2.6 * rows[150]
+
+
+@pytest.mark.skipif(not DOCUMENTS.exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("width", [4, 5])
+def test_recall_on_the_drivers_documents(spark, width):
+    """No link is missed at the contract's width nor at that of the pipeline's stage."""
+    docs = spark.read.parquet(str(DOCUMENTS))
+    want = brute_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], width)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, width).collect()} == want
+    assert len(set(want.values())) < 0.95 * len(want)
+
+
+def test_keys_of_a_level():
+    """A key is equal just where its places of the sketches are."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 256, (40, near_dedup.SIZE), dtype=np.uint8)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 256, a.shape, dtype=np.uint8))
+    at, factor = near_dedup._places(0, near_dedup.SIZE)
+    same = near_dedup._level_keys(a, at, factor) == near_dedup._level_keys(b, at, factor)
+    assert np.array_equal(same, (a[:, at] == b[:, at]).all(axis=2)) and same.any(axis=1).all() and not same.all()
+
+
 def test_edge_cases(docs_of):
     long = " ".join(f"x{k % 5000}" for k in range(60_000))
     pairs = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "ONE  two"), (5, "ONE  two"), (6, "one two three"), (7, long), (8, long + " end"), (9, "a b c d e f"), (9, long), (None, "one two"), (None, None), (10, "\u00a0"), (11, "é" * 50_000)]
@@ -148,9 +189,13 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch, piece):
     assert len(whole) == len(text.split()) and len(set(whole.tolist())) == 6
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_LINKS", hot)
+    monkeypatch.setattr(components, "HOT_NODES", 10_000 if hot > 3 else 100)
+    monkeypatch.setattr(components, "FOREST_NODES", 1 << 20 if hot > 3 else 10)
     rng = random.Random(4)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)]
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)] + [(2000, 3000 + k) for k in range(200)]
     parent = {}
 
     def root(x):
