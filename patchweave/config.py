@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 #: Versions that enter identities.
 SCHEMA_VERSION, ACQUISITION_VERSION, BUILDER_VERSION = 1, "acq-v1", "builder-v1"
-POLICY_VERSION, TOKENIZER_VERSION = "heuristic-v1", "chars-div-4"
+POLICY_VERSION, TOKENIZER_VERSION = "heuristic-v1", "chars-div-4-v1"
 SENSITIVE_PATTERNS = (".env*", "*.pem", "*.key", "*.p12", "*.jks", "credentials*", "secrets*")
 
 
@@ -34,6 +34,7 @@ class ReviewConfig:
 
     def fingerprint(self) -> str:
         """SHA-256 over the settings that change a plan."""
+        # Names and order of the settings.
         shown = {
             "modelInputBudget": self.model_input_budget, "promptOverhead": self.prompt_overhead, "safetyMargin": self.safety_margin,
             "maxRelatedFilesPerSlice": self.max_related_files_per_slice, "maxFileKb": self.max_file_kb, "maxSnapshotMb": self.max_snapshot_mb,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +19,32 @@ def _joined(*parts: Column | str, sep: str = "\n") -> Column:
 
 
 def patch_sha(files: DataFrame) -> DataFrame:
-    """(pr_key, patch_sha): independent of the files' order; a null field counts as empty.
+    """(pr_key, patch_sha): one SHA-256 over the fields of all files in the order of their paths; a null field counts as empty.
 
-    Each file is digested by itself before it is gathered, so a change's group holds fixed-size digests, not patches.
+    A digest of a whole change cannot be put together from parts. So the files are dealt out by change, sorted, and digested as they
+    stream by: a task holds one batch of patches, however large the change.
     """
-    field = lambda c: F.concat(F.coalesce(F.col(c), F.lit("")), F.lit(NUL))
-    digest = F.sha2(F.concat(field("path"), field("previous_path"), field("change_type"), field("patch")), 256)
-    each = files.select("pr_key", F.struct("path", digest.alias("digest")).alias("f"))
-    return each.groupBy("pr_key").agg(F.sort_array(F.collect_list("f")).alias("fs")).select("pr_key", F.sha2(F.array_join("fs.digest", "\n"), 256).alias("patch_sha"))
+    names = ("path", "previous_path", "change_type", "patch")
+    fields = F.concat(*(F.concat(F.coalesce(F.col(c), F.lit("")), F.lit(NUL)) for c in names))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change, sha = None, None
+        for batch in batches:
+            done = []
+            for key, text in zip(batch["pr_key"].to_pylist(), batch["fields"], strict=True):
+                if sha is None or key != change:
+                    done += [(change, sha.hexdigest())] if sha else []
+                    change, sha = key, hashlib.sha256()
+                sha.update(text.as_py().encode())
+            yield rows(done)
+        if sha:
+            yield rows([(change, sha.hexdigest())])
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], names=["pr_key", "patch_sha"])
+
+    ordered = files.select("pr_key", *names).repartition("pr_key").sortWithinPartitions("pr_key", *names)
+    return ordered.select("pr_key", fields.alias("fields")).mapInArrow(digest, "pr_key string, patch_sha string")
 
 
 def corpus_key(repo: Column, merge_base: Column, head: Column, patch: Column) -> Column:

@@ -8,15 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from patchweave.config import SENSITIVE_PATTERNS
-from patchweave.functions.text import basename, extension
+from patchweave.functions.text import basename
 
 # The extensions, names and markers of each category.
-BINARY_EXTENSIONS = "png jpg jpeg gif webp ico bmp pdf zip tar gz jar war class exe dll so dylib woff woff2 ttf eot mp4 mp3 db sqlite bin dat"
-SOURCE_EXTENSIONS = "java kt kts scala groovy py js jsx ts tsx mjs cjs go rs c h cc cpp cxx cs rb php swift m mm sql sh bash ps1 vue"
-CONFIG_EXTENSIONS = "yml yaml xml json toml ini properties cfg conf gradle"
-DOC_EXTENSIONS = "md markdown adoc rst txt"
-LOCK_FILES = "package-lock.json yarn.lock pnpm-lock.yaml composer.lock go.sum cargo.lock gemfile.lock poetry.lock"
-CONFIG_NAMES = "pom.xml dockerfile makefile .gitignore .editorconfig"
+BINARY_EXTENSIONS = (
+    "png", "jpg", "jpeg", "gif", "webp", "ico", "bmp", "pdf", "zip", "tar", "gz", "jar", "war", "class", "exe", "dll", "so", "dylib",
+    "woff", "woff2", "ttf", "eot", "mp4", "mp3", "db", "sqlite", "bin", "dat",
+)
+SOURCE_EXTENSIONS = (
+    "java", "kt", "kts", "scala", "groovy", "py", "js", "jsx", "ts", "tsx", "mjs", "cjs", "go", "rs", "c", "h", "cc", "cpp", "cxx", "cs",
+    "rb", "php", "swift", "m", "mm", "sql", "sh", "bash", "ps1", "vue",
+)
+CONFIG_EXTENSIONS = ("yml", "yaml", "xml", "json", "toml", "ini", "properties", "cfg", "conf", "gradle")
+DOC_EXTENSIONS = ("md", "markdown", "adoc", "rst", "txt")
+LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "go.sum", "cargo.lock", "gemfile.lock", "poetry.lock")
+CONFIG_NAMES = ("pom.xml", "dockerfile", "makefile", ".gitignore", ".editorconfig")
 GENERATED_SUFFIXES = (".min.js", ".min.css", ".pb.go", "_pb2.py", ".designer.cs", ".g.cs")
 GENERATED_FOLDERS = ("/generated/", "/gen/")
 GENERATED_MARKERS = ("do not edit", "@generated", "auto-generated", "autogenerated", "automatically generated", "generated by")
@@ -25,29 +31,37 @@ TEST_SUFFIXES = ("test.java", "tests.java", "it.java", "_test.py", "_test.go")
 TEST_INFIXES = (".test.", ".spec.")
 
 
-def _any(tests: list[Column]) -> Column:
-    found = tests[0]
-    for test in tests[1:]:
-        found = found | test
-    return found
+def _one_of(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+
+
+def _extension_of(extensions: tuple[str, ...]) -> str:
+    """After the last dot of the base name, which is not its first sign."""
+    return rf"[^/]\.{_one_of(extensions)}\z"
+
+
+def _name_of(names: tuple[str, ...]) -> str:
+    return rf"(?:^|/){_one_of(names)}\z"
+
+
+# One pattern a category, so that a path is looked at once for each, also where it is a long expression.
+_GENERATED = "|".join((_name_of(LOCK_FILES), rf"{_one_of(GENERATED_SUFFIXES)}\z", _one_of(GENERATED_FOLDERS)))
+_TEST = "|".join((_one_of(TEST_FOLDERS), rf"{_one_of(TEST_SUFFIXES)}\z", r"(?:^|/)test_[^/]*\z", rf"{_one_of(TEST_INFIXES)}[^/]*\z"))
 
 
 def category(path: Column, sample: Column | None = None) -> Column:
-    """BINARY, GENERATED, TEST, DOCUMENTATION, CONFIG, SOURCE or OTHER: the first that fits."""
+    """BINARY, GENERATED, TEST, DOCUMENTATION, CONFIG, SOURCE or OTHER: the first that fits; OTHER for null."""
     lower = F.lower(path)
-    name = basename(lower)
-    ext = extension(name)
-    generated = [name.isin(*LOCK_FILES.split()), *(name.endswith(s) for s in GENERATED_SUFFIXES), *(F.contains(lower, F.lit(s)) for s in GENERATED_FOLDERS)]
+    generated = lower.rlike(_GENERATED)
     if sample is not None:
-        generated += [F.contains(F.lower(F.coalesce(sample, F.lit(""))), F.lit(m)) for m in GENERATED_MARKERS]
-    test = [*(F.contains(lower, F.lit(s)) for s in TEST_FOLDERS), *(name.endswith(s) for s in TEST_SUFFIXES), name.startswith("test_"), *(F.contains(name, F.lit(s)) for s in TEST_INFIXES)]
+        generated = generated | F.lower(F.coalesce(sample, F.lit(""))).rlike(_one_of(GENERATED_MARKERS))
     return (
-        F.when(ext.isin(*BINARY_EXTENSIONS.split()), "BINARY")
-        .when(_any(generated), "GENERATED")
-        .when(_any(test), "TEST")
-        .when(ext.isin(*DOC_EXTENSIONS.split()), "DOCUMENTATION")
-        .when(ext.isin(*CONFIG_EXTENSIONS.split()) | name.isin(*CONFIG_NAMES.split()), "CONFIG")
-        .when(ext.isin(*SOURCE_EXTENSIONS.split()), "SOURCE")
+        F.when(lower.rlike(_extension_of(BINARY_EXTENSIONS)), "BINARY")
+        .when(generated, "GENERATED")
+        .when(lower.rlike(_TEST), "TEST")
+        .when(lower.rlike(_extension_of(DOC_EXTENSIONS)), "DOCUMENTATION")
+        .when(lower.rlike(f"{_extension_of(CONFIG_EXTENSIONS)}|{_name_of(CONFIG_NAMES)}"), "CONFIG")
+        .when(lower.rlike(_extension_of(SOURCE_EXTENSIONS)), "SOURCE")
         .otherwise("OTHER")
     )
 

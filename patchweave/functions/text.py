@@ -61,9 +61,13 @@ def extract_lines(text: Column, start: Column, end: Column) -> Column:
 
 
 def bounded(text: Column, max_file_kb: int) -> Column:
-    """The text, cut after so many KB of characters with a mark."""
+    """The text, cut after so many KB of UTF-16 units with a mark. Half a character that the cut leaves counts as a question mark."""
     most = max_file_kb * 1024
-    return F.when(utf16_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("\n… (truncated)"))).otherwise(text)
+    units = F.substring(F.encode(text, "UTF-16BE"), 1, 2 * most)
+    split = F.hex(F.substring(units, 2 * most - 1, 1)).between("D8", "DB")
+    whole = F.decode(F.when(split, F.substring(units, 1, 2 * most - 2)).otherwise(units), "UTF-16BE")
+    cut = F.when(F.length(text) == utf16_length(text), F.substring(text, 1, most)).otherwise(F.concat(whole, F.when(split, "?").otherwise("")))
+    return F.when(utf16_length(text) > most, F.concat(cut, F.lit("\n… (truncated)"))).otherwise(text)
 
 
 def class_header(text: Column, name: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchweave.functions.text import parent_dir
+
 
 def change_summary(files: DataFrame, checks: DataFrame) -> DataFrame:
     """(pr_key, n_files, additions, deletions, n_hunks, missing_patches, parse_failures, patch_state) of each change."""
@@ -21,10 +23,25 @@ def coverage_state(attempted: Column, loaded: Column) -> Column:
 
 
 def capability_report(sources: DataFrame) -> DataFrame:
-    """(pr_key, attempted, failed, loaded, ast_coverage, base_state) from rows of needed files (pr_key, loaded, failed)."""
-    sums = sources.groupBy("pr_key").agg(F.count("*").alias("attempted"), F.count_if("failed").alias("failed"), F.count_if("loaded").alias("loaded"))
-    share = F.when(F.col("attempted") == 0, 1.0).otherwise((F.col("attempted") - F.col("failed")) / F.col("attempted"))
-    return sums.withColumn("ast_coverage", share).withColumn("base_state", coverage_state(F.col("attempted"), F.col("loaded")))
+    """(pr_key, ast_attempted, ast_failed, ast_coverage, base_attempted, base_loaded, base_state) from rows of needed files.
+
+    ``sources`` has pr_key, side, loaded and failed: files to parse at HEAD, and files to load at MERGE_BASE. Coverage is 1 where
+    nothing was to be parsed.
+    """
+    head, base = F.col("side") == "HEAD", F.col("side") == "MERGE_BASE"
+    sums = sources.groupBy("pr_key").agg(F.count_if(head).alias("ast_attempted"), F.count_if(head & F.col("failed")).alias("ast_failed"), F.count_if(base).alias("base_attempted"), F.count_if(base & F.col("loaded")).alias("base_loaded"))
+    share = F.when(F.col("ast_attempted") == 0, 1.0).otherwise((F.col("ast_attempted") - F.col("ast_failed")) / F.col("ast_attempted"))
+    return sums.select("pr_key", "ast_attempted", "ast_failed", share.alias("ast_coverage"), "base_attempted", "base_loaded", coverage_state(F.col("base_attempted"), F.col("base_loaded")).alias("base_state"))
+
+
+def themes(paths: DataFrame, key: list[str], path: str = "path") -> DataFrame:
+    """(key, theme): the folder that the paths of each key have in common; null paths are none.
+
+    What starts all strings starts the first and the last of them, so a key is reduced to three of its paths, before the shuffle.
+    """
+    parent = parent_dir(F.col(path))
+    three = F.array(F.min(path), F.min_by(path, parent), F.max_by(path, parent))
+    return paths.groupBy(*key).agg(common_prefix_dir(F.filter(three, lambda p: p.isNotNull())).alias("theme"))
 
 
 def common_prefix_dir(paths: Column) -> Column:

@@ -14,7 +14,8 @@ from patchweave.operators.diff import hunk_ref
 
 ITEM = ["pr_key", "item_id", "kind", "ref_side", "ref_path", "ref_start", "ref_end", "symbol_id", "content", "tokens", "required", "requires", "confidence", "owner_path"]
 KIND_OF_EDGE = {"CALLS": "CALLER", "OVERRIDES": "OVERRIDE", "TESTED_BY": "TEST"}
-WITHHELD = "(content withheld: sensitive file)"
+#: Fixed value: what stands for the content of a sensitive file.
+WITHHELD = "sensitive file, content withheld"
 
 
 def _item(df: DataFrame, **columns: Column) -> DataFrame:
@@ -23,22 +24,22 @@ def _item(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*((F.col(c) if c == "pr_key" else columns.get(c, empty.get(c))).alias(c) for c in ITEM))
 
 
-def diff_items(rendered: DataFrame, files: DataFrame) -> DataFrame:
+def diff_items(rendered: DataFrame, files: DataFrame, config: ReviewConfig = ReviewConfig()) -> DataFrame:
     """A required item for each hunk of a file that is not sensitive; ``files`` has change_type."""
     side, start, end = hunk_ref(F.col("change_type"))
-    met = rendered.join(files.where(~paths.is_sensitive(F.col("path"))).select("pr_key", "path", "change_type"), ["pr_key", "path"])
+    met = rendered.join(files.where(~paths.is_sensitive(F.col("path"), config.sensitive_patterns)).select("pr_key", "path", "change_type"), ["pr_key", "path"])
     return _item(met, item_id=F.concat(F.lit("DIFF#"), "path", F.lit("#"), F.col("hunk_idx").cast("string")), kind=F.lit("DIFF_HUNK"), ref_side=side, ref_path=F.col("path"), ref_start=start, ref_end=end,
                  content=F.col("rendered"), tokens=estimate_tokens(F.col("rendered")), required=F.lit(True))
 
 
-def metadata_items(files: DataFrame, with_hunks: DataFrame) -> DataFrame:
+def metadata_items(files: DataFrame, with_hunks: DataFrame, config: ReviewConfig = ReviewConfig()) -> DataFrame:
     """A required item for each sensitive file and each file without hunks. Tokens are those of the path, or of the statistics."""
     known = with_hunks.select("pr_key", "path", F.lit(True).alias("parsed")).distinct()
     all_files = files.join(known, ["pr_key", "path"], "left")
     stats = paths.file_stats(F.col("change_type"), F.col("additions"), F.col("deletions"))
-    hidden = paths.is_sensitive(F.col("path"))
+    hidden = paths.is_sensitive(F.col("path"), config.sensitive_patterns)
     shown = all_files.where(hidden | F.col("parsed").isNull())
-    content = F.when(hidden, F.concat("path", F.lit(" "), F.lit(WITHHELD))).otherwise(F.concat("path", F.lit(": "), stats, F.lit(" (no patch)")))
+    content = F.when(hidden, F.concat("path", F.lit(f" ({WITHHELD})"))).otherwise(F.concat("path", F.lit(" ("), stats, F.lit(")")))
     return _item(shown, item_id=F.concat(F.lit("FILE#"), "path"), kind=F.lit("METADATA"), ref_side=F.lit("HEAD"), ref_path=F.col("path"), content=content,
                  tokens=F.when(hidden, estimate_tokens(F.col("path"))).otherwise(estimate_tokens(stats)), required=F.lit(True))
 
@@ -64,9 +65,12 @@ def symbol_items(symbols: DataFrame, contents: DataFrame, config: ReviewConfig)
 
 
 def strongest_edges(edges: DataFrame, key: list[str]) -> DataFrame:
-    """One edge for each key: content and confidence of the strongest (the first of equals), owner of the first. ``edges`` has edge_ord, owner."""
+    """One edge for each key: content and confidence of the strongest (the first of equals), owner of the first.
+
+    ``edges`` has owner and edge_ord, which is anything that can be ordered.
+    """
     rest = [c for c in edges.columns if c not in (*key, "owner")]
-    best = F.max_by(F.struct(*rest), F.struct("confidence", -F.col("edge_ord"))).alias("best")
+    best = F.min_by(F.struct(*rest), F.struct((-F.col("confidence")).alias("least"), "edge_ord")).alias("best")
     return edges.groupBy(*key).agg(best, F.min_by("owner", "edge_ord").alias("owner")).select(*key, "best.*", "owner")
 
 

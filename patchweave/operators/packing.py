@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,8 +57,31 @@ def pack_slice(rows: list[dict], budget: int) -> tuple[list[str], list[str]]:
             if used + cost <= budget:
                 used += take(item)
     else:
-        while best := max(((r, -rank[i], i) for i in optional if i not in taken for r, cost in [offer(i)] if used + cost <= budget), default=None):
-            used += take(best[2])
+        # An offer changes only when something that it holds is taken, and an item that is too dear stays so until then.
+        holds = {i: set(_closure(i, items, set(taken))) for i in optional if i not in taken}
+        held_by: dict[str, list[str]] = {}
+        for item, closure in holds.items():
+            for member in closure:
+                held_by.setdefault(member, []).append(item)
+
+        def entry(item: str) -> tuple[float, int, str, int]:
+            cost = sum(items[i]["tokens"] for i in holds[item]) or 1
+            return -sum(items[i]["value"] for i in sorted(holds[item], key=rank.__getitem__)) / cost, rank[item], item, cost
+
+        current = {item: entry(item) for item in holds}
+        heap = list(current.values())
+        heapq.heapify(heap)
+        while heap:
+            best = heapq.heappop(heap)
+            item, cost = best[2], best[3]
+            if item in taken or best != current[item] or used + cost > budget:
+                continue
+            new = holds[item]
+            used += take(item)
+            for other in {o for member in new for o in held_by.get(member, ()) if o not in taken}:
+                holds[other] = holds[other] - new
+                current[other] = entry(other)
+                heapq.heappush(heap, current[other])
     return list(taken), [i for i in optional if i not in taken]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,7 +48,9 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 def method_list(symbols: DataFrame, most: int = 10) -> DataFrame:
-    """(pr_key, methods): distinct ids in order, the first ``most`` and a mark if there are more."""
-    ids = F.array_sort(F.collect_set("symbol_id"))
-    listed = symbols.groupBy("pr_key").agg(ids.alias("ids"))
+    """(pr_key, methods): distinct ids in order, the first ``most`` and a mark if there are more. Only so many ids are gathered."""
+    rank = F.row_number().over(Window.partitionBy("pr_key").orderBy("symbol_id"))
+    first = symbols.select("pr_key", "symbol_id").where("symbol_id IS NOT NULL").distinct().withColumn("rank", rank).where(F.col("rank") <= most + 1)
+    ids = first.groupBy("pr_key").agg(F.array_sort(F.collect_list("symbol_id")).alias("ids"))
+    listed = symbols.select("pr_key").distinct().join(ids, "pr_key", "left").select("pr_key", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     return listed.select("pr_key", F.when(F.size("ids") > most, F.concat(F.slice("ids", 1, most), F.array(F.lit("…")))).otherwise(F.col("ids")).alias("methods"))

@@ -45,6 +45,17 @@ def first_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("nth", F.row_number().over(same)).where("nth = 1").select(*EDGE)
 
 
+def edge_order() -> Column:
+    """What edges are ordered by within a change: by channel; calls and overrides by type, target and origin, conventions by origin and target.
+
+    Missing lines come last.
+    """
+    by_name = F.col("source") == "CONVENTION"
+    last = F.lit((1 << 31) - 1)
+    return F.struct(F.when(by_name, 1).otherwise(0).alias("channel"), F.when(by_name, F.col("from_path")).otherwise(F.col("edge_type")).alias("first"), "to_path", F.coalesce("to_line", last).alias("to_at"),
+                    "from_path", F.coalesce("from_line", last).alias("from_at"), F.coalesce("to_symbol", F.lit("")).alias("symbol"))
+
+
 def _head_first(types: DataFrame) -> DataFrame:
     """One type for each name and side: the first declared."""
     order = Window.partitionBy("pr_key", "side", "fqn").orderBy("decl_ord")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,26 +12,59 @@ from patchweave.functions.text import parent_dir
 from patchweave.sources.scratch import stored
 
 
+#: Paths that a task's union-find holds at a time.
+FOREST_PATHS = 1 << 20
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges as (pr_key, from_path, to_path) of each path and the smallest path that it is joined to within the partition.
+
+    After FOREST_PATHS paths the trees are given out and new ones begun, so memory does not follow the partition.
+    """
+    parent: dict[tuple, tuple] = {}
+
+    def root(x: tuple) -> tuple:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def trees() -> pa.RecordBatch:
+        rows = [(*x, root(x)[1]) for x in parent if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["pr_key", "from_path", "to_path"])
+
+    for batch in batches:
+        for change, a, b in zip(*(batch[c].to_pylist() for c in ("pr_key", "from_path", "to_path")), strict=True):
+            x, y = root((change, a)), root((change, b))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > FOREST_PATHS:
+            yield trees()
+            parent.clear()
+    yield trees()
+
+
 def connected_paths(paths: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(pr_key, path, root): the smallest path that a path is connected to by edges with both ends among the changed paths.
 
-    Labels spread to neighbours and then jump to the label's own label, so rounds grow with the logarithm of a chain's length.
-    One change, or one path, may hold any share of the rows: nothing is gathered by change.
+    Edges are first contracted to trees where they lie, then by change. What is left spreads its labels to neighbours, and labels jump
+    to their own label, until nothing moves: one round, unless a change is larger than a task's union-find.
     """
     nodes = paths.select("pr_key", "path").distinct()
     ends = nodes.select("pr_key", F.col("path").alias("from_path"))
     inside = edges.select("pr_key", "from_path", "to_path").where("from_path != to_path").join(ends, ["pr_key", "from_path"], "left_semi").join(ends.withColumnRenamed("from_path", "to_path"), ["pr_key", "to_path"], "left_semi")
-    both = stored(inside.select("pr_key", F.col("from_path").alias("path"), F.col("to_path").alias("near")).union(inside.select("pr_key", F.col("to_path"), F.col("from_path"))).distinct(), "edges")
-    labels = stored(nodes.select("pr_key", "path", F.col("path").alias("root")), "labels")
+    schema = "pr_key string, from_path string, to_path string"
+    trees = stored(inside.mapInArrow(_forest, schema).repartition("pr_key").mapInArrow(_forest, schema), "trees")
+    both = trees.select("pr_key", F.col("from_path").alias("path"), F.col("to_path").alias("near")).union(trees.select("pr_key", F.col("to_path"), F.col("from_path")))
+    least = trees.groupBy("pr_key", F.col("from_path").alias("path")).agg(F.min("to_path").alias("near"))
+    labels = stored(nodes.join(least, ["pr_key", "path"], "left").select("pr_key", "path", F.least("path", F.coalesce("near", "path")).alias("root")), "labels")
     for _ in range(rounds):
         heard = both.join(labels.select("pr_key", F.col("path").alias("near"), F.col("root").alias("heard")), ["pr_key", "near"]).groupBy("pr_key", "path").agg(F.min("heard").alias("heard"))
         spread = labels.join(heard, ["pr_key", "path"], "left").select("pr_key", "path", F.col("root").alias("was"), F.least("root", F.coalesce("heard", "root")).alias("root"))
-        jump = spread.select("pr_key", F.col("path").alias("root"), F.col("root").alias("jumped"))
-        moved = spread.join(jump, ["pr_key", "root"], "left").select("pr_key", "path", F.least("root", F.coalesce("jumped", "root")).alias("root"), "was")
-        moved = stored(moved.select("pr_key", "path", "root", (F.col("root") != F.col("was")).alias("changed")), "labels")
-        labels = moved.select("pr_key", "path", "root")
-        if moved.where("changed").isEmpty():
+        if spread.where("root != was").isEmpty():
             return labels
+        jump = spread.select("pr_key", F.col("path").alias("root"), F.col("root").alias("jumped"))
+        moved = spread.join(jump, ["pr_key", "root"], "left").select("pr_key", "path", F.least("root", F.coalesce("jumped", "root")).alias("root"))
+        labels = stored(moved, "labels")
     raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 

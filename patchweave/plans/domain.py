@@ -6,6 +6,11 @@ call; orders are methods with line ranges; customers are types with parents. Eve
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -175,3 +180,107 @@ def webhook_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.expr("CASE event_type WHEN 'signup' THEN 'ping' WHEN 'purchase' THEN 'push' ELSE 'pull_request' END")
     payload = F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
     return read(spark, sf_dir, "events").select("event_id", event.alias("event"), payload.alias("payload"), F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("sha256="), F.sha2(F.concat(F.lit(_PAD["outer"]).cast("binary"), F.unhex(F.sha2(F.concat(F.lit(_PAD["inner"]), payload), 256))), 256))).otherwise(signature).alias("signature"))
+
+
+#: Paths with ``#`` for a number, and their categories: each rule, and names that nearly fit it.
+SHAPES = (
+    ("svc/#/Makefile", "CONFIG"), ("a#/.editorconfig", "CONFIG"), ("ci/Dockerfile.#", "OTHER"), ("conf/a#.toml", "CONFIG"), ("b#.GRADLE", "CONFIG"), ("lib/x#.min.css", "GENERATED"), ("x/gen/Api#.java", "GENERATED"),
+    ("gen#/Api.java", "SOURCE"), ("x/generated/T#.kt", "GENERATED"), ("m#.designer.cs", "GENERATED"), ("proto#_pb2.py", "GENERATED"), ("v#/go.sum", "GENERATED"), ("v/go.sum.#", "OTHER"), ("pkg/test_#.py", "TEST"),
+    ("pkg/contest_#.py", "SOURCE"), ("a/tests/b#.rb", "TEST"), ("a/latests/b#.rb", "SOURCE"), ("web/x#.spec.ts", "TEST"), ("web/spec.x#.ts", "SOURCE"), ("srv/Handler#IT.java", "TEST"), ("k#_test.go", "TEST"),
+    ("docs/n#.adoc", "DOCUMENTATION"), ("x#.java.txt", "DOCUMENTATION"), ("img/i#.WEBP", "BINARY"), ("x#.tar.gz", "BINARY"), ("data#", "OTHER"), (".md#", "OTHER"), ("d#/.java", "OTHER"), ("src/main/java/P#.java", "SOURCE"),
+)
+
+
+def shaped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, path): parts as paths of every shape."""
+    shapes = F.array(*(F.lit(path) for path, _ in SHAPES))
+    path = F.replace(F.element_at(shapes, (F.col("p_partkey") % len(SHAPES) + 1).cast("int")), F.lit("#"), F.col("p_partkey").cast("string"))
+    return read(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, sha, content): a customer's orders as a zip archive; some leave their folder and some hold a file of over 1 KB."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, files in zip(batch["o_custkey"].to_pylist(), batch["files"].to_pylist(), strict=True):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as archive:
+                    archive.writestr("top/", "")
+                    for f in files:
+                        archive.writestr(f"top/src/F{f['k']}.txt", f["text"])
+                    if key % 11 == 3:
+                        archive.writestr("top/../out.txt", "x")
+                    if key % 13 == 5:
+                        archive.writestr("top/large.txt", "x" * 1025)
+                out.append(buffer.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"C{k}" for k in batch["o_custkey"].to_pylist()]), pa.array(out, pa.binary())], names=["sha", "content"])
+
+    files = read(spark, sf_dir, "orders").select("o_custkey", F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("text")).alias("f")).groupBy("o_custkey").agg(F.sort_array(F.collect_list("f")).alias("files"))
+    return files.mapInArrow(packed, "sha string, content binary").select(F.lit(REPO).alias("repo"), "sha", "content")
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw deliveries; some lack the installation, name no number, or are no JSON."""
+    body = """CASE WHEN user_id % 11 = 0 THEN concat('{"action":"', event_type) ELSE concat('{"action":"', CASE event_type WHEN 'signup' THEN 'opened' WHEN 'view' THEN 'synchronize' ELSE event_type END, '",', CASE WHEN user_id % 7 = 0 THEN '' ELSE concat('"installation":{"id":', user_id + 5, '},') END,
+      '"repository":{"name":"app","owner":{"login":"acme"}},"pull_request":{"number":', CASE WHEN user_id % 5 = 0 THEN '"none"' ELSE concat('', user_id) END, '},"more":[1]}') END"""
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("delivery"), F.expr(body).alias("payload"), F.col("ts").alias("received_at"))
+
+
+def moved_methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(methods, lines, files): customers as modified, deleted, renamed and added files, their orders as methods on both sides, line items as lines."""
+    change = "element_at(array('MODIFY', 'DELETE', 'RENAME', 'ADD'), cast(c_custkey % 4 + 1 AS int))"
+    old = "concat('src/main/java/', CASE WHEN c_custkey % 4 = 2 THEN 'Old' ELSE 'C' END, c_custkey, '.java')"
+    files = read(spark, sf_dir, "customer").selectExpr("c_custkey", "concat('N', c_nationkey) AS pr_key", "concat('src/main/java/C', c_custkey, '.java') AS path", f"{old} AS old", f"{change} AS change_type", "CASE WHEN c_custkey % 5 = 4 THEN 'TEST' ELSE 'SOURCE' END AS category")
+    files = files.withColumn("previous_path", F.when(F.col("old") != F.col("path"), F.col("old")))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", (F.col("o_orderkey") % 40).cast("int").alias("start_line"), (F.col("o_orderkey") % 40 + 3).cast("int").alias("end_line"))
+    both = orders.join(files, "c_custkey")
+    method = F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("method_id")
+    methods = both.where("change_type != 'DELETE'").select("pr_key", F.lit("HEAD").alias("side"), "path", method, "start_line", "end_line")
+    methods = methods.union(both.where("change_type != 'ADD'").select("pr_key", F.lit("MERGE_BASE"), "old", method, "start_line", "end_line"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_returnflag").join(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "o_orderkey").join(files, "c_custkey")
+    kind = F.expr("CASE l_returnflag WHEN 'A' THEN 'ADDED' WHEN 'R' THEN 'REMOVED' ELSE 'CONTEXT' END")
+    at = (F.col("l_partkey") % 60).cast("int")
+    return methods, lines.select("pr_key", "path", kind.alias("line_type"), at.alias("old_no"), at.alias("new_no")), files
+
+
+def tied_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, changed files, snapshot): line items as edges from suppliers to parts, many of them to one item and of equal confidence."""
+    edges = read(spark, sf_dir, "lineitem").selectExpr(
+        "concat('B', l_partkey % 25) AS pr_key", "CASE WHEN l_linestatus = 'F' THEN 'CONVENTION' ELSE 'SYMBOL_GRAPH' END AS source", "CASE WHEN l_linestatus = 'F' OR l_returnflag = 'R' THEN 'TESTED_BY' WHEN l_returnflag = 'A' THEN 'CALLS' ELSE 'OVERRIDES' END AS edge_type",
+        "concat('s/S', l_suppkey, '.java') AS from_path", "CASE WHEN l_linestatus != 'F' THEN cast(l_linenumber AS int) END AS from_line", "CASE WHEN l_linestatus != 'F' THEN cast(l_linenumber AS int) END AS from_end", "concat('r', l_orderkey) AS from_symbol",
+        "concat('p/P', l_partkey, '.java') AS to_path", "CASE WHEN l_linestatus != 'F' AND l_quantity > 10 THEN cast(l_quantity AS int) END AS to_line", "concat('t', l_orderkey, '-', l_linenumber) AS to_symbol", "cast(1 - l_discount AS double) AS confidence")
+    suppliers = read(spark, sf_dir, "supplier")
+    changed = edges.select("pr_key", F.col("from_path").alias("path")).where("cast(regexp_extract(path, '[0-9]+', 0) AS bigint) % 9 = 0").distinct()
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.concat("s_name", F.lit(" line "), k.cast("string"))), "\n")
+    known = suppliers.where("s_suppkey % 7 != 0").select(F.concat(F.lit("s/S"), "s_suppkey", F.lit(".java")).alias("path"), text.alias("content"))
+    return edges, changed, edges.select("pr_key", F.col("from_path").alias("path")).distinct().join(known, "path")
+
+
+def chained_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items that require the next one of their order, and the last one the second: chains with a cycle. One of three second ones is required."""
+    last = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    follows = F.when(F.col("l_linenumber") == last, 2).otherwise(F.col("l_linenumber") + 1).cast("string")
+    name = lambda k: F.concat(F.lit("L"), k)
+    return read(spark, sf_dir, "lineitem").withColumn("follows", follows).select(
+        F.concat(F.lit("O"), "l_orderkey").alias("pr_key"), F.lit(1).alias("slice_no"), name(F.col("l_linenumber").cast("string")).alias("item_id"), F.concat(F.lit("F"), "l_partkey").alias("path"), F.col("l_linenumber").cast("int").alias("start_line"),
+        F.col("l_quantity").cast("int").alias("tokens"), ((F.col("l_linenumber") == 3) & (F.col("l_orderkey") % 3 == 0)).alias("required"), F.array(name(F.col("follows")), F.lit("unknown")).alias("requires"), F.lit(1.0).alias("value"))
+
+
+#: Java files of several shapes with ``#`` for a number.
+JAVA_SHAPES = (
+    "package a.b#;\n\nimport x.Base;\nimport java.util.*;\n\n@Deprecated\npublic final class K# extends Base<String> implements Runnable, y.Other {\n  static { init(); }\n  K#() { super(); }\n  @Override public void run() { go(1, \"}\"); }\n}\n",
+    "package a.b#;\n\ninterface I# extends Left, Right<Integer> {\n  int one(final String s, int... rest);\n  default void two() { one(\"\", 1); }\n}\n",
+    "enum E# {\n  FIRST(1) { int v() { return 2; } }, SECOND(2);\n  E#(int n) { }\n  int v() { return 1; }\n}\n",
+    "package r;\nrecord R#(int a, String b) implements Comparable<R#> {\n  R# { check(a); }\n  public int compareTo(R# other) { return Integer.compare(a, other.a); }\n}\n",
+    "package n;\nclass Outer# {\n  class Inner {\n    <T extends Number> T pick(java.util.Map<String, T> m, T[] all) { return all[0]; }\n  }\n  @interface Mark { String value() default \"x\"; }\n}\n",
+    "package broken#;\nclass Half {\n  void m( {\n}\n",
+)
+
+
+def java_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): suppliers as Java files of every shape, one of which cannot be parsed."""
+    shapes = F.array(*(F.lit(text) for text in JAVA_SHAPES))
+    key = F.col("s_suppkey").cast("string")
+    content = F.replace(F.element_at(shapes, (F.col("s_suppkey") % len(JAVA_SHAPES) + 1).cast("int")), F.lit("#"), key)
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), key, F.lit(".java")).alias("path"), content.alias("content"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from patchweave.config import SCHEMA_VERSION, POLICY_VERSION, ReviewConfig
 from patchweave.functions import ids, scoring
-from patchweave.operators import diff, freeze, items, packing, recall, slicing, symbols
+from patchweave.functions.paths import is_sensitive
+from patchweave.operators import diff, freeze, items, packing, recall, review, slicing, symbols
+from patchweave.sources.archives import snapshot_files
 from patchweave.sources.java import parse_java
 from patchweave.sources.scratch import stored
 
@@ -18,7 +20,8 @@ from patchweave.sources.scratch import stored
 class Tables:
     """What a build reads. ``revisions``: pr_key, repo, pr_number, merge_base, head. ``files``: one row for each changed file.
 
-    ``snapshot``: repo, sha, path, content of the head; ``base``: the same of the merge base.
+    ``snapshot``: repo, sha, path, content of the head, and kind where some files were read one by one (``head_snapshot``);
+    ``base``: repo, sha, path, content of the merge base.
     """
 
     revisions: DataFrame
@@ -27,13 +30,49 @@ class Tables:
     base: DataFrame
 
 
+def head_snapshot(revisions: DataFrame, archives: DataFrame, lazy: DataFrame, config: ReviewConfig = ReviewConfig()) -> DataFrame:
+    """(repo, sha, path, content, kind) of the heads: the files of a sound archive, else those that were read one by one.
+
+    ``archives`` has repo, sha and content, the bytes of a zip; ``lazy`` has repo, sha, path and content.
+    """
+    heads = revisions.select("repo", F.col("head").alias("sha")).distinct()
+    unpacked = stored(snapshot_files(archives.join(heads, ["repo", "sha"], "left_semi"), config.max_file_kb << 10, config.max_snapshot_mb << 20), "unpacked")
+    rest = lazy.join(heads, ["repo", "sha"], "left_semi").join(unpacked.select("repo", "sha").distinct(), ["repo", "sha"], "left_anti")
+    return unpacked.withColumn("kind", F.lit("ARCHIVE")).unionByName(rest.select("repo", "sha", "path", "content", F.lit("CONTENTS_LAZY").alias("kind")))
+
+
 def identify(tables: Tables, config: ReviewConfig) -> DataFrame:
-    """``revisions`` with patch_sha, corpus_key and context_id."""
-    met = tables.revisions.join(ids.patch_sha(tables.files), "pr_key")
+    """``revisions`` with patch_sha, corpus_key and context_id; a change without files has the digest of nothing."""
+    met = tables.revisions.join(ids.patch_sha(tables.files), "pr_key", "left").withColumn("patch_sha", F.coalesce("patch_sha", F.sha2(F.lit(""), 256)))
     keyed = met.withColumn("corpus_key", ids.corpus_key(F.col("repo"), F.col("merge_base"), F.col("head"), F.col("patch_sha")))
     return keyed.withColumn("context_id", ids.context_id(F.col("corpus_key"), config))
 
 
+def needed_sources(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pr_key, path) of the Java files to parse at the head, and of those to load at the merge base, by their old paths."""
+    java = files.where("path LIKE '%.java'")
+    head = java.where("change_type != 'DELETE' AND category IN ('SOURCE', 'TEST')").select("pr_key", "path").distinct()
+    return head, java.where("change_type != 'ADD'").select("pr_key", F.coalesce("previous_path", "path").alias("path")).distinct()
+
+
+def capabilities(tables: Tables, code: DataFrame, contents: DataFrame, summary: DataFrame, config: ReviewConfig) -> DataFrame:
+    """(pr_key, capabilities): how complete patches, head, merge base and parsing are, and which channels were on."""
+    head, base = needed_sources(tables.files)
+    failed = code.where("row = 'failure' AND side = 'HEAD'").select("pr_key", "path", F.lit(True).alias("failed")).distinct()
+    loaded = contents.where("side = 'MERGE_BASE'").select("pr_key", "path", F.lit(True).alias("loaded")).distinct()
+    no = F.lit(False)
+    attempts = head.join(failed, ["pr_key", "path"], "left").select("pr_key", F.lit("HEAD").alias("side"), no.alias("loaded"), F.coalesce("failed", no).alias("failed"))
+    attempts = attempts.union(base.join(loaded, ["pr_key", "path"], "left").select("pr_key", F.lit("MERGE_BASE"), F.coalesce("loaded", no), no))
+    kind = F.col("kind") if "kind" in tables.snapshot.columns else F.lit("ARCHIVE")
+    heads = tables.snapshot.groupBy("repo", F.col("sha").alias("head")).agg(F.bool_or(kind == "ARCHIVE").alias("whole"))
+    state = F.when(F.col("whole"), "COMPLETE").when(F.col("whole").isNotNull(), "PARTIAL").otherwise("MISSING")
+    met = tables.revisions.join(heads, ["repo", "head"], "left").join(summary.select("pr_key", "patch_state"), "pr_key", "left").join(freeze.capability_report(attempts), "pr_key", "left")
+    channel = lambda on: F.lit("ENABLED" if on else "DISABLED_BY_CONFIG")
+    return met.select("pr_key", F.struct(
+        F.coalesce("patch_state", F.lit("COMPLETE")).alias("patch"), state.alias("headSnapshot"), F.coalesce("base_state", F.lit("COMPLETE")).alias("mergeBaseFiles"), F.coalesce("ast_coverage", F.lit(1.0)).alias("astCoverage"),
+        channel(config.symbol_graph).alias("symbolRecall"), channel(config.bm25).alias("lexicalRecall"), channel(config.co_change).alias("coChange")).alias("capabilities"))
+
+
 def source_contents(tables: Tables, whole_snapshot: bool = False) -> DataFrame:
     """(pr_key, side, path, content) of the files to parse: changed Java files at head, their old versions at the merge base.
 
@@ -42,9 +81,7 @@ def source_contents(tables: Tables, whole_snapshot: bool = False) -> DataFrame:
     """
     heads = tables.revisions.select("pr_key", "repo", F.col("head").alias("sha"))
     bases = tables.revisions.select("pr_key", "repo", F.col("merge_base").alias("sha"))
-    java = tables.files.where("lower(path) LIKE '%.java'")
-    head_paths = java.where("change_type != 'DELETE' AND category IN ('SOURCE', 'TEST')").select("pr_key", "path").distinct()
-    base_paths = java.where("change_type != 'ADD'").select("pr_key", F.coalesce("previous_path", "path").alias("path")).distinct()
+    head_paths, base_paths = needed_sources(tables.files)
     head = heads.join(tables.snapshot.where("lower(path) LIKE '%.java'"), ["repo", "sha"]).select("pr_key", "path", "content")
     head = head if whole_snapshot else head.join(head_paths, ["pr_key", "path"], "left_semi")
     base = bases.join(tables.base, ["repo", "sha"]).select("pr_key", "path", "content").join(base_paths, ["pr_key", "path"], "left_semi")
@@ -68,8 +105,27 @@ def recall_edges(changed: DataFrame, parsed: DataFrame, tables: Tables, config:
     return items.all_items(*channels)
 
 
-def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_snapshot: bool = False) -> dict[str, DataFrame]:
-    """``items``, ``slices`` (pr_key, slice_no, path), ``packed`` (status of every item) and ``plans`` (context_id, plan_json)."""
+def related(edges: DataFrame, code: DataFrame) -> DataFrame:
+    """Edges with ``edge_ord``, their place within the change, and ``from_end``, the last line of the method that they come from."""
+    ends = code.where("side = 'HEAD' AND row = 'method'").select("pr_key", F.col("path").alias("from_path"), F.concat("fqn", F.lit("#"), "signature").alias("from_symbol"), F.col("end_line").alias("from_end")).dropDuplicates(["pr_key", "from_path", "from_symbol"])
+    return edges.join(ends, ["pr_key", "from_path", "from_symbol"], "left").withColumn("edge_ord", recall.edge_order())
+
+
+def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_snapshot: bool = False, store: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Plans of all changes, by name.
+
+    ``results``: (pr_key, status, reason), READY, REUSED from ``store`` (context_id, plan_json) without being built anew, or SKIPPED
+    where no revision is known; one change's fault stops no other. ``plans``: (pr_key, context_id, plan_json, diagnostics) of the ready
+    and reused ones. ``items``, ``slices`` (pr_key, slice_no, path), ``packed`` (status of every item), ``edges`` and ``requests``
+    (pr_key, slice_no, prompt) of the ready ones.
+    """
+    identified = stored(identify(tables, config), "identities")
+    known_keys = tables.revisions.where("merge_base IS NOT NULL AND head IS NOT NULL").select("pr_key").distinct()
+    skipped = tables.files.select("pr_key").union(tables.revisions.select("pr_key")).distinct().join(known_keys, "pr_key", "left_anti")
+    fresh, reused = (identified, None) if store is None else freeze.reuse(identified, store)
+    wanted = fresh.select("pr_key").join(known_keys, "pr_key", "left_semi")
+    tables = Tables(tables.revisions.join(wanted, "pr_key", "left_semi"), tables.files.join(wanted, "pr_key", "left_semi"), tables.snapshot, tables.base)
+
     files = tables.files
     parsed_patches = stored(diff.parse_patches(files), "patches")
     lines, rendered = diff.hunk_lines(parsed_patches), diff.render_hunks(parsed_patches)
@@ -82,38 +138,60 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     edges = stored(recall_edges(changed, code, tables, config), "recall")
 
     head_files = tables.revisions.select("pr_key", "repo", F.col("head").alias("sha")).join(tables.snapshot, ["repo", "sha"]).select("pr_key", "path", "content")
-    ends = code.where("side = 'HEAD' AND row = 'method'").select("pr_key", F.col("path").alias("from_path"), F.concat("fqn", F.lit("#"), "signature").alias("from_symbol"), F.col("end_line").alias("from_end")).dropDuplicates(["pr_key", "from_path", "from_symbol"])
-    numbered = edges.join(ends, ["pr_key", "from_path", "from_symbol"], "left").withColumn("edge_ord", F.xxhash64("edge_type", "from_path", "from_line", "to_path", "to_symbol"))
-    found = items.all_items(items.diff_items(rendered, files), items.metadata_items(files, diff.hunks(parsed_patches)), items.symbol_items(changed, contents, config), items.related_items(numbered, files, head_files, config))
+    found = items.all_items(items.diff_items(rendered, files, config), items.metadata_items(files, diff.hunks(parsed_patches), config), items.symbol_items(changed, contents, config), items.related_items(related(edges, code), files, head_files, config))
     found = stored(found, "items")
 
     required = found.where("required").select("pr_key", F.col("ref_path").alias("path"), "tokens")
-    slices = stored(slicing.slice_paths(required, edges.select("pr_key", "from_path", "to_path"), config.context_budget), "slices")
+    assigned = slicing.slice_paths(required, edges.select("pr_key", "from_path", "to_path"), config.context_budget)
+    slices = stored(slicing.with_fallback(assigned, tables.revisions), "slices")
     home = F.when(F.col("required"), F.col("ref_path")).otherwise(F.coalesce("owner_path", "ref_path"))
     placed = found.withColumn("home", home).join(slices.withColumnRenamed("path", "home"), ["pr_key", "home"])
     scored = placed.select("pr_key", "slice_no", "item_id", F.col("ref_path").alias("path"), F.col("ref_start").alias("start_line"), "tokens", "required", "requires", scoring.heuristic_score(F.col("kind"), F.col("confidence")).alias("value"))
     packed = stored(packing.pack_slices(scored, config.context_budget), "packed")
 
-    summary = freeze.change_summary(files, diff.file_checks(parsed_patches))
+    summary = stored(freeze.change_summary(files, diff.file_checks(parsed_patches)), "summary")
     shown = packed.join(found.select("pr_key", "item_id", "kind", "ref_path", "ref_start", "ref_end", "symbol_id"), ["pr_key", "item_id"])
     entry = F.struct("slice_no", F.when(F.col("status") == "included", 0).otherwise(1).alias("dropped"), "pack_ord", "item_id", "kind", F.col("ref_path").alias("path"), F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), F.col("symbol_id").alias("symbol"), "tokens")
     gathered = shown.groupBy("pr_key").agg(F.sort_array(F.collect_list(entry)).alias("items"))
-    named = identify(tables, config).join(summary, "pr_key").join(gathered, "pr_key", "left")
-    plan = F.struct(F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.col("context_id").alias("contextId"), F.col("corpus_key").alias("corpusKey"), F.lit(POLICY_VERSION).alias("policyVersion"), "repo", "pr_number", "head",
-                    F.struct("n_files", "additions", "deletions", "n_hunks", "patch_state").alias("summary"), "items")
-    plans = named.select("pr_key", "context_id", freeze.canonical_json(plan).alias("plan_json"))
-    return {"items": found, "slices": slices, "packed": packed, "plans": plans}
+    used = packed.where("status = 'included'").groupBy("pr_key", "slice_no").agg(F.sum("tokens").alias("tokens"))
+    sliced = freeze.themes(slices, ["pr_key", "slice_no"]).join(used, ["pr_key", "slice_no"], "left").select("pr_key", F.struct("slice_no", "theme", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(config.context_budget).alias("budget")).alias("s"))
+    sliced = sliced.groupBy("pr_key").agg(F.sort_array(F.collect_list("s")).alias("slices"))
+    hidden = files.where(is_sensitive(F.col("path"), config.sensitive_patterns)).groupBy("pr_key").agg(F.count("*").alias("n_hidden"))
+    counted = edges.groupBy("pr_key").agg(F.count("*").alias("n_edges"))
+    named = identified.join(wanted, "pr_key", "left_semi").join(summary, "pr_key", "left").join(gathered, "pr_key", "left").join(sliced, "pr_key", "left")
+    named = named.join(capabilities(tables, code, contents, summary, config), "pr_key", "left").join(hidden, "pr_key", "left").join(counted, "pr_key", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    plan = F.struct(F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.col("context_id").alias("contextId"), F.col("corpus_key").alias("corpusKey"), F.lit(POLICY_VERSION).alias("policyVersion"), F.lit(config.fingerprint()).alias("configFingerprint"), "repo", "pr_number", "head",
+                    F.struct("n_files", "additions", "deletions", "n_hunks", "patch_state", F.col("slices.theme").alias("themes")).alias("summary"), "slices", "items", "capabilities")
+    diagnostics = F.struct(none("missing_patches").alias("missingPatches"), none("parse_failures").alias("parseFailures"), none("n_hidden").alias("sensitiveSkipped"), none("n_edges").alias("edgeCount"))
+    plans = stored(named.select("pr_key", "context_id", freeze.canonical_json(plan).alias("plan_json"), freeze.canonical_json(diagnostics).alias("diagnostics")), "plans")
+    results = plans.select("pr_key", F.lit("READY").alias("status"), F.lit(None).cast("string").alias("reason")).union(skipped.select("pr_key", F.lit("SKIPPED"), F.lit("no revision")))
+    if reused is not None:
+        plans = plans.unionByName(reused.select("pr_key", "context_id", "plan_json", F.lit(None).cast("string").alias("diagnostics")))
+        results = results.union(reused.select("pr_key", F.lit("REUSED"), F.lit(None).cast("string")))
+    return {"items": found, "edges": edges, "slices": slices, "packed": packed, "plans": plans, "results": results, "requests": review_requests(found, packed, identified)}
+
+
+def review_requests(found: DataFrame, packed: DataFrame, identified: DataFrame) -> DataFrame:
+    """(pr_key, slice_no, prompt): the included items of each slice as a request, with the lines of diffs numbered."""
+    kept = packed.where("status = 'included'").select("pr_key", "slice_no", "item_id", "pack_ord")
+    hunks = found.where("kind = 'DIFF_HUNK'").select("pr_key", "item_id", F.col("content").alias("rendered"))
+    numbered = diff.annotate(hunks, ["pr_key", "item_id"])
+    met = kept.join(found, ["pr_key", "item_id"]).join(numbered, ["pr_key", "item_id"], "left").join(identified.select("pr_key", "repo", "pr_number", "context_id"), "pr_key")
+    return review.render_prompts(met.select("pr_key", "slice_no", "repo", "pr_number", "context_id", "pack_ord", "item_id", "kind", F.col("ref_path").alias("path"), "symbol_id", F.col("ref_start").alias("start_line"),
+                                            F.col("ref_end").alias("end_line"), "required", F.coalesce("annotated", "content").alias("content")))
 
 
 def plan_comment(plans: DataFrame) -> DataFrame:
     """(pr_key, comment): a plan's headline as text."""
-    read = plans.select("pr_key", F.from_json("plan_json", "head string, policyVersion string, summary struct<n_files:bigint,additions:bigint,deletions:bigint,patch_state:string>, items array<struct<slice_no:int,dropped:int,kind:string,symbol:string>>").alias("p"))
+    read = plans.select("pr_key", F.from_json("plan_json", "head string, policyVersion string, summary struct<n_files:bigint,additions:bigint,deletions:bigint,patch_state:string>, slices array<struct<slice_no:int>>, capabilities struct<headSnapshot:string,mergeBaseFiles:string,astCoverage:double>, items array<struct<slice_no:int,dropped:int,kind:string,symbol:string>>").alias("p"))
     kept = F.filter("p.items", lambda i: i["dropped"] == 0)
     count = lambda kind: F.size(F.filter(kept, lambda i: i["kind"] == kind)).cast("string")
     methods = F.array_sort(F.array_distinct(F.transform(F.filter(kept, lambda i: i["kind"] == "CHANGED_METHOD"), lambda i: i["symbol"])))
     listed = F.array_join(F.transform(F.slice(methods, 1, 10), lambda m: F.concat(F.lit("- `"), m, F.lit("`\n"))), "")
-    body = F.concat(F.lit("Context built for `"), F.left("p.head", F.lit(7)), F.lit("` · policy `"), F.col("p.policyVersion"), F.lit("` · slices: **"), F.size(F.array_distinct(F.transform("p.items", lambda i: i["slice_no"]))).cast("string"),
+    body = F.concat(F.lit("Context built for `"), F.left("p.head", F.lit(7)), F.lit("` · policy `"), F.col("p.policyVersion"), F.lit("` · slices: **"), F.size("p.slices").cast("string"),
                     F.lit("**\n\nChanged files: **"), F.col("p.summary.n_files").cast("string"), F.lit("** (+"), F.col("p.summary.additions").cast("string"), F.lit(" / -"), F.col("p.summary.deletions").cast("string"), F.lit(")\n\n"),
                     F.when(F.size(methods) > 0, F.concat(F.lit("Changed methods:\n"), listed, F.when(F.size(methods) > 10, F.lit("- …\n")).otherwise(""), F.lit("\n"))).otherwise(""),
-                    F.lit("Related context: **"), count("CALLER"), F.lit("** callers, **"), count("OVERRIDE"), F.lit("** overrides, **"), count("TEST"), F.lit("** test references\n\nPatch: "), F.col("p.summary.patch_state"), F.lit("\n"))
+                    F.lit("Related context: **"), count("CALLER"), F.lit("** callers, **"), count("OVERRIDE"), F.lit("** overrides, **"), count("TEST"), F.lit("** test references\n\nPatch: "), F.col("p.summary.patch_state"), F.lit(" · head: "), F.col("p.capabilities.headSnapshot"), F.lit(" · merge base: "), F.col("p.capabilities.mergeBaseFiles"),
+                    F.lit(" · AST coverage: "), F.round(F.col("p.capabilities.astCoverage") * 100).cast("int").cast("string"), F.lit("%\n"))
     return read.select("pr_key", body.alias("comment"))

@@ -12,9 +12,10 @@ from patchweave.config import ReviewConfig
 from patchweave.functions import ids, paths, scoring, text
 from patchweave.operators import diff, freeze, items, packing, publish, recall, review, slicing, symbols
 from patchweave.plans import domain
-from patchweave.plans.pipeline import Tables, build_plans
+from patchweave.plans.pipeline import Tables, build_plans, needed_sources
 from patchweave.sources import archives
 from patchweave.sources.java import parse_java
+from patchweave.sources.scratch import stored
 from patchweave.streaming import events
 
 FLAGSHIP = "change_summary"
@@ -57,9 +58,11 @@ SHAS = LINES + r""", every_hunk AS (
   SELECT path, hunk_idx, printf('@@ -%d,%d +%d,%d @@ part', min(old_at), CAST(count(*) FILTER (line_type != 'ADDED') AS INT) + CASE WHEN doc_id % 17 = 3 AND hunk_idx = 0 THEN 1 ELSE 0 END, min(new_at), CAST(count(*) FILTER (line_type != 'REMOVED') AS INT))
          || chr(10) || string_agg(CASE line_type WHEN 'ADDED' THEN '+' WHEN 'REMOVED' THEN '-' ELSE ' ' END || content, chr(10) ORDER BY i) AS hunk FROM numbered GROUP BY path, hunk_idx, doc_id
 ), patches AS (SELECT path, string_agg(hunk, chr(10) ORDER BY hunk_idx) AS patch FROM every_hunk GROUP BY path
-), digests AS (
-  SELECT pr_key, path, sha256(path || chr(0) || coalesce(previous_path, '') || chr(0) || change_type || chr(0) || coalesce(patch, '') || chr(0)) AS digest FROM files LEFT JOIN patches USING (path)
-), shas AS (SELECT pr_key, sha256(string_agg(digest, chr(10) ORDER BY path)) AS patch_sha FROM digests GROUP BY pr_key)"""
+), shas AS (
+  SELECT pr_key, sha256(string_agg(path || chr(0) || coalesce(previous_path, '') || chr(0) || change_type || chr(0) || coalesce(patch, '') || chr(0), '' ORDER BY path)) AS patch_sha FROM files LEFT JOIN patches USING (path) GROUP BY pr_key
+)"""
+#: The default settings' fingerprint, worked out by hand from their documented values with another program.
+FINGERPRINT = "bd9bb442b3ca27f7f6c3fbe2e1b5cca0b1ee5149400c8bb5bb1f45f085bfe28e"
 SYMBOLS = r"""owners AS (SELECT l_partkey AS p_partkey, min(l_suppkey) AS owner FROM lineitem GROUP BY 1
 ), symbols AS (
   SELECT p_brand AS pr_key, p_partkey, owner, CASE WHEN p_size % 4 = 0 THEN 'MERGE_BASE' ELSE 'HEAD' END AS to_side, p_size % 3 AS arity, p_size AS to_line,
@@ -135,13 +138,19 @@ def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needed = _files(spark, sf_dir).where("change_type != 'ADD' AND path LIKE '%.java'")
-    return freeze.capability_report(needed.select("pr_key", (F.col("n_chars") > 800).alias("loaded"), (F.col("n_chars") > 5000).alias("failed")))
+    """A document is parsed as Java at the head; the merge base has those of over 800 characters."""
+    files = _files(spark, sf_dir)
+    head, base = needed_sources(files)
+    texts = files.select("pr_key", "path", "content")
+    broken = parse_java(head.join(texts, ["pr_key", "path"]), ["pr_key", "path"]).where("row = 'failure'").select("pr_key", "path", F.lit(True).alias("broken")).distinct()
+    parsed = head.join(broken, ["pr_key", "path"], "left").select("pr_key", F.lit("HEAD").alias("side"), F.lit(False).alias("loaded"), F.coalesce("broken", F.lit(False)).alias("failed"))
+    known = files.where("n_chars > 800").select("pr_key", F.coalesce("previous_path", "path").alias("path"), F.lit(True).alias("known"))
+    loaded = base.join(known, ["pr_key", "path"], "left").select("pr_key", F.lit("MERGE_BASE"), F.coalesce("known", F.lit(False)), F.lit(False))
+    return freeze.capability_report(parsed.union(loaded))
 
 
 def common_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir).where("category = 'SOURCE'").groupBy("pr_key", "change_type").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    return files.select("pr_key", "change_type", freeze.common_prefix_dir(F.col("paths")).alias("theme"))
+    return freeze.themes(_files(spark, sf_dir).where("category = 'SOURCE'"), ["pr_key", "change_type"])
 
 
 def changed_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,19 +288,77 @@ def snapshot_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "content", "kind")
 
 
-def review_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return domain.shaped_paths(spark, sf_dir).select("p_partkey", "path", paths.category(F.col("path")).alias("category"))
+
+
+def archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.snapshot_files(domain.archives(spark, sf_dir), max_file=1024).select("sha", "path", "content")
+
+
+def archive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_errors(domain.archives(spark, sf_dir), max_file=1024).select("sha", "error")
+
+
+def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.route(events.parse_payload(domain.payloads(spark, sf_dir))).select("delivery", "action", "installation", "owner", "name", "number", "status")
+
+
+def located_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbols.locate_changed(*domain.moved_methods(spark, sf_dir)).select("pr_key", "side", "path", "method_id")
+
+
+def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, changed, snapshot = domain.tied_edges(spark, sf_dir)
+    found = items.related_items(edges.withColumn("edge_ord", recall.edge_order()), changed, snapshot, CONFIG)
+    return found.select("pr_key", "item_id", "kind", "symbol_id", "content", "tokens", "confidence", "owner_path")
+
+
+def required_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a budget only the required items and all that they require are included."""
+    return packing.pack_slices(domain.chained_candidates(spark, sf_dir), 0).select("pr_key", "item_id", "status", "tokens")
+
+
+def java_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parse_java(domain.java_shapes(spark, sf_dir), ["path"]).where("row IN ('type', 'failure')")
+    return rows.select("path", "row", "fqn", "kind", "super_class", F.array_join("interfaces", ",").alias("interfaces"))
+
+
+def java_shape_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_java(domain.java_shapes(spark, sf_dir), ["path"]).where("row = 'method'").select("path", "fqn", "signature", "start_line", "end_line")
+
+
+def java_shape_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_java(domain.java_shapes(spark, sf_dir), ["path"]).where("row = 'call'").select("path", "fqn", "enclosing_method", "receiver", "name", "arity", F.col("start_line").alias("line"))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     files = _files(spark, sf_dir)
     heads = files.where("change_type != 'DELETE'").select("repo", F.lit("head").alias("sha"), "path", "content")
     bases = files.where("change_type != 'ADD'").select("repo", F.lit("base").alias("sha"), F.coalesce("previous_path", "path").alias("path"), "content")
     revisions = files.select("pr_key", "repo").distinct().select("pr_key", "repo", F.lit(1).alias("pr_number"), F.lit("base").alias("merge_base"), F.lit("head").alias("head"))
-    built = build_plans(Tables(revisions, files, heads, bases), CONFIG)
-    return built["packed"].groupBy("pr_key", "slice_no", "status").agg(F.count("*").alias("n_items"), F.sum("tokens").alias("tokens"))
+    return build_plans(Tables(revisions, stored(files, "files"), heads, bases), CONFIG)
+
+
+def review_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir)["packed"].groupBy("pr_key", "slice_no", "status").agg(F.count("*").alias("n_items"), F.sum("tokens").alias("tokens"))
+
+
+def plan_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a whole build says of each change: its summary, capabilities and diagnostics."""
+    built = _built(spark, sf_dir)
+    met = built["plans"].join(built["results"], "pr_key")
+    plan, notes = lambda p, t: F.get_json_object("plan_json", p).cast(t), lambda p: F.get_json_object("diagnostics", p).cast("long")
+    return met.select("pr_key", "status", plan("$.summary.n_files", "long").alias("n_files"), plan("$.summary.additions", "long").alias("additions"), plan("$.capabilities.patch", "string").alias("patch"),
+                      plan("$.capabilities.headSnapshot", "string").alias("head_snapshot"), plan("$.capabilities.mergeBaseFiles", "string").alias("merge_base_files"), plan("$.capabilities.astCoverage", "double").alias("ast_coverage"),
+                      notes("$.missingPatches").alias("missing_patches"), notes("$.parseFailures").alias("parse_failures"), notes("$.sensitiveSkipped").alias("sensitive_skipped"))
 
 
 _FUNCTIONS = (
     change_summary, classify_files, token_estimates, diff_lines, diff_hunk_validation, render_hunks, annotate_diff, diff_items, metadata_items, patch_sha, context_ids, capability_report, common_prefixes,
     changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
-    parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback, review_plans,
+    parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback,
+    category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, java_shape_methods, java_shape_calls, review_plans, plan_overview,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -319,13 +386,17 @@ ORACLE_SQL = {
       SELECT pr_key, 'DIFF#' || path || '#' || hunk_idx AS item_id, CASE WHEN gone THEN 'MERGE_BASE' ELSE 'HEAD' END AS ref_side, path AS ref_path, CASE WHEN gone THEN old_start ELSE new_start END AS ref_start,
         CASE WHEN gone THEN greatest(old_start, old_start + old_count - 1) ELSE greatest(new_start, new_start + new_count - 1) END AS ref_end, CAST((length(rendered) + 3) // 4 AS INT) AS tokens FROM shown""",
     "metadata_items": f"""WITH {FILES}, stats AS (SELECT *, doc_id % 12 IN (3, 8, 10) AS hidden, lower(change_type) || ', +' || CASE WHEN doc_id % 12 = 4 THEN 0 ELSE (n_lines + 1) // 3 END || '/-' || CASE WHEN doc_id % 12 = 4 THEN 0 ELSE n_lines // 3 END AS shown FROM files)
-      SELECT pr_key, 'FILE#' || path AS item_id, CASE WHEN hidden THEN path || ' (content withheld: sensitive file)' ELSE path || ': ' || shown || ' (no patch)' END AS content,
+      SELECT pr_key, 'FILE#' || path AS item_id, CASE WHEN hidden THEN path || ' (sensitive file, content withheld)' ELSE path || ' (' || shown || ')' END AS content,
         CAST((length(CASE WHEN hidden THEN path ELSE shown END) + 3) // 4 AS INT) AS tokens FROM stats WHERE hidden OR doc_id % 12 = 4 OR doc_id % 17 = 3""",
     "change_summary": f"""WITH {FILES} SELECT pr_key, count(*) AS n_files, CAST(sum(CASE WHEN doc_id % 12 = 4 THEN 0 ELSE (n_lines + 1) // 3 END) AS BIGINT) AS additions, CAST(sum(CASE WHEN doc_id % 12 = 4 THEN 0 ELSE n_lines // 3 END) AS BIGINT) AS deletions,
       CAST(sum(CASE WHEN doc_id % 12 = 4 OR doc_id % 17 = 3 THEN 0 ELSE (n_lines + 19) // 20 END) AS BIGINT) AS n_hunks, count(*) FILTER (doc_id % 12 = 4) AS missing_patches, count(*) FILTER (doc_id % 12 != 4 AND doc_id % 17 = 3) AS parse_failures,
       CASE WHEN count(*) FILTER (doc_id % 12 = 4 OR doc_id % 17 = 3) = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS patch_state FROM files GROUP BY pr_key""",
-    "capability_report": f"""WITH {FILES} SELECT pr_key, count(*) AS attempted, count(*) FILTER (n_chars > 5000) AS failed, count(*) FILTER (n_chars > 800) AS loaded, (count(*) - count(*) FILTER (n_chars > 5000)) / count(*) AS ast_coverage,
-      CASE WHEN count(*) = count(*) FILTER (n_chars > 800) THEN 'COMPLETE' WHEN count(*) FILTER (n_chars > 800) > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS base_state FROM files WHERE change_type != 'ADD' AND path LIKE '%.java' GROUP BY pr_key""",
+    "capability_report": f"""WITH {FILES}, needed AS (SELECT *, ends_with(path, '.java') AS java, coalesce(regexp_replace(content, '/[*].*?[*]/|//[^\n]*', '', 'gs'), '') AS code FROM files),
+      asked AS (SELECT *, java AND change_type != 'DELETE' AS head, java AND change_type != 'ADD' AS base FROM needed)
+      SELECT pr_key, count(*) FILTER (head) AS ast_attempted, count(*) FILTER (head AND regexp_matches(code, '[^\\s;]')) AS ast_failed, count(*) FILTER (base) AS base_attempted, count(*) FILTER (base AND n_chars > 800) AS base_loaded,
+        CASE WHEN count(*) FILTER (head) = 0 THEN 1.0 ELSE count(*) FILTER (head AND NOT regexp_matches(code, '[^\\s;]')) / count(*) FILTER (head) END AS ast_coverage,
+        CASE WHEN count(*) FILTER (base AND NOT coalesce(n_chars > 800, false)) = 0 THEN 'COMPLETE' WHEN count(*) FILTER (base AND n_chars > 800) > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS base_state
+      FROM asked WHERE head OR base GROUP BY pr_key""",
     "common_prefixes": f"""WITH {FILES}, g AS (SELECT pr_key, change_type, list(regexp_replace(path, '/?[^/]*$', '') ORDER BY path) AS parents FROM files WHERE {CATEGORY} = 'SOURCE' GROUP BY ALL),
       p AS (SELECT *, list_reduce(parents, lambda a, b: coalesce(list_filter([array_to_string(string_split(a, '/')[1:k], '/') for k in range(len(string_split(a, '/')), 0, -1)], lambda c: starts_with(b, c))[1], '')) AS prefix FROM g)
       SELECT pr_key, change_type, CASE WHEN parents[1] = '' THEN 'root' WHEN prefix = '' THEN 'multiple' ELSE prefix END AS theme FROM p""",
@@ -408,5 +479,54 @@ ORACLE_SQL = {
     "snapshot_fallback": "SELECT 'F' || o_orderkey AS path, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderpriority END AS content, CASE o_orderstatus WHEN 'F' THEN 'ARCHIVE' WHEN 'O' THEN 'CONTENTS_LAZY' END AS kind FROM orders",
     "patch_sha": f"WITH {SHAS} SELECT pr_key, patch_sha FROM shas",
     "context_ids": f"""WITH {SHAS}, keyed AS (SELECT pr_key, sha256('acme/app' || chr(10) || 'base' || chr(10) || pr_key || chr(10) || patch_sha || chr(10) || 'acq-v1') AS corpus_key FROM shas)
-      SELECT pr_key, corpus_key, sha256(corpus_key || chr(10) || '1' || chr(10) || 'builder-v1' || chr(10) || 'heuristic-v1' || chr(10) || '{CONFIG.fingerprint()}' || chr(10) || 'chars-div-4') AS context_id FROM keyed""",
+      SELECT pr_key, corpus_key, sha256(corpus_key || chr(10) || '1' || chr(10) || 'builder-v1' || chr(10) || 'heuristic-v1' || chr(10) || '{FINGERPRINT}' || chr(10) || 'chars-div-4-v1') AS context_id FROM keyed""",
+    "category_rules": f"""SELECT p_partkey, replace([{', '.join(f"'{p}'" for p, _ in domain.SHAPES)}][p_partkey % {len(domain.SHAPES)} + 1], '#', p_partkey::VARCHAR) AS path, [{', '.join(f"'{c}'" for _, c in domain.SHAPES)}][p_partkey % {len(domain.SHAPES)} + 1] AS category FROM part""",
+    "archive_files": "SELECT 'C' || o_custkey AS sha, 'src/F' || o_orderkey || '.txt' AS path, o_orderpriority AS content FROM orders WHERE o_custkey % 11 != 3 AND o_custkey % 13 != 5",
+    "archive_errors": "SELECT DISTINCT 'C' || o_custkey AS sha, CASE WHEN o_custkey % 11 = 3 THEN 'leaves the archive' ELSE 'file too large' END AS error FROM orders WHERE o_custkey % 11 = 3 OR o_custkey % 13 = 5",
+    "event_payloads": """WITH e AS (SELECT *, user_id % 11 = 0 AS broken FROM events), p AS (
+        SELECT event_id AS delivery, CASE WHEN NOT broken THEN CASE event_type WHEN 'signup' THEN 'opened' WHEN 'view' THEN 'synchronize' ELSE event_type END END AS action, CASE WHEN broken OR user_id % 7 = 0 THEN 0 ELSE user_id + 5 END AS installation, CASE WHEN NOT broken THEN 'acme' END AS owner, CASE WHEN NOT broken THEN 'app' END AS name,
+          CASE WHEN broken OR user_id % 5 = 0 THEN 0 ELSE user_id END AS number FROM e)
+      SELECT delivery, action, CAST(installation AS BIGINT) AS installation, owner, name, CAST(number AS BIGINT) AS number, CASE WHEN action IN ('opened', 'synchronize') THEN CASE WHEN installation = 0 OR number = 0 THEN 'INVALID' ELSE 'ACCEPTED' END ELSE 'IGNORED' END AS status FROM p""",
+    "located_methods": """WITH f AS (SELECT c_custkey, 'N' || c_nationkey AS pr_key, 'src/main/java/C' || c_custkey || '.java' AS path, 'src/main/java/' || CASE WHEN c_custkey % 4 = 2 THEN 'Old' ELSE 'C' END || c_custkey || '.java' AS old, c_custkey % 4 AS change FROM customer WHERE c_custkey % 5 != 4),
+      m AS (SELECT f.*, o_orderkey, o_orderkey % 40 AS a FROM orders JOIN f ON o_custkey = c_custkey), n AS (SELECT DISTINCT o_custkey, l_returnflag = 'R' AS gone, l_partkey % 60 AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+      SELECT pr_key, 'HEAD' AS side, path, 'm' || o_orderkey AS method_id FROM m WHERE change != 1 AND EXISTS (SELECT 1 FROM n WHERE o_custkey = c_custkey AND NOT gone AND line BETWEEN a AND a + 3)
+      UNION ALL SELECT pr_key, 'MERGE_BASE', old, 'm' || o_orderkey FROM m WHERE change != 3 AND (change = 1 OR EXISTS (SELECT 1 FROM n WHERE o_custkey = c_custkey AND gone AND line BETWEEN a AND a + 3))""",
+    "related_items": """WITH e AS (
+        SELECT 'B' || (l_partkey % 25) AS pr_key, l_linestatus = 'F' AS named, CASE WHEN l_linestatus = 'F' OR l_returnflag = 'R' THEN 'TESTED_BY' WHEN l_returnflag = 'A' THEN 'CALLS' ELSE 'OVERRIDES' END AS edge_type, l_suppkey, 's/S' || l_suppkey || '.java' AS from_path,
+          CASE WHEN l_linestatus != 'F' THEN l_linenumber END AS from_line, 'r' || l_orderkey AS symbol_id, 'p/P' || l_partkey || '.java' AS to_path, CASE WHEN l_linestatus != 'F' AND l_quantity > 10 THEN CAST(l_quantity AS INT) END AS to_line, 't' || l_orderkey || '-' || l_linenumber AS target, CAST(1 - l_discount AS DOUBLE) AS confidence FROM lineitem),
+      i AS (SELECT *, CASE edge_type WHEN 'CALLS' THEN 'CALLER' WHEN 'OVERRIDES' THEN 'OVERRIDE' ELSE 'TEST' END AS kind FROM e WHERE l_suppkey % 9 != 0 AND l_suppkey % 7 != 0),
+      o AS (SELECT *, kind || '#' || from_path || '#' || coalesce(from_line::VARCHAR, 'file') AS item_id, row_number() OVER (PARTITION BY pr_key ORDER BY named, CASE WHEN named THEN from_path ELSE edge_type END, to_path, to_line NULLS LAST, from_path, from_line NULLS LAST, target, symbol_id) AS k FROM i),
+      b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY pr_key, item_id ORDER BY confidence DESC, k) = 1), f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY pr_key, item_id ORDER BY k) = 1),
+      t AS (SELECT b.*, f.to_path AS owner_path, CASE WHEN b.from_line IS NULL THEN array_to_string([s_name || ' line ' || n FOR n IN range(1, 6)], chr(10)) WHEN b.from_line > 5 THEN '' ELSE s_name || ' line ' || b.from_line END AS content FROM b JOIN f USING (pr_key, item_id) JOIN supplier ON s_suppkey = b.l_suppkey)
+      SELECT pr_key, item_id, kind, symbol_id, content, CAST((length(content) + 3) // 4 AS INT) AS tokens, confidence, owner_path FROM t""",
+    "required_closures": """WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber AS k, l_partkey, CAST(l_quantity AS INT) AS tokens, CASE WHEN l_linenumber = max(l_linenumber) OVER (PARTITION BY l_orderkey) THEN 2 ELSE l_linenumber + 1 END AS follows FROM lineitem),
+      one AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY l_orderkey, k ORDER BY 'F' || l_partkey, tokens) = 1),
+      reached AS (SELECT l_orderkey, k, follows FROM one WHERE k = 3 AND l_orderkey % 3 = 0 UNION SELECT n.l_orderkey, n.k, n.follows FROM reached r JOIN one n ON n.l_orderkey = r.l_orderkey AND n.k = r.follows)
+      SELECT 'O' || l_orderkey AS pr_key, 'L' || k AS item_id, CASE WHEN r.k IS NULL THEN 'dropped' ELSE 'included' END AS status, tokens FROM one LEFT JOIN reached r USING (l_orderkey, k)""",
+    "java_types": """WITH s AS (SELECT s_suppkey AS k, 'S' || s_suppkey || '.java' AS path, s_suppkey % 6 AS shape FROM supplier)
+      SELECT path, 'type' AS row, 'a.b' || k || '.K' || k AS fqn, 'CLASS' AS kind, 'x.Base' AS super_class, 'a.b' || k || '.Runnable,y.Other' AS interfaces FROM s WHERE shape = 0
+      UNION ALL SELECT path, 'type', 'a.b' || k || '.I' || k, 'INTERFACE', 'a.b' || k || '.Left', '' FROM s WHERE shape = 1
+      UNION ALL SELECT path, 'type', 'E' || k, 'ENUM', NULL, '' FROM s WHERE shape = 2
+      UNION ALL SELECT path, 'type', 'r.R' || k, 'RECORD', NULL, '' FROM s WHERE shape = 3
+      UNION ALL SELECT path, 'type', 'n.Outer' || k, 'CLASS', NULL, '' FROM s WHERE shape = 4
+      UNION ALL SELECT path, 'type', 'n.Outer' || k || '.Inner', 'CLASS', NULL, '' FROM s WHERE shape = 4
+      UNION ALL SELECT path, 'type', 'n.Outer' || k || '.Mark', 'ANNOTATION', NULL, '' FROM s WHERE shape = 4
+      UNION ALL SELECT path, 'failure', NULL, NULL, NULL, NULL FROM s WHERE shape = 5""",
+    "java_shape_methods": """WITH s AS (SELECT s_suppkey AS k, 'S' || s_suppkey || '.java' AS path, s_suppkey % 6 AS shape FROM supplier)
+      SELECT path, 'a.b' || k || '.K' || k AS fqn, 'run()' AS signature, 10 AS start_line, 10 AS end_line FROM s WHERE shape = 0
+      UNION ALL SELECT path, 'a.b' || k || '.I' || k, unnest(['one(String,int...)', 'two()']), unnest([4, 5]), unnest([4, 5]) FROM s WHERE shape = 1
+      UNION ALL SELECT path, 'E' || k, 'v()', 4, 4 FROM s WHERE shape = 2
+      UNION ALL SELECT path, 'r.R' || k, 'compareTo(R' || k || ')', 4, 4 FROM s WHERE shape = 3
+      UNION ALL SELECT path, 'n.Outer' || k || '.Inner', 'pick(java.util.Map<String,T>,T[])', 4, 4 FROM s WHERE shape = 4
+      UNION ALL SELECT path, 'n.Outer' || k || '.Mark', 'value()', 6, 6 FROM s WHERE shape = 4""",
+    "java_shape_calls": """WITH s AS (SELECT s_suppkey AS k, 'S' || s_suppkey || '.java' AS path, s_suppkey % 6 AS shape FROM supplier)
+      SELECT path, 'a.b' || k || '.K' || k AS fqn, CAST(NULL AS VARCHAR) AS enclosing_method, '' AS receiver, 'init' AS name, 0 AS arity, 8 AS line FROM s WHERE shape = 0
+      UNION ALL SELECT path, 'a.b' || k || '.K' || k, 'run', '', 'go', 2, 10 FROM s WHERE shape = 0
+      UNION ALL SELECT path, 'a.b' || k || '.I' || k, 'two', '', 'one', 2, 5 FROM s WHERE shape = 1
+      UNION ALL SELECT path, 'r.R' || k, CAST(NULL AS VARCHAR), '', 'check', 1, 3 FROM s WHERE shape = 3
+      UNION ALL SELECT path, 'r.R' || k, 'compareTo', 'Integer', 'compare', 2, 4 FROM s WHERE shape = 3""",
+    "plan_overview": f"""WITH {FILES}, n AS (SELECT *, ends_with(path, '.java') AS java, coalesce(regexp_replace(content, '/[*].*?[*]/|//[^\\n]*', '', 'gs'), '') AS code FROM files), a AS (SELECT *, java AND change_type != 'DELETE' AS head, doc_id % 12 = 4 AS bare, doc_id % 12 != 4 AND doc_id % 17 = 3 AS odd FROM n)
+      SELECT pr_key, 'READY' AS status, count(*) AS n_files, CAST(sum(CASE WHEN bare THEN 0 ELSE (n_lines + 1) // 3 END) AS BIGINT) AS additions, CASE WHEN bool_or(bare OR odd) THEN 'PARTIAL' ELSE 'COMPLETE' END AS patch, 'COMPLETE' AS head_snapshot, 'COMPLETE' AS merge_base_files,
+        CASE WHEN count(*) FILTER (head) = 0 THEN 1.0 ELSE count(*) FILTER (head AND NOT regexp_matches(code, '[^\\s;]')) / count(*) FILTER (head) END AS ast_coverage,
+        count(*) FILTER (bare) AS missing_patches, count(*) FILTER (odd) AS parse_failures, count(*) FILTER (doc_id % 12 IN (3, 8, 10)) AS sensitive_skipped FROM a GROUP BY pr_key""",
 }

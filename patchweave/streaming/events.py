@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +13,17 @@ ACTIONS = ("opened", "reopened", "synchronize")
 PAYLOAD = "action string, installation struct<id:string>, repository struct<owner:struct<login:string>,name:string>, pull_request struct<number:string>"
 
 
-def verify_signature(payload: Column, signature: Column, secret: str) -> Column:
-    """Whether the signature is ``sha256=`` and the payload's HMAC in hex; false for nulls. Spark has no HMAC of its own."""
-    def check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for bodies, given in batches:
-            yield pd.Series([b is not None and s is not None and hmac.compare_digest("sha256=" + hmac.new(secret.encode(), b.encode(), hashlib.sha256).hexdigest(), s) for b, s in zip(bodies, given, strict=True)], dtype=bool)
+def hmac_sha256(message: Column, secret: str) -> Column:
+    """The message's HMAC in hex; null for a null message."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
 
-    return F.pandas_udf(check, "boolean")(payload, signature)
+def verify_signature(payload: Column, signature: Column, secret: str) -> Column:
+    """Whether the signature is ``sha256=`` and the payload's HMAC in hex; false for nulls."""
+    return F.coalesce(signature == F.concat(F.lit("sha256="), hmac_sha256(payload, secret)), F.lit(False))
 
 
 def http_status(raw: DataFrame, secret: str | None) -> DataFrame:

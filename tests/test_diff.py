@@ -6,18 +6,35 @@ from hypothesis import strategies as st
 
 from patchweave.operators import diff
 
+def hunk(old_at, new_at, marks, short=False, end="\n"):
+    """A hunk of lines with the marks given, and what its lines should be read as; counts of one are left out if ``short``."""
+    olds, news = sum(m != "+" for m in marks), sum(m != "-" for m in marks)
+    count = lambda n: "" if short and n == 1 else f",{n}"
+    lines, read, old, new = [f"@@ -{old_at}{count(olds)} +{new_at}{count(news)} @@"], [], old_at, new_at
+    for k, mark in enumerate(marks):
+        lines.append(f"{mark}w{k}")
+        read.append(({" ": "CONTEXT", "+": "ADDED", "-": "REMOVED"}[mark], old if mark != "+" else None, new if mark != "-" else None))
+        old, new = old + (mark != "+"), new + (mark != "-")
+    return end.join(lines), read
+
+
+def sound(*hunks):
+    return "\n".join(text for text, _ in hunks), [line for _, read in hunks for line in read], None
+
+
+NOTE = "\\ No newline at end of file"
 CASES = {
-    "simple": ("@@ -1,4 +1,5 @@\n line1\n-line2\n+line2 changed\n line3\n line4\n+line5 added", [("CONTEXT", 1, 1), ("REMOVED", 2, None), ("ADDED", None, 2), ("CONTEXT", 3, 3), ("CONTEXT", 4, 4), ("ADDED", None, 5)], None),
-    "absent counts": ("@@ -2 +2 @@\n-b\n+B\n@@ -7 +7 @@\n-g\n+G", [("REMOVED", 2, None), ("ADDED", None, 2), ("REMOVED", 7, None), ("ADDED", None, 7)], None),
-    "new file": ("@@ -0,0 +1,3 @@\n+package x;\n+\n+class A {}", [("ADDED", None, 1), ("ADDED", None, 2), ("ADDED", None, 3)], None),
-    "deleted file": ("@@ -1,2 +0,0 @@\n-package x;\n-class A {}", [("REMOVED", 1, None), ("REMOVED", 2, None)], None),
-    "markers": ("@@ -1 +1 @@\n-a\n\\ No newline at end of file\n+b\n\\ No newline at end of file", [("REMOVED", 1, None), ("ADDED", None, 1)], None),
-    "returns": ("@@ -1 +1 @@\r\n-old line\r\n+new line\r\n", [("REMOVED", 1, None), ("ADDED", None, 1)], None),
-    "preamble": ("index 1..2\n--- a/f.txt\n+++ b/f.txt\n@@ -1 +1 @@\n-a\n+b", [("REMOVED", 1, None), ("ADDED", None, 1)], None),
-    "bad count": ("@@ -1,2 +1,1 @@\n-a\n+b", [], "count mismatch"),
-    "bad line": ("@@ -1 +1 @@\n?not-a-diff-line", [], "bad line"),
-    "bad header": ("@@ nonsense @@\n a", [], "bad header"),
-    "overflow": ("@@ -99999999999 +1 @@\n-a\n+b", [], "bad header"),
+    "mixed": sound(hunk(4, 9, " -+ -++ ")),
+    "absent counts": sound(hunk(3, 3, "-+", short=True), hunk(40, 40, "+-", short=True)),
+    "only added": sound(hunk(0, 1, "++++")),
+    "only removed": sound(hunk(1, 0, "---")),
+    "markers": (hunk(6, 6, "-")[0].replace("+6,0", "+6,1") + f"\n{NOTE}\n+z\n{NOTE}", [("REMOVED", 6, None), ("ADDED", None, 6)], None),
+    "returns": sound(hunk(8, 8, "-+ ", end="\r\n")),
+    "preamble": ("index 1..2\n--- a/q\n+++ b/q\n" + hunk(5, 5, " +")[0], hunk(5, 5, " +")[1], None),
+    "bad count": (hunk(5, 5, "-+ ")[0].replace("-5,2", "-5,3"), [], "count mismatch"),
+    "bad line": (hunk(5, 5, " ")[0].replace("\n w0", "\n*w0"), [], "bad line"),
+    "bad header": ("@@ -x +y @@\n a", [], "bad header"),
+    "overflow": (hunk(5, 5, "-+")[0].replace("-5,1", "-50000000000,1"), [], "bad header"),
     "empty": ("", [], None),
     "null": (None, [], None),
 }
@@ -40,12 +57,12 @@ def test_lines_and_errors(parsed):
 
 
 def test_carriage_return_is_stripped(parsed):
-    assert [r.content for r in diff.hunk_lines(parsed).where("path = 'returns'").orderBy("line_idx").collect()] == ["old line", "new line"]
+    assert [r.content for r in diff.hunk_lines(parsed).where("path = 'returns'").orderBy("line_idx").collect()] == ["w0", "w1", "w2"]
 
 
 def test_render_has_both_counts(parsed):
     rows = {(r.path, r.hunk_idx): r.rendered for r in diff.render_hunks(parsed).collect()}
-    assert rows["absent counts", 1] == "@@ -7,1 +7,1 @@\n-g\n+G"
+    assert rows["absent counts", 1] == "@@ -40,1 +40,1 @@\n+w0\n-w1"
 
 
 def test_annotate(spark):

@@ -1,4 +1,6 @@
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from patchweave.config import ReviewConfig
 from patchweave.functions.paths import category
 from patchweave.operators import freeze
-from patchweave.plans.pipeline import Tables, build_plans, plan_comment
+from patchweave.plans.pipeline import Tables, build_plans, head_snapshot, plan_comment
 
 A_OLD = "package com.x;\n\npublic class A {\n  void m() {\n    one();\n  }\n}\n"
 A_NEW = "package com.x;\n\npublic class A {\n  void m() {\n    one();\n    two();\n  }\n}\n"
@@ -35,8 +37,45 @@ def test_end_to_end(tables, tmp_path):
     text = {r.pr_key: r.comment for r in plan_comment(out["plans"]).collect()}
     assert "- `com.x.A#m()`" in text["o/r#42"] and "**1** callers" in text["o/r#42"] and "(+2 / -1)" in text["o/r#42"]
     freeze.freeze(out["plans"].drop("pr_key"), str(tmp_path / "store"))
-    build, known = freeze.reuse(out["plans"].select("pr_key", "context_id"), tables.revisions.sparkSession.read.parquet(str(tmp_path / "store")))
-    assert build.count() == 0 and known.count() == 2
+    store = tables.revisions.sparkSession.read.parquet(str(tmp_path / "store"))
+    again = build_plans(tables, ReviewConfig(), whole_snapshot=True, store=store.where(F.col("context_id") == plans["o/r#42"].context_id))
+    assert {(r.pr_key, r.status) for r in again["results"].collect()} == {("o/r#42", "REUSED"), ("o/r#43", "READY")}
+    assert {r.pr_key for r in again["items"].collect()} == {"o/r#43"}
+    assert {r.pr_key: r.plan_json for r in again["plans"].collect()} == {k: r.plan_json for k, r in plans.items()}
+    plan, other = (json.loads(plans[k].plan_json) for k in ("o/r#42", "o/r#43"))
+    assert plan["capabilities"] == {"patch": "COMPLETE", "headSnapshot": "COMPLETE", "mergeBaseFiles": "COMPLETE", "astCoverage": 1.0, "symbolRecall": "ENABLED", "lexicalRecall": "DISABLED_BY_CONFIG", "coChange": "DISABLED_BY_CONFIG"}
+    assert other["capabilities"]["patch"] == "PARTIAL" and other["slices"] == [{"slice_no": 1, "theme": "root", "tokens": 3, "budget": 9000}]
+    assert plan["summary"]["themes"] == ["conf", "src/main/java/com/x"] and json.loads(plans["o/r#42"].diagnostics) == {"missingPatches": 0, "parseFailures": 0, "sensitiveSkipped": 1, "edgeCount": 2}
+    prompts = {(r.pr_key, r.slice_no): r.prompt for r in out["requests"].collect()}
+    assert "+    6 |     two();" in prompts["o/r#42", 2] and "hunter" not in "".join(prompts.values()) and "CALLER#src/main/java/com/y/Caller.java#8" in prompts["o/r#42", 2]
+    assert "AST coverage: 100%" in text["o/r#42"] and "head: COMPLETE" in text["o/r#42"]
+
+
+def test_a_fault_stays_with_its_change(tables):
+    """A change without a revision is skipped, one without files has an empty slice, and the others are built."""
+    spark = tables.revisions.sparkSession
+    lost = tables.files.limit(1).withColumn("pr_key", F.lit("o/r#99"))
+    bare = spark.createDataFrame([("o/r#50", "o/r", 50, "m", "none"), ("o/r#51", "o/r", 51, "m", None)], tables.revisions.schema)
+    out = build_plans(Tables(tables.revisions.union(bare), tables.files.union(lost), tables.snapshot, tables.base))
+    assert {(r.pr_key, r.status) for r in out["results"].collect()} == {("o/r#42", "READY"), ("o/r#43", "READY"), ("o/r#50", "READY"), ("o/r#51", "SKIPPED"), ("o/r#99", "SKIPPED")}
+    plan = json.loads(out["plans"].where("pr_key = 'o/r#50'").first().plan_json)
+    assert plan["slices"] == [{"slice_no": 1, "theme": "misc", "tokens": 0, "budget": 9000}] and plan["capabilities"]["headSnapshot"] == "MISSING" and plan["capabilities"]["astCoverage"] == 1.0
+
+
+def test_snapshots_from_archives(tables):
+    """A sound archive is the head; a broken one, or none, leaves the files that were read one by one, and the plan says so."""
+    spark = tables.revisions.sparkSession
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for r in tables.snapshot.collect():
+            archive.writestr(f"r-head999/{r.path}", r.content)
+    zips = lambda content: spark.createDataFrame([("o/r", "head999", content)], "repo string, sha string, content binary")
+    whole = head_snapshot(tables.revisions, zips(buffer.getvalue()), tables.snapshot)
+    assert {(r.path, r.content, r.kind) for r in whole.collect()} == {(r.path, r.content, "ARCHIVE") for r in tables.snapshot.collect()}
+    lazy = head_snapshot(tables.revisions, zips(b"no zip"), tables.snapshot.where("path LIKE '%A.java'"))
+    assert [(r.path, r.kind) for r in lazy.collect()] == [("src/main/java/com/x/A.java", "CONTENTS_LAZY")]
+    out = build_plans(Tables(tables.revisions, tables.files, lazy, tables.base))
+    assert {json.loads(r.plan_json)["capabilities"]["headSnapshot"] for r in out["plans"].collect()} == {"PARTIAL"}
 
 
 def test_plans_do_not_depend_on_row_order(tables):

@@ -1,6 +1,9 @@
 import itertools
 import json
+import random
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from patchweave.config import ReviewConfig
@@ -16,10 +19,51 @@ def _slices(spark, required, edges, budget):
     return [got[k] for k in sorted(got)]
 
 
-def test_slices(spark):
-    assert _slices(spark, [("a/Foo", 1), ("b/Bar", 1)], [("a/Foo", "b/Bar")], 99) == [{"a/Foo", "b/Bar"}]
-    assert _slices(spark, [("a/Foo", 1), ("a/Bar", 1), ("b/Baz", 1)], [], 99) == [{"a/Foo", "a/Bar"}, {"b/Baz"}]
-    assert _slices(spark, [("a/Foo", 100), ("b/Bar", 100)], [("a/Foo", "b/Bar")], 150) == [{"a/Foo"}, {"b/Bar"}]
+def brute_slices(required, edges, budget):
+    """Slices by the rules: search from each path, folders for single paths, and groups over the budget path by path."""
+    tokens = Counter()
+    for path, n in required:
+        tokens[path] += n
+    near = {p: {b for a, b in edges if a == p} | {a for a, b in edges if b == p} for p in tokens}
+    groups, seen = {}, set()
+    for path in sorted(tokens):
+        if path in seen:
+            continue
+        found, queue = set(), [path]
+        while queue:
+            at = queue.pop()
+            if at not in found and at in tokens:
+                found.add(at)
+                queue += near[at]
+        seen |= found
+        key = ("root", path) if len(found) > 1 else ("dir", path.rpartition("/")[0])
+        groups.setdefault(key, set()).update(found)
+    apart = [g for g in groups.values() if len(g) > 1 and sum(tokens[p] for p in g) > budget]
+    return sorted([g for g in groups.values() if g not in apart] + [{p} for g in apart for p in g], key=min)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 3])
+def test_slices_against_brute_force(spark, monkeypatch, held):
+    """Random graphs, several changes at a time; with a small union-find the trees of a task have to be joined by the rounds."""
+    monkeypatch.setattr(slicing, "FOREST_PATHS", held)
+    rng, want, required, edges = random.Random(7), {}, [], []
+    for k in range(12):
+        names = [f"{rng.choice('abc')}/{rng.choice('xyz')}{j}" for j in range(rng.randint(1, 30))]
+        own = [(rng.choice(names), rng.randint(1, 30)) for _ in range(2 * len(names))]
+        links = [(rng.choice(names), rng.choice([*names, "gone/1"])) for _ in range(rng.randint(0, len(names)))]
+        want[f"c{k}"] = brute_slices(own, links, 200)
+        required += [(f"c{k}", *r) for r in own]
+        edges += [(f"c{k}", *e) for e in links]
+    r = spark.createDataFrame(required, "pr_key string, path string, tokens int")
+    e = spark.createDataFrame(edges, "pr_key string, from_path string, to_path string").repartition(3)
+    got = defaultdict(lambda: defaultdict(set))
+    for row in slicing.slice_paths(r, e, 200).collect():
+        got[row.pr_key][row.slice_no].add(row.path)
+    assert {c: [g[n] for n in sorted(g)] for c, g in got.items()} == want
+    assert {len(w) for w in want.values()} != {1}
+
+
+def test_slices_of_chains_and_nothing(spark):
     assert _slices(spark, [], [], 9) == []
     chain = [(f"n{k:02}/f", 1) for k in range(40)]
     assert _slices(spark, chain, [(a[0], b[0]) for a, b in itertools.pairwise(chain)], 99) == [{c[0] for c in chain}]
@@ -47,8 +91,6 @@ def test_pack_cases():
 
 
 def test_greedy_agrees_with_the_general_walk():
-    import random
-
     random.seed(3)
     for _ in range(200):
         rows = [_row(f"i{k}", f"p{random.randint(0, 3)}", random.randint(0, 9), random.random(), random.random() < 0.2) for k in range(8)]
@@ -58,6 +100,52 @@ def test_greedy_agrees_with_the_general_walk():
         assert plain == general
 
 
+def test_general_walk_against_brute_force():
+    """Each time the best offer of all that fit, worked out anew, as the rule says."""
+    def brute(rows, budget):
+        items = {}
+        for r in rows:
+            items.setdefault(r["item_id"], r)
+        rank = {i: k for k, i in enumerate(sorted(items, key=lambda i: (items[i]["path"], i)))}
+        taken, used = [], 0
+
+        def closure(i, found):
+            if i in items and i not in found and i not in taken:
+                found.add(i)
+                for r in items[i]["requires"]:
+                    closure(r, found)
+            return found
+
+        def take(i):
+            new = sorted(closure(i, set()), key=rank.get)
+            taken.extend(new)
+            return sum(items[j]["tokens"] for j in new)
+
+        for i in sorted(items, key=rank.get):
+            if items[i]["required"] and i not in taken:
+                used += take(i)
+        while True:
+            offers = []
+            for i in sorted(items, key=rank.get):
+                if not items[i]["required"] and i not in taken:
+                    parts = sorted(closure(i, set()), key=rank.get)
+                    cost = sum(items[j]["tokens"] for j in parts) or 1
+                    if used + cost <= budget:
+                        offers.append((-sum(items[j]["value"] for j in parts) / cost, rank[i], i))
+            if not offers:
+                return taken, [i for i in sorted(items, key=rank.get) if not items[i]["required"] and i not in taken]
+            used += take(min(offers)[2])
+
+    rng = random.Random(5)
+    for _ in range(400):
+        n = rng.randint(1, 12)
+        rows = [_row(f"i{k}", f"p{rng.randint(0, 3)}", rng.randint(0, 9), rng.choice((0.25, 0.5, 1.0, 2.0)), rng.random() < 0.15, [f"i{rng.randint(0, n)}" for _ in range(rng.choice((0, 0, 1, 2)))]) for k in range(n)]
+        budget = rng.randint(0, 40)
+        assert packing.pack_slice(rows, budget) == brute(rows, budget)
+    many = [_row(f"i{k}", "p", 3, k % 17, False, [f"i{k - k % 10}"]) for k in range(20_000)]
+    assert len(packing.pack_slice(many, 30_000)[0]) == 10_000
+
+
 def test_pack_frame(spark):
     rows = [("p", 1, "a", "f", None, 5, False, [], 1.0), ("p", 1, "b", "f", 3, 5, False, [], 2.0), ("q", 1, "c", "f", 3, 5, True, [], 0.0)]
     df = spark.createDataFrame(rows, "pr_key string, slice_no int, item_id string, path string, start_line int, tokens int, required boolean, requires array<string>, value double")
