@@ -3,13 +3,14 @@
 1. Each text becomes a set of word shingles, a signature and a key for each band. Equal sets become one class.
 2. In every bucket (classes that share a band key) each class is paired with two centres of the bucket. That is linear in
    the bucket's size. Pairs that the signatures cannot rule out are verified on the full sets, and links are grouped.
-3. Buckets that then still hold several groups are open: there may be links between groups that miss both centres. An open bucket
-   of at most BLOCK classes is searched in one task. First the sketches alone say which classes have a possible partner in
-   another group; the texts of those only are fetched and compared on the full sets, and only links that join groups leave the task.
-   Pairs within a group need no look: they cannot change it.
-4. The classes of larger open buckets get keys of more places of the sketch (LEVELS), so that the buckets fall apart, and steps 2 and 3
-   are repeated on these. That is linear in the bucket. What is open and larger than a block even then is dealt out in pairs of blocks,
-   as sketches and without texts, so that no link is left out there either.
+3. Buckets that then still hold several groups are open: there may be links between groups that miss both centres. Pairs within a
+   group need no look: they cannot change it. So the classes outside the largest group of a bucket, its strangers, are compared with each
+   other and with the largest group, in pairs of blocks. Up to MOST_BLOCKS blocks of strangers that is linear in the bucket.
+   First the sketches alone say which classes have a possible partner; the texts of those only are fetched and compared on the full sets,
+   and only links that join groups leave the task.
+4. The classes of open buckets with more strangers get keys of more places of the sketch (LEVELS), so that the buckets fall apart, and
+   steps 2 and 3 are repeated on these. What has more strangers even then is dealt out in pairs of blocks all the same, as sketches and
+   without texts, so that no link is left out there either.
 
 So the many pairs of a large group of copies are never formed.
 """
@@ -17,6 +18,7 @@ So the many pairs of a large group of copies are never formed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ SIZE, BANDS, PERCENT = 112, 28, 80
 RULED_OUT = 0.6
 #: Classes of a bucket that one task compares at a time, and ids that are broadcast at most.
 BLOCK, BROADCAST_IDS = 512, 1_000_000
-#: (places of a key, keys) for the classes of large open buckets: a pair of similarity 0.8 shares none of the 256 keys with a
+#: Blocks of strangers that a bucket is searched in at most before its classes get longer keys; so a class is dealt to so many blocks.
+MOST_BLOCKS = 16
+#: (places of a key, keys) for the classes of larger open buckets: a pair of similarity 0.8 shares none of the 256 keys with a
 #: probability of 5e-7, and a given key of two texts of similarity 0.5 is equal with one of 0.004, against 0.06 for a band.
 LEVELS = ((8, 256),)
 #: Bytes of shingle sets that a comparing task remembers.
@@ -100,6 +104,7 @@ def _linked(width: int, percent: int):
     return kept
 
 
+@lru_cache(maxsize=8)
 def _places(level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of the sketch that each key of a level takes, (keys, places), and an odd factor for each."""
     places, keys = LEVELS[level]
@@ -111,9 +116,9 @@ def _places(level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _level_keys(sketch: np.ndarray, at: np.ndarray, factor: np.ndarray) -> np.ndarray:
     """The keys of a level for each row of sketches, as signed integers."""
     keys = np.empty((len(sketch), len(at)), np.uint64)
-    for k in range(len(at)):  # a key at a time, so that memory follows rows and not rows times places
-        keys[:, k] = shingles.mix(((sketch[:, at[k]].astype(np.uint64) + np.uint64(1)) * factor[k]).sum(axis=1) + np.uint64(k))
-    return keys.view(np.int64)
+    for k in range(0, len(sketch), 64):  # some rows at a time, so that memory does not follow rows times places
+        keys[k : k + 64] = ((sketch[k : k + 64][:, at].astype(np.uint64) + np.uint64(1)) * factor).sum(axis=2)
+    return shingles.mix(keys + np.arange(len(at), dtype=np.uint64)).view(np.int64)
 
 
 def _keyed(level: int, size: int):
@@ -218,17 +223,22 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Data
 
 
 def _open(members: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(bucket, rep, n_shingles, component, n, lo, hi) of the buckets of members (bucket, rep, n_shingles) that hold several groups.
+    """(bucket, rep, n_shingles, component, n, main, strangers, lo, hi) of the buckets of members (bucket, rep, n_shingles) that hold
+    several groups.
 
-    ``lo`` and ``hi`` are centres of different groups; ``n`` counts the classes of the bucket.
+    ``lo`` and ``hi`` are centres of different groups; ``n`` counts the classes of the bucket, ``main`` is the bucket's largest group, and
+    ``strangers`` counts the classes outside it.
     """
     if groups is None:
         labelled = members.withColumn("component", F.col("rep"))
     else:
         labelled = members.join(groups, members["rep"] == groups["node"], "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     m = F.struct(F.xxhash64("component").alias("group"), F.xxhash64("rep").alias("rank"), "component", "rep", "n_shingles")
-    buckets = labelled.groupBy("bucket").agg(F.min(m).alias("lo"), F.max(m).alias("hi"), F.count("*").alias("n")).where("lo.component != hi.component")
-    return labelled.join(buckets, "bucket").select("bucket", "rep", "n_shingles", "component", "n", "lo", "hi")
+    sizes = labelled.groupBy("bucket", "component").agg(F.min(m).alias("lo"), F.max(m).alias("hi"), F.count("*").alias("n"))
+    largest = F.max(F.struct("n", (-F.col("component")).alias("less")))
+    buckets = sizes.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), largest.alias("largest")).where("lo.component != hi.component")
+    buckets = buckets.select("bucket", "lo", "hi", "n", (-F.col("largest.less")).alias("main"), (F.col("n") - F.col("largest.n")).alias("strangers"))
+    return labelled.join(buckets, "bucket").select("bucket", "rep", "n_shingles", "component", "n", "main", "strangers", "lo", "hi")
 
 
 def _centre_pairs(opened: DataFrame, percent: int) -> DataFrame:
@@ -247,10 +257,20 @@ def _likely(classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
 
 
 def _dealt(opened: DataFrame) -> DataFrame:
-    """(bucket, rep, component, part, left, right): the classes of a bucket in blocks, each block with itself and with each other one."""
-    blocks = F.ceil(F.col("n") / BLOCK)
-    inside = opened.select("bucket", "rep", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "bucket"), blocks).alias("part"))
-    return inside.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(
+    """(bucket, rep, component, part, left, right): the classes of a bucket in blocks, and the pairs of blocks that each is dealt to.
+
+    Blocks of strangers meet themselves, each other and the blocks of the largest group, which are numbered after them. A bucket
+    of at most BLOCK classes is one block.
+    """
+    whole = F.col("n") <= BLOCK
+    outer = F.when(whole, 1).otherwise(F.ceil(F.col("strangers") / BLOCK)).cast("long")
+    inner = F.when(whole, 0).otherwise(F.ceil((F.col("n") - F.col("strangers")) / BLOCK)).cast("long")
+    place, inside = F.xxhash64("rep", "bucket"), ~whole & (F.col("component") == F.col("main"))
+    blocks = opened.select("bucket", "rep", "component", outer.alias("outer"), inner.alias("inner"), inside.alias("inside"), place.alias("place"))
+    blocks = blocks.select("bucket", "rep", "component", "outer", "inner", "inside", F.when(F.col("inside"), F.col("outer") + F.pmod("place", F.greatest("inner", F.lit(1)))).otherwise(F.pmod("place", "outer")).alias("part"))
+    # a stranger goes to all blocks, one of the largest group to the strangers' blocks
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    return blocks.select("*", F.explode(others).alias("k")).select(
         "bucket", "rep", "component", "part", F.least("part", "k").alias("left"), F.greatest("part", "k").alias("right"))
 
 
@@ -292,8 +312,8 @@ def near_duplicates(docs: DataFrame, width: int = shingles.SHINGLE, percent: int
         discard(opened)
         following = 0 if level is None else level + 1
         last = following == len(LEVELS)
-        found = found.unionByName(_search(docs, classes, left if last else left.where(F.col("n") <= BLOCK), level, width, percent, size))
-        large = left.where(F.col("n") > BLOCK).select("rep").distinct()
+        found = found.unionByName(_search(docs, classes, left if last else left.where(F.col("strangers") <= MOST_BLOCKS * BLOCK), level, width, percent, size))
+        large = left.where(F.col("strangers") > MOST_BLOCKS * BLOCK).select("rep").distinct()
         if last or large.isEmpty():
             break
         groups, level = materialize(connected_components(found), "groups"), following

@@ -95,6 +95,7 @@ def test_blocks_of_a_large_bucket(docs_of, monkeypatch):
 def test_rows_of_a_bucket_grow_with_it(docs_of, monkeypatch):
     """A family of texts that share half their shingles, so that most of them meet in every bucket: twice the texts, twice the rows."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "MOST_BLOCKS", 1)
     counts, dealt, opened = [], near_dedup._dealt, near_dedup._open
     monkeypatch.setattr(near_dedup, "_dealt", lambda df: counts.append(dealt(df).count()) or dealt(df))
     monkeypatch.setattr(near_dedup, "_open", lambda members, groups: counts.append(members.count()) or opened(members, groups))
@@ -131,6 +132,24 @@ def test_keys_of_a_level():
     assert np.array_equal(same, (a[:, at] == b[:, at]).all(axis=2)) and same.any(axis=1).all() and not same.all()
 
 
+def test_strangers_of_a_large_group(docs_of, monkeypatch):
+    """Copies that all link to each other, and texts half like them: each stranger meets the whole group, whose own pairs are not formed."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng, rows, dealt = random.Random(2), [], near_dedup._dealt
+    monkeypatch.setattr(near_dedup, "_dealt", lambda df: rows.append((df.count(), dealt(df).count(), df.agg(F.max("strangers")).first()[0] or 0)) or dealt(df))
+    shared = [f"s{k}" for k in range(200)]
+    near = [(k, " ".join(shared[:195] + [f"a{k}"] + shared[195:])) for k in range(120)]
+    far = [(500 + k, " ".join(shared[:150] + [f"b{k}-{j}" for j in range(60)])) for k in range(5)]
+    chain = [(900 + k, " ".join(shared[12 * k :] + [f"c{j}" for j in range(12 * k)])) for k in range(8)]
+    pairs = near + far + chain
+    rng.shuffle(pairs)
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs_of(pairs)).collect()}
+    want = brute_force(pairs)
+    assert got == set(want.items()) and {want[900], want[901]} == {0} and want[500] == 500
+    opened, cells, strangers = map(sum, zip(*rows, strict=True))
+    assert strangers > 0 and cells < 4 * opened
+
+
 def test_edge_cases(docs_of):
     long = " ".join(f"x{k % 5000}" for k in range(60_000))
     pairs = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "ONE  two"), (5, "ONE  two"), (6, "one two three"), (7, long), (8, long + " end"), (9, "a b c d e f"), (9, long), (None, "one two"), (None, None), (10, "\u00a0"), (11, "é" * 50_000)]
