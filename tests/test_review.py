@@ -121,3 +121,13 @@ def test_stream(spark, tmp_path):
     raw = spark.readStream.schema("delivery string, payload string, received_at timestamp").parquet(source)
     events.start_stream(raw, lambda batch, _: seen.extend((r.pr_key, r.action) for r in batch.collect()), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(seen) == [("o/r#1", "synchronize"), ("o/r#3", "opened")]
+
+
+def test_messages_and_the_built_in_hmac(spark):
+    prompts = spark.createDataFrame([("p", 1, "ask")], "pr_key string, slice_no int, prompt string")
+    assert [tuple(m) for m in review.chat_messages(prompts).first().messages] == [("system", review.SYSTEM), ("user", "ask")]
+    payloads = ["", "x", "é😀", "y" * 5000, None]
+    df = spark.createDataFrame([(p,) for p in payloads], "payload string")
+    for secret in ("k", "ü" * 32, "long" * 17, "s" * 64):
+        want = [None if p is None else hmac.new(secret.encode(), p.encode(), hashlib.sha256).hexdigest() for p in payloads]
+        assert [r[0] for r in df.select(events.hmac_sha256(F.col("payload"), secret)).collect()] == want
