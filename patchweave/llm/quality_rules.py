@@ -202,7 +202,11 @@ def judge_documents(docs: DataFrame, rules: list[Rule], stats_col: str = "stats"
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the base rules and the learned list keep, with their columns."""
+    """The rows of ``docs`` that the base rules and the learned list keep, with their columns.
+
+    A null or empty text fails the base rules and goes. Repeated rows stay or go together; rows of null doc_id are judged by their text.
+    Without labels only the base rules judge. An empty table stays empty.
+    """
     stats, rule, kept = fresh(docs.columns, "stats", "rule", "kept")
     return judge_documents(docs, fit_rules(docs, labels)).where(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
