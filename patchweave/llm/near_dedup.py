@@ -234,10 +234,14 @@ def _open(members: DataFrame, groups: DataFrame | None) -> DataFrame:
     else:
         labelled = members.join(groups, members["rep"] == groups["node"], "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     m = F.struct(F.xxhash64("component").alias("group"), F.xxhash64("rep").alias("rank"), "component", "rep", "n_shingles")
-    sizes = labelled.groupBy("bucket", "component").agg(F.min(m).alias("lo"), F.max(m).alias("hi"), F.count("*").alias("n"))
-    largest = F.max(F.struct("n", (-F.col("component")).alias("less")))
-    buckets = sizes.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), largest.alias("largest")).where("lo.component != hi.component")
-    buckets = buckets.select("bucket", "lo", "hi", "n", (-F.col("largest.less")).alias("main"), (F.col("n") - F.col("largest.n")).alias("strangers"))
+    if groups is None:  # each class is a group of its own
+        buckets = labelled.groupBy("bucket").agg(F.min(m).alias("lo"), F.max(m).alias("hi"), F.count("*").alias("n")).where("n > 1")
+        buckets = buckets.select("bucket", "lo", "hi", "n", F.col("lo.component").alias("main"), (F.col("n") - 1).alias("strangers"))
+    else:
+        sizes = labelled.groupBy("bucket", "component").agg(F.min(m).alias("lo"), F.max(m).alias("hi"), F.count("*").alias("n"))
+        largest = F.max(F.struct("n", (-F.col("component")).alias("less")))
+        buckets = sizes.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), largest.alias("largest")).where("lo.component != hi.component")
+        buckets = buckets.select("bucket", "lo", "hi", "n", (-F.col("largest.less")).alias("main"), (F.col("n") - F.col("largest.n")).alias("strangers"))
     return labelled.join(buckets, "bucket").select("bucket", "rep", "n_shingles", "component", "n", "main", "strangers", "lo", "hi")
 
 
