@@ -47,6 +47,22 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("pr_key").agg(F.count("*").alias("n_findings"), count("CRITICAL").alias("critical"), count("WARNING").alias("warning"), count("SUGGESTION").alias("suggestion"))
 
 
+def review_comment(comments: DataFrame, totals: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pr_key, comment): plan comments with what the review found below them.
+
+    ``totals`` comes from ``review_totals`` and ``counts`` from ``severity_counts``; a change without totals was not reviewed.
+    """
+    # The texts of the comment.
+    met = comments.join(totals.select("pr_key", "available", "model", "prompt_tokens", "completion_tokens", "dropped"), "pr_key", "left").join(counts, "pr_key", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    found = F.when(F.coalesce("n_findings", F.lit(0)) == 0, "No issues found.\n").otherwise(
+        F.concat(F.lit("**"), number("n_findings"), F.lit("** findings (critical="), number("critical"), F.lit(", warning="), number("warning"), F.lit(", suggestion="), number("suggestion"), F.lit(")\n")))
+    dropped = F.when(F.col("dropped") > 0, F.concat(F.lit(" · dropped malformed findings: "), number("dropped"))).otherwise("")
+    reviewed = F.concat(F.lit("Model `"), F.coalesce("model", F.lit("")), F.lit("` · tokens: prompt="), number("prompt_tokens"), F.lit(", completion="), number("completion_tokens"), dropped, F.lit("\n"), found)
+    lost = F.lit("LLM review unavailable (service down or not configured); context summary only.\n")
+    return met.select("pr_key", F.concat("comment", F.lit("\n### LLM Review\n"), F.when(F.coalesce("available", F.lit(False)), reviewed).otherwise(lost)).alias("comment"))
+
+
 def method_list(symbols: DataFrame, most: int = 10) -> DataFrame:
     """(pr_key, methods): distinct ids in order, the first ``most`` and a mark if there are more. Only so many ids are gathered."""
     rank = F.row_number().over(Window.partitionBy("pr_key").orderBy("symbol_id"))

@@ -182,16 +182,27 @@ def review_requests(found: DataFrame, packed: DataFrame, identified: DataFrame)
                                             F.col("ref_end").alias("end_line"), "required", F.coalesce("annotated", "content").alias("content")))
 
 
-def plan_comment(plans: DataFrame) -> DataFrame:
-    """(pr_key, comment): a plan's headline as text."""
-    read = plans.select("pr_key", F.from_json("plan_json", "head string, policyVersion string, summary struct<n_files:bigint,additions:bigint,deletions:bigint,patch_state:string>, slices array<struct<slice_no:int>>, capabilities struct<headSnapshot:string,mergeBaseFiles:string,astCoverage:double>, items array<struct<slice_no:int,dropped:int,kind:string,symbol:string>>").alias("p"))
-    kept = F.filter("p.items", lambda i: i["dropped"] == 0)
+def plan_comment(plans: DataFrame, title: str = "") -> DataFrame:
+    """(pr_key, comment): a plan's headline as text, below a heading if there is a ``title``."""
+    # The texts of the comment.
+    schema = (
+        "head string, policyVersion string, summary struct<n_files:bigint,additions:bigint,deletions:bigint>, slices array<struct<slice_no:int>>, "
+        "capabilities struct<patch:string,headSnapshot:string,mergeBaseFiles:string,astCoverage:double>, items array<struct<dropped:int,kind:string,symbol:string>>"
+    )
+    read = plans.select("pr_key", F.from_json("plan_json", schema).alias("p"))
+    kept = F.filter(F.coalesce("p.items", F.array().cast("array<struct<dropped:int,kind:string,symbol:string>>")), lambda i: i["dropped"] == 0)
     count = lambda kind: F.size(F.filter(kept, lambda i: i["kind"] == kind)).cast("string")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     methods = F.array_sort(F.array_distinct(F.transform(F.filter(kept, lambda i: i["kind"] == "CHANGED_METHOD"), lambda i: i["symbol"])))
     listed = F.array_join(F.transform(F.slice(methods, 1, 10), lambda m: F.concat(F.lit("- `"), m, F.lit("`\n"))), "")
-    body = F.concat(F.lit("Context built for `"), F.left("p.head", F.lit(7)), F.lit("` · policy `"), F.col("p.policyVersion"), F.lit("` · slices: **"), F.size("p.slices").cast("string"),
-                    F.lit("**\n\nChanged files: **"), F.col("p.summary.n_files").cast("string"), F.lit("** (+"), F.col("p.summary.additions").cast("string"), F.lit(" / -"), F.col("p.summary.deletions").cast("string"), F.lit(")\n\n"),
-                    F.when(F.size(methods) > 0, F.concat(F.lit("Changed methods:\n"), listed, F.when(F.size(methods) > 10, F.lit("- …\n")).otherwise(""), F.lit("\n"))).otherwise(""),
-                    F.lit("Related context: **"), count("CALLER"), F.lit("** callers, **"), count("OVERRIDE"), F.lit("** overrides, **"), count("TEST"), F.lit("** test references\n\nPatch: "), F.col("p.summary.patch_state"), F.lit(" · head: "), F.col("p.capabilities.headSnapshot"), F.lit(" · merge base: "), F.col("p.capabilities.mergeBaseFiles"),
-                    F.lit(" · AST coverage: "), F.round(F.col("p.capabilities.astCoverage") * 100).cast("int").cast("string"), F.lit("%\n"))
+    share = F.floor(F.col("p.capabilities.astCoverage") * 100 + 0.5).cast("string")
+    body = F.concat(
+        F.lit(f"## {title}\n\n" if title else ""),
+        F.lit("Context built for `"), F.left("p.head", F.lit(7)), F.lit("` · policy `"), F.col("p.policyVersion"), F.lit("` · slices: **"), F.greatest(F.size("p.slices"), F.lit(0)).cast("string"),
+        F.lit("**\n\nChanged files: **"), number("p.summary.n_files"), F.lit("** (+"), number("p.summary.additions"), F.lit(" / -"), number("p.summary.deletions"), F.lit(")\n\n"),
+        F.when(F.size(methods) > 0, F.concat(F.lit("Changed methods:\n"), listed, F.when(F.size(methods) > 10, "- …\n").otherwise(""), F.lit("\n"))).otherwise(""),
+        F.lit("Related context: **"), count("CALLER"), F.lit("** callers, **"), count("OVERRIDE"), F.lit("** overrides, **"), count("TEST"), F.lit("** test references\n"),
+        F.lit("\nCapabilities: patch="), F.col("p.capabilities.patch"), F.lit(", snapshot="), F.col("p.capabilities.headSnapshot"), F.lit(", mergeBase="), F.col("p.capabilities.mergeBaseFiles"),
+        F.lit(", astCoverage="), share, F.lit("%\n"),
+    )
     return read.select("pr_key", body.alias("comment"))

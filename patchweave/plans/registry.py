@@ -248,6 +248,15 @@ def review_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review_totals(rows)
 
 
+def review_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reviewed changes, their line items of a larger quantity as findings."""
+    lines = domain.read(spark, sf_dir, "lineitem")
+    severity = F.expr("CASE l_returnflag WHEN 'R' THEN 'CRITICAL' WHEN 'A' THEN 'WARNING' ELSE 'SUGGESTION' END")
+    found = lines.where("l_quantity > 40").select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("pr_key"), severity.alias("severity"))
+    plans = domain.read(spark, sf_dir, "orders").selectExpr("concat('O', o_orderkey) AS pr_key", "concat('Plan of ', o_orderkey, '\n') AS comment")
+    return publish.review_comment(plans, review_totals(spark, sf_dir), publish.severity_counts(found))
+
+
 def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = domain.read(spark, sf_dir, "conversations").selectExpr(
         "cast(conv_id AS string) AS pr_key", "1 AS slice_no", f"'{domain.REPO}' AS repo", "conv_id AS pr_number", "'ctx' AS context_id", "turn AS pack_ord", "concat('TURN#', turn) AS item_id", "upper(role) AS kind", "'chat.txt' AS path",
@@ -395,7 +404,7 @@ _FUNCTIONS = (
     changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
     parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback,
     category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, java_shape_methods, java_shape_calls, bounded_texts, reviewer_answers, fallback_comments,
-    review_plans, plan_overview,
+    review_comments, review_plans, plan_overview,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -711,4 +720,13 @@ ORACLE_SQL = {
         GROUP BY pr_key)
       SELECT pr_key, chr(10) || chr(10) || '**Findings:**' || chr(10) || listed || coalesce(body, '') AS comment FROM lost LEFT
         JOIN bodies USING (pr_key)""",
+    "review_comments": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, l_returnflag != 'R' AS ok FROM lineitem),
+      t AS (SELECT l_orderkey, bool_or(ok) AS available, coalesce(arg_max('model-' || l_suppkey, k) FILTER (ok AND l_linestatus = 'F'), '') AS model, coalesce(sum(CAST(l_quantity AS INT)) FILTER (ok AND l_tax > 0), 0) AS asked,
+        coalesce(sum(l_linenumber) FILTER (ok), 0) AS answered, coalesce(sum(l_linenumber % 2 + l_linenumber % 3) FILTER (ok), 0) AS dropped, count(*) FILTER (l_quantity > 40) AS n,
+        count(*) FILTER (l_quantity > 40 AND l_returnflag = 'R') AS c, count(*) FILTER (l_quantity > 40 AND l_returnflag = 'A') AS w FROM r GROUP BY l_orderkey)
+      SELECT 'O' || o_orderkey AS pr_key, 'Plan of ' || o_orderkey || chr(10) || chr(10) || '### LLM Review' || chr(10) || CASE WHEN coalesce(available, false) THEN
+          'Model `' || model || '` · tokens: prompt=' || asked || ', completion=' || answered || CASE WHEN dropped > 0 THEN ' · dropped malformed findings: ' || dropped ELSE '' END || chr(10)
+          || CASE WHEN n = 0 THEN 'No issues found.' ELSE '**' || n || '** findings (critical=' || c || ', warning=' || w || ', suggestion=' || (n - c - w) || ')' END || chr(10)
+        ELSE 'LLM review unavailable (service down or not configured); context summary only.' || chr(10) END AS comment
+      FROM orders LEFT JOIN t ON l_orderkey = o_orderkey""",
 }

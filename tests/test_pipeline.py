@@ -48,7 +48,7 @@ def test_end_to_end(tables, tmp_path):
     assert plan["summary"]["themes"] == ["conf", "src/main/java/com/x"] and json.loads(plans["o/r#42"].diagnostics) == {"missingPatches": 0, "parseFailures": 0, "sensitiveSkipped": 1, "edgeCount": 2}
     prompts = {(r.pr_key, r.slice_no): r.prompt for r in out["requests"].collect()}
     assert "+    6 |     two();" in prompts["o/r#42", 2] and "hunter" not in "".join(prompts.values()) and "CALLER#src/main/java/com/y/Caller.java#8" in prompts["o/r#42", 2]
-    assert "AST coverage: 100%" in text["o/r#42"] and "head: COMPLETE" in text["o/r#42"]
+    assert text["o/r#42"].endswith("\nCapabilities: patch=COMPLETE, snapshot=COMPLETE, mergeBase=COMPLETE, astCoverage=100%\n")
 
 
 def test_a_fault_stays_with_its_change(tables):
@@ -59,6 +59,7 @@ def test_a_fault_stays_with_its_change(tables):
     out = build_plans(Tables(tables.revisions.union(bare), tables.files.union(lost), tables.snapshot, tables.base))
     assert {(r.pr_key, r.status) for r in out["results"].collect()} == {("o/r#42", "READY"), ("o/r#43", "READY"), ("o/r#50", "READY"), ("o/r#51", "SKIPPED"), ("o/r#99", "SKIPPED")}
     plan = json.loads(out["plans"].where("pr_key = 'o/r#50'").first().plan_json)
+    assert "slices: **1**\n\nChanged files: **0** (+0 / -0)\n\nRelated context: **0** callers" in plan_comment(out["plans"].where("pr_key = 'o/r#50'"), "Review").first().comment
     assert plan["slices"] == [{"slice_no": 1, "theme": "misc", "tokens": 0, "budget": 9000}] and plan["capabilities"]["headSnapshot"] == "MISSING" and plan["capabilities"]["astCoverage"] == 1.0
 
 
