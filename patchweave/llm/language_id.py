@@ -102,7 +102,8 @@ def fit_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     share = sample_rows // max(1, n_languages)
     # the hash leaves about twice the share of each language to be ranked, so no task gets all rows of a frequent one
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(1 << 31)
-    near = known.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("n") < 2 * share + 50).select("doc_id", "lang").distinct()
+    # sample_rows sizes at most
+    near = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(place * F.col("n") < 2 * share + 50).select("doc_id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     sample = near.withColumn("rank", rank).where(F.col("rank") <= share).select("doc_id", "lang")
 
