@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from patchweave.llm import bpe, chat_format, conversation_repair, decontaminate, language_id, near_dedup, pii, quality_rules, sharding, token_counts, url_filter
+from patchweave.llm import bpe, chat_format, conversation_repair, decontaminate, language_id, lexical_search, near_dedup, pii, quality_rules, sharding, token_counts, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op5_url_filter": url_filter.SQL,
     "op6_chat_format": chat_format.SQL,
     "op11_conversation_repair": conversation_repair.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
