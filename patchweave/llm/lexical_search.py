@@ -61,10 +61,10 @@ def _places(hashes: np.ndarray, level: int, width: int) -> np.ndarray:
         return np.stack([((h + np.uint64(k) * step) >> np.uint64(20)) & np.uint64(width - 1) for k in range(HASHES)]).astype(np.int64)
 
 
-def _block(docs: list[tuple]) -> dict:
+def _block(docs: list[tuple], bits_each: int) -> dict:
     """One block from (key, doc_id, length, hashes, occurrences) of documents."""
     entries = max(sum(int((tf >= level).sum()) for level in LEVELS) for *_, tf in docs)
-    width, n = 1 << max(6, (BITS * entries - 1).bit_length()), -(-len(docs) // 8) * 8
+    width, n = 1 << max(6, (bits_each * entries - 1).bit_length()), -(-len(docs) // 8) * 8
     bits = np.zeros((width, n), bool)
     at, hashes, tf = np.repeat(np.arange(len(docs)), [len(d[3]) for d in docs]), np.concatenate([d[3] for d in docs]), np.concatenate([d[4] for d in docs])
     for k, level in enumerate(LEVELS):
@@ -76,28 +76,31 @@ def _block(docs: list[tuple]) -> dict:
             "no_id": np.array([i is None for i in ids]).tobytes(), "lengths": np.array([d[2] for d in docs], np.int64).tobytes(), "slices": np.packbits(bits, axis=1).tobytes(), "terms": [], "counts": []}
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("kind", pa.string()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("width", pa.int32()), *((c, pa.binary()) for c in ("keys", "ids", "no_id", "lengths", "slices")), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))])
-    for batch in batches:
-        docs, lexicon, known = [], Counter(), {}
-        for key, doc_id, text in zip(batch["row_key"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            found = Counter(terms_of(text.as_py()))
-            if found:
-                new = [t for t in found if t not in known]
-                known.update(zip(new, _hashes(new).tolist(), strict=True))
-                lexicon.update(found.keys())
-                docs.append((key, doc_id, found.total(), np.fromiter((known[t] for t in found), np.uint64, len(found)), np.fromiter(found.values(), np.int64, len(found))))
-        docs.sort(key=lambda d: len(d[3]))
-        first = 0
-        while first < len(docs):
-            last = min(first + BLOCK, len(docs))
-            # filters are as wide as the largest document asks for, so long documents make small blocks
-            while last - first > 8 and (last - first) * 2 * BITS * len(LEVELS) * len(docs[last - 1][3]) > BLOCK_BITS:
-                last = first + (last - first) // 2
-            yield pa.RecordBatch.from_pylist([_block(docs[first:last])], schema)
-            first = last
-        if lexicon:
-            yield pa.RecordBatch.from_pylist([{"kind": "lexicon", "terms": list(lexicon), "counts": list(lexicon.values())}], schema)
+def _indexed(block: int, bits: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("kind", pa.string()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("width", pa.int32()), *((c, pa.binary()) for c in ("keys", "ids", "no_id", "lengths", "slices")), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))])
+        for batch in batches:
+            docs, lexicon, known = [], Counter(), {}
+            for key, doc_id, text in zip(batch["row_key"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                found = Counter(terms_of(text.as_py()))
+                if found:
+                    new = [t for t in found if t not in known]
+                    known.update(zip(new, _hashes(new).tolist(), strict=True))
+                    lexicon.update(found.keys())
+                    docs.append((key, doc_id, found.total(), np.fromiter((known[t] for t in found), np.uint64, len(found)), np.fromiter(found.values(), np.int64, len(found))))
+            docs.sort(key=lambda d: len(d[3]))
+            first = 0
+            while first < len(docs):
+                last = min(first + block, len(docs))
+                # filters are as wide as the largest document asks for, so long documents make small blocks
+                while last - first > 8 and (last - first) * 2 * bits * len(LEVELS) * len(docs[last - 1][3]) > BLOCK_BITS:
+                    last = first + (last - first) // 2
+                yield pa.RecordBatch.from_pylist([_block(docs[first:last], bits)], schema)
+                first = last
+            if lexicon:
+                yield pa.RecordBatch.from_pylist([{"kind": "lexicon", "terms": list(lexicon), "counts": list(lexicon.values())}], schema)
+
+    return made
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -105,13 +108,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
 
 
-def index_documents(docs: DataFrame) -> DataFrame:
+def index_documents(docs: DataFrame, block: int = BLOCK, bits: int = BITS) -> DataFrame:
     """The index of ``docs`` (doc_id, text), stored: rows of kind block, and rows of kind lexicon.
 
     It knows nothing of queries. One pass over the texts without a shuffle; a task holds an Arrow batch of documents. Documents without
     a term, null texts among them, are not in it.
     """
-    return materialize(_keyed(docs).mapInArrow(_indexed, _INDEX), "signatures")
+    return materialize(_keyed(docs).mapInArrow(_indexed(block, bits), _INDEX), "signatures")
 
 
 @dataclass

@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and SQL for those that SQL can express."""
 
-from patchweave.llm import bpe, chat_format, conversation_repair, decontaminate, language_id, lexical_search, near_dedup, pii, quality_rules, sharding, token_counts, url_filter
+from patchweave.llm import bpe, chat_format, conversation_repair, decontaminate, language_id, lexical_search, near_dedup, pii, quality_rules, sharding, token_counts, url_filter, vector_search
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_vector_search": vector_search.op13_vector_search,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_chat_format": chat_format.SQL,
     "op11_conversation_repair": conversation_repair.SQL,
     "op12_lexical_search": lexical_search.SQL,
+    "op13_vector_search": vector_search.SQL,
 }

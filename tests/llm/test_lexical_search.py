@@ -40,10 +40,10 @@ def test_ranks_equal_the_sql(tables, tmp_path):
 
 def test_small_blocks_wide_filters_and_parts_of_queries(tables, tmp_path, monkeypatch):
     docs, items = tables
-    for name, value in (("BLOCK", 16), ("BITS", 1), ("HASHES", 1), ("SEEDS", 3), ("QUERY_BYTES", 2000), ("BROADCAST_ROWS", 0)):
+    for name, value in (("SEEDS", 3), ("QUERY_BYTES", 2000), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(lexical, name, value)
     # filters of one bit for each entry exclude little, and the ranks are the same
-    got = lexical.search(lexical.index_documents(docs), docs, items)
+    got = lexical.search(lexical.index_documents(docs, block=16, bits=1), docs, items)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == by_sql(docs, items, tmp_path)
 
 
