@@ -79,11 +79,8 @@ def reuse(identified: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame
 def freeze(plans: DataFrame, path: str) -> None:
     """Appends the plans (context_id, plan_json) that the store does not have; running it twice changes nothing."""
     spark = plans.sparkSession
-    try:
-        known = spark.read.parquet(path).select("context_id")
-    except Exception as missing:  # the store begins with its first plan
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        known = plans.limit(0).select("context_id")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    begun = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    known = spark.read.parquet(path).select("context_id") if begun else plans.limit(0).select("context_id")
     new = plans.dropDuplicates(["context_id"]).join(known, "context_id", "left_anti")
     new.withColumn("shard", F.substring("context_id", 1, 2)).write.mode("append").partitionBy("shard").parquet(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 PACKED = "pr_key string, slice_no int, item_id string, status string, pack_ord int, tokens int"
 
 
-def _closure(item: str, items: dict, taken: set[str]) -> list[str]:
+def _closure(item: str, items: dict, taken: Container[str]) -> list[str]:
     """The item and all that it requires, directly or not, of what is not yet taken; unknown ids are ignored."""
     found, queue = {}, [item]
     while queue:
@@ -36,7 +36,7 @@ def pack_slice(rows: list[dict], budget: int) -> tuple[list[str], list[str]]:
     used = 0
 
     def take(item: str) -> int:
-        new = sorted(_closure(item, items, set(taken)), key=rank.__getitem__)
+        new = sorted(_closure(item, items, taken), key=rank.__getitem__)
         taken.update(dict.fromkeys(new))
         return sum(items[i]["tokens"] for i in new)
 
@@ -48,7 +48,7 @@ def pack_slice(rows: list[dict], budget: int) -> tuple[list[str], list[str]]:
     plain = not any(items[i]["requires"] for i in optional)
 
     def offer(item: str) -> tuple[float, int]:
-        closure = _closure(item, items, set(taken))
+        closure = _closure(item, items, taken)
         cost = sum(items[i]["tokens"] for i in closure) or 1
         return sum(items[i]["value"] for i in closure) / cost, cost
 
@@ -58,7 +58,7 @@ def pack_slice(rows: list[dict], budget: int) -> tuple[list[str], list[str]]:
                 used += take(item)
     else:
         # An offer changes only when something that it holds is taken, and an item that is too dear stays so until then.
-        holds = {i: set(_closure(i, items, set(taken))) for i in optional if i not in taken}
+        holds = {i: set(_closure(i, items, taken)) for i in optional if i not in taken}
         held_by: dict[str, list[str]] = {}
         for item, closure in holds.items():
             for member in closure:

@@ -88,18 +88,20 @@ def override_edges(symbols: DataFrame, types: DataFrame, methods: DataFrame) ->
     return first_edges(edges(up, PARENT, 1).unionByName(edges(down, IMPLEMENTOR, 2)))
 
 
-def convention_edges(files: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """TESTED_BY edges between a changed Java file and its counterpart by name, if the head snapshot has it.
+def convention_edges(files: DataFrame, heads: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """TESTED_BY edges between a changed Java file and its counterpart by name, if the head of its own change has that.
 
-    ``files`` has pr_key, repo, path and category; ``snapshot`` (repo, path).
+    ``files`` has pr_key, path and category; ``heads`` pr_key, repo and sha; ``snapshot`` repo, sha and path. Names are looked up by head,
+    so that changes with one head share its rows and changes of one repository do not see each other's.
     """
     java = files.where("path LIKE '%.java' AND category IN ('SOURCE', 'TEST')")
     stem = F.regexp_replace("path", r"\.java$", "")
     tests = F.array(*(F.concat(F.replace(stem, F.lit(MAIN), F.lit(TEST)), F.lit(f"{s}.java")) for s in SUFFIXES))
     cut = lambda s: F.replace(stem.substr(F.lit(1), F.length(stem) - len(s)), F.lit(TEST), F.lit(MAIN))
     mains = F.array(*(F.when(stem.endswith(s), F.concat(cut(s), F.lit(".java"))) for s in SUFFIXES))
-    named = java.select("pr_key", "repo", "path", "category", F.explode(F.when(F.col("category") == "SOURCE", tests).otherwise(mains)).alias("other")).where("other IS NOT NULL AND other != path")
-    found = named.join(snapshot.select("repo", F.col("path").alias("other")).distinct(), ["repo", "other"], "left_semi")
+    named = java.select("pr_key", "path", "category", F.explode(F.when(F.col("category") == "SOURCE", tests).otherwise(mains)).alias("other")).where("other IS NOT NULL AND other != path")
+    asked = named.join(heads.select("pr_key", "repo", "sha"), "pr_key")
+    found = asked.join(snapshot.select("repo", "sha", F.col("path").alias("other")), ["repo", "sha", "other"], "left_semi")
     is_source = F.col("category") == "SOURCE"
     return found.select("pr_key", F.lit("TESTED_BY").alias("edge_type"), F.when(is_source, F.col("other")).otherwise(F.col("path")).alias("from_path"), F.lit(None).cast("int").alias("from_line"), F.lit(None).cast("string").alias("from_symbol"),
                         F.lit("HEAD").alias("to_side"), F.when(is_source, F.col("path")).otherwise(F.col("other")).alias("to_path"), F.lit(None).cast("int").alias("to_line"), F.lit(None).cast("string").alias("to_symbol"),

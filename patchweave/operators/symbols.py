@@ -29,7 +29,7 @@ def locate_changed(methods: DataFrame, lines: DataFrame, files: DataFrame) -> Da
     HEAD: source files in Java, methods with an added or context line. MERGE_BASE: methods with a removed line at the previous path,
     and all methods of a deleted file. ``files`` has pr_key, path, previous_path, change_type and category.
     """
-    java = files.where("category = 'SOURCE' AND lower(path) LIKE '%.java'")
+    java = files.where("category = 'SOURCE' AND path LIKE '%.java'")
     old = F.coalesce("previous_path", "path")
     moved = lines.join(java.select("pr_key", "path", old.alias("old_path")), ["pr_key", "path"])
     head = touched_methods(methods.where("side = 'HEAD'"), changed_lines(moved).where("side = 'HEAD'"))

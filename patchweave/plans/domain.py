@@ -64,6 +64,18 @@ def patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                        category(F.col("path")).alias("category"), F.when(~binary, _patch(F.col("content"), F.col("doc_id"))).alias("patch"), lines(1).alias("additions"), lines(0).alias("deletions"), "content", "n_chars")
 
 
+def several_heads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, heads, snapshot): each change has a head of its own, with its undeleted files and some counterparts that others changed."""
+    files = patch_files(spark, sf_dir).select("pr_key", "repo", "path", "category", "change_type")
+    numbered = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.col("source").alias("sha"), F.expr(PATH).alias("path"))
+    mains, tests = numbered.where("d % 24 = 0"), numbered.where("d % 24 = 1")
+    pairs = mains.alias("m").join(tests.alias("t"), F.col("t.d") == F.col("m.d") + 1).where("m.sha != t.sha")
+    others = pairs.select("m.sha", "t.path").union(pairs.select("t.sha", "m.path"))
+    snapshot = files.where("change_type != 'DELETE'").select(F.col("pr_key").alias("sha"), "path").union(others).select(F.lit(REPO).alias("repo"), "sha", "path")
+    heads = files.select("pr_key").distinct().select("pr_key", F.lit(REPO).alias("repo"), F.col("pr_key").alias("sha"))
+    return files.drop("repo", "change_type"), heads, snapshot
+
+
 FQN = "concat('com.s', {0} % 40, '.S', {0})"
 CALL_PATH = "concat('src/', CASE WHEN {0} % 5 = 0 THEN 'test' ELSE 'main' END, '/java/com/s', {0} % 40, '/S', {0}, '.java')"
 

@@ -82,7 +82,7 @@ def source_contents(tables: Tables, whole_snapshot: bool = False) -> DataFrame:
     heads = tables.revisions.select("pr_key", "repo", F.col("head").alias("sha"))
     bases = tables.revisions.select("pr_key", "repo", F.col("merge_base").alias("sha"))
     head_paths, base_paths = needed_sources(tables.files)
-    head = heads.join(tables.snapshot.where("lower(path) LIKE '%.java'"), ["repo", "sha"]).select("pr_key", "path", "content")
+    head = heads.join(tables.snapshot.where("path LIKE '%.java'"), ["repo", "sha"]).select("pr_key", "path", "content")
     head = head if whole_snapshot else head.join(head_paths, ["pr_key", "path"], "left_semi")
     base = bases.join(tables.base, ["repo", "sha"]).select("pr_key", "path", "content").join(base_paths, ["pr_key", "path"], "left_semi")
     return head.select("pr_key", F.lit("HEAD").alias("side"), "path", "content").union(base.select("pr_key", F.lit("MERGE_BASE"), "path", "content"))
@@ -97,17 +97,17 @@ def recall_edges(changed: DataFrame, parsed: DataFrame, tables: Tables, config:
     if config.symbol_graph:
         channels += [recall.call_edges(changed, sites, types), recall.override_edges(changed, types, methods)]
     if config.conventions:
-        heads = tables.revisions.select("pr_key", F.col("head").alias("sha"))
-        with_repo = tables.files.join(tables.revisions.select("pr_key", "repo"), "pr_key") if "repo" not in tables.files.columns else tables.files
-        channels.append(recall.convention_edges(with_repo, tables.snapshot.join(heads, "sha", "left_semi").select("repo", "path")))
+        heads = tables.revisions.select("pr_key", "repo", F.col("head").alias("sha"))
+        channels.append(recall.convention_edges(tables.files, heads, tables.snapshot))
     if not channels:
         return recall.first_edges(recall.override_edges(changed.limit(0), types, methods).selectExpr("*", "0 AS sym_ord", "0 AS phase", "'' AS ord"))
     return items.all_items(*channels)
 
 
 def related(edges: DataFrame, code: DataFrame) -> DataFrame:
-    """Edges with ``edge_ord``, their place within the change, and ``from_end``, the last line of the method that they come from."""
-    ends = code.where("side = 'HEAD' AND row = 'method'").select("pr_key", F.col("path").alias("from_path"), F.concat("fqn", F.lit("#"), "signature").alias("from_symbol"), F.col("end_line").alias("from_end")).dropDuplicates(["pr_key", "from_path", "from_symbol"])
+    """Edges with ``edge_ord``, their place within the change, and ``from_end``, the last line of the first method of that name."""
+    methods = code.where("side = 'HEAD' AND row = 'method'").select("pr_key", F.col("path").alias("from_path"), F.concat("fqn", F.lit("#"), "signature").alias("from_symbol"), "end_line", "ord")
+    ends = methods.groupBy("pr_key", "from_path", "from_symbol").agg(F.min_by("end_line", "ord").alias("from_end"))
     return edges.join(ends, ["pr_key", "from_path", "from_symbol"], "left").withColumn("edge_ord", recall.edge_order())
 
 
@@ -137,7 +137,9 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     changed = located.select("pr_key", "side", "path", F.col("fqn").alias("class_fqn"), F.col("name").alias("method_name"), "arity", "start_line", "end_line", "signature", order.alias("sym_ord"))
     edges = stored(recall_edges(changed, code, tables, config), "recall")
 
-    head_files = tables.revisions.select("pr_key", "repo", F.col("head").alias("sha")).join(tables.snapshot, ["repo", "sha"]).select("pr_key", "path", "content")
+    # only what edges come from is read with its content
+    origins = edges.select("pr_key", F.col("from_path").alias("path")).distinct().join(tables.revisions.select("pr_key", "repo", F.col("head").alias("sha")), "pr_key")
+    head_files = origins.join(tables.snapshot.select("repo", "sha", "path", "content"), ["repo", "sha", "path"]).select("pr_key", "path", "content")
     found = items.all_items(items.diff_items(rendered, files, config), items.metadata_items(files, diff.hunks(parsed_patches), config), items.symbol_items(changed, contents, config), items.related_items(related(edges, code), files, head_files, config))
     found = stored(found, "items")
 

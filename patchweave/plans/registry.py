@@ -183,8 +183,7 @@ def override_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def convention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    return recall.convention_edges(files, files.where("change_type != 'DELETE'").select("repo", "path")).select("pr_key", "from_path", "to_path", "confidence")
+    return recall.convention_edges(*domain.several_heads(spark, sf_dir)).select("pr_key", "from_path", "to_path", "confidence")
 
 
 def dedup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,9 +501,10 @@ ORACLE_SQL = {
       FROM edges JOIN t o ON o.c_custkey = origin JOIN t g ON g.c_custkey = target CROSS JOIN m QUALIFY row_number() OVER (PARTITION BY pr_key,
         origin, target, name ORDER BY phase) = 1""",
     "convention_edges": f"""WITH {FILES}, pairs AS (SELECT m.path AS main, t.path AS test, m.pr_key AS main_pr, t.pr_key AS test_pr,
-        m.change_type AS mc, t.change_type AS tc FROM files m JOIN files t ON t.doc_id = m.doc_id + 1 WHERE m.doc_id % 12 = 0)
+        m.change_type AS mc, t.change_type AS tc, m.doc_id AS d FROM files m JOIN files t ON t.doc_id = m.doc_id + 1 WHERE m.doc_id % 12 = 0)
       SELECT DISTINCT pr_key, from_path, to_path, CAST(0.95 AS DOUBLE) AS confidence FROM (SELECT main_pr AS pr_key, test AS from_path,
-        main AS to_path FROM pairs WHERE tc != 'DELETE' UNION ALL SELECT test_pr, test, main FROM pairs WHERE mc != 'DELETE')""",
+        main AS to_path FROM pairs WHERE CASE WHEN main_pr = test_pr THEN tc != 'DELETE' ELSE d % 24 = 0 END
+        UNION ALL SELECT test_pr, test, main FROM pairs WHERE CASE WHEN main_pr = test_pr THEN mc != 'DELETE' ELSE d % 24 = 0 END)""",
     "dedup_items": """WITH r AS (SELECT 'S' || l_suppkey AS pr_key, 'CALLER#L' || l_linenumber AS item_id, 1 - l_discount AS confidence, l_orderkey,
         l_partkey FROM lineitem),
       best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY pr_key, item_id ORDER BY confidence DESC, l_orderkey, l_partkey) = 1), first

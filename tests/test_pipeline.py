@@ -63,6 +63,21 @@ def test_a_fault_stays_with_its_change(tables):
     assert plan["slices"] == [{"slice_no": 1, "theme": "misc", "tokens": 0, "budget": 9000}] and plan["capabilities"]["headSnapshot"] == "MISSING" and plan["capabilities"]["astCoverage"] == 1.0
 
 
+def test_counterparts_of_the_own_head(spark):
+    """Two changes of one repository: what only the other's head has makes no edge."""
+    foo, test, qux = "src/main/java/a/Foo.java", "src/test/java/a/FooTest.java", "src/main/java/a/Qux.java"
+    revisions = spark.createDataFrame([("r#1", "r", 1, "b", "h1"), ("r#2", "r", 2, "b", "h2")], "pr_key string, repo string, pr_number int, merge_base string, head string")
+    rows = [("r#1", foo, None, "DELETE", None, 0, 1), ("r#1", test, None, "DELETE", None, 0, 1), ("r#1", qux, None, "MODIFY", None, 1, 0), ("r#2", foo, None, "MODIFY", None, 1, 0)]
+    files = spark.createDataFrame(rows, "pr_key string, path string, previous_path string, change_type string, patch string, additions int, deletions int").withColumn("category", category(F.col("path")))
+    texts = [("r", "h1", qux, "package a;\nclass Qux {}\n"), *(("r", "h2", p, f"package a;\nclass {p[16:-5]} {{}}\n") for p in (foo, test, qux))]
+    schema = "repo string, sha string, path string, content string"
+    out = build_plans(Tables(revisions, files, spark.createDataFrame(texts, schema), spark.createDataFrame([("r", "b", p, "class X { void m() {} }") for p in (foo, test)], schema)))
+    assert [(r.pr_key, r.from_path, r.to_path) for r in out["edges"].collect()] == [("r#2", test, foo)]
+    assert {r.pr_key: json.loads(r.diagnostics)["edgeCount"] for r in out["plans"].collect()} == {"r#1": 0, "r#2": 1}
+    # merge-base files of r#1 were loaded, Qux has none, and r#2 asks for one that is there
+    assert {r.pr_key: json.loads(r.plan_json)["capabilities"]["mergeBaseFiles"] for r in out["plans"].collect()} == {"r#1": "PARTIAL", "r#2": "COMPLETE"}
+
+
 def test_snapshots_from_archives(tables):
     """A sound archive is the head; a broken one, or none, leaves the files that were read one by one, and the plan says so."""
     spark = tables.revisions.sparkSession

@@ -63,8 +63,13 @@ def test_overrides_both_ways(code):
 def test_conventions(spark):
     foo, test, user = MAIN + "service/FooService.java", TEST + "service/FooServiceTest.java", MAIN + "model/User.java"
     files = spark.createDataFrame([("p", "r", foo, "SOURCE"), ("p", "r", test, "TEST"), ("p", "r", user, "SOURCE"), ("p", "r", "a/App.test.ts", "TEST")], "pr_key string, repo string, path string, category string")
-    edges = recall.convention_edges(files, files.select("repo", "path")).collect()
+    heads = spark.createDataFrame([("p", "r", "h1"), ("q", "r", "h2")], "pr_key string, repo string, sha string")
+    snapshot = files.select("repo", F.lit("h1").alias("sha"), "path")
+    edges = recall.convention_edges(files, heads, snapshot).collect()
     assert [(r.from_path, r.to_path, r.confidence) for r in edges] == [(test, foo, 0.95)]
+    # what only another change's head has is no counterpart, and repositories of one sha are told apart
+    assert recall.convention_edges(files, heads, snapshot.withColumn("sha", F.lit("h2"))).count() == 0
+    assert recall.convention_edges(files, heads, snapshot.withColumn("repo", F.lit("s"))).count() == 0
 
 
 def test_locator(spark, code):
