@@ -13,7 +13,7 @@ from patchweave.functions.text import bounded, class_header, estimate_tokens, ex
 from patchweave.operators.diff import hunk_ref
 
 ITEM = ["pr_key", "item_id", "kind", "ref_side", "ref_path", "ref_start", "ref_end", "symbol_id", "content", "tokens", "required", "requires", "confidence", "owner_path"]
-KIND_OF_EDGE = {"CALLS": "CALLER", "OVERRIDES": "OVERRIDE", "TESTED_BY": "TEST"}
+KIND_OF_EDGE = {"CALLS": "CALLER", "OVERRIDES": "OVERRIDE", "TESTED_BY": "TEST", "SIMILAR": "RELATED_FILE", "CO_CHANGED": "RELATED_FILE"}
 #: Fixed value: what stands for the content of a sensitive file.
 WITHHELD = "sensitive file, content withheld"
 
@@ -75,7 +75,7 @@ def strongest_edges(edges: DataFrame, key: list[str]) -> DataFrame:
 
 
 def related_items(edges: DataFrame, changed: DataFrame, snapshot: DataFrame, config: ReviewConfig) -> DataFrame:
-    """Callers, overrides and tests from unchanged, insensitive files with known content; ``edges`` has edge_ord and from_end."""
+    """Callers, overrides, tests and related files from unchanged, insensitive files with known content; ``edges`` has edge_ord and from_end."""
     kind = F.lit(None).cast("string")
     for edge, name in KIND_OF_EDGE.items():
         kind = F.when(F.col("edge_type") == edge, name).otherwise(kind)

@@ -46,13 +46,14 @@ def first_edges(edges: DataFrame) -> DataFrame:
 
 
 def edge_order() -> Column:
-    """What edges are ordered by within a change: by channel; calls and overrides by type, target and origin, conventions by origin and target.
+    """What edges are ordered by within a change: by channel; calls and overrides by type, target and origin, the others by origin and target.
 
     Missing lines come last.
     """
-    by_name = F.col("source") == "CONVENTION"
+    by_name = F.col("source") != "SYMBOL_GRAPH"
+    channel = F.when(F.col("source") == "SYMBOL_GRAPH", 0).when(F.col("source") == "CONVENTION", 1).when(F.col("source") == "LEXICAL_BM25", 2).otherwise(3)
     last = F.lit((1 << 31) - 1)
-    return F.struct(F.when(by_name, 1).otherwise(0).alias("channel"), F.when(by_name, F.col("from_path")).otherwise(F.col("edge_type")).alias("first"), "to_path", F.coalesce("to_line", last).alias("to_at"),
+    return F.struct(channel.alias("channel"), F.when(by_name, F.col("from_path")).otherwise(F.col("edge_type")).alias("first"), "to_path", F.coalesce("to_line", last).alias("to_at"),
                     "from_path", F.coalesce("from_line", last).alias("from_at"), F.coalesce("to_symbol", F.lit("")).alias("symbol"))
 
 

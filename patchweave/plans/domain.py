@@ -279,6 +279,26 @@ def chained_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("tokens"), ((F.col("l_linenumber") == 3) & (F.col("l_orderkey") % 3 == 0)).alias("required"), F.array(name(F.col("follows")), F.lit("unknown")).alias("requires"), F.lit(1.0).alias("value"))
 
 
+def word_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(queries, changed, snapshot, heads): benchmark items as changed files, documents as the files of two heads; long ones are left out there."""
+    asked = read(spark, sf_dir, "benchmark").selectExpr("concat('B', item_id % 10) AS pr_key", "concat('q', item_id) AS to_path", "text")
+    docs = read(spark, sf_dir, "documents")
+    changed = docs.where("doc_id % 9 = 4").select(F.concat(F.lit("B"), (F.col("doc_id") % 10).cast("string")).alias("pr_key"), F.expr(PATH).alias("path"))
+    snapshot = docs.select(F.lit(REPO).alias("repo"), F.concat(F.lit("h"), (F.col("doc_id") % 2).cast("string")).alias("sha"), F.expr(PATH).alias("path"), F.col("text").alias("content"))
+    heads = asked.select("pr_key").distinct().select("pr_key", F.lit(REPO).alias("repo"), F.concat(F.lit("h"), (F.substring("pr_key", 2, 9).cast("int") % 2).cast("string")).alias("sha"))
+    return asked, changed, snapshot, heads
+
+
+def order_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changed, revisions, history): orders as commits of five repositories, their line items as files, suppliers as changes at a time."""
+    commits = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "concat('r', o_custkey % 5) AS repo", "cast(o_orderdate AS timestamp) AS commit_ts")
+    files = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "concat('f', l_suppkey % 12, '.java') AS path")
+    past = files.join(commits, "l_orderkey").select("repo", F.col("l_orderkey").alias("commit"), "commit_ts", "path")
+    revisions = read(spark, sf_dir, "supplier").selectExpr("concat('S', s_suppkey) AS pr_key", "concat('r', s_suppkey % 5) AS repo", "timestamp'1995-01-02' + make_interval(0, 0, 0, cast(s_suppkey % 900 AS int)) AS pr_ts", "s_suppkey")
+    changed = revisions.select("pr_key", F.explode(F.array(F.expr("s_suppkey % 12"), F.expr("(s_suppkey + 5) % 12"))).alias("f")).select("pr_key", F.concat(F.lit("f"), F.col("f").cast("string"), F.lit(".java")).alias("path"))
+    return changed, revisions.drop("s_suppkey"), past
+
+
 #: Java files of several shapes with ``#`` for a number.
 JAVA_SHAPES = (
     "package a.b#;\n\nimport x.Base;\nimport java.util.*;\n\n@Deprecated\npublic final class K# extends Base<String> implements Runnable, y.Other {\n  static { init(); }\n  K#() { super(); }\n  @Override public void run() { go(1, \"}\"); }\n}\n",

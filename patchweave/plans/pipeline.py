@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from patchweave.config import SCHEMA_VERSION, POLICY_VERSION, ReviewConfig
 from patchweave.functions import ids, scoring
 from patchweave.functions.paths import is_sensitive
-from patchweave.operators import diff, freeze, items, packing, recall, review, slicing, symbols
+from patchweave.operators import diff, freeze, history, items, lexical, packing, recall, review, slicing, symbols
 from patchweave.sources.archives import snapshot_files
 from patchweave.sources.java import parse_java
 from patchweave.sources.scratch import stored
@@ -21,13 +21,15 @@ class Tables:
     """What a build reads. ``revisions``: pr_key, repo, pr_number, merge_base, head. ``files``: one row for each changed file.
 
     ``snapshot``: repo, sha, path, content of the head, and kind where some files were read one by one (``head_snapshot``);
-    ``base``: repo, sha, path, content of the merge base.
+    ``base``: repo, sha, path, content of the merge base. ``history``, for co-change recall: repo, commit, commit_ts, path; ``revisions``
+    then has pr_ts, and of the history only what lies before it is used.
     """
 
     revisions: DataFrame
     files: DataFrame
     snapshot: DataFrame
     base: DataFrame
+    history: DataFrame | None = None
 
 
 def head_snapshot(revisions: DataFrame, archives: DataFrame, lazy: DataFrame, config: ReviewConfig = ReviewConfig()) -> DataFrame:
@@ -55,7 +57,7 @@ def needed_sources(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return head, java.where("change_type != 'ADD'").select("pr_key", F.coalesce("previous_path", "path").alias("path")).distinct()
 
 
-def capabilities(tables: Tables, code: DataFrame, contents: DataFrame, summary: DataFrame, config: ReviewConfig) -> DataFrame:
+def capabilities(tables: Tables, code: DataFrame, contents: DataFrame, summary: DataFrame, states: DataFrame, config: ReviewConfig) -> DataFrame:
     """(pr_key, capabilities): how complete patches, head, merge base and parsing are, and which channels were on."""
     head, base = needed_sources(tables.files)
     failed = code.where("row = 'failure' AND side = 'HEAD'").select("pr_key", "path", F.lit(True).alias("failed")).distinct()
@@ -66,11 +68,11 @@ def capabilities(tables: Tables, code: DataFrame, contents: DataFrame, summary:
     kind = F.col("kind") if "kind" in tables.snapshot.columns else F.lit("ARCHIVE")
     heads = tables.snapshot.groupBy("repo", F.col("sha").alias("head")).agg(F.bool_or(kind == "ARCHIVE").alias("whole"))
     state = F.when(F.col("whole"), "COMPLETE").when(F.col("whole").isNotNull(), "PARTIAL").otherwise("MISSING")
-    met = tables.revisions.join(heads, ["repo", "head"], "left").join(summary.select("pr_key", "patch_state"), "pr_key", "left").join(freeze.capability_report(attempts), "pr_key", "left")
+    met = tables.revisions.join(heads, ["repo", "head"], "left").join(summary.select("pr_key", "patch_state"), "pr_key", "left").join(freeze.capability_report(attempts), "pr_key", "left").join(states, "pr_key", "left")
     channel = lambda on: F.lit("ENABLED" if on else "DISABLED_BY_CONFIG")
     return met.select("pr_key", F.struct(
         F.coalesce("patch_state", F.lit("COMPLETE")).alias("patch"), state.alias("headSnapshot"), F.coalesce("base_state", F.lit("COMPLETE")).alias("mergeBaseFiles"), F.coalesce("ast_coverage", F.lit(1.0)).alias("astCoverage"),
-        channel(config.symbol_graph).alias("symbolRecall"), channel(config.bm25).alias("lexicalRecall"), channel(config.co_change).alias("coChange")).alias("capabilities"))
+        channel(config.symbol_graph).alias("symbolRecall"), channel(config.bm25).alias("lexicalRecall"), F.col("co_change").alias("coChange")).alias("capabilities"))
 
 
 def source_contents(tables: Tables, whole_snapshot: bool = False) -> DataFrame:
@@ -88,7 +90,15 @@ def source_contents(tables: Tables, whole_snapshot: bool = False) -> DataFrame:
     return head.select("pr_key", F.lit("HEAD").alias("side"), "path", "content").union(base.select("pr_key", F.lit("MERGE_BASE"), "path", "content"))
 
 
-def recall_edges(changed: DataFrame, parsed: DataFrame, tables: Tables, config: ReviewConfig) -> DataFrame:
+def co_change_states(tables: Tables, config: ReviewConfig) -> DataFrame:
+    """(pr_key, co_change): the state of the co-change channel for each change."""
+    known = tables.revisions.select("pr_key").distinct()
+    if not config.co_change:
+        return known.withColumn("co_change", F.lit("DISABLED_BY_CONFIG"))
+    return known.withColumn("co_change", F.lit("UNAVAILABLE_NO_HISTORY")) if tables.history is None else history.channel_states(tables.history, tables.revisions)
+
+
+def recall_edges(changed: DataFrame, parsed: DataFrame, lines: DataFrame, tables: Tables, states: DataFrame, config: ReviewConfig) -> DataFrame:
     """Edges of all channels that are switched on, numbered in a fixed order within a change."""
     types = parsed.where("row = 'type'").withColumnRenamed("ord", "decl_ord")
     methods = parsed.where("row = 'method'")
@@ -99,6 +109,15 @@ def recall_edges(changed: DataFrame, parsed: DataFrame, tables: Tables, config:
     if config.conventions:
         heads = tables.revisions.select("pr_key", "repo", F.col("head").alias("sha"))
         channels.append(recall.convention_edges(tables.files, heads, tables.snapshot))
+    if config.bm25:
+        heads = tables.revisions.select("pr_key", "repo", F.col("head").alias("sha"))
+        index = stored(lexical.index_files(tables.snapshot.join(heads, ["repo", "sha"], "left_semi"), config.sensitive_patterns, config.max_file_kb), "words")
+        asked = lexical.changed_words(lines, tables.files, config.sensitive_patterns)
+        channels.append(lexical.lexical_edges(lexical.related_files(asked, tables.files, index, heads)))
+    if config.co_change and tables.history is not None:
+        old_enough = tables.revisions.join(states.where("co_change = 'ENABLED'"), "pr_key", "left_semi")
+        rules = history.co_change_rules(tables.files, old_enough, history.narrow_commits(tables.history))
+        channels.append(history.co_change_edges(rules))
     if not channels:
         return recall.first_edges(recall.override_edges(changed.limit(0), types, methods).selectExpr("*", "0 AS sym_ord", "0 AS phase", "'' AS ord"))
     return items.all_items(*channels)
@@ -124,7 +143,7 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     skipped = tables.files.select("pr_key").union(tables.revisions.select("pr_key")).distinct().join(known_keys, "pr_key", "left_anti")
     fresh, reused = (identified, None) if store is None else freeze.reuse(identified, store)
     wanted = fresh.select("pr_key").join(known_keys, "pr_key", "left_semi")
-    tables = Tables(tables.revisions.join(wanted, "pr_key", "left_semi"), tables.files.join(wanted, "pr_key", "left_semi"), tables.snapshot, tables.base)
+    tables = Tables(tables.revisions.join(wanted, "pr_key", "left_semi"), tables.files.join(wanted, "pr_key", "left_semi"), tables.snapshot, tables.base, tables.history)
 
     files = tables.files
     parsed_patches = stored(diff.parse_patches(files), "patches")
@@ -135,7 +154,8 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     located = symbols.locate_changed(methods, lines, files)
     order = F.struct(F.when(F.col("side") == "HEAD", 0).otherwise(1), "path", "start_line", "signature")
     changed = located.select("pr_key", "side", "path", F.col("fqn").alias("class_fqn"), F.col("name").alias("method_name"), "arity", "start_line", "end_line", "signature", order.alias("sym_ord"))
-    edges = stored(recall_edges(changed, code, tables, config), "recall")
+    states = co_change_states(tables, config)
+    edges = stored(recall_edges(changed, code, lines, tables, states, config), "recall")
 
     # only what edges come from is read with its content
     origins = edges.select("pr_key", F.col("from_path").alias("path")).distinct().join(tables.revisions.select("pr_key", "repo", F.col("head").alias("sha")), "pr_key")
@@ -161,7 +181,7 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     hidden = files.where(is_sensitive(F.col("path"), config.sensitive_patterns)).groupBy("pr_key").agg(F.count("*").alias("n_hidden"))
     counted = edges.groupBy("pr_key").agg(F.count("*").alias("n_edges"))
     named = identified.join(wanted, "pr_key", "left_semi").join(summary, "pr_key", "left").join(gathered, "pr_key", "left").join(sliced, "pr_key", "left")
-    named = named.join(capabilities(tables, code, contents, summary, config), "pr_key", "left").join(hidden, "pr_key", "left").join(counted, "pr_key", "left")
+    named = named.join(capabilities(tables, code, contents, summary, states, config), "pr_key", "left").join(hidden, "pr_key", "left").join(counted, "pr_key", "left")
     none = lambda c: F.coalesce(c, F.lit(0))
     plan = F.struct(F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.col("context_id").alias("contextId"), F.col("corpus_key").alias("corpusKey"), F.lit(POLICY_VERSION).alias("policyVersion"), F.lit(config.fingerprint()).alias("configFingerprint"), "repo", "pr_number", "head",
                     F.struct("n_files", "additions", "deletions", "n_hunks", "patch_state", F.col("slices.theme").alias("themes")).alias("summary"), "slices", "items", "capabilities")

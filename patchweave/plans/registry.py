@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from patchweave.config import ReviewConfig
 from patchweave.functions import ids, paths, scoring, text
-from patchweave.operators import diff, freeze, items, packing, publish, recall, review, slicing, symbols
+from patchweave.operators import diff, freeze, history, items, lexical, packing, publish, recall, review, slicing, symbols
 from patchweave.plans import domain
 from patchweave.plans.pipeline import Tables, build_plans, needed_sources
 from patchweave.sources import archives
@@ -186,6 +186,23 @@ def convention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.convention_edges(*domain.several_heads(spark, sf_dir)).select("pr_key", "from_path", "to_path", "confidence")
 
 
+def lexical_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, changed, snapshot, heads = domain.word_queries(spark, sf_dir)
+    index = stored(lexical.index_files(snapshot, CONFIG.sensitive_patterns, 8), "words")
+    queries = asked.select("pr_key", "to_path", F.explode(lexical.words(F.col("text"))).alias("word"))
+    return lexical.related_files(queries, changed, index, heads)
+
+
+def co_change_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed, revisions, past = domain.order_history(spark, sf_dir)
+    return history.co_change_rules(changed, revisions, history.narrow_commits(past, 4), confidence=0.25)
+
+
+def co_change_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, revisions, past = domain.order_history(spark, sf_dir)
+    return history.history_before(past, revisions).join(history.channel_states(past, revisions, 1500), "pr_key")
+
+
 def dedup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = domain.read(spark, sf_dir, "lineitem").selectExpr("concat('S', l_suppkey) AS pr_key", "concat('CALLER#L', l_linenumber) AS item_id", "1 - l_discount AS confidence", "l_orderkey * 1000000000 + l_partkey AS edge_ord",
                                                              "concat('o', l_orderkey, ' p', l_partkey) AS content", "concat('P', l_partkey) AS owner")
@@ -403,7 +420,7 @@ _FUNCTIONS = (
     changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
     parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback,
     category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, java_shape_methods, java_shape_calls, bounded_texts, reviewer_answers, fallback_comments,
-    review_comments, review_plans, plan_overview,
+    review_comments, review_plans, plan_overview, lexical_files, co_change_rules, co_change_states,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -701,6 +718,34 @@ ORACLE_SQL = {
           '[^\\s;]')) / count(*) FILTER (head) END AS ast_coverage,
         count(*) FILTER (bare) AS missing_patches, count(*) FILTER (odd) AS parse_failures, count(*) FILTER (doc_id % 12 IN (3, 8,
           10)) AS sensitive_skipped FROM a GROUP BY pr_key""",
+    "lexical_files": f"""WITH {FILES}, cut AS (SELECT doc_id, path, 'h' || (doc_id % 2) AS sha, list_filter(string_split_regex(translate(regexp_replace(content,
+        '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: length(w) > 1) AS w FROM files
+        WHERE strlen(content) <= 8192 AND doc_id % 12 NOT IN (3, 8, 10)),
+      post AS (SELECT sha, path, len(w) AS n, word, count(*) AS tf FROM (SELECT sha, path, w, unnest(w) AS word FROM cut) GROUP BY ALL),
+      size AS (SELECT sha, count(*) AS files, CAST(sum(n) AS BIGINT) AS total FROM (SELECT DISTINCT sha, path, n FROM post) GROUP BY sha),
+      df AS (SELECT sha, word, count(*) AS df FROM post GROUP BY ALL),
+      asked AS (SELECT DISTINCT 'B' || (item_id % 10) AS pr_key, 'q' || item_id AS to_path, 'h' || (item_id % 2) AS sha, unnest(list_filter(string_split_regex(translate(regexp_replace(text,
+        '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS word FROM benchmark),
+      weighed AS (SELECT a.*, files, total, CAST(floor(1000.0::DOUBLE * ln(1 + (files - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS BIGINT) AS weight FROM asked a
+        JOIN df USING (sha, word) JOIN size USING (sha)),
+      most AS (SELECT pr_key, to_path, CAST(sum(weight) * 2200 AS BIGINT) AS most FROM weighed GROUP BY ALL),
+      own AS (SELECT 'B' || (doc_id % 10) AS pr_key, path FROM files WHERE doc_id % 9 = 4),
+      scored AS (SELECT pr_key, to_path, path, CAST(sum(weight * CAST(floor(2200 * 1000 * tf / (1000 * tf + 1200 * (250 + (750 * n * files) // total) // 1000)) AS BIGINT)) AS BIGINT) AS score
+        FROM weighed JOIN post USING (sha, word) GROUP BY ALL)
+      SELECT pr_key, to_path, path, score, most, CAST(row_number() OVER (PARTITION BY pr_key, to_path ORDER BY score DESC, path) AS INT) AS rank
+      FROM scored JOIN most USING (pr_key, to_path) WHERE score > 0 AND (pr_key, path) NOT IN (SELECT (pr_key, path) FROM own)
+      QUALIFY rank <= 5""",
+    "co_change_rules": """WITH h AS (SELECT DISTINCT 'r' || (o_custkey % 5) AS repo, o_orderkey AS c, o_orderdate AS ts, 'f' || (l_suppkey % 12) || '.java' AS path FROM orders JOIN lineitem
+        ON l_orderkey = o_orderkey), narrow AS (SELECT * FROM h QUALIFY count(*) OVER (PARTITION BY c) <= 4),
+      pr AS (SELECT 'S' || s_suppkey AS pr_key, 'r' || (s_suppkey % 5) AS repo, DATE '1995-01-02' + CAST(s_suppkey % 900 AS INT) AS ts, unnest([s_suppkey % 12, (s_suppkey + 5) % 12]) AS f FROM supplier),
+      own AS (SELECT pr_key, repo, ts, 'f' || f || '.java' AS to_path FROM pr),
+      past AS (SELECT pr_key, to_path, n.c FROM own o JOIN narrow n ON n.repo = o.repo AND n.path = o.to_path AND n.ts < o.ts),
+      n AS (SELECT pr_key, to_path, count(*) AS commits FROM past GROUP BY ALL)
+      SELECT pr_key, to_path, h.path, count(*) AS support, commits, count(*) / commits AS confidence FROM past p JOIN n USING (pr_key, to_path) JOIN narrow h ON h.c = p.c AND h.path != to_path
+      WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.pr_key = p.pr_key AND o.to_path = h.path) GROUP BY pr_key, to_path, h.path, commits HAVING count(*) >= 3 AND count(*) / commits >= 0.25""",
+    "co_change_states": """SELECT 'S' || s_suppkey AS pr_key, count(o_orderkey) AS commits, CASE WHEN count(o_orderkey) >= 1500 THEN 'ENABLED' ELSE 'UNAVAILABLE_NO_HISTORY' END AS co_change
+      FROM supplier LEFT JOIN (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) ON o_custkey % 5 = s_suppkey % 5 AND o_orderdate < DATE '1995-01-02' + CAST(s_suppkey % 900 AS INT)
+      GROUP BY s_suppkey""",
     "bounded_texts": """SELECT doc_id, CASE WHEN length(text) > 1024 THEN left(text, 1024) || chr(10) || '… (truncated)' ELSE text END AS content
         FROM documents""",
     "reviewer_answers": """WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS pr_key, CAST(turn AS INT) AS slice_no, CAST(length(coalesce(text,
