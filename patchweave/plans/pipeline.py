@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,7 +136,7 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     """Plans of all changes, by name.
 
     ``results``: (pr_key, status, reason), READY, REUSED from ``store`` (context_id, plan_json) without being built anew, or SKIPPED
-    where no revision is known; one change's fault stops no other. ``plans``: (pr_key, context_id, plan_json, diagnostics) of the ready
+    where no revision is known; rows that cannot be read stop no change, and ``build_isolated`` keeps exceptions to theirs. ``plans``: (pr_key, context_id, plan_json, diagnostics) of the ready
     and reused ones. ``items``, ``slices`` (pr_key, slice_no, path), ``packed`` (status of every item), ``edges`` and ``requests``
     (pr_key, slice_no, prompt) of the ready ones.
     """
@@ -194,6 +196,51 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     return {"items": found, "edges": edges, "slices": slices, "packed": packed, "plans": plans, "results": results, "requests": review_requests(found, packed, identified)}
 
 
+#: Fixed value: what the reason of a failed build begins with.
+FAILED = "context build failed: "
+
+
+def _reason(fault: Exception) -> str:
+    """What an exception says of the change: of a failed task, the last error that its trace names."""
+    named = re.findall(r"^\s*(?:[\w.]+\.)?\w+(?:Error|Exception): ([^\n]+)", str(fault), re.MULTILINE)
+    return FAILED + (named[-1] if named else str(fault).strip().partition("\n")[0])[:500]
+
+
+def build_isolated(tables: Tables, config: ReviewConfig = ReviewConfig(), build: Callable[..., dict[str, DataFrame]] = build_plans, **options) -> dict[str, DataFrame]:
+    """What ``build`` gives, but a change whose build raises is SKIPPED with the reason in ``results``, and the others are built.
+
+    All changes are built at once. Only if that fails they are parted in two by a hash of their key, and each part is tried by itself, so
+    a faulty change costs as many more builds as the logarithm of the number of changes. If no change at all can be built, it is
+    no fault of a change, and the first exception is raised.
+    """
+    built: list[dict[str, DataFrame]] = []
+    faults: list[tuple[str, str]] = []
+    first: list[Exception] = []
+
+    def attempt(depth: int, rest: int) -> None:
+        mine = F.pmod(F.xxhash64("pr_key"), F.lit(1 << depth)) == rest
+        part = replace(tables, revisions=tables.revisions.where(mine), files=tables.files.where(mine)) if depth else tables
+        keys = part.revisions.select("pr_key").union(part.files.select("pr_key")).distinct().limit(2).collect() if depth else [None, None]
+        if not keys:
+            return
+        try:
+            built.append(build(part, config, **options))
+        except Exception as fault:  # whatever a change's parser raises
+            first.append(fault)
+            if len(keys) == 1:
+                faults.append((keys[0].pr_key, _reason(fault)))
+            else:
+                attempt(depth + 1, rest)
+                attempt(depth + 1, rest + (1 << depth))
+
+    attempt(0, 0)
+    if not built:
+        raise first[0]
+    out = {name: items.all_items(*(b[name] for b in built)) for name in built[0]}
+    skipped = tables.revisions.sparkSession.createDataFrame([(key, "SKIPPED", reason) for key, reason in faults], "pr_key string, status string, reason string")
+    return out | {"results": out["results"].unionByName(skipped)}
+
+
 def review_requests(found: DataFrame, packed: DataFrame, identified: DataFrame) -> DataFrame:
     """(pr_key, slice_no, prompt): the included items of each slice as a request, with the lines of diffs numbered."""
     kept = packed.where("status = 'included'").select("pr_key", "slice_no", "item_id", "pack_ord")

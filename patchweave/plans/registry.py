@@ -5,6 +5,8 @@ The SQL is written on its own, on the driver's tables, not generated from the Da
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from patchweave.plans.pipeline import Tables, build_plans, needed_sources
 from patchweave.sources import archives
 from patchweave.sources.java import parse_java
 from patchweave.sources.scratch import stored
-from patchweave.streaming import events
+from patchweave.streaming import events, newest
 
 FLAGSHIP = "change_summary"
 PACK_BUDGET, SLICE_BUDGET = 60, 1500
@@ -289,6 +291,15 @@ def latest_event_per_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.latest(routed.where("status = 'ACCEPTED'")).select("pr_key", "event_id", "action")
 
 
+def coalesced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream: the newest of each change, if it was quiet for six hours by the stream's clock, an hour behind."""
+    known = domain.read(spark, sf_dir, "events")
+    # a stream's source is a folder or a pattern, and the table may be a single file
+    raw = spark.readStream.schema(known.schema).parquet(f"{sf_dir}/events.parque[t]")
+    routed = events.route(events.from_table(raw)).where("status = 'ACCEPTED'").select("event_id", "action", "pr_key", "received_at")
+    return newest.coalesced(spark, routed, f"newest-{uuid.uuid4().hex}", 6 * 3_600_000, "1 hour", ("received_at", "event_id")).select("pr_key", "event_id", "action")
+
+
 def frozen_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = domain.read(spark, sf_dir, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("pr_key"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("context_id"), "o_orderstatus")
     plan = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('{"contextId":"'), "context_id", F.lit('"}'))).otherwise("broken{")
@@ -420,7 +431,7 @@ _FUNCTIONS = (
     changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
     parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback,
     category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, java_shape_methods, java_shape_calls, bounded_texts, reviewer_answers, fallback_comments,
-    review_comments, review_plans, plan_overview, lexical_files, co_change_rules, co_change_states,
+    review_comments, review_plans, plan_overview, lexical_files, co_change_rules, co_change_states, coalesced_events,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -603,6 +614,11 @@ ORACLE_SQL = {
         WHEN 'click' THEN 'reopened' END AS action, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events)
       SELECT 'acme/app#' || user_id AS pr_key, event_id, action FROM e WHERE action IS NOT NULL AND k != 0 AND user_id != 0
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "coalesced_events": """WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'opened' WHEN 'view' THEN 'synchronize'
+        WHEN 'click' THEN 'reopened' END AS action, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events),
+      a AS (SELECT * FROM e WHERE action IS NOT NULL AND k != 0 AND user_id != 0)
+      SELECT 'acme/app#' || user_id AS pr_key, event_id, action FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+      WHERE ts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM a) - INTERVAL 1 HOUR""",
     "frozen_reuse": "SELECT 'O' || o_orderkey AS pr_key, CASE WHEN o_orderstatus = 'F' THEN 'REUSE' ELSE 'BUILD' END AS state FROM orders",
     "method_lists": f"""WITH {SYMBOLS}, m AS (SELECT DISTINCT pr_key, fqn || '#op' || p_partkey || '(' || arity || ')' AS id FROM symbols), n
         AS (SELECT *, row_number() OVER (PARTITION BY pr_key ORDER BY id) AS k, count(*) OVER (PARTITION BY pr_key) AS n FROM m)
