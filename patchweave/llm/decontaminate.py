@@ -7,6 +7,11 @@ item always stands for the same value of the document, and no two values of the
 others a re-parameterised question. Consistency is judged for each alignment of item and document by itself, so that other places
 of a document do not spoil a copy.
 
+Names are capitalised words: of several capitals and with inner apostrophes too, but not those that begin sentences in several languages.
+A sentence in which nouns are capitalised, known by its function words, which a variant shares, has no name slots. Units may be attached to
+their numbers, currency signs are units, and number words are numbers. An item that consists of slots for the most part is looked up by
+windows over runs: neighbouring slots of a sentence are one, and what a run stands for as a whole is its value.
+
 Besides, windows of the plain lower-cased words are joined in the same way. They need no slots, so that a verbatim copy is found
 whatever its case, what stands before it, and however few plain words it has. An item is found if either form is.
 
@@ -16,6 +21,8 @@ document and item come from the rarest windows of each item alone, and a window
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,26 +35,45 @@ BROADCAST_WINDOWS, BROADCAST_ROWS = 1_000_000, 1_000_000
 NAME_SLOT, NUMBER_SLOT, UNIT_SLOT = "\u0001", "\u0002", "\u0003"
 SLOTS = NAME_SLOT + NUMBER_SLOT + UNIT_SLOT
 #: The forms that windows are taken from; the form is part of a window's hash.
-TEMPLATE, PLAIN = 0, 1
-#: Words that count as units after a number.
+TEMPLATE, PLAIN, RUNS = 0, 1, 2
+#: Words and signs that count as units after a number, and signs that do before one.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml cl l gal s sec min h hr hrs hours minutes seconds days weeks months years "
-    "dollars euros pounds cents percent degrees meters metres kilometers kilometres miles feet inches grams kilograms liters litres mph kmh W kW V A Hz kHz MHz GHz KB MB GB TB"
+    "dollars euros pounds cents percent degrees meters metres kilometers kilometres miles feet inches grams kilograms liters litres mph kmh W kW V A Hz kHz MHz GHz KB MB GB TB "
+    "Stunden Minuten Sekunden Tage Wochen Monate Jahre Meter Kilometer Liter Gramm Kilogramm Prozent Euro heures jours semaines mois ans mètres litres grammes kilomètres "
+    "horas minutos segundos días semanas meses años metros litros gramos kilómetros % € $ £ ¥ °"
+)
+CURRENCIES = "$€£¥"
+#: Numbers in words.
+NUMBER_WORDS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf deux trois quatre cinq sept huit neuf dix onze douze dos tres cuatro cinco seis siete ocho nueve diez once doce"
 )
-#: Capitalised words that are no names: they begin sentences, or are units.
+#: Capitalised words that are no names: they begin sentences, or are units or numbers.
 NO_NAMES = (
     "A An And Are As At But By Can Consider Could Do Does Each Every Find For From Give Given Has Have He Her His How Hz I If In Is It Its Let "
     "No Not Of On One Or Our She Should Since So Some Suppose That The Their Then There These They This Those To Was We Were What When Where Which "
-    "While Who Why Will With Would You Your"
-)
+    "While Who Why Will With Would You Your "
+    "Aber Auch Auf Aus Bei Das Dem Den Der Die Ein Eine Er Es Für Im Ist Mit Nach Nicht Sie Und Von Wann Warum Wenn Wer Wie Wieviel Wir Wo Zu Zum "
+    "Avec Ce Ces Cette Combien Dans De Des Du Elle Elles En Est Et Il Ils Je La Le Les Mais Nous On Par Pour Que Quel Quelle Qui Si Sur Un Une Vous "
+    "Al Con Cuál Cuántas Cuántos Cómo Del El Este Esta Los Las Para Pero Por Qué Quién Son Su Una Unos Y "
+) + " ".join(w.capitalize() for w in NUMBER_WORDS.split())
+#: Function words of the language that capitalises its nouns; two of them, and one in eight words, mark a sentence.
+NOUN_CAPITALS = "der das und ein eine einen einem einer dem den ist sind mit für von vom zum zur nicht auf sich wird werden auch nach oder haben wie viele kauft hat gibt seine ihre als noch dann"
+_EDGE_BEFORE, _EDGE_AFTER = r"(?<![\p{L}\p{M}\p{N}])", r"(?![\p{L}\p{M}\p{N}])"
 #: Any other capitalised word, wherever it stands: what comes before it does not matter, so item and document agree on it.
 _BY_LETTER = {w[0]: [x[1:] for x in NO_NAMES.split() if x[0] == w[0]] for w in NO_NAMES.split()}
 _NO_NAME = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in _BY_LETTER.items())
-NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{_NO_NAME})(?![\p{{L}}\p{{M}}\p{{N}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]++(?![\p{{L}}\p{{N}}])"
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-# no unit goes on, with a digit or with the mark that stands for it
-_UNIT = "(?:" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}\x01-\x03])"
+NAME = rf"(?=\p{{Lu}}){_EDGE_BEFORE}(?!(?:{_NO_NAME}){_EDGE_AFTER})\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’](?=\p{{Lu}}))++(?!\p{{N}})"
+_NUMBER_WORD = rf"(?=[{''.join(sorted({w[0] for w in NUMBER_WORDS.split()}))}]){_EDGE_BEFORE}(?:{'|'.join(NUMBER_WORDS.split())}){_EDGE_AFTER}"
+NUMBER = rf"[0-9]+(?:[.,:/][0-9]+)*|(?i:{_NUMBER_WORD})"
+# a unit follows a digit, and no letter or digit goes on after it; a sign needs no end
+_WORD_UNITS, _SIGNS = [u for u in UNITS.split() if u.isalpha()], "".join(u for u in UNITS.split() if not u.isalpha())
+UNIT = rf"(?<=[0-9])\s?(?:(?:{'|'.join(sorted(_WORD_UNITS, key=lambda u: (-len(u), u)))}){_EDGE_AFTER}|[{_SIGNS}])|[{CURRENCIES}](?=\s?[0-9])"
+_NOUNS = rf"{_EDGE_BEFORE}(?:{'|'.join(NOUN_CAPITALS.split())}){_EDGE_AFTER}"
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}\x01-\x03]+"
+#: Slots with nothing but marks and blanks between them, within a sentence.
+_RUN = r"[\x01-\x03](?:[^\p{L}\p{M}\p{N}\x01-\x03.!?\n]*[\x01-\x03])*"
 
 
 def _unmarked(text: Column) -> Column:
@@ -58,12 +84,37 @@ def _unmarked(text: Column) -> Column:
     return text
 
 
+def _by_sentence(text: Column, named: Callable[[Column], Column], nameless: Callable[[Column], Column], joined: Callable[[Column], Column]) -> Column:
+    """``named`` of the text, or ``joined`` of its sentences, each by ``nameless`` if it capitalises nouns and by ``named`` if not."""
+    count = lambda x: F.regexp_count(x, F.lit(_NOUNS))
+    dense = lambda s: F.greatest(F.lit(2), F.ceil(F.size(F.split(s, r"\s+")) / 8)) <= count(s)
+    parts = F.transform(F.split(text, r"(?<=[.!?\n])"), lambda s: F.when(dense(s), nameless(s)).otherwise(named(s)))
+    return F.when(count(text) >= 2, joined(parts)).otherwise(named(text))
+
+
+def _marked(text: Column) -> Column:
+    """The text with a mark, between blanks, for each slot."""
+    def marks(t: Column, names: bool) -> Column:
+        t = F.regexp_replace(t, UNIT, f" {UNIT_SLOT} ")
+        t = F.regexp_replace(t, NAME, f" {NAME_SLOT} ") if names else t
+        return F.regexp_replace(t, NUMBER, f" {NUMBER_SLOT} ")
+
+    return _by_sentence(_unmarked(text), lambda t: marks(t, True), lambda t: marks(t, False), lambda parts: F.array_join(parts, ""))
+
+
+def _words(marked: Column) -> Column:
+    return F.filter(F.split(F.lower(marked), _NOT_WORD), lambda w: w != "")
+
+
 def template_words(text: Column) -> Column:
     """The canonical words of a text; none for a null text. Control characters of the placeholders count as blanks."""
-    text = F.regexp_replace(_unmarked(text), NAME, NAME_SLOT)
-    text = F.regexp_replace(text, NUMBER, NUMBER_SLOT)
-    text = F.regexp_replace(text, rf"({NUMBER_SLOT}\s){_UNIT}", f"$1{UNIT_SLOT}")
-    return F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != "")
+    return _words(_marked(text))
+
+
+def run_words(text: Column) -> Column:
+    """The canonical words with each run of slots as one: the kind that all of it are, or else a unit's, which numbers with units are."""
+    same = F.regexp_replace(_marked(text), _RUN.replace("[\\x01-\\x03]", "([\\x01-\\x03])", 1).replace("*[\\x01-\\x03])*", "*\\1)*"), "$1")
+    return _words(F.regexp_replace(same, _RUN.replace(")*", ")+"), f" {UNIT_SLOT} "))
 
 
 def plain_words(text: Column) -> Column:
@@ -73,7 +124,8 @@ def plain_words(text: Column) -> Column:
 
 def slot_values(text: Column) -> Column:
     """What the placeholders of a text stand for, in order."""
-    return F.regexp_extract_all(_unmarked(text), F.lit(rf"{NAME}|{NUMBER}|(?<=[0-9]\s){_UNIT}"), F.lit(0))
+    found = lambda names: lambda t: F.regexp_extract_all(t, F.lit(f"{UNIT}|{NAME}|{NUMBER}" if names else f"{UNIT}|{NUMBER}"), F.lit(0))
+    return F.transform(_by_sentence(_unmarked(text), found(True), found(False), F.flatten), lambda v: F.trim(v))
 
 
 def word_hashes(words: Column) -> Column:
@@ -94,7 +146,7 @@ def _solid(words: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(item_key, item_id, form, start, hash, windows): all plain windows, and the template windows that have two words or more
-    besides placeholders, or one if it is all there is. A template that keeps under half its windows is left out.
+    besides placeholders, or one if it is all there is. An item that keeps under half its template windows has those over runs instead.
 
     ``windows`` counts the item's different hashes of a form. ``benchmark`` comes from ``_items``.
     """
@@ -102,12 +154,15 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         found = benchmark.select("item_key", "item_id", words.alias("words")).withColumn("hashes", word_hashes(F.col("words")))
         return found.select("item_key", "item_id", F.lit(form).alias("form"), "words", F.posexplode(window_hashes("hashes", form)).alias("start", "hash"))
 
-    template = windows(TEMPLATE, template_words(F.col("text")))
-    template = template.where(_solid(F.slice("words", F.col("start") + 1, WINDOW)) >= F.least(F.lit(2), F.size("words")))
-    # what is left of a template that is mostly placeholders says too little of it
-    most = template.groupBy("item_key").agg(F.count("*").alias("n"), F.max(F.greatest(F.size("words") - (WINDOW - 1), F.lit(1))).alias("all"))
-    template = template.join(most.where(2 * F.col("n") >= F.col("all")).select("item_key"), "item_key", "left_semi")
-    rows = template.unionByName(windows(PLAIN, plain_words(F.col("text")))).drop("words")
+    def telling(rows: DataFrame) -> DataFrame:
+        solid = rows.where(_solid(F.slice("words", F.col("start") + 1, WINDOW)) >= F.least(F.lit(2), F.size("words")))
+        # what is left of a text that is mostly placeholders says too little of it
+        most = solid.groupBy("item_key").agg(F.count("*").alias("n"), F.max(F.greatest(F.size("words") - (WINDOW - 1), F.lit(1))).alias("all"))
+        return solid.join(most.where(2 * F.col("n") >= F.col("all")).select("item_key"), "item_key", "left_semi")
+
+    template = telling(windows(TEMPLATE, template_words(F.col("text"))))
+    runs = telling(windows(RUNS, run_words(F.col("text")))).join(template.select("item_key").distinct(), "item_key", "left_anti")
+    rows = template.unionByName(runs).unionByName(windows(PLAIN, plain_words(F.col("text")))).drop("words")
     counts = rows.groupBy("item_key", "form").agg(F.countDistinct("hash").alias("windows"))
     return rows.join(counts, ["item_key", "form"])
 
@@ -117,15 +172,16 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.where(F.col("item_id").isNotNull()).select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text").dropDuplicates(["item_key"])
 
 
-def _slots(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, at, value): the words of a text that hold just one placeholder, with what it stands for."""
-    words = rows.select(*key, template_words(F.col("text")).alias("words"), slot_values(F.col("text")).alias("values"))
-    each = words.select(*key, "values", F.posexplode("words").alias("at", "word"))
-    held = F.length("word") - F.length(F.translate("word", SLOTS, ""))
-    before = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    # words without a placeholder play no part in the running count
-    counted = each.withColumn("held", held).where("held > 0").withColumn("nth", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    return counted.where("held = 1").select(*key, "at", F.lower(F.get("values", F.col("nth").cast("int"))).alias("value"))
+def _slots(rows: DataFrame, key: list[str], form: int) -> DataFrame:
+    """(key, at, value): the words of a text in a form that are slots, with what they stand for; a run stands for all its values."""
+    marks = lambda x: F.length(x) - F.length(F.translate(x, SLOTS, ""))
+    held = F.transform(F.regexp_extract_all(_marked(F.col("text")), F.lit(_RUN), F.lit(0)), marks) if form == RUNS else F.array_repeat(F.lit(1), F.size("values"))
+    words = rows.select(*key, (run_words if form == RUNS else template_words)(F.col("text")).alias("words"), slot_values(F.col("text")).alias("values"), "text")
+    each = words.select(*key, "values", held.alias("held"), F.posexplode("words").alias("at", "word")).where(marks(F.col("word")) > 0)
+    each = each.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("at")) - 1)
+    first = F.aggregate(F.slice("held", F.lit(1), F.col("nth")), F.lit(0), lambda a, n: a + n) if form == RUNS else F.col("nth")
+    value = F.array_join(F.slice("values", first + 1, F.get("held", F.col("nth"))), " ")
+    return each.select(*key, "at", F.lower(value).alias("value"))
 
 
 def _alignments(hits: DataFrame) -> DataFrame:
@@ -191,10 +247,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = _items(benchmark)
     known = materialize(benchmark_windows(items), "benchmark")
+    forms = [TEMPLATE, RUNS] if known.where(F.col("form") == RUNS).limit(1).count() else [TEMPLATE]
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    words = texts.select("row_key", "doc_id", word_hashes(template_words(F.col("text"))).alias("template"), word_hashes(plain_words(F.col("text"))).alias("plain"))
-    # the template's windows come first, so that their places count from 0
-    hashed = words.select("row_key", "doc_id", F.posexplode(F.concat(window_hashes("template", TEMPLATE), window_hashes("plain", PLAIN))).alias("place", "hash"))
+    words = texts.select("row_key", "doc_id", word_hashes(template_words(F.col("text"))).alias("template"), word_hashes(plain_words(F.col("text"))).alias("plain"), *([word_hashes(run_words(F.col("text"))).alias("runs")] if RUNS in forms else []))
+    # the template's windows come first, so that their places count from 0, and then those over runs, if any item has such
+    arrays = [window_hashes("template", TEMPLATE), *([window_hashes("runs", RUNS)] if RUNS in forms else []), window_hashes("plain", PLAIN)]
+    n = F.size("template")
+    before = F.when(n > 0, F.greatest(n - (WINDOW - 1), F.lit(1))).otherwise(0)
+    hashed = words.select("row_key", "doc_id", before.alias("before"), F.posexplode(F.concat(*arrays)).alias("place", "hash"))
     # a window of a document is one row here, however many items have it
     hits = materialize(hashed.join(_few(known.select("hash").distinct(), BROADCAST_WINDOWS), "hash", "left_semi"), "hits")
     asked = materialize(_candidates(hits, known), "candidates")
@@ -203,14 +263,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matched = met.groupBy("row_key", "doc_id", "item_key", "item_id", "form", "windows").agg(F.count("*").alias("matched"))
     found = materialize(matched.where(100 * F.col("matched") >= PERCENT * F.col("windows")), "found")
 
+    # a plain copy is consistent, and a whole one holds the item's values whatever the slots of other places say
+    either = found.where(F.col("form") == PLAIN).withColumns({"consistency": F.lit(1.0), "copied": F.when(F.col("matched") == F.col("windows"), True)})
+    for form in forms:
+        either = _consistent(texts, items, known, hits, found, form).unionByName(either)
+    either = either.withColumn("coverage", F.col("matched") / F.col("windows"))
+    best = F.max(F.struct("coverage", (-F.col("form")).alias("form"), "matched", "windows", "consistency")).alias("best")
+    out = either.groupBy("row_key", "doc_id", "item_key", "item_id").agg(best, F.coalesce(F.bool_or("copied"), F.lit(True)).alias("copied"))
+    return out.select("row_key", "doc_id", "item_id", "best.matched", "best.windows", "best.coverage", "best.consistency", "copied")
+
+
+def _consistent(texts: DataFrame, items: DataFrame, known: DataFrame, hits: DataFrame, found: DataFrame, form: int) -> DataFrame:
+    """The rows of ``found`` in a form with slots whose slots are filled consistently, with consistency and copied."""
     # slots of the windows that met: word k of the document's window stands for word k of the item's
-    item_slots = _slots(items, ["item_key"])
+    item_slots = _slots(items, ["item_key"], form)
     slotted = _few(item_slots.select("item_key").distinct(), BROADCAST_ROWS)
-    asked = found.where(F.col("form") == TEMPLATE).join(slotted, "item_key", "left_semi").select("row_key", "item_key")
+    asked = found.where(F.col("form") == form).join(slotted, "item_key", "left_semi").select("row_key", "item_key")
     keys = _few(materialize(asked.select("row_key").distinct(), "asked"), BROADCAST_ROWS)
-    doc_slots = _slots(texts.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]), ["row_key"])
-    starts = _few(known.where(F.col("form") == TEMPLATE).select("item_key", "windows", "start", "hash"), BROADCAST_WINDOWS)
-    aligned = materialize(_alignments(asked.join(starts, "item_key").join(hits.select("row_key", "hash", "place"), ["row_key", "hash"])), "aligned")
+    doc_slots = _slots(texts.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]), ["row_key"], form)
+    starts = _few(known.where(F.col("form") == form).select("item_key", "windows", "start", "hash"), BROADCAST_WINDOWS)
+    place = F.col("place") - F.col("before") if form == RUNS else F.col("place")
+    aligned = materialize(_alignments(asked.join(starts, "item_key").join(hits.select("row_key", "hash", place.alias("place")), ["row_key", "hash"])), "aligned")
     key = ["row_key", "item_key", "kind", "label"]
     met = aligned.select(*key, F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "place", "start")
     met = met.select(*key, (F.col("place") + F.col("k")).alias("doc_at"), (F.col("start") + F.col("k")).alias("item_at")).distinct()
@@ -220,14 +293,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # an alignment whose windows hold no slot is consistent
     judged = aligned.select(*key).distinct().join(judged, key, "left").select("row_key", "item_key", F.coalesce("consistency", F.lit(1.0)).alias("consistency"), F.coalesce("copied", F.lit(True)).alias("copied"))
     agreed = judged.groupBy("row_key", "item_key").agg(F.max("consistency").alias("consistency"), F.bool_or("copied").alias("copied"))
-    templates = found.where(F.col("form") == TEMPLATE).join(agreed, ["row_key", "item_key"], "left")
-    templates = templates.withColumns({"consistency": F.coalesce("consistency", F.lit(1.0)), "copied": F.coalesce("copied", F.lit(True))}).where(F.col("consistency") >= CONSISTENCY)
-    # a plain copy is consistent, and a whole one holds the item's values whatever the slots of other places say
-    plain = found.where(F.col("form") == PLAIN).withColumns({"consistency": F.lit(1.0), "copied": F.when(F.col("matched") == F.col("windows"), True)})
-    either = templates.unionByName(plain).withColumn("coverage", F.col("matched") / F.col("windows"))
-    best = F.max(F.struct("coverage", (-F.col("form")).alias("form"), "matched", "windows", "consistency")).alias("best")
-    out = either.groupBy("row_key", "doc_id", "item_key", "item_id").agg(best, F.coalesce(F.bool_or("copied"), F.lit(True)).alias("copied"))
-    return out.select("row_key", "doc_id", "item_id", "best.matched", "best.windows", "best.coverage", "best.consistency", "copied")
+    templates = found.where(F.col("form") == form).join(agreed, ["row_key", "item_key"], "left")
+    return templates.withColumns({"consistency": F.coalesce("consistency", F.lit(1.0)), "copied": F.coalesce("copied", F.lit(True))}).where(F.col("consistency") >= CONSISTENCY)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -180,3 +180,41 @@ def test_joined_instead_of_broadcast(spark, docs_of, monkeypatch):
 def test_plan_is_native(spark, docs_of):
     plan = d.find_contamination(docs_of([(1, QUESTION)]), bench(spark, [(9, QUESTION)]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+GERMAN = "Der Bauer hat 12 Schafe und kauft 7 Ziegen für den neuen Hof in der Stadt am Montag mit dem alten Nachbarn."
+UNRELATED = "Der Lehrer hat 30 Hefte und kauft 9 Stifte für den neuen Kurs in der Schule am Freitag mit dem alten Direktor."
+NUMBERS = "The values are 3, 5, 7, 9, 11 and 13. Please compute the mean of 3, 5, 7, 9, 11 and 13."
+
+
+def test_nouns_are_no_names(spark, docs_of):
+    """A sentence of the same build with other nouns is another sentence; with other numbers it is the question again."""
+    docs = docs_of([(1, UNRELATED), (2, GERMAN.replace("12", "40").replace("7", "3")), (3, f"{QUESTION.replace('Maria', 'Berta')}. {UNRELATED}"), (4, GERMAN)])
+    assert found(docs, bench(spark, [(1, GERMAN), (2, QUESTION)])) == {(2, 1, False), (3, 2, False), (4, 1, True)}
+
+
+def test_every_kind_of_slot(spark, docs_of):
+    item = "McDonald asks NASA to send O'Neil 90km past the old station for $90 within 3h or twelve days, says McDonald at 50% off"
+    swaps = {"McDonald": "MacLeod", "NASA": "ESO", "O'Neil": "D'Arcy", "90km": "75 mi", "$90": "45 euros", "3h": "8 min", "twelve": "seven", "50%": "20 percent"}
+    docs = [(k, item.replace(a, b)) for k, (a, b) in enumerate(swaps.items())]
+    every = item
+    for a, b in swaps.items():
+        every = every.replace(a, b)
+    # currency before and behind a number part the words otherwise, so that pair is varied in kind
+    docs += [(20, every.replace("45 euros", "€45")), (21, item.replace("says McDonald", "says MacLeod")), (22, item.replace("station", "harbour").replace("send", "lend").replace("days", "mules"))]
+    got = found(docs_of(docs), bench(spark, [(1, item)]))
+    assert {i for i, _, _ in got} >= {0, 1, 2, 3, 5, 6, 7, 20} and 21 not in {i for i, j, c in got if not c and i == 22} and 22 not in {i for i, _, _ in got}
+
+
+def test_items_that_are_mostly_numbers(spark, docs_of):
+    other = NUMBERS.replace("3, 5, 7, 9, 11 and 13", "4, 8, 15, 16, 23 and 42")
+    uneven = other.replace("4, 8, 15, 16, 23 and 42", "1, 2, 3, 4, 5 and 6", 1)
+    docs = docs_of([(1, other), (2, f"A sheet. {other} And {other}"), (3, uneven), (4, NUMBERS), (5, "The values are 1, 2 and 3. Please stop."), (6, QUESTION), (7, other.replace("values", "weights").replace("mean", "sum").replace("Please", "Now"))])
+    assert found(docs, bench(spark, [(1, NUMBERS), (2, QUESTION)])) == {(1, 1, False), (2, 1, False), (4, 1, True), (6, 2, True)}
+
+
+def test_runs_and_their_values(docs_of):
+    texts = ["a 3, 4 b", "Anna 3 km, Bob 5 km! Eve", "x $5 and 7%. 8", "", "no slots", "1 2\n3"]
+    rows = docs_of(list(enumerate(texts)))
+    got = {(r.doc_id, r.at, r.value) for r in d._slots(rows, ["doc_id"], d.RUNS).collect()}
+    assert got == {(0, 1, "3 4"), (1, 0, "anna 3 km bob 5 km"), (1, 1, "eve"), (2, 1, "$ 5"), (2, 3, "7 %"), (2, 4, "8"), (5, 0, "1 2"), (5, 1, "3")}
