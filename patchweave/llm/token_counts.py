@@ -16,7 +16,7 @@ BLOCK = 4096
 
 
 def encoded_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(n_tokens) of each document; a null or empty text has 0. Only the text column is read."""
+    """(n_tokens) of each document; a null or empty text has 0, and repeated rows count each. Only the text column is read."""
     definition = _definition(docs.sparkSession, path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,24 +56,31 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
                          kept.alias("truncated_tokens"), (at_most / F.col("all_docs")).alias("quantile"))
 
 
-def truncated_total(histogram: DataFrame, limits: list[int]) -> DataFrame:
+def truncated_total(histogram: DataFrame, limits: list[int] | DataFrame) -> DataFrame:
     """(context_limit, truncated_tokens, n_truncated) for any limits, one row for each different one.
 
     A limit reads the suffix sums at the next longer length that occurs: that many documents are cut, and each keeps as many tokens
-    less than there. If no length is longer, nothing is cut. All limits are answered by one aggregation over the histogram; an
-    empty one gives 0.
+    less than there. If no length is longer, nothing is cut; an empty histogram gives 0. ``limits`` may be a table with context_limit,
+    of any size; null limits are left out. Limits and lengths are sorted together within blocks of lengths, and a limit beyond the
+    last length of its block takes the first one of the next block, so a task gets a block or one row for each block.
     """
-    asked = sorted(set(limits))
-    at = F.struct("n_tokens", "docs_at_least", "truncated_tokens")
-    row = histogram.agg(F.max(at).alias("last"), *(F.min(F.when(F.col("n_tokens") > n, at)).alias(f"next_{k}") for k, n in enumerate(asked)))
-
-    def answer(k: int, n: int):
-        longer = F.col(f"next_{k}")
-        kept = F.coalesce(longer["truncated_tokens"] - longer["docs_at_least"] * (longer["n_tokens"] - n), F.col("last.truncated_tokens"), F.lit(0))
-        return F.struct(F.lit(n).cast("long").alias("context_limit"), kept.cast("long").alias("truncated_tokens"), F.coalesce(longer["docs_at_least"], F.lit(0)).cast("long").alias("n_truncated"))
-
-    answers = F.array(*(answer(k, n) for k, n in enumerate(asked))) if asked else F.array().cast("array<struct<context_limit:bigint,truncated_tokens:bigint,n_truncated:bigint>>")
-    return row.select(F.inline(answers))
+    spark = histogram.sparkSession
+    asked = limits if isinstance(limits, DataFrame) else spark.createDataFrame([(int(n),) for n in limits], "context_limit long")
+    asked = asked.where(F.col("context_limit").isNotNull()).select(F.col("context_limit").cast("long").alias("at")).distinct()
+    block = F.floor(F.col("at") / BLOCK).alias("block")
+    sums = F.struct(F.col("n_tokens").alias("n"), "docs_at_least", "truncated_tokens")
+    lengths = histogram.select(F.col("n_tokens").alias("at"), sums.alias("sums")).select(block, "at", "sums")
+    nothing = F.lit(None).cast(lengths.schema["sums"].dataType)
+    # at equal numbers the limit comes first, as it asks for what is longer
+    longer = Window.partitionBy("block").orderBy(F.desc("at"), F.col("sums").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = lengths.unionByName(asked.select(block, "at", nothing.alias("sums")))
+    here = both.withColumn("next", F.last("sums", ignorenulls=True).over(longer)).where(F.col("sums").isNull())
+    later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("block").agg(F.min("sums").alias("first"), F.max("sums").alias("last"))
+    ends = ends.select("block", F.last("first", ignorenulls=True).over(later).alias("after"), F.max("last").over(Window.partitionBy()).alias("last"))
+    met = here.join(ends, "block").withColumn("longer", F.coalesce("next", "after"))
+    kept = F.coalesce(F.col("longer.truncated_tokens") - F.col("longer.docs_at_least") * (F.col("longer.n") - F.col("at")), "last.truncated_tokens", F.lit(0))
+    return met.select(F.col("at").alias("context_limit"), kept.cast("long").alias("truncated_tokens"), F.coalesce("longer.docs_at_least", F.lit(0)).cast("long").alias("n_truncated"))
 
 
 def length_quantile(histogram: DataFrame, share: float) -> DataFrame:

@@ -85,3 +85,17 @@ def test_histogram_of_nothing(docs_of):
     assert found.count() == 0
     assert [tuple(r) for r in token_counts.truncated_total(found, [5]).collect()] == [(5, 0, 0)]
     assert token_counts.length_quantile(found, 0.5).first().n_tokens is None
+
+
+def test_many_limits(spark, monkeypatch):
+    """Ten thousand limits against a histogram with gaps of several blocks, nulls and repeats among them."""
+    monkeypatch.setattr(token_counts, "BLOCK", 64)
+    rng = random.Random(6)
+    lengths = [rng.choice([rng.randrange(300), rng.randrange(3000, 3100), 0]) for _ in range(2000)] + [9000]
+    found = token_counts.length_histogram(spark.createDataFrame([(n,) for n in lengths], "n_tokens long"))
+    limits = [*range(0, 9900), 10**9, 128, 128]
+    table = spark.createDataFrame([(n, "x") for n in [*limits, None]], "context_limit long, sums string")
+    got = {r.context_limit: (r.truncated_tokens, r.n_truncated) for r in token_counts.truncated_total(found, table).collect()}
+    assert len(got) == 9901
+    for n in rng.sample(sorted(got), 300) + [10**9, 0, 299, 300, 3099, 3100, 8999, 9000]:
+        assert got[n] == (sum(min(x, n) for x in lengths), sum(x > n for x in lengths))
