@@ -22,6 +22,7 @@ document and item come from the rarest windows of each item alone, and a window
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,22 +59,27 @@ NO_NAMES = (
     "Avec Ce Ces Cette Combien Dans De Des Du Elle Elles En Est Et Il Ils Je La Le Les Mais Nous On Par Pour Que Quel Quelle Qui Si Sur Un Une Vous "
     "Al Con Cuál Cuántas Cuántos Cómo Del El Este Esta Los Las Para Pero Por Qué Quién Son Su Una Unos Y "
 ) + " ".join(w.capitalize() for w in NUMBER_WORDS.split())
-#: Function words of the language that capitalises its nouns; two of them, and one in eight words, mark a sentence.
+#: Function words of the language that capitalises its nouns; two of them, one of the commonest, and one in eight words mark a sentence.
 NOUN_CAPITALS = "der das und ein eine einen einem einer dem den ist sind mit für von vom zum zur nicht auf sich wird werden auch nach oder haben wie viele kauft hat gibt seine ihre als noch dann"
+COMMONEST = ("und", "der", "den", "mit", "eine")
 _EDGE_BEFORE, _EDGE_AFTER = r"(?<![\p{L}\p{M}\p{N}])", r"(?![\p{L}\p{M}\p{N}])"
 #: Any other capitalised word, wherever it stands: what comes before it does not matter, so item and document agree on it.
 _BY_LETTER = {w[0]: [x[1:] for x in NO_NAMES.split() if x[0] == w[0]] for w in NO_NAMES.split()}
 _NO_NAME = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in _BY_LETTER.items())
 NAME = rf"(?=\p{{Lu}}){_EDGE_BEFORE}(?!(?:{_NO_NAME}){_EDGE_AFTER})\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['’](?=\p{{Lu}}))++(?!\p{{N}})"
-_NUMBER_WORD = rf"(?=[{''.join(sorted({w[0] for w in NUMBER_WORDS.split()}))}]){_EDGE_BEFORE}(?:{'|'.join(NUMBER_WORDS.split())}){_EDGE_AFTER}"
-NUMBER = rf"[0-9]+(?:[.,:/][0-9]+)*|(?i:{_NUMBER_WORD})"
+DIGITS = r"[0-9]+(?:[.,:/][0-9]+)*"
+#: Numbers in digits or words; where words are at hand, those in words are told by the word instead.
+NUMBER = rf"{DIGITS}|(?iu:{_EDGE_BEFORE}(?:{'|'.join(NUMBER_WORDS.split())}){_EDGE_AFTER})"
 # a unit follows a digit, and no letter or digit goes on after it; a sign needs no end
 _WORD_UNITS, _SIGNS = [u for u in UNITS.split() if u.isalpha()], "".join(u for u in UNITS.split() if not u.isalpha())
-UNIT = rf"(?<=[0-9])\s?(?:(?:{'|'.join(sorted(_WORD_UNITS, key=lambda u: (-len(u), u)))}){_EDGE_AFTER}|[{_SIGNS}])|[{CURRENCIES}](?=\s?[0-9])"
-_NOUNS = rf"{_EDGE_BEFORE}(?:{'|'.join(NOUN_CAPITALS.split())}){_EDGE_AFTER}"
+_AFTER_DIGIT = rf"\s?(?:(?:{'|'.join(sorted(_WORD_UNITS, key=lambda u: (-len(u), u)))}){_EDGE_AFTER}|[{_SIGNS}])"
+_BEFORE_DIGIT = rf"[{CURRENCIES}](?=\s?[0-9])"
+UNIT = rf"(?<=[0-9]){_AFTER_DIGIT}|{_BEFORE_DIGIT}"
+_NOUNS = rf" (?:{'|'.join(NOUN_CAPITALS.split())})(?= )"
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}\x01-\x03]+"
 #: Slots with nothing but marks and blanks between them, within a sentence.
-_RUN = r"[\x01-\x03](?:[^\p{L}\p{M}\p{N}\x01-\x03.!?\n]*[\x01-\x03])*"
+_GAP = r"[^\p{L}\p{M}\p{N}\x01-\x03.!?\n]*"
+_RUN, _SAME, _MIXED = rf"[\x01-\x03](?:{_GAP}[\x01-\x03])*", rf"([\x01-\x03])(?:{_GAP}\1)+", rf"[\x01-\x03](?:{_GAP}[\x01-\x03])+"
 
 
 def _unmarked(text: Column) -> Column:
@@ -86,20 +92,18 @@ def _unmarked(text: Column) -> Column:
 
 def _by_sentence(text: Column, named: Callable[[Column], Column], nameless: Callable[[Column], Column], joined: Callable[[Column], Column]) -> Column:
     """``named`` of the text, or ``joined`` of its sentences, each by ``nameless`` if it capitalises nouns and by ``named`` if not."""
-    count = lambda x: F.regexp_count(x, F.lit(_NOUNS))
-    dense = lambda s: F.greatest(F.lit(2), F.ceil(F.size(F.split(s, r"\s+")) / 8)) <= count(s)
-    parts = F.transform(F.split(text, r"(?<=[.!?\n])"), lambda s: F.when(dense(s), nameless(s)).otherwise(named(s)))
-    return F.when(count(text) >= 2, joined(parts)).otherwise(named(text))
+    some = lambda x: reduce(Column.__or__, (F.contains(x, F.lit(f" {w} ")) for w in COMMONEST))
+    dense = lambda s: some(s) & (F.greatest(F.lit(2), F.ceil(F.size(F.split(s, " ")) / 8)) <= F.regexp_count(s, F.lit(_NOUNS)))
+    parts = lambda x: F.transform(F.split(x, r"(?<=[.!?\n])"), lambda s: F.when(dense(s), nameless(s)).otherwise(named(s)))
+    # as a lambda's variable the text is worked out once, however often it is named
+    return F.get(F.transform(F.array(text), lambda x: F.when(some(x), joined(parts(x))).otherwise(named(x))), F.lit(0))
 
 
-def _marked(text: Column) -> Column:
+def _marked(text: Column, number: str = NUMBER) -> Column:
     """The text with a mark, between blanks, for each slot."""
-    def marks(t: Column, names: bool) -> Column:
-        t = F.regexp_replace(t, UNIT, f" {UNIT_SLOT} ")
-        t = F.regexp_replace(t, NAME, f" {NAME_SLOT} ") if names else t
-        return F.regexp_replace(t, NUMBER, f" {NUMBER_SLOT} ")
-
-    return _by_sentence(_unmarked(text), lambda t: marks(t, True), lambda t: marks(t, False), lambda parts: F.array_join(parts, ""))
+    units = F.regexp_replace(_unmarked(text), f"([0-9]){_AFTER_DIGIT}|{_BEFORE_DIGIT}", f"$1 {UNIT_SLOT} ")
+    names = _by_sentence(units, lambda t: F.regexp_replace(t, NAME, f" {NAME_SLOT} "), lambda t: t, lambda parts: F.array_join(parts, ""))
+    return F.regexp_replace(names, number, f" {NUMBER_SLOT} ")
 
 
 def _words(marked: Column) -> Column:
@@ -108,13 +112,13 @@ def _words(marked: Column) -> Column:
 
 def template_words(text: Column) -> Column:
     """The canonical words of a text; none for a null text. Control characters of the placeholders count as blanks."""
-    return _words(_marked(text))
+    return F.transform(_words(_marked(text, DIGITS)), lambda w: F.when(w.isin(*NUMBER_WORDS.split()), NUMBER_SLOT).otherwise(w))
 
 
 def run_words(text: Column) -> Column:
     """The canonical words with each run of slots as one: the kind that all of it are, or else a unit's, which numbers with units are."""
-    same = F.regexp_replace(_marked(text), _RUN.replace("[\\x01-\\x03]", "([\\x01-\\x03])", 1).replace("*[\\x01-\\x03])*", "*\\1)*"), "$1")
-    return _words(F.regexp_replace(same, _RUN.replace(")*", ")+"), f" {UNIT_SLOT} "))
+    same = F.regexp_replace(_marked(text), _SAME, "$1")
+    return _words(F.regexp_replace(same, _MIXED, f" {UNIT_SLOT} "))
 
 
 def plain_words(text: Column) -> Column:
@@ -135,8 +139,8 @@ def word_hashes(words: Column) -> Column:
 def window_hashes(hashes: str, form: int) -> Column:
     """A hash for each window of five words of a form, from the words' hashes; fewer words make one window; no words none."""
     n = F.size(hashes)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.xxhash64(*(F.get(hashes, k + i) for i in range(WINDOW)), F.lit(form)))
+    firsts = F.slice(hashes, F.lit(1), F.greatest(n - (WINDOW - 1), F.least(n, F.lit(1))))
+    return F.transform(firsts, lambda w, k: F.xxhash64(w, *(F.get(hashes, k + i) for i in range(1, WINDOW)), F.lit(form)))
 
 
 def _solid(words: Column) -> Column:
