@@ -257,8 +257,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # the template's windows come first, so that their places count from 0, and then those over runs, if any item has such
     arrays = [window_hashes("template", TEMPLATE), *([window_hashes("runs", RUNS)] if RUNS in forms else []), window_hashes("plain", PLAIN)]
     n = F.size("template")
-    before = F.when(n > 0, F.greatest(n - (WINDOW - 1), F.lit(1))).otherwise(0)
-    hashed = words.select("row_key", "doc_id", before.alias("before"), F.posexplode(F.concat(*arrays)).alias("place", "hash"))
+    before = F.when(n > 0, F.greatest(n - (WINDOW - 1), F.lit(1))).otherwise(0) if RUNS in forms else F.lit(0)
+    # worked out below the explosion, so that no exploded row carries the words
+    hashed = words.withColumn("before", before).select("row_key", "doc_id", "before", F.posexplode(F.concat(*arrays)).alias("place", "hash"))
     # a window of a document is one row here, however many items have it
     hits = materialize(hashed.join(_few(known.select("hash").distinct(), BROADCAST_WINDOWS), "hash", "left_semi"), "hits")
     asked = materialize(_candidates(hits, known), "candidates")
