@@ -101,13 +101,14 @@ def _by_sentence(text: Column, named: Callable[[Column], Column], nameless: Call
 
 def _marked(text: Column, number: str = NUMBER) -> Column:
     """The text with a mark, between blanks, for each slot."""
-    units = F.regexp_replace(_unmarked(text), f"([0-9]){_AFTER_DIGIT}|{_BEFORE_DIGIT}", f"$1 {UNIT_SLOT} ")
+    # what all matches begin with comes first, so that most characters are passed by one look
+    units = F.regexp_replace(_unmarked(text), f"(?=[0-9{CURRENCIES}])(?:([0-9]){_AFTER_DIGIT}|{_BEFORE_DIGIT})", f"$1 {UNIT_SLOT} ")
     names = _by_sentence(units, lambda t: F.regexp_replace(t, NAME, f" {NAME_SLOT} "), lambda t: t, lambda parts: F.array_join(parts, ""))
     return F.regexp_replace(names, number, f" {NUMBER_SLOT} ")
 
 
 def _words(marked: Column) -> Column:
-    return F.filter(F.split(F.lower(marked), _NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(marked), _NOT_WORD), "")
 
 
 def template_words(text: Column) -> Column:
@@ -123,7 +124,7 @@ def run_words(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """The lower-cased words of a text, without placeholders; none for a null text."""
-    return F.filter(F.split(F.lower(_unmarked(text)), _NOT_WORD), lambda w: w != "")
+    return _words(_unmarked(text))
 
 
 def slot_values(text: Column) -> Column:
@@ -143,6 +144,33 @@ def window_hashes(hashes: str, form: int) -> Column:
     return F.transform(firsts, lambda w, k: F.xxhash64(w, *(F.get(hashes, k + i) for i in range(1, WINDOW)), F.lit(form)))
 
 
+def explode_windows(rows: DataFrame, forms: dict[str, int]) -> DataFrame:
+    """The rows, without the columns of ``forms``, once for each window of these, with ``place`` and ``hash``.
+
+    A column of ``forms`` has the hashes of the words in a form; windows and hashes are those of ``window_hashes``, and ``place`` counts
+    a form's windows from 0. Places are exploded before windows are hashed, so that the hashing, and a join after it, run in
+    generated code and no row carries the words.
+    """
+    names, others = list(forms), [F.col(f"`{c}`") for c in rows.columns if c not in forms]
+    counts = [F.greatest(F.size(c) - (WINDOW - 1), F.least(F.size(c), F.lit(1))) for c in names]
+    ends = F.array(*(reduce(Column.__add__, counts[: k + 1]) for k in range(len(names))))
+    counted = rows.select(*others, *names, ends.alias("_ends"))
+    counted = counted.select(*others, *names, *(F.get("_ends", F.lit(k)).alias(f"_end{k}") for k in range(len(names))))
+    last = F.col(f"_end{len(names) - 1}")
+    each = counted.select("*", F.explode(F.when(last > 0, F.sequence(F.lit(0), last - 1))).alias("_at"))
+
+    def pick(value: Callable[[str, Column], Column]) -> Column:
+        """``value`` of the column that the window belongs to, and of its place there."""
+        places = [F.col("_at") - (F.col(f"_end{k - 1}") if k else F.lit(0)) for k in range(len(names))]
+        out = value(names[-1], places[-1])
+        for k in reversed(range(len(names) - 1)):
+            out = F.when(F.col("_at") < F.col(f"_end{k}"), value(names[k], places[k])).otherwise(out)
+        return out
+
+    hashed = pick(lambda c, at: F.xxhash64(*(F.get(c, at + i) for i in range(WINDOW)), F.lit(forms[c])))
+    return each.select(*others, pick(lambda _, at: at).alias("place"), hashed.alias("hash"))
+
+
 def _solid(words: Column) -> Column:
     """Words of a window that are no placeholders."""
     return F.size(F.filter(words, lambda w: F.translate(w, SLOTS, "") != ""))
@@ -254,12 +282,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     forms = [TEMPLATE, RUNS] if known.where(F.col("form") == RUNS).limit(1).count() else [TEMPLATE]
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     words = texts.select("row_key", "doc_id", word_hashes(template_words(F.col("text"))).alias("template"), word_hashes(plain_words(F.col("text"))).alias("plain"), *([word_hashes(run_words(F.col("text"))).alias("runs")] if RUNS in forms else []))
-    # the template's windows come first, so that their places count from 0, and then those over runs, if any item has such
-    arrays = [window_hashes("template", TEMPLATE), *([window_hashes("runs", RUNS)] if RUNS in forms else []), window_hashes("plain", PLAIN)]
-    n = F.size("template")
-    before = F.when(n > 0, F.greatest(n - (WINDOW - 1), F.lit(1))).otherwise(0) if RUNS in forms else F.lit(0)
-    # worked out below the explosion, so that no exploded row carries the words
-    hashed = words.withColumn("before", before).select("row_key", "doc_id", "before", F.posexplode(F.concat(*arrays)).alias("place", "hash"))
+    hashed = explode_windows(words, {"template": TEMPLATE, **({"runs": RUNS} if RUNS in forms else {}), "plain": PLAIN})
     # a window of a document is one row here, however many items have it
     hits = materialize(hashed.join(_few(known.select("hash").distinct(), BROADCAST_WINDOWS), "hash", "left_semi"), "hits")
     asked = materialize(_candidates(hits, known), "candidates")
@@ -287,8 +310,7 @@ def _consistent(texts: DataFrame, items: DataFrame, known: DataFrame, hits: Data
     keys = _few(materialize(asked.select("row_key").distinct(), "asked"), BROADCAST_ROWS)
     doc_slots = _slots(texts.join(keys, "row_key", "left_semi").dropDuplicates(["row_key"]), ["row_key"], form)
     starts = _few(known.where(F.col("form") == form).select("item_key", "windows", "start", "hash"), BROADCAST_WINDOWS)
-    place = F.col("place") - F.col("before") if form == RUNS else F.col("place")
-    aligned = materialize(_alignments(asked.join(starts, "item_key").join(hits.select("row_key", "hash", place.alias("place")), ["row_key", "hash"])), "aligned")
+    aligned = materialize(_alignments(asked.join(starts, "item_key").join(hits.select("row_key", "hash", "place"), ["row_key", "hash"])), "aligned")
     key = ["row_key", "item_key", "kind", "label"]
     met = aligned.select(*key, F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("k"), "place", "start")
     met = met.select(*key, (F.col("place") + F.col("k")).alias("doc_at"), (F.col("start") + F.col("k")).alias("item_at")).distinct()
