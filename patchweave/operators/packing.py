@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Container, Iterator
+from collections.abc import Container, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,22 +85,24 @@ def pack_slice(rows: list[dict], budget: int) -> tuple[list[str], list[str]]:
     return list(taken), [i for i in optional if i not in taken]
 
 
-def pack_slices(candidates: DataFrame, budget: int) -> DataFrame:
-    """(pr_key, slice_no, item_id, status, pack_ord, tokens) of candidate items, without their contents.
+def pack_slices(candidates: DataFrame, budget: int | str, by: Sequence[str] = ()) -> DataFrame:
+    """(pr_key, slice_no, item_id, status, pack_ord, tokens) of candidate items, without their contents, below the columns of ``by``.
 
     ``candidates`` has pr_key, slice_no, item_id, path, start_line, tokens, required, requires and value. Each choice depends on those
-    before, so a slice is one row of small structs, and Arrow batches carry many slices; contents are joined afterwards.
+    before, so a slice is one row of small structs, and Arrow batches carry many slices; contents are joined afterwards. ``budget`` is a
+    number or the name of a column that is constant within a slice; ``by`` names string columns, and slices that differ in them are apart.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for change, number, rows in zip(*(batch[c].to_pylist() for c in ("pr_key", "slice_no", "items")), strict=True):
+            for *key, limit, rows in zip(*(batch[c].to_pylist() for c in (*by, "pr_key", "slice_no", "budget", "items")), strict=True):
                 tokens = {r["item_id"]: r["tokens"] for r in reversed(rows)}
-                for status, ids in zip(("included", "dropped"), pack_slice(rows, budget), strict=True):
-                    out += [(change, number, i, status, k, tokens[i]) for k, i in enumerate(ids)]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["pr_key", "slice_no", "item_id", "status", "pack_ord", "tokens"])
+                for status, ids in zip(("included", "dropped"), pack_slice(rows, limit), strict=True):
+                    out += [(*key, i, status, k, tokens[i]) for k, i in enumerate(ids)]
+            kinds = (*(pa.string() for _ in by), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=[*by, "pr_key", "slice_no", "item_id", "status", "pack_ord", "tokens"])
 
     item = F.struct("path", "item_id", "start_line", "tokens", "required", "requires", "value")
-    slices = candidates.groupBy("pr_key", F.col("slice_no").cast("int").alias("slice_no")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return slices.mapInArrow(pack, PACKED)
+    limit = F.first(budget).alias("budget") if isinstance(budget, str) else F.lit(budget).alias("budget")
+    slices = candidates.groupBy(*by, "pr_key", F.col("slice_no").cast("int").alias("slice_no")).agg(limit, F.sort_array(F.collect_list(item)).alias("items"))
+    return slices.mapInArrow(pack, ", ".join([*(f"`{c}` string" for c in by), PACKED]))

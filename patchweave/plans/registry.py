@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from patchweave.config import ReviewConfig
 from patchweave.functions import ids, paths, scoring, text
-from patchweave.operators import diff, freeze, history, items, lexical, packing, publish, recall, review, slicing, symbols
+from patchweave.operators import diff, freeze, history, items, lexical, packing, publish, recall, replay, review, slicing, symbols
 from patchweave.plans import domain
 from patchweave.plans.pipeline import Tables, build_plans, needed_sources
 from patchweave.sources import archives
@@ -93,6 +93,7 @@ SYMBOLS = r"""owners AS (SELECT l_partkey AS p_partkey, min(l_suppkey) AS owner
 )"""
 
 CONFIG = ReviewConfig()
+REPLAYED = (replay.Policy("default", PACK_BUDGET), replay.Policy("tests first", 40, {"CALLER": 0.5, "TEST": 1.0, "OVERRIDE": 0.9}))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +228,10 @@ def pack_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_slices(candidates.withColumn("value", scoring.heuristic_score(F.col("kind"), F.col("confidence"))), PACK_BUDGET)
 
 
+def policy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.compare(replay.replay(domain.pack_candidates(spark, sf_dir), REPLAYED), len(REPLAYED))
+
+
 def merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.merge_findings(domain.conversation_findings(spark, sf_dir)).select("pr_key", "path", "line", "severity", "title", "message", "slice_no", "pos")
 
@@ -428,7 +433,7 @@ def plan_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     change_summary, classify_files, token_estimates, diff_lines, diff_hunk_validation, render_hunks, annotate_diff, diff_items, metadata_items, patch_sha, context_ids, capability_report, common_prefixes,
-    changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
+    changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, policy_replay, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
     parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback,
     category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, java_shape_methods, java_shape_calls, bounded_texts, reviewer_answers, fallback_comments,
     review_comments, review_plans, plan_overview, lexical_files, co_change_rules, co_change_states, coalesced_events,
@@ -791,3 +796,15 @@ ORACLE_SQL = {
         ELSE 'LLM review unavailable (service down or not configured); context summary only.' || chr(10) END AS comment
       FROM orders LEFT JOIN t ON l_orderkey = o_orderkey""",
 }
+
+
+def _replayed(policy: str, budget: int, caller: float, test: float) -> str:
+    """The SQL of packing under other settings."""
+    packed = ORACLE_SQL["pack_slices"].replace("<= 60", f"<= {budget}").replace("WHEN 'CALLER' THEN 0.8 WHEN 'TEST' THEN 0.85", f"WHEN 'CALLER' THEN {caller} WHEN 'TEST' THEN {test}")
+    return f"SELECT '{policy}' AS policy, pr_key, item_id, status, tokens FROM ({packed})"
+
+
+ORACLE_SQL["policy_replay"] = f"""WITH p AS ({_replayed("default", 60, 0.8, 0.85)} UNION ALL {_replayed("tests first", 40, 0.5, 1.0)}),
+  t AS (SELECT *, status = 'included' AS took, count(*) FILTER (status = 'included') OVER (PARTITION BY pr_key, item_id) AS takers FROM p)
+  SELECT policy, pr_key, count(*) FILTER (took) AS n_included, count(*) FILTER (NOT took) AS n_dropped, CAST(coalesce(sum(tokens) FILTER (took), 0) AS BIGINT) AS tokens,
+    count(*) FILTER (took AND takers = 2) AS n_shared, count(*) FILTER (took AND takers = 1) AS n_alone FROM t GROUP BY GROUPING SETS ((policy, pr_key), (policy))"""
