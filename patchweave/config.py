@@ -23,6 +23,8 @@ class ReviewConfig:
     conventions: bool = True
     bm25: bool = False
     co_change: bool = False
+    #: Pack so that text which is already shown counts for nothing; off, each item counts in full.
+    covering: bool = False
     sensitive_patterns: tuple[str, ...] = SENSITIVE_PATTERNS
     #: Emit bodies of changed methods in sensitive files too. Off: such bodies are withheld like the diff.
     emit_sensitive_methods: bool = False
@@ -41,5 +43,6 @@ class ReviewConfig:
             "policy": POLICY_VERSION, "tokenEstimator": TOKENIZER_VERSION, "symbolGraph": self.symbol_graph, "conventions": self.conventions,
             "bm25": self.bm25, "coChange": self.co_change, "sensitivePatterns": ",".join(self.sensitive_patterns),
         }
+        shown |= {"packing": "covering"} if self.covering else {}
         lines = (f"{k}={str(v).lower() if isinstance(v, bool) else v}" for k, v in shown.items())
         return hashlib.sha256("\n".join(lines).encode()).hexdigest()

@@ -145,6 +145,14 @@ def pack_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_quantity AS int) AS tokens", "l_linestatus = 'F' AND l_linenumber = 1 AS required", "cast(array() AS array<string>) AS requires", "1 - l_discount AS confidence")
 
 
+def repeated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of ``pack_candidates`` with contents, of which many lines are the same within an order; some have none."""
+    content = "CASE WHEN l_suppkey % 7 != 3 THEN concat('kind ', kind, '\n\n  part  ', l_partkey % 3, '\n}\nsupplier ', l_suppkey % 2, '\nline ', l_linenumber % 2) END"
+    key = "concat_ws('#', kind, l_partkey, l_suppkey, l_linenumber) AS item_id"
+    texts = read(spark, sf_dir, "lineitem").selectExpr("*", "CASE l_returnflag WHEN 'A' THEN 'CALLER' WHEN 'N' THEN 'TEST' ELSE 'OVERRIDE' END AS kind").selectExpr("concat('O', l_orderkey) AS pr_key", key, f"{content} AS content")
+    return pack_candidates(spark, sf_dir).join(texts.distinct(), ["pr_key", "item_id"])
+
+
 def conversation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as findings; equal texts in a path and line are equal findings of different slices."""
     return read(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from patchweave.config import SCHEMA_VERSION, POLICY_VERSION, ReviewConfig
 from patchweave.functions import ids, scoring
 from patchweave.functions.paths import is_sensitive
-from patchweave.operators import diff, freeze, history, items, lexical, packing, recall, review, slicing, symbols
+from patchweave.operators import covering, diff, freeze, history, items, lexical, packing, recall, review, slicing, symbols
 from patchweave.sources.archives import snapshot_files
 from patchweave.sources.java import parse_java
 from patchweave.sources.scratch import stored
@@ -170,8 +170,9 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     slices = stored(slicing.with_fallback(assigned, tables.revisions), "slices")
     home = F.when(F.col("required"), F.col("ref_path")).otherwise(F.coalesce("owner_path", "ref_path"))
     placed = found.withColumn("home", home).join(slices.withColumnRenamed("path", "home"), ["pr_key", "home"])
-    scored = placed.select("pr_key", "slice_no", "item_id", F.col("ref_path").alias("path"), F.col("ref_start").alias("start_line"), "tokens", "required", "requires", scoring.heuristic_score(F.col("kind"), F.col("confidence")).alias("value"))
-    packed = stored(packing.pack_slices(scored, config.context_budget), "packed")
+    parts = [covering.pieces(F.col("content")).alias("pieces")] if config.covering else []
+    scored = placed.select("pr_key", "slice_no", "item_id", F.col("ref_path").alias("path"), F.col("ref_start").alias("start_line"), "tokens", "required", "requires", scoring.heuristic_score(F.col("kind"), F.col("confidence")).alias("value"), *parts)
+    packed = stored((covering if config.covering else packing).pack_slices(scored, config.context_budget), "packed")
 
     summary = stored(freeze.change_summary(files, diff.file_checks(parsed_patches)), "summary")
     shown = packed.join(found.select("pr_key", "item_id", "kind", "ref_path", "ref_start", "ref_end", "symbol_id"), ["pr_key", "item_id"])

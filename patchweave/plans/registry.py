@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from patchweave.config import ReviewConfig
 from patchweave.functions import ids, paths, scoring, text
-from patchweave.operators import diff, freeze, history, items, lexical, packing, publish, recall, replay, review, slicing, symbols
+from patchweave.operators import covering, diff, freeze, history, items, lexical, packing, publish, recall, replay, review, slicing, symbols
 from patchweave.plans import domain
 from patchweave.plans.pipeline import Tables, build_plans, needed_sources
 from patchweave.sources import archives
@@ -232,6 +232,20 @@ def policy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.compare(replay.replay(domain.pack_candidates(spark, sf_dir), REPLAYED), len(REPLAYED))
 
 
+def _covered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = domain.repeated_candidates(spark, sf_dir)
+    found = found.withColumns({"value": scoring.heuristic_score(F.col("kind"), F.col("confidence")), "pieces": covering.pieces(F.col("content"))})
+    return covering.pack_slices(found, PACK_BUDGET), found
+
+
+def pack_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _covered(spark, sf_dir)[0]
+
+
+def shown_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covering.overlap(*_covered(spark, sf_dir))
+
+
 def merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.merge_findings(domain.conversation_findings(spark, sf_dir)).select("pr_key", "path", "line", "severity", "title", "message", "slice_no", "pos")
 
@@ -433,7 +447,7 @@ def plan_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     change_summary, classify_files, token_estimates, diff_lines, diff_hunk_validation, render_hunks, annotate_diff, diff_items, metadata_items, patch_sha, context_ids, capability_report, common_prefixes,
-    changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, policy_replay, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
+    changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, pack_covering, shown_twice, policy_replay, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
     parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback,
     category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, java_shape_methods, java_shape_calls, bounded_texts, reviewer_answers, fallback_comments,
     review_comments, review_plans, plan_overview, lexical_files, co_change_rules, co_change_states, coalesced_events,
@@ -808,3 +822,25 @@ ORACLE_SQL["policy_replay"] = f"""WITH p AS ({_replayed("default", 60, 0.8, 0.85
   t AS (SELECT *, status = 'included' AS took, count(*) FILTER (status = 'included') OVER (PARTITION BY pr_key, item_id) AS takers FROM p)
   SELECT policy, pr_key, count(*) FILTER (took) AS n_included, count(*) FILTER (NOT took) AS n_dropped, CAST(coalesce(sum(tokens) FILTER (took), 0) AS BIGINT) AS tokens,
     count(*) FILTER (took AND takers = 2) AS n_shared, count(*) FILTER (took AND takers = 1) AS n_alone FROM t GROUP BY GROUPING SETS ((policy, pr_key), (policy))"""
+
+_COVERING = """WITH RECURSIVE c AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 'CALLER' WHEN 'N' THEN 'TEST' ELSE 'OVERRIDE' END AS kind FROM lineitem),
+  i AS (SELECT 'O' || l_orderkey AS pr_key, kind || '#' || l_partkey || '#' || l_suppkey || '#' || l_linenumber AS item_id, 'F' || l_partkey AS path,
+      CASE WHEN l_tax > 0 THEN l_linenumber ELSE -1 END AS spot, CAST(l_quantity AS INT) AS tokens, l_linestatus = 'F' AND l_linenumber = 1 AS required,
+      CAST(CASE kind WHEN 'CALLER' THEN 0.8 WHEN 'TEST' THEN 0.85 ELSE 0.9 END AS DOUBLE) * (1 - l_discount) AS value,
+      CASE WHEN l_suppkey % 7 = 3 THEN CAST([] AS VARCHAR[]) ELSE [kind || '/p' || l_partkey % 3, 'p' || l_partkey % 3 || '/s' || l_suppkey % 2, 's' || l_suppkey % 2 || '/l' || l_linenumber % 2] END AS pieces
+    FROM c QUALIFY row_number() OVER (PARTITION BY pr_key, item_id ORDER BY spot, tokens, required, value) = 1),
+  start AS (SELECT pr_key, CAST(coalesce(sum(tokens) FILTER (required), 0) AS BIGINT) AS used, coalesce(list(item_id) FILTER (required), CAST([] AS VARCHAR[])) AS taken,
+      coalesce(flatten(list(pieces) FILTER (required)), CAST([] AS VARCHAR[])) AS shown FROM i GROUP BY pr_key),
+  walk AS (SELECT pr_key, 0 AS step, used, taken, shown, CAST(NULL AS VARCHAR) AS item_id FROM start
+    UNION ALL SELECT pr_key, step + 1, used + tokens, list_append(taken, next_id), list_concat(shown, pieces), next_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY pr_key ORDER BY -(CASE WHEN len(pieces) = 0 THEN value ELSE value * fresh / len(pieces) END) / greatest(tokens, 1), path, spot, next_id) AS nth
+      FROM (SELECT w.pr_key, w.step, w.used, w.taken, w.shown, i.item_id AS next_id, i.tokens, i.pieces, i.value, i.path, i.spot, len(list_filter(i.pieces, lambda p: NOT list_contains(w.shown, p))) AS fresh
+        FROM walk w JOIN i ON i.pr_key = w.pr_key AND NOT list_contains(w.taken, i.item_id) AND w.used + greatest(i.tokens, 1) <= 60)
+      WHERE len(pieces) = 0 OR fresh > 0) WHERE nth = 1),
+  out AS (SELECT i.*, w.step FROM i LEFT JOIN walk w ON w.pr_key = i.pr_key AND w.item_id = i.item_id),
+  packed AS (SELECT pr_key, 1 AS slice_no, item_id, CASE WHEN required OR step IS NOT NULL THEN 'included' ELSE 'dropped' END AS status, tokens, pieces,
+    CAST(row_number() OVER (PARTITION BY pr_key, required OR step IS NOT NULL ORDER BY CASE WHEN required THEN 0 ELSE step END, path, spot, item_id) - 1 AS INT) AS pack_ord FROM out)"""
+
+ORACLE_SQL["pack_covering"] = f"{_COVERING} SELECT pr_key, slice_no, item_id, status, tokens, pack_ord FROM packed"
+ORACLE_SQL["shown_twice"] = f"""{_COVERING}, p AS (SELECT pr_key, slice_no, unnest(pieces) AS piece FROM packed WHERE status = 'included')
+  SELECT pr_key, slice_no, count(*) AS n_pieces, count(*) - count(DISTINCT piece) AS n_repeated FROM p GROUP BY pr_key, slice_no"""
