@@ -14,6 +14,7 @@ from patchweave.functions import ids, scoring
 from patchweave.functions.paths import is_sensitive
 from patchweave.operators import covering, diff, freeze, history, items, lexical, packing, recall, review, slicing, symbols
 from patchweave.sources.archives import snapshot_files
+from patchweave.sources.declarations import parse_kept
 from patchweave.sources.java import parse_java
 from patchweave.sources.scratch import stored
 
@@ -132,8 +133,8 @@ def related(edges: DataFrame, code: DataFrame) -> DataFrame:
     return edges.join(ends, ["pr_key", "from_path", "from_symbol"], "left").withColumn("edge_ord", recall.edge_order())
 
 
-def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_snapshot: bool = False, store: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Plans of all changes, by name.
+def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_snapshot: bool = False, store: DataFrame | None = None, declarations: str | None = None) -> dict[str, DataFrame]:
+    """Plans of all changes, by name. ``declarations``, a folder, keeps what was parsed by content, so that later builds parse only new contents.
 
     ``results``: (pr_key, status, reason), READY, REUSED from ``store`` (context_id, plan_json) without being built anew, or SKIPPED
     where no revision is known; rows that cannot be read stop no change, and ``build_isolated`` keeps exceptions to theirs. ``plans``: (pr_key, context_id, plan_json, diagnostics) of the ready
@@ -151,7 +152,8 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     parsed_patches = stored(diff.parse_patches(files), "patches")
     lines, rendered = diff.hunk_lines(parsed_patches), diff.render_hunks(parsed_patches)
     contents = stored(source_contents(tables, whole_snapshot), "contents")
-    code = stored(parse_java(contents, ["pr_key", "side", "path"]), "code")
+    sides = ["pr_key", "side", "path"]
+    code = stored(parse_java(contents, sides) if declarations is None else parse_kept(contents, sides, declarations), "code")
     methods = code.where("row = 'method'").select("pr_key", "side", "path", "fqn", "name", "signature", "arity", "start_line", "end_line")
     located = symbols.locate_changed(methods, lines, files)
     order = F.struct(F.when(F.col("side") == "HEAD", 0).otherwise(1), "path", "start_line", "signature")

@@ -15,9 +15,9 @@ from patchweave.functions import ids, paths, scoring, text
 from patchweave.operators import covering, diff, freeze, history, items, lexical, packing, publish, recall, replay, review, slicing, symbols
 from patchweave.plans import domain
 from patchweave.plans.pipeline import Tables, build_plans, needed_sources
-from patchweave.sources import archives
+from patchweave.sources import archives, declarations
 from patchweave.sources.java import parse_java
-from patchweave.sources.scratch import stored
+from patchweave.sources.scratch import shared_dir, stored
 from patchweave.streaming import events, newest
 
 FLAGSHIP = "change_summary"
@@ -393,6 +393,17 @@ def java_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "row", "fqn", "kind", "super_class", F.array_join("interfaces", ",").alias("interfaces"))
 
 
+def kept_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two builds over one table of declarations: a third of the files is new in the second, and only these are parsed then."""
+    files = domain.java_shapes(spark, sf_dir)
+    digested = files.withColumn("digest", declarations.digest(F.col("content")))
+    kept = f"{shared_dir(spark)}/declarations-{uuid.uuid4().hex}"
+    early = declarations.parse_new(digested.where("cast(regexp_extract(path, '[0-9]+', 0) AS bigint) % 3 != 0").select("digest", "content"), kept)
+    rows = declarations.parse_kept(files, ["path"], kept).where("row IN ('type', 'failure')")
+    reused = digested.select("path", "digest").join(early.withColumn("reused", F.lit(True)), "digest", "left").select("path", F.coalesce("reused", F.lit(False)).alias("reused"))
+    return rows.join(reused, "path").select("path", "row", "fqn", "kind", "super_class", F.array_join("interfaces", ",").alias("interfaces"), "reused")
+
+
 def java_shape_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_java(domain.java_shapes(spark, sf_dir), ["path"]).where("row = 'method'").select("path", "fqn", "signature", "start_line", "end_line")
 
@@ -449,7 +460,7 @@ _FUNCTIONS = (
     change_summary, classify_files, token_estimates, diff_lines, diff_hunk_validation, render_hunks, annotate_diff, diff_items, metadata_items, patch_sha, context_ids, capability_report, common_prefixes,
     changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, pack_covering, shown_twice, policy_replay, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
     parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback,
-    category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, java_shape_methods, java_shape_calls, bounded_texts, reviewer_answers, fallback_comments,
+    category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, kept_declarations, java_shape_methods, java_shape_calls, bounded_texts, reviewer_answers, fallback_comments,
     review_comments, review_plans, plan_overview, lexical_files, co_change_rules, co_change_states, coalesced_events,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -844,3 +855,5 @@ _COVERING = """WITH RECURSIVE c AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 'C
 ORACLE_SQL["pack_covering"] = f"{_COVERING} SELECT pr_key, slice_no, item_id, status, tokens, pack_ord FROM packed"
 ORACLE_SQL["shown_twice"] = f"""{_COVERING}, p AS (SELECT pr_key, slice_no, unnest(pieces) AS piece FROM packed WHERE status = 'included')
   SELECT pr_key, slice_no, count(*) AS n_pieces, count(*) - count(DISTINCT piece) AS n_repeated FROM p GROUP BY pr_key, slice_no"""
+
+ORACLE_SQL["kept_declarations"] = f"SELECT *, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) % 3 != 0 AS reused FROM ({ORACLE_SQL['java_types']})"

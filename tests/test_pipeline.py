@@ -103,3 +103,22 @@ def test_plans_do_not_depend_on_row_order(tables):
 def test_channels_can_be_off(tables):
     out = build_plans(tables, ReviewConfig(symbol_graph=False, conventions=False), whole_snapshot=True)
     assert {r.kind for r in out["items"].select("kind").distinct().collect()} == {"DIFF_HUNK", "METADATA", "CHANGED_METHOD"}
+
+
+def test_covering_and_kept_declarations(tables, tmp_path):
+    """The same edges from kept declarations; a caller whose text is a copy of another is left out, and the fingerprint says so."""
+    from patchweave.sources import declarations
+
+    twin = tables.snapshot.where("path LIKE '%Caller.java'").withColumn("path", F.lit("src/main/java/com/y/Caller2.java"))
+    kept, config = str(tmp_path / "kept"), ReviewConfig(covering=True)
+    more = Tables(tables.revisions, tables.files, tables.snapshot.unionByName(twin), tables.base)
+    out = build_plans(more, config, whole_snapshot=True, declarations=kept)
+    status = {r.item_id: r.status for r in out["packed"].collect()}
+    assert sorted(v for k, v in status.items() if k.startswith("CALLER#")) == ["dropped", "included"]
+    seen = declarations.known(tables.snapshot.sparkSession, kept).count()
+    assert seen == 4  # three files of the head, of which the twin is one, and the old A
+    assert config.fingerprint() != ReviewConfig().fingerprint()
+    edited = more.snapshot.withColumn("content", F.when(F.col("path").endswith("ATest.java"), F.concat("content", F.lit("// edited\n"))).otherwise(F.col("content")))
+    again = build_plans(Tables(tables.revisions, tables.files, edited, tables.base), config, whole_snapshot=True, declarations=kept)
+    assert {r.item_id for r in again["packed"].collect()} == set(status)
+    assert declarations.known(tables.snapshot.sparkSession, kept).count() == seen + 1
