@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from patchweave.config import ReviewConfig
 from patchweave.functions import ids, paths, scoring, text
-from patchweave.operators import covering, diff, freeze, history, items, lexical, packing, publish, recall, replay, review, slicing, symbols
+from patchweave.operators import covering, diff, evaluation, freeze, history, items, lexical, packing, publish, recall, replay, review, slicing, symbols
 from patchweave.plans import domain
 from patchweave.plans.pipeline import Tables, build_plans, needed_sources
 from patchweave.sources import archives, declarations
@@ -22,6 +22,7 @@ from patchweave.streaming import events, newest
 
 FLAGSHIP = "change_summary"
 PACK_BUDGET, SLICE_BUDGET = 60, 1500
+RECALL_LIMITS = [(1, None), (2, None), (None, 30), (2, 30)]
 
 # ---- DuckDB views of the derived domain ----
 
@@ -228,6 +229,13 @@ def pack_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_slices(candidates.withColumn("value", scoring.heuristic_score(F.col("kind"), F.col("confidence"))), PACK_BUDGET)
 
 
+def support_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the tests of each order, and of items that no channel found, at ranks and budgets; 0 stands for any."""
+    gold = domain.pack_candidates(spark, sf_dir).where("kind = 'TEST'").selectExpr("pr_key", "item_id", "tokens")
+    gold = gold.select("pr_key", "item_id").union(gold.where("tokens % 5 = 0").selectExpr("pr_key", "concat('lost', item_id)"))
+    return evaluation.recall_at(evaluation.support_hits(pack_slices(spark, sf_dir), gold), RECALL_LIMITS).fillna(0, ["top", "budget"])
+
+
 def policy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.compare(replay.replay(domain.pack_candidates(spark, sf_dir), REPLAYED), len(REPLAYED))
 
@@ -458,7 +466,7 @@ def plan_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     change_summary, classify_files, token_estimates, diff_lines, diff_hunk_validation, render_hunks, annotate_diff, diff_items, metadata_items, patch_sha, context_ids, capability_report, common_prefixes,
-    changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, pack_covering, shown_twice, policy_replay, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
+    changed_methods, call_edges, override_edges, convention_edges, dedup_items, policy_scores, review_slices, pack_slices, pack_covering, shown_twice, support_recall, policy_replay, merge_findings, severity_counts, anchor_findings, inline_comments, comment_bodies,
     parse_llm_json, answer_counts, review_totals, render_prompts, route_events, latest_event_per_change, frozen_reuse, method_lists, java_methods, java_calls, signature_checks, symbol_items, snapshot_fallback,
     category_rules, archive_files, archive_errors, event_payloads, located_methods, related_items, required_closures, java_types, kept_declarations, java_shape_methods, java_shape_calls, bounded_texts, reviewer_answers, fallback_comments,
     review_comments, review_plans, plan_overview, lexical_files, co_change_rules, co_change_states, coalesced_events,
@@ -857,3 +865,11 @@ ORACLE_SQL["shown_twice"] = f"""{_COVERING}, p AS (SELECT pr_key, slice_no, unne
   SELECT pr_key, slice_no, count(*) AS n_pieces, count(*) - count(DISTINCT piece) AS n_repeated FROM p GROUP BY pr_key, slice_no"""
 
 ORACLE_SQL["kept_declarations"] = f"SELECT *, CAST(regexp_extract(path, '[0-9]+') AS BIGINT) % 3 != 0 AS reused FROM ({ORACLE_SQL['java_types']})"
+
+ORACLE_SQL["support_recall"] = f"""WITH packed AS ({ORACLE_SQL["pack_slices"]}),
+  tests AS (SELECT 'O' || l_orderkey AS pr_key, 'TEST#' || l_partkey || '#' || l_suppkey || '#' || l_linenumber AS item_id, CAST(l_quantity AS INT) AS tokens FROM lineitem WHERE l_returnflag = 'N'),
+  gold AS (SELECT pr_key, item_id FROM tests UNION SELECT pr_key, 'lost' || item_id FROM tests WHERE tokens % 5 = 0),
+  placed AS (SELECT pr_key, item_id, row_number() OVER w AS place, sum(tokens) OVER w AS spent FROM packed WHERE status = 'included' WINDOW w AS (PARTITION BY pr_key ORDER BY pack_ord)),
+  limits AS (SELECT * FROM (VALUES (1, NULL), (2, NULL), (NULL, 30), (2, 30)) v(top, budget))
+  SELECT g.pr_key, CAST(coalesce(l.top, 0) AS INT) AS top, CAST(coalesce(l.budget, 0) AS BIGINT) AS budget, count(*) AS n_gold, count(*) FILTER (place <= coalesce(l.top, place) AND spent <= coalesce(l.budget, spent)) AS n_found,
+    n_found / n_gold AS recall FROM gold g CROSS JOIN limits l LEFT JOIN placed p ON p.pr_key = g.pr_key AND p.item_id = g.item_id GROUP BY ALL"""
