@@ -49,39 +49,47 @@ def _with_least(both: DataFrame, least: DataFrame, total: int) -> DataFrame:
     ``total`` links have two ends each.
     """
     bound = max(HOT_LINKS, -(-2 * total // HOT_NODES))
-    if total <= bound:
+    hot = least.where(F.col("n") > bound).select("a", "m")
+    if total <= bound or hot.isEmpty():
         return both.join(least.select("a", "m"), "a")
-    hot = F.broadcast(least.where(F.col("n") > bound).select("a", "m"))
+    hot = F.broadcast(hot)
     rest = both.join(hot.select("a"), "a", "left_anti").join(least.where(F.col("n") <= bound).select("a", "m"), "a")
     return both.join(hot, "a").unionByName(rest)
 
 
 def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
-    """Large star: links each larger neighbour of a node to the node's smallest neighbour; small star: each smaller one."""
+    """Large star: links each larger neighbour of a node to the node's smallest neighbour; small star: each smaller one.
+
+    Both the least neighbours and the star are written. Each is named several times by what follows, so that the plan of a round
+    that is not cut here has some sixty scans, which the driver plans anew after each of its stages.
+    """
     if large:
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
     moved = _with_least(both, least, total)
     if large:
         out = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    out = materialize(out.where("a != b").distinct(), "stars")
+    discard(least)
+    return out
 
 
 def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): every node of a link (a, b) with the smallest node that it is connected to.
 
-    Links of a node with itself and repeated links count once or not at all; no links give no rows. Each round is
+    Links of a node with itself and repeated links count once or not at all; no links give no rows. Each star is
     written to the shared folder, and the one before it deleted; only a count and a checksum reach the driver.
     """
     links = materialize(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"), "forest")
     seen, total = None, links.count()
     for _ in range(rounds if total else 0):
-        before, links = links, materialize(_star(_star(links, True, total), False, total), "stars")
-        discard(before)
+        for large in (True, False):
+            before, links = links, _star(links, large, total)
+            discard(before)
         now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).cast("string")).first())
         if now == seen:
             break

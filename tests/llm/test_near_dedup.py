@@ -230,6 +230,23 @@ def test_components(spark, monkeypatch, hot):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [3, 1_000])
+def test_plans_of_components_stay_small(spark, monkeypatch, hot):
+    # the driver plans, and keeps, what a round has not written; its memory must not follow the stars
+    scans, write = [], components.materialize
+
+    def counted(df, label):
+        scans.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df, label)
+
+    monkeypatch.setattr(components, "materialize", counted)
+    monkeypatch.setattr(components, "HOT_LINKS", hot)
+    links = [(k, k + 1) for k in range(40)] + [(100, 200 + k) for k in range(20)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert set(got.values()) == {0, 100} and len(got) == 62
+    assert max(scans) <= 12
+
+
 def test_clashing_columns_change_nothing(docs_of):
     pairs = corpus(seed=3, groups=4)
     assert result(near_dedup.near_duplicates(docs_of(pairs))) == result(near_dedup.near_duplicates(docs_of(pairs, clash=False).withColumn("extra", F.lit(1))))
