@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchweave.sources.scratch import stored
+
 #: Commits of more files say nothing about pairs of them and are left out, of support and of counts.
 WIDEST = 50
 #: Least support and confidence of a rule, and commits that a repository must have before a change.
@@ -18,11 +20,14 @@ SUPPORT, CONFIDENCE, MIN_COMMITS = 3, 0.3, 200
 def narrow_commits(history: DataFrame, widest: int = WIDEST) -> DataFrame:
     """(repo, commit, commit_ts, path) of the commits of at most ``widest`` files, each file once.
 
-    A commit's paths are counted by partial sums before the shuffle, so a very wide commit costs no more than a row for each task.
+    Copies are told and files counted in one sort of a commit's rows, so the history is dealt out once, and not at all if it comes by commit.
     """
-    once = history.where("path IS NOT NULL").select("repo", "commit", "commit_ts", "path").distinct()
-    narrow = once.groupBy("repo", "commit").agg(F.count("*").alias("files")).where(F.col("files") <= widest)
-    return once.join(narrow.select("repo", "commit"), ["repo", "commit"], "left_semi")
+    named = history.where("path IS NOT NULL AND repo IS NOT NULL AND commit IS NOT NULL").select("repo", "commit", "commit_ts", "path")
+    whole = Window.partitionBy("repo", "commit")
+    order = whole.orderBy("commit_ts", "path")
+    copy = F.col("path").eqNullSafe(F.lag("path").over(order)) & F.col("commit_ts").eqNullSafe(F.lag("commit_ts").over(order))
+    told = named.withColumn("copy", copy).withColumn("files", F.count_if(~F.col("copy")).over(whole))
+    return told.where(~F.col("copy") & (F.col("files") <= widest)).select("repo", "commit", "commit_ts", "path")
 
 
 def history_before(history: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -48,20 +53,41 @@ def channel_states(history: DataFrame, revisions: DataFrame, least: int = MIN_CO
     return history_before(history, revisions).select("pr_key", F.when(enough, "ENABLED").otherwise("UNAVAILABLE_NO_HISTORY").alias("co_change"))
 
 
+def _pairs_by_time(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """(repo, to_path, path, at, n): how many commits of a time have both files; where the files are the same, how many have this one.
+
+    Only pairs with a file of ``asked`` (repo, to_path, pr_ts) are formed, of commits before the last time that it is asked at.
+    """
+    wanted = stored(asked.groupBy("repo", F.col("to_path").alias("path")).agg(F.max("pr_ts").alias("last")), "wanted")
+    marked = history.join(wanted, ["repo", "path"], "left").withColumn("asked", F.coalesce(F.col("commit_ts") < F.col("last"), F.lit(False)))
+    files = marked.groupBy("repo", "commit").agg(F.collect_list(F.struct("commit_ts", "path", "asked")).alias("files"))
+    one = files.select("repo", "files", F.explode(F.filter("files", lambda f: f["asked"])).alias("a"))
+    two = one.select("repo", "a", F.explode("files").alias("b")).where("b.path != a.path OR b.commit_ts = a.commit_ts")
+    return two.groupBy("repo", F.col("a.path").alias("to_path"), F.col("b.path").alias("path"), F.col("a.commit_ts").alias("at")).agg(F.count("*").alias("n"))
+
+
 def co_change_rules(changed: DataFrame, revisions: DataFrame, history: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(pr_key, to_path, path, support, commits, confidence): rules changed file -> other file, as of each change.
 
-    ``changed`` has pr_key and path; ``revisions`` pr_key, repo and pr_ts; ``history`` comes from ``narrow_commits``. support counts the
-    commits before the change with both files, commits those with the changed one. Files that the change itself touches are no partners.
+    ``changed`` has pr_key and path; ``revisions`` pr_key, repo and pr_ts, a row for each change; ``history`` comes from ``narrow_commits``.
+    support counts the commits before the change with both files, commits those with the changed one. Files that the change itself
+    touches are no partners. Commits are counted by time, and a running sum meets the times that are asked for, so no commit is met by
+    all the changes after it.
     """
     own = changed.select("pr_key", "path").distinct()
-    asked = own.join(revisions.select("pr_key", "repo", "pr_ts"), "pr_key").withColumnRenamed("path", "to_path")
-    past = asked.join(history.withColumnRenamed("path", "to_path"), ["repo", "to_path"]).where("commit_ts < pr_ts").select("pr_key", "repo", "to_path", "commit")
-    counts = past.groupBy("pr_key", "to_path").agg(F.count("*").alias("commits")).where(F.col("commits") >= support)
-    partners = past.join(counts.select("pr_key", "to_path"), ["pr_key", "to_path"], "left_semi").join(history.select("repo", "commit", "path"), ["repo", "commit"])
-    rules = partners.where("path != to_path").groupBy("pr_key", "to_path", "path").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-    met = rules.join(own, ["pr_key", "path"], "left_anti").join(counts, ["pr_key", "to_path"]).withColumn("confidence", F.col("support") / F.col("commits"))
-    return met.where(F.col("confidence") >= confidence).select("pr_key", "to_path", "path", "support", "commits", "confidence")
+    asked = stored(own.join(revisions.where("pr_ts IS NOT NULL").select("pr_key", "repo", "pr_ts"), "pr_key").withColumnRenamed("path", "to_path"), "asked")
+    counted = stored(_pairs_by_time(asked, history), "pairs")
+    pair = ["repo", "to_path", "path"]
+    partners = counted.groupBy(*pair).agg(F.sum("n").alias("n")).where(F.col("n") >= support).drop("n")
+    times = asked.select("repo", "to_path", F.col("pr_ts").alias("at")).distinct()
+    both = counted.select(*pair, "at", "n").join(partners, pair, "left_semi").unionByName(times.join(partners, ["repo", "to_path"]).select(*pair, "at", F.lit(0).cast("long").alias("n")))
+    # a time asked for comes before the commits of that time
+    before = Window.partitionBy(*pair).orderBy("at", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = both.withColumn("support", F.sum("n").over(before)).where("n = 0").withColumnRenamed("at", "pr_ts")
+    whole = Window.partitionBy("repo", "to_path", "pr_ts")
+    met = sums.withColumn("commits", F.max(F.when(F.col("path") == F.col("to_path"), F.col("support"))).over(whole)).where((F.col("path") != F.col("to_path")) & (F.col("support") >= support))
+    rules = met.withColumn("confidence", F.col("support") / F.col("commits")).where(F.col("confidence") >= confidence)
+    return rules.join(asked, ["repo", "to_path", "pr_ts"]).join(own, ["pr_key", "path"], "left_anti").select("pr_key", "to_path", "path", "support", "commits", "confidence")
 
 
 def co_change_edges(rules: DataFrame) -> DataFrame:

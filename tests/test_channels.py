@@ -91,6 +91,32 @@ def test_rules_see_nothing_later(spark):
     assert counts == {"p0": 0, "p1": 41, "p2": 43, "p3": 801, "p4": 0, "p5": 0}
 
 
+def written(spark, run):
+    """What ``run`` returns, and the bytes that were shuffled meanwhile."""
+    def so_far():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    before = so_far()
+    return run(), so_far() - before
+
+
+def test_rules_do_not_grow_with_changes_times_commits(spark):
+    n = 1000
+    past = spark.range(n).selectExpr("'r' AS repo", "id AS commit", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS commit_ts", "explode(array('f1', 'f2')) AS path")
+    revisions = spark.range(n).selectExpr("concat('p', id) AS pr_key", "'r' AS repo", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS pr_ts")
+    changed = revisions.selectExpr("pr_key", "'f1' AS path")
+    width = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, size = written(spark, lambda: history.co_change_rules(changed, revisions, history.narrow_commits(past)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", width)
+    assert {tuple(r) for r in got} == {(f"p{k}", "f1", "f2", k, k, 1.0) for k in range(3, n)}
+    assert size < 1_000_000  # a million pairs of a change and a commit before it took more
+
+
 def test_channels_in_a_build(spark):
     a, b, c, d = (f"src/main/java/x/{n}.java" for n in ("Invoice", "Ledger", "Other", "Printer"))
     revisions = spark.createDataFrame([("r#1", "r", 1, "b", "h", at(100)), ("s#1", "s", 1, "b", "h", at(100))], "pr_key string, repo string, pr_number int, merge_base string, head string, pr_ts timestamp")
