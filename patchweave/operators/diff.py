@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@.*$"
 FILE = ["pr_key", "path"]
+STARTS = ("old_start", "old_count", "new_start", "new_count")
 
 
 def _count(line: Column, group: int) -> Column:
@@ -73,15 +74,40 @@ def file_checks(parsed: DataFrame) -> DataFrame:
     return parsed.where("line_type = 'HEADER'").groupBy(*FILE).agg(F.count("*").alias("n_hunks"), F.min("error").alias("error"))
 
 
+def gather_hunks(parsed: DataFrame) -> DataFrame:
+    """(pr_key, path, hunk_idx, starts and counts, error, lines): a row for each hunk; the lines of sound files in their order, without the header.
+
+    Straight from ``parse_patches`` this needs no shuffle, and neither do lines and rendered forms that are taken from it.
+    """
+    line = F.when(F.col("error").isNull() & (F.col("line_type") != "HEADER"), F.struct("line_idx", "line_type", "old_no", "new_no", "content"))
+    return parsed.groupBy(*FILE, "hunk_idx").agg(*(F.first(c).alias(c) for c in (*STARTS, "error")), F.sort_array(F.collect_list(line)).alias("lines"))
+
+
+def gathered_lines(gathered: DataFrame) -> DataFrame:
+    """What ``hunk_lines`` gives, of ``gather_hunks``."""
+    return gathered.where("error IS NULL").select(*FILE, "hunk_idx", F.explode("lines").alias("l")).select(*FILE, "hunk_idx", "l.line_idx", "l.line_type", "l.old_no", "l.new_no", "l.content")
+
+
+def render_gathered(gathered: DataFrame) -> DataFrame:
+    """``gather_hunks`` of sound files with ``rendered``, as ``render_hunks`` gives it, instead of the lines."""
+    shown = F.transform("lines", lambda l: F.concat(_mark(l["line_type"]), l["content"]))
+    return gathered.where("error IS NULL").withColumn("rendered", F.array_join(F.concat(F.array(_header()), shown), "\n")).drop("lines", "error")
+
+
+def _mark(kind: Column) -> Column:
+    return F.when(kind == "ADDED", "+").when(kind == "REMOVED", "-").otherwise(" ")
+
+
+def _header() -> Column:
+    return F.format_string("@@ -%d,%d +%d,%d @@", *STARTS)
+
+
 def render_hunks(parsed: DataFrame) -> DataFrame:
     """(pr_key, path, hunk_idx, ..., rendered): header with both counts, then the lines; a header's section text is gone."""
-    mark = F.when(F.col("line_type") == "ADDED", "+").when(F.col("line_type") == "REMOVED", "-").otherwise(" ")
-    header = F.format_string("@@ -%d,%d +%d,%d @@", "old_start", "old_count", "new_start", "new_count")
-    line = F.when(F.col("line_type") == "HEADER", header).otherwise(F.concat(mark, "content"))
-    starts = ("old_start", "old_count", "new_start", "new_count")
-    sound = parsed.where("error IS NULL").select(*FILE, "hunk_idx", *starts, F.struct("line_idx", line.alias("line")).alias("l"))
-    gathered = sound.groupBy(*FILE, "hunk_idx").agg(*(F.first(c).alias(c) for c in starts), F.sort_array(F.collect_list("l")).alias("ls"))
-    return gathered.select(*FILE, "hunk_idx", *starts, F.array_join("ls.line", "\n").alias("rendered"))
+    line = F.when(F.col("line_type") == "HEADER", _header()).otherwise(F.concat(_mark(F.col("line_type")), "content"))
+    sound = parsed.where("error IS NULL").select(*FILE, "hunk_idx", *STARTS, F.struct("line_idx", line.alias("line")).alias("l"))
+    gathered = sound.groupBy(*FILE, "hunk_idx").agg(*(F.first(c).alias(c) for c in STARTS), F.sort_array(F.collect_list("l")).alias("ls"))
+    return gathered.select(*FILE, "hunk_idx", *STARTS, F.array_join("ls.line", "\n").alias("rendered"))
 
 
 def hunk_ref(change: Column) -> tuple[Column, Column, Column]:

@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from patchweave.functions.text import parent_dir
 
 
+def no_patch() -> Column:
+    return F.coalesce(F.length("patch"), F.lit(0)) == 0
+
+
 def change_summary(files: DataFrame, checks: DataFrame) -> DataFrame:
-    """(pr_key, n_files, additions, deletions, n_hunks, missing_patches, parse_failures, patch_state) of each change."""
-    met = files.join(checks.select("pr_key", "path", "n_hunks", "error"), ["pr_key", "path"], "left")
-    missing, failed = F.count_if(F.coalesce(F.length("patch"), F.lit(0)) == 0), F.count_if(F.col("error").isNotNull())
+    """(pr_key, n_files, additions, deletions, n_hunks, missing_patches, parse_failures, patch_state) of each change.
+
+    ``files`` has the patch, or ``missing`` where there is none; patches do not travel.
+    """
+    missing = F.col("missing") if "missing" in files.columns else no_patch()
+    met = files.select("pr_key", "path", "additions", "deletions", missing.alias("missing")).join(checks.select("pr_key", "path", "n_hunks", "error"), ["pr_key", "path"], "left")
+    missing, failed = F.count_if("missing"), F.count_if(F.col("error").isNotNull())
     sums = met.groupBy("pr_key").agg(F.count("*").alias("n_files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
                                      F.coalesce(F.sum(F.when(F.col("error").isNull(), F.col("n_hunks"))), F.lit(0)).alias("n_hunks"), missing.alias("missing_patches"), failed.alias("parse_failures"))
     return sums.withColumn("patch_state", F.when((F.col("missing_patches") == 0) & (F.col("parse_failures") == 0), "COMPLETE").otherwise("PARTIAL"))

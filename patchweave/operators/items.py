@@ -25,9 +25,10 @@ def _item(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def diff_items(rendered: DataFrame, files: DataFrame, config: ReviewConfig = ReviewConfig()) -> DataFrame:
-    """A required item for each hunk of a file that is not sensitive; ``files`` has change_type."""
+    """A required item for each hunk of a file that is not sensitive; ``files`` has change_type, and is not read where the hunks have it."""
     side, start, end = hunk_ref(F.col("change_type"))
-    met = rendered.join(files.where(~paths.is_sensitive(F.col("path"), config.sensitive_patterns)).select("pr_key", "path", "change_type"), ["pr_key", "path"])
+    known = rendered if "change_type" in rendered.columns else rendered.join(files.select("pr_key", "path", "change_type"), ["pr_key", "path"])
+    met = known.where(~paths.is_sensitive(F.col("path"), config.sensitive_patterns))
     return _item(met, item_id=F.concat(F.lit("DIFF#"), "path", F.lit("#"), F.col("hunk_idx").cast("string")), kind=F.lit("DIFF_HUNK"), ref_side=side, ref_path=F.col("path"), ref_start=start, ref_end=end,
                  content=F.col("rendered"), tokens=estimate_tokens(F.col("rendered")), required=F.lit(True))
 

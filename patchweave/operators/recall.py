@@ -23,11 +23,11 @@ def call_edges(symbols: DataFrame, invocations: DataFrame, types: DataFrame) ->
     merge base get at least REMOVED_FLOOR. Calls from test files are TESTED_BY. The first of several equal edges stays.
     """
     first = Window.partitionBy("pr_key", "path").orderBy("decl_ord")
-    callers = types.where("side = 'HEAD'").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("pr_key", F.col("path").alias("c_path"), F.col("package_name").alias("c_package"), F.col("imports").alias("c_imports"))
+    callers = types.where("side = 'HEAD'").withColumn("nth", F.row_number().over(first)).where("nth = 1").select(F.col("pr_key").alias("c_pr"), F.col("path").alias("c_path"), F.col("package_name").alias("c_package"), F.col("imports").alias("c_imports"))
     called = symbols.select("pr_key", "sym_ord", F.col("side").alias("to_side"), F.col("path").alias("to_path"), "class_fqn", F.col("method_name").alias("name"), "arity", F.col("start_line").alias("to_line"), "signature")
     sites = invocations.select("pr_key", F.col("path").alias("from_path"), F.col("line").alias("from_line"), "receiver", "enclosing_type", "enclosing_method", F.col("method_name").alias("name"), "arity", "site_ord")
     met = called.join(sites, ["pr_key", "name", "arity"]).where("from_path != to_path")
-    met = met.join(callers, (met["pr_key"] == callers["pr_key"]) & (met["from_path"] == callers["c_path"]), "left").drop(callers["pr_key"])
+    met = met.join(callers, (F.col("pr_key") == F.col("c_pr")) & (F.col("from_path") == F.col("c_path")), "left")
     own = decapitalize(simple_name(F.col("class_fqn")))
     confidence = (F.when((F.col("receiver") == own) | F.col("receiver").endswith(F.concat(F.lit("."), own)), RECEIVER).when(F.col("c_path").isNull(), None)
                   .when(F.array_contains("c_imports", F.col("class_fqn")), IMPORTED).when((F.col("c_package") != "") & (F.col("c_package") == package_of(F.col("class_fqn"))), SAME_PACKAGE))

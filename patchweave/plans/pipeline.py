@@ -87,9 +87,13 @@ def source_contents(tables: Tables, whole_snapshot: bool = False) -> DataFrame:
     heads = tables.revisions.select("pr_key", "repo", F.col("head").alias("sha"))
     bases = tables.revisions.select("pr_key", "repo", F.col("merge_base").alias("sha"))
     head_paths, base_paths = needed_sources(tables.files)
-    head = heads.join(tables.snapshot.where("path LIKE '%.java'"), ["repo", "sha"]).select("pr_key", "path", "content")
-    head = head if whole_snapshot else head.join(head_paths, ["pr_key", "path"], "left_semi")
-    base = bases.join(tables.base, ["repo", "sha"]).select("pr_key", "path", "content").join(base_paths, ["pr_key", "path"], "left_semi")
+    java = "path LIKE '%.java'"
+    # a head's contents meet the paths, not all changes of that head
+    head = heads.join(tables.snapshot.where(java), ["repo", "sha"]) if whole_snapshot else heads.join(head_paths, "pr_key").join(tables.snapshot.where(java), ["repo", "sha", "path"])
+    old = bases.join(base_paths, "pr_key")
+    # files renamed from another kind are few, and other contents need not be dealt out for them
+    renamed = stored(old.where(f"NOT {java}"), "renamed")
+    base = old.where(java).join(tables.base.where(java), ["repo", "sha", "path"]).unionByName(renamed.join(tables.base.where(f"NOT {java}"), ["repo", "sha", "path"]))
     return head.select("pr_key", F.lit("HEAD").alias("side"), "path", "content").union(base.select("pr_key", F.lit("MERGE_BASE"), "path", "content"))
 
 
@@ -145,38 +149,43 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     known_keys = tables.revisions.where("merge_base IS NOT NULL AND head IS NOT NULL").select("pr_key").distinct()
     skipped = tables.files.select("pr_key").union(tables.revisions.select("pr_key")).distinct().join(known_keys, "pr_key", "left_anti")
     fresh, reused = (identified, None) if store is None else freeze.reuse(identified, store)
-    wanted = fresh.select("pr_key").join(known_keys, "pr_key", "left_semi")
-    tables = Tables(tables.revisions.join(wanted, "pr_key", "left_semi"), tables.files.join(wanted, "pr_key", "left_semi"), tables.snapshot, tables.base, tables.history)
-
-    files = tables.files
-    parsed_patches = stored(diff.parse_patches(files), "patches")
-    lines, rendered = diff.hunk_lines(parsed_patches), diff.render_hunks(parsed_patches)
-    contents = stored(source_contents(tables, whole_snapshot), "contents")
+    # what is small is stored, so that its size is known before texts are dealt out for its sake
+    wanted = stored(fresh.select("pr_key").join(known_keys, "pr_key", "left_semi"), "wanted")
+    whole = tables.files.join(wanted, "pr_key", "left_semi")
+    files = stored(whole.select("pr_key", "path", "previous_path", "change_type", "category", "additions", "deletions", freeze.no_patch().alias("missing")), "files")
+    tables = Tables(tables.revisions.join(wanted, "pr_key", "left_semi"), files, tables.snapshot, tables.base, tables.history)
+
+    # patches are dealt out by file once; their hunks stay where they are
+    gathered = stored(diff.gather_hunks(diff.parse_patches(whole)).join(files.select("pr_key", "path", "change_type", "category"), ["pr_key", "path"]), "patches", "zstd")
+    rendered, checks = diff.render_gathered(gathered), gathered.groupBy("pr_key", "path").agg(F.count("*").alias("n_hunks"), F.min("error").alias("error"))
+    contents = stored(source_contents(tables, whole_snapshot), "contents", "zstd")
     sides = ["pr_key", "side", "path"]
     code = stored(parse_java(contents, sides) if declarations is None else parse_kept(contents, sides, declarations), "code")
     methods = code.where("row = 'method'").select("pr_key", "side", "path", "fqn", "name", "signature", "arity", "start_line", "end_line")
-    located = symbols.locate_changed(methods, lines, files)
+    located = symbols.locate_changed(methods, diff.gathered_lines(gathered.where("category = 'SOURCE' AND path LIKE '%.java'")), files)
     order = F.struct(F.when(F.col("side") == "HEAD", 0).otherwise(1), "path", "start_line", "signature")
-    changed = located.select("pr_key", "side", "path", F.col("fqn").alias("class_fqn"), F.col("name").alias("method_name"), "arity", "start_line", "end_line", "signature", order.alias("sym_ord"))
+    changed = stored(located.select("pr_key", "side", "path", F.col("fqn").alias("class_fqn"), F.col("name").alias("method_name"), "arity", "start_line", "end_line", "signature", order.alias("sym_ord")), "changed")
     states = co_change_states(tables, config)
-    edges = stored(recall_edges(changed, code, lines, tables, states, config), "recall")
+    edges = stored(recall_edges(changed, code, diff.gathered_lines(gathered), tables, states, config), "recall")
 
-    # only what edges come from is read with its content
-    origins = edges.select("pr_key", F.col("from_path").alias("path")).distinct().join(tables.revisions.select("pr_key", "repo", F.col("head").alias("sha")), "pr_key")
+    # only what edges come from is read with its content, and only where it can be an item
+    outside = edges.select("pr_key", F.col("from_path").alias("path")).where(~is_sensitive(F.col("path"), config.sensitive_patterns)).distinct().join(files, ["pr_key", "path"], "left_anti")
+    origins = stored(outside.join(tables.revisions.select("pr_key", "repo", F.col("head").alias("sha")), "pr_key"), "origins")
     head_files = origins.join(tables.snapshot.select("repo", "sha", "path", "content"), ["repo", "sha", "path"]).select("pr_key", "path", "content")
-    found = items.all_items(items.diff_items(rendered, files, config), items.metadata_items(files, diff.hunks(parsed_patches), config), items.symbol_items(changed, contents, config), items.related_items(related(edges, code), files, head_files, config))
-    found = stored(found, "items")
+    full = items.all_items(items.diff_items(rendered, files, config), items.metadata_items(files, gathered.where("error IS NULL"), config), items.symbol_items(changed, contents, config), items.related_items(related(edges, code), files, head_files, config))
+    # contents are put together anew where they are read
+    found = stored((full.withColumn("pieces", covering.pieces(F.col("content"))) if config.covering else full).drop("content"), "items")
 
     required = found.where("required").select("pr_key", F.col("ref_path").alias("path"), "tokens")
     assigned = slicing.slice_paths(required, edges.select("pr_key", "from_path", "to_path"), config.context_budget)
     slices = stored(slicing.with_fallback(assigned, tables.revisions), "slices")
     home = F.when(F.col("required"), F.col("ref_path")).otherwise(F.coalesce("owner_path", "ref_path"))
     placed = found.withColumn("home", home).join(slices.withColumnRenamed("path", "home"), ["pr_key", "home"])
-    parts = [covering.pieces(F.col("content")).alias("pieces")] if config.covering else []
+    parts = ["pieces"] if config.covering else []
     scored = placed.select("pr_key", "slice_no", "item_id", F.col("ref_path").alias("path"), F.col("ref_start").alias("start_line"), "tokens", "required", "requires", scoring.heuristic_score(F.col("kind"), F.col("confidence")).alias("value"), *parts)
     packed = stored((covering if config.covering else packing).pack_slices(scored, config.context_budget), "packed")
 
-    summary = stored(freeze.change_summary(files, diff.file_checks(parsed_patches)), "summary")
+    summary = stored(freeze.change_summary(files, checks), "summary")
     shown = packed.join(found.select("pr_key", "item_id", "kind", "ref_path", "ref_start", "ref_end", "symbol_id"), ["pr_key", "item_id"])
     entry = F.struct("slice_no", F.when(F.col("status") == "included", 0).otherwise(1).alias("dropped"), "pack_ord", "item_id", "kind", F.col("ref_path").alias("path"), F.col("ref_start").alias("start"), F.col("ref_end").alias("end"), F.col("symbol_id").alias("symbol"), "tokens")
     gathered = shown.groupBy("pr_key").agg(F.sort_array(F.collect_list(entry)).alias("items"))
@@ -196,7 +205,7 @@ def build_plans(tables: Tables, config: ReviewConfig = ReviewConfig(), whole_sna
     if reused is not None:
         plans = plans.unionByName(reused.select("pr_key", "context_id", "plan_json", F.lit(None).cast("string").alias("diagnostics")))
         results = results.union(reused.select("pr_key", F.lit("REUSED"), F.lit(None).cast("string")))
-    return {"items": found, "edges": edges, "slices": slices, "packed": packed, "plans": plans, "results": results, "requests": review_requests(found, packed, identified)}
+    return {"items": full, "edges": edges, "slices": slices, "packed": packed, "plans": plans, "results": results, "requests": review_requests(full, packed, identified)}
 
 
 #: Fixed value: what the reason of a failed build begins with.

@@ -447,7 +447,7 @@ def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     heads = files.where("change_type != 'DELETE'").select("repo", F.lit("head").alias("sha"), "path", "content")
     bases = files.where("change_type != 'ADD'").select("repo", F.lit("base").alias("sha"), F.coalesce("previous_path", "path").alias("path"), "content")
     revisions = files.select("pr_key", "repo").distinct().select("pr_key", "repo", F.lit(1).alias("pr_number"), F.lit("base").alias("merge_base"), F.lit("head").alias("head"))
-    return build_plans(Tables(revisions, stored(files, "files"), heads, bases), CONFIG)
+    return build_plans(Tables(revisions, files, heads, bases), CONFIG)
 
 
 def review_plans(spark: SparkSession, sf_dir: str) -> DataFrame:

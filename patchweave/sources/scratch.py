@@ -31,15 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[application]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of it.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and a frame that is used several times is
-    computed once. The files live until ``discard`` or ``discard_all``, or as long as the shared folder does.
+    computed once. ``compression`` is worth its time for texts. The files live until ``discard`` or ``discard_all``, or as long as the shared folder does.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out, lambda _, key=id(out): _paths.pop(key, None)), path)
     return out

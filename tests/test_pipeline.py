@@ -1,6 +1,8 @@
 import io
 import json
+import random
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from patchweave.config import ReviewConfig
 from patchweave.functions.paths import category
 from patchweave.operators import freeze
 from patchweave.plans.pipeline import Tables, build_plans, head_snapshot, plan_comment
+from patchweave.sources import scratch
+from tests.test_channels import written
 
 A_OLD = "package com.x;\n\npublic class A {\n  void m() {\n    one();\n  }\n}\n"
 A_NEW = "package com.x;\n\npublic class A {\n  void m() {\n    one();\n    two();\n  }\n}\n"
@@ -122,3 +126,37 @@ def test_covering_and_kept_declarations(tables, tmp_path):
     again = build_plans(Tables(tables.revisions, tables.files, edited, tables.base), config, whole_snapshot=True, declarations=kept)
     assert {r.item_id for r in again["packed"].collect()} == set(status)
     assert declarations.known(tables.snapshot.sparkSession, kept).count() == seen + 1
+
+
+def test_texts_move_a_few_times(spark, tmp_path):
+    """Many changes of one head: what a build shuffles and stores is a few times its patches and contents, not times the changes."""
+    rng, changes = random.Random(11), 12
+    text = lambda: "\n".join(f"{rng.getrandbits(240):x}" for _ in range(60))
+    paths = [(f"r#{k % changes}", f"src/main/java/x/F{k}.java" if k % 4 == 0 else f"docs/f{k}.md", text()) for k in range(900)]
+    patch = lambda t: f"@@ -1,0 +1,{t.count(chr(10)) + 1} @@\n" + "\n".join(f"+{line}" for line in t.split("\n"))
+    rows = [(p, f, "old.kt" if f.endswith("/F0.java") else None, "MODIFY", patch(t), 60, 0, "SOURCE" if f.endswith(".java") else "DOCUMENTATION") for p, f, t in paths]
+    tables = {
+        "revisions": spark.createDataFrame([(f"r#{k}", "r", k, "b", "h") for k in range(changes)], "pr_key string, repo string, pr_number int, merge_base string, head string"),
+        "files": spark.createDataFrame(rows, "pr_key string, path string, previous_path string, change_type string, patch string, additions int, deletions int, category string"),
+        "snapshot": spark.createDataFrame([("r", "h", f, t) for _, f, t in paths], "repo string, sha string, path string, content string"),
+        "base": spark.createDataFrame([("r", "b", "old.kt" if f.endswith("/F0.java") else f, t) for _, f, t in paths], "repo string, sha string, path string, content string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+    read = Tables(*(spark.read.parquet(str(tmp_path / name)) for name in tables))
+    folder = Path(scratch._folder(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    width = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "48k")
+    try:
+        before = held()
+        out, moved = written(spark, lambda: build_plans(read))
+        stored = held() - before
+        plans = [json.loads(r.plan_json) for r in out["plans"].collect()]
+        hunks = {(r.pr_key, r.ref_path): r.content for r in out["items"].where("kind = 'DIFF_HUNK'").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", width)
+    assert [p["capabilities"]["mergeBaseFiles"] for p in plans] == ["COMPLETE"] * changes
+    assert hunks == {(p, f): patch(t) for p, f, t in paths}
+    size = sum(len(t) for _, _, t in paths)
+    assert moved + stored < 6 * size
